@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality, sharding, url_filter
+from . import decontaminate, langid, line_dedup, pieces, quality, sharding, token_store, url_filter
+from .common import workspace
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,6 +24,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = line_dedup.dedup_lines(spark, _read(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = quality.apply_policy(quality.ledger(_read(spark, sf_dir, "documents")), quality.POLICIES["clean", 2])
     base = F.col("failures").bitwiseAND(F.lit(quality.POLICIES["base", 1].mask)) != 0
@@ -27,10 +39,26 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_read(spark, sf_dir, "documents"), 8)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _read(spark, sf_dir, "documents").withColumn("held_out", langid.fold(F.col("doc_id"), 3) == 1)
+    prototypes = langid.train(d.where("not held_out"))
+    return langid.predict(d, prototypes, keep=("held_out",)).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(_read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), ("ids_sha256", "decoded_sha256", "ends_crc32"))
+
+
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{workspace(spark)}/tokens"
+    token_store.write_tokens(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), path, end_id=1)
+    return token_store.with_checksums(token_store.read_tokens(spark, path))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(url_filter.RULES, "host string, path string, verdict string")
     return url_filter.judge_urls(_read(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op4_quality_rules, op5_sharding, op9_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op4_quality_rules, op5_sharding, op6_language_id, op7_sentencepiece, op8_token_store, op9_url_filter)}
 ORACLE: dict[str, str] = {}
