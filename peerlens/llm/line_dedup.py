@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,10 +97,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_chars: int = 10, keys_
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, lists = batch.column("text"), batch.column("h")
-            n = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
             flat = lists.flatten()
             known = flat.is_valid().to_numpy(zero_copy_only=False)
-            a, b = (pa.compute.struct_field(flat.filter(pa.array(known)), [i]).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            a, b = (pc.struct_field(flat.filter(pa.array(known)), [i]).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
             docs_of = np.repeat(batch.column("key").to_numpy(zero_copy_only=False), n)[known]
             first, _ = probe(path, shards, a, b)
             gone = np.zeros(len(flat), bool)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, line_dedup, pieces, quality, sharding, token_store, url_filter
+from . import decontaminate, langid, line_dedup, lm_score, pieces, quality, sharding, token_store, url_filter
 from .common import workspace
 
 
@@ -29,6 +29,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(spark, _read(spark, sf_dir, "documents"), langid.fold(F.col("doc_id"), 7) == 2)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = quality.apply_policy(quality.ledger(_read(spark, sf_dir, "documents")), quality.POLICIES["clean", 2])
     base = F.col("failures").bitwiseAND(F.lit(quality.POLICIES["base", 1].mask)) != 0
@@ -60,5 +64,5 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_read(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op4_quality_rules, op5_sharding, op6_language_id, op7_sentencepiece, op8_token_store, op9_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op3_lm_score, op4_quality_rules, op5_sharding, op6_language_id, op7_sentencepiece, op8_token_store, op9_url_filter)}
 ORACLE: dict[str, str] = {}

@@ -14,6 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -118,7 +119,7 @@ def with_checksums(tokens: DataFrame) -> DataFrame:
         for batch in batches:
             ids = batch.column("ids")
             flat = memoryview(ids.flatten().to_numpy(zero_copy_only=False).astype("<u4")).cast("B")
-            ends = np.cumsum(pa.compute.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)) * 4
+            ends = np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)) * 4
             sums = [zlib.crc32(flat[a:b]) for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True)] if len(ends) else []
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "start", "n_tokens")], pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
