@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, langid, line_dedup, lm_score, near_dup, pieces, quality, sharding, token_store, url_filter
 from .common import workspace
+from .oracles import ORACLE as ORACLE
 
 
 def tokenizer_path(name: str) -> str:
@@ -69,4 +70,3 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op3_lm_score, op4_quality_rules, op5_sharding, op6_language_id, op7_sentencepiece, op8_token_store, op9_url_filter, op10_minhash)}
-ORACLE: dict[str, str] = {}
