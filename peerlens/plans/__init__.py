@@ -1,5 +1,6 @@
 """Queries of the engine, each as a DataFrame plan and as SQL that must give the same rows."""
 
+from . import data_queries as _data_queries
 from . import peer_queries as _peer_queries
 from .registry import ORACLE as ORACLE
 from .registry import QUERIES as QUERIES
