@@ -5,7 +5,9 @@ slot makes the signature; a shingle's process stops as soon as its next arrival
 with their probability Jaccard similarity; with equal weights that is the Jaccard similarity. Bands of slots propose pairs, which are verified on the whole texts.
 
 Pairs within a bucket are never all written out. Every text is first compared with its bucket's smallest member, and verified pairs are joined into
-components. Only in buckets that still hold several components are signatures compared further, block by block, and only across components.
+components. Only in buckets that still hold several components are signatures compared further, block by block; of the pairs that may be similar, a spanning forest
+is kept. The trees of all buckets together make neighbourhoods. The texts of a neighbourhood meet once, again block by block, and every pair across
+components that may be similar is verified there, the most likely first, until the components it would join are one.
 """
 
 from __future__ import annotations
@@ -25,10 +27,8 @@ from .mph import mix
 
 #: Slots are BANDS * ROWS. At similarity 0.8 a pair shares no band with probability (1 - 0.8^6)^32 = 6e-5, at 0.85 with 8e-8.
 BANDS, ROWS = 32, 6
-#: Pairs whose signatures agree in less than this share of slots are dropped unverified: at 0.8 that is 5.9 standard deviations below.
-LEAST_ESTIMATE = 0.63
-#: From this share on a pair is as good as verified, so one such link between two groups is enough; it is verified as well.
-SURE_ESTIMATE = 0.92
+#: Pairs whose signatures agree in less than this share of slots are dropped unverified: at 0.8 that is 4.2 standard deviations below, one pair in 60,000.
+LEAST_ESTIMATE = 0.68
 #: Where rows without a doc_id are placed: they count as one document that comes last.
 LAST = (1 << 63) - 1
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -187,47 +187,85 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, weights: str, thresh
     return rows.select("a", "part", "key", _tokens(F.col("text")).alias("tokens")).groupBy("a", "part").applyInArrow(run, "a bigint, b bigint")
 
 
-def across(members: DataFrame, block: int = 1024) -> DataFrame:
-    """Pairs (a, b) of nodes of one bucket that are in different components and whose signatures agree well enough.
-
-    members: bucket, node, root, sig. A bucket of more than `block` nodes is cut into blocks; every two of them meet in a task of their own.
-    Among pairs that are as good as sure, one link between two groups is kept.
-    """
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    m = members.join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+def blocks_of(members: DataFrame, key: str, block: int) -> DataFrame:
+    """Members of a key in blocks of about so many, each row sent to every pair (i <= j) of blocks that its own is in."""
+    sizes = members.groupBy(key).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    m = members.join(sizes, key).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    m = m.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "sig")
+    return m.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "blocks")
+
+
+class Sets:
+    """Union-find over whatever is met."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        while (p := self.parent.get(x, x)) != x:
+            self.parent[x] = self.parent.get(p, p)
+            x = p
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        a, b = self.top(x), self.top(y)
+        self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _likely(t: pa.Table, i: int, j: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row of block i the rows of block j, of another component, whose signatures agree well enough, and the shares."""
+    node, root, own = (t.column(c).to_numpy() for c in ("node", "root", "own"))
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(len(node), -1)
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    for x in left.tolist():
+        y = right[(node[right] > node[x]) & (root[right] != root[x])] if i == j else right[root[right] != root[x]]
+        same = (sig[y] == sig[x]).mean(axis=1)
+        ok = same >= LEAST_ESTIMATE
+        yield x, y[ok], same[ok]
+
+
+def _links(pairs: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([min(p) for p in pairs], pa.int64()), "b": pa.array([max(p) for p in pairs], pa.int64())})
+
+
+def across(members: DataFrame, block: int = 1024) -> DataFrame:
+    """Spanning forest (a, b) of the pairs of one bucket that are in different components and may be similar; members: bucket, node, root, sig."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        node, root, own = (t.column(c).to_numpy() for c in ("node", "root", "own"))
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(len(node), -1)
-        i, j = key[1].as_py(), key[2].as_py()
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        found = []
-        for x in left.tolist():
-            y = right[(node[right] > node[x]) & (root[right] != root[x])] if i == j else right[root[right] != root[x]]
-            same = (sig[y] == sig[x]).mean(axis=1)
-            found += [(s, x, k) for s, k in zip(same.tolist(), y.tolist(), strict=True) if s >= LEAST_ESTIMATE]
-        parent: dict[int, int] = {}
-
-        def top(r: int) -> int:
-            while (p := parent.get(r, r)) != r:
-                parent[r] = parent.get(p, p)
-                r = p
-            return r
-
-        out = []
-        for s, x, y in sorted(found, reverse=True):
-            a, b = top(int(root[x])), top(int(root[y]))
-            if a != b:
-                out.append((min(node[x], node[y]), max(node[x], node[y])))
-                if s >= SURE_ESTIMATE:
-                    parent[max(a, b)] = min(a, b)
-        return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
+        sets, node = Sets(), t.column("node").to_pylist()
+        return _links([(node[x], node[y]) for x, ys, _ in _likely(t, key[1].as_py(), key[2].as_py()) for y in ys.tolist() if sets.join(x, y)])
 
+    m = blocks_of(members, "bucket", block).select("bucket", "i", "j", "own", "node", "root", "sig")
     return m.groupBy("bucket", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
 
 
+def settled(members: DataFrame, width: int, weights: str, threshold: float, block: int = 512) -> DataFrame:
+    """Links (a, b) that join components within a neighbourhood; members: near, node, root, sig, tokens."""
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        likely = [(s, x, y) for x, ys, shares in _likely(t, key[1].as_py(), key[2].as_py()) for y, s in zip(ys.tolist(), shares.tolist(), strict=True)]
+        node, root, sets, out, known = t.column("node").to_pylist(), t.column("root").to_pylist(), Sets(), [], {}
+        elem, weight, doc = shingles(*_lists(t.column("tokens")), width, weights)
+        edges = np.searchsorted(doc, np.arange(len(node) + 1))
+
+        def part(k: int) -> tuple[np.ndarray, np.ndarray]:
+            if k not in known:
+                e, w = elem[edges[k] : edges[k + 1]], weight[edges[k] : edges[k + 1]]
+                order = np.argsort(e)
+                known[k] = e[order], w[order]
+            return known[k]
+
+        for _, x, y in sorted(likely, reverse=True):
+            if sets.top(root[x]) != sets.top(root[y]) and similarity(part(x), part(y)) >= threshold:
+                sets.join(root[x], root[y])
+                out.append((node[x], node[y]))
+        return _links(out)
+
+    m = blocks_of(members, "near", block).select("near", "i", "j", "own", "node", "root", "sig", "tokens")
+    return m.groupBy("near", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, threshold: float = 0.8, weights: str = "count") -> DataFrame:
     """doc_id and class_id, the smallest doc_id of all documents that links of at least `threshold` connect it with; a row for each row of docs.
 
@@ -256,10 +294,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, thresh
     labelled = written(spark, labelled, f"{at}/labelled")
     spread = labelled.select("node", "root", F.explode("bands").alias("bucket"))
     mixed = spread.join(buckets.where("members > 2"), "bucket").groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-    rest = written(spark, across(spread.join(mixed, "bucket").join(labelled.select("node", "sig").dropDuplicates(["node"]), "node").select("bucket", "node", "root", "sig")), f"{at}/rest")
-    rest = rest.join(stars, ["a", "b"], "left_anti")
-    if not rest.isEmpty():
-        more = written(spark, verified(rest, docs, width, weights, threshold), f"{at}/more")
+    once = labelled.select("node", "root", "sig").dropDuplicates(["node"])
+    near = written(spark, across(spread.select("bucket", "node").join(mixed, "bucket").join(once, "node")), f"{at}/near")
+    if not near.isEmpty():
+        hoods = components(spark, near)
+        members = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(hoods, "node", "left").select("node", F.coalesce("root", "node").alias("near"))
+        members = written(spark, members.join(once, "node"), f"{at}/members")
+        texts = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("node"), "text").join(F.broadcast(members) if few(members, 20_000) else members, "node")
+        more = written(spark, settled(texts.select("near", "node", "root", "sig", _tokens(F.col("text")).alias("tokens")), width, weights, threshold), f"{at}/more")
         first = components(spark, links.unionByName(more))
     named = rows.select("key", "a", "b").join(copies, ["a", "b"]).select("key", "node")
     named = named.join(first, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
