@@ -9,7 +9,7 @@ import os
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -31,39 +31,80 @@ SCHEMA = "doc_id bigint, part int, nth bigint, part_start bigint, n_tokens bigin
 
 #: Characters and strings whose handling needs a whole text: past Latin letters (composition), odd separators, special tokens.
 FOREIGN = re.compile("[\x1c-\x1f\u0250-\U0010ffff]|<\\|")
+#: The tokenizer's own pattern of words, for such texts.
+WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\s\w]|_)+")
 #: The short way holds for tokenizers that lower the case and end every token at white space; such probes decide.
 PROBES = ("Don't STOP 3²x_ü·é ¼ab \xadz\n'Ve #a#", "İı  ŉ\t\x85x\xa0y ''s 's'S", "a \n b")
 
 
+def needs_whole(text: str) -> bool:
+    """Whether FOREIGN finds something; most texts are settled by tests that run at the speed of a copy."""
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return FOREIGN.search(text) is not None
+    return "<|" in text or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
+
+
 class Encoder:
     """Ids of texts as bytes (little-endian unsigned 32-bit integers), equal to those of the library.
 
-    Texts of Latin letters are lowered and cut at white space; the library encodes the chunks of a batch that aren't remembered
-    yet, and only those. All other texts go through the library as a whole.
+    Texts of Latin letters are lowered and cut at white space. Chunks that aren't remembered are cut into words, and only words that
+    aren't remembered go to the library, many in one string: each word's ids end with one that ends a word. All other texts go through the library as a whole.
     """
 
-    def __init__(self, path: str, remembered: int = 300_000):
+    def __init__(self, path: str, remembered: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.remembered, self.known = remembered, {}
+        self.remembered, self.known, self.words = remembered, {}, {}
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends_word[i] = token.endswith("</w>")
         self.short = True
-        self.short = all(self([x], foreign=None)[0] == self.whole(x) for x in PROBES)
+        self.short = all(self([x], whole=lambda t: False)[0] == self.whole(x) for x in PROBES)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def __call__(self, texts: list[str], foreign: re.Pattern | None = FOREIGN) -> list[bytes]:
-        cut = [t.lower().split() if self.short and not (foreign and foreign.search(t)) else None for t in texts]
+    def learn(self, words: set[str], together: int = 1000) -> None:
+        if len(self.words) > self.remembered:
+            self.words.clear()
+        new = list(words.difference(self.words))
+        for low in range(0, len(new), together):
+            part = new[low : low + together]
+            (e,) = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(part):
+                raw, at = ids.tobytes(), (ends * 4).tolist()
+                self.words |= zip(part, [raw[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)], strict=True)
+            else:
+                self.words |= ((w, self.whole(w)) for w in part)
+
+    def __call__(self, texts: list[str], whole: Callable[[str], bool] = lambda t: needs_whole(t)) -> list[bytes]:
         if len(self.known) > self.remembered:
             self.known.clear()
-        new = list(set().union(*[c for c in cut if c]).difference(self.known))
-        for low in range(0, len(new), 10_000):
-            part = new[low : low + 10_000]
-            self.known |= zip(part, [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)], strict=True)
-        look = self.known.__getitem__
-        return [self.whole(t) if c is None else b"".join(map(look, c)) for t, c in zip(texts, cut, strict=True)]
+        look, out, missing = self.known.get, [], []
+        for t in texts:
+            if not self.short or whole(t):
+                out.append([self.whole(t)])
+                continue
+            chunks = t.lower().split()
+            found = list(map(look, chunks))
+            if None in found:
+                missing += [(found, i, chunks[i]) for i, x in enumerate(found) if x is None]
+            out.append(found)
+        if new := {c for _, _, c in missing}:
+            parts = [(c, WORD.findall(c)) for c in new]
+            self.learn({w for _, p in parts for w in p})
+            of = self.words
+            self.known |= ((c, of[p[0]] if len(p) == 1 else b"".join([of[w] for w in p])) for c, p in parts)
+            for found, i, c in missing:
+                found[i] = self.known[c]
+        return [b"".join(x) for x in out]
 
 
 @lru_cache(maxsize=4)
