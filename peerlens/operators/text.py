@@ -2,24 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Digits, and whatever is no letter, number or underscore in Unicode.
 NOISE = r"[^\p{L}\p{N}_]|[0-9]"
 
 
-def grams(text: Column, n: int) -> Column:
-    """All n-grams of the text without NOISE, in order; none if fewer than n characters are left."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), NOISE, "")
-    return F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substring(t, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-
-
 def term_counts(docs: DataFrame, n: int) -> DataFrame:
     """doc, gram, tf from doc, text."""
-    cleaned = docs.select("doc", F.regexp_replace(F.coalesce("text", F.lit("")), NOISE, "").alias("t"))
-    at = cleaned.where(F.length("t") >= n).select("doc", "t", F.explode(F.sequence(F.lit(1), F.length("t") - n + 1)).alias("i"))
-    return at.groupBy("doc", F.substring(F.col("t"), F.col("i"), F.lit(n)).alias("gram")).agg(F.count("*").alias("tf"))
+    # By array places: a substring would count characters from the start of the text each time.
+    chars = docs.select("doc", F.regexp_extract_all(F.regexp_replace(F.coalesce("text", F.lit("")), NOISE, ""), F.lit("(?s)."), 0).alias("c"))
+    at = chars.where(F.size("c") >= n).select("doc", "c", F.explode(F.sequence(F.lit(0), F.size("c") - n)).alias("i"))
+    return at.groupBy("doc", F.concat(*[F.get("c", F.col("i") + k) for k in range(n)]).alias("gram")).agg(F.count("*").alias("tf"))
 
 
 def vocabulary(counts: DataFrame, size: int) -> DataFrame:

@@ -2,5 +2,6 @@
 
 from . import data_queries as _data_queries
 from . import peer_queries as _peer_queries
+from . import text_queries as _text_queries
 from .registry import ORACLE as ORACLE
 from .registry import QUERIES as QUERIES

@@ -237,11 +237,11 @@ def features_in_universe(spark: SparkSession, sf: str) -> DataFrame:
     return panel(spark, sf).join(f, ["firm", "as_of"], "left_anti").agg(F.count("*").alias("outside"))
 
 
-@query(f"WITH {_CY} SELECT 'entered' AS kind, corp, min(year) AS first_year, NULL::INT AS last_year FROM cy GROUP BY corp HAVING min(year) > 1995 UNION ALL SELECT 'left', corp, NULL, max(year) FROM cy GROUP BY corp HAVING max(year) < 2001")
+@query(f"WITH {_CY} SELECT 'entered' AS kind, corp, min(year)::VARCHAR AS first_year, NULL::VARCHAR AS last_year FROM cy GROUP BY corp HAVING min(year) > 1995 UNION ALL SELECT 'left', corp, NULL, max(year)::VARCHAR FROM cy GROUP BY corp HAVING max(year) < 2001")
 def tagged_append(spark: SparkSession, sf: str) -> DataFrame:
     p = R.presence(customer_years(spark, sf), "corp", "year")
-    a = p.where("first > 1995").select(F.lit("entered").alias("kind"), "corp", F.col("first").alias("first_year"))
-    b = p.where("last < 2001").select(F.lit("left").alias("kind"), "corp", F.col("last").alias("last_year"))
+    a = p.where("first > 1995").select(F.lit("entered").alias("kind"), "corp", F.col("first").cast("string").alias("first_year"))
+    b = p.where("last < 2001").select(F.lit("left").alias("kind"), "corp", F.col("last").cast("string").alias("last_year"))
     return a.unionByName(b, allowMissingColumns=True)
 
 
@@ -374,12 +374,12 @@ def report_period(spark: SparkSession, sf: str) -> DataFrame:
     return o.select("o_orderkey", C.report_year(F.col("name")).alias("year"), C.iso_date(F.col("d")).alias("iso"))
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 1234 WHEN 2 THEN -56789 ELSE 12 END::BIGINT AS amount FROM orders")
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 1234 WHEN 2 THEN -56789 ELSE 12 END::BIGINT::VARCHAR AS amount FROM orders")
 def parse_amount(spark: SparkSession, sf: str) -> DataFrame:
     """Amount strings of the four kinds that filings hold: missing, with commas, negative, with fractions."""
     k = F.col("o_orderkey") % 4
     s = F.when(k == 0, "-").when(k == 1, " 1,234 ").when(k == 2, "-56,789").otherwise("12.7")
-    return read(spark, sf, "orders").select("o_orderkey", C.parse_amount(s).alias("amount"))
+    return read(spark, sf, "orders").select("o_orderkey", C.parse_amount(s).cast("string").alias("amount"))
 
 
 @query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&cr;|&nbsp;', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS text, length(regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '[ \\t\\n\\x0B\\f\\r]+', '', 'g')) AS flat_chars FROM pages")
