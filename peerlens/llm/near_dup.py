@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import few, pick, workspace, written
-from .components import components
+from .components import Sets, components
 from .decontaminate import words_of
 from .mph import mix
 
@@ -195,24 +195,6 @@ def blocks_of(members: DataFrame, key: str, block: int) -> DataFrame:
     return m.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "blocks")
 
 
-class Sets:
-    """Union-find over whatever is met."""
-
-    def __init__(self) -> None:
-        self.parent: dict[int, int] = {}
-
-    def top(self, x: int) -> int:
-        while (p := self.parent.get(x, x)) != x:
-            self.parent[x] = self.parent.get(p, p)
-            x = p
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        a, b = self.top(x), self.top(y)
-        self.parent[max(a, b)] = min(a, b)
-        return a != b
-
-
 def _likely(t: pa.Table, i: int, j: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each row of block i the rows of block j, of another component, whose signatures agree well enough, and the shares."""
     node, root, own = (t.column(c).to_numpy() for c in ("node", "root", "own"))

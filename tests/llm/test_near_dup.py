@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from peerlens.llm import components, near_dup
 
@@ -75,7 +76,8 @@ def test_signature_estimates_similarity():
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.06
 
 
-def test_components_of_a_path_and_a_star(spark):
+@pytest.mark.parametrize("bound", [0, 1000])
+def test_components_of_a_path_and_a_star(spark, bound):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7)]
-    got = {r.node: r.root for r in components.components(spark, spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    got = {r.node: r.root for r in components.components(spark, spark.createDataFrame(edges, "a bigint, b bigint"), most_in_one_task=bound).collect()}
     assert got == {**dict.fromkeys(range(1, 41), 0), **dict.fromkeys(range(101, 150), 100)}
