@@ -81,9 +81,9 @@ def scored(f: DataFrame, weights: dict[str, float], text: DataFrame | None = Non
     return p.withColumn("sim", F.round(reduce(lambda x, y: x + y, [F.lit(v) * F.col(k) for k, v in w.items()]), 9))
 
 
-def top_k(s: DataFrame, k: int, order: tuple[Column, ...] = (F.desc("sim"), F.asc("peer"))) -> DataFrame:
-    """The best k peers of each target. The rank filter stands right on the window, so Spark keeps k rows for each target before it shuffles."""
-    w = Window.partitionBy("as_of", "firm").orderBy(*order)
+def top_k(s: DataFrame, k: int, order: tuple[Column, ...] = ()) -> DataFrame:
+    """The best k peers of each target, by similarity unless told otherwise. The rank filter stands right on the window, so Spark keeps k rows for each target before it shuffles."""
+    w = Window.partitionBy("as_of", "firm").orderBy(*(order or (F.desc("sim"), F.asc("peer"))))
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 

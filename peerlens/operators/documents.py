@@ -33,7 +33,7 @@ class Sections:
 
 def section(docs: DataFrame, wanted: str) -> DataFrame:
     """doc_id, status (ok, no_titles, no_section, empty), text, raw of the first section whose title, without numeral and spaces, is the wanted one."""
-    d = docs.select("doc_id", F.col("raw").alias("source"))
+    d = docs.select("doc_id", F.coalesce("raw", F.lit("")).alias("source"))
     titles = F.regexp_extract_all("source", F.lit(r"(?is)(<TITLE[^>]*>.*?</TITLE>)"), 1)
     parts = F.split("source", r"(?is)(?=<TITLE[^>]*>\s*[IVXⅠ-Ⅻ]+\s*\.)")
     head = lambda p: C.clean_html(F.regexp_extract(p, r"(?is)^<TITLE[^>]*>(.*?)</TITLE>", 1))

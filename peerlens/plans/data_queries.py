@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,7 +20,7 @@ _P = f"WITH {PANEL_SQL}"
 _DAY = "make_date({0}, 5, 15)"
 
 
-def day_of(year: str) -> F.Column:
+def day_of(year: str) -> Column:
     return F.make_date(F.col(year), F.lit(5), F.lit(15))
 
 

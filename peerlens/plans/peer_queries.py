@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -324,11 +324,11 @@ def _paired(spark: SparkSession, sf: str) -> DataFrame:
     return a.join(S.peer_cases(r, A.baseline(f, K).withColumn("sim", F.lit(0.0)), pen).select("as_of", "firm", "ratio", F.col("ape").alias("y")), ["as_of", "firm", "ratio"])
 
 
-def _draw(key) -> F.Column:
+def _draw(key: Column) -> Column:
     return F.conv(F.substr(F.md5(F.concat_ws("|", F.col("b").cast("string"), key).cast("binary")), F.lit(1), F.lit(8)), 16, 10).cast("bigint")
 
 
-def _poisson(u) -> F.Column:
+def _poisson(u: Column) -> Column:
     """Poisson(1) draw from a 32-bit hash, up to 6: each row's multiplicity in a replicate."""
     bounds = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
     out = F.lit(6)
@@ -345,7 +345,7 @@ def _bootstrap(name: str, key_sql: str, key) -> None:
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
         b = _paired(spark, sf).withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(_B - 1).cast("bigint"))))
-        b = b.withColumn("m", _poisson(_draw(key))).where("m > 0").select("b", "x", "y", F.explode(F.sequence(F.lit(1), "m")).alias("i"))
+        b = b.withColumn("m", _poisson(_draw(key()))).where("m > 0").select("b", "x", "y", F.explode(F.sequence(F.lit(1), "m")).alias("i"))
         d = b.groupBy("b").agg((F.median("x") - F.median("y")).alias("d"))
         return d.agg(F.count("*").alias("replicates"), *[F.round(F.percentile("d", F.lit(q)), 6).alias(n) for q, n in ((0.025, "low"), (0.5, "mid"), (0.975, "high"))])
 
@@ -355,5 +355,5 @@ def _bootstrap(name: str, key_sql: str, key) -> None:
     SELECT count(*) AS replicates, round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.5), 6) AS mid, round(quantile_cont(d, 0.975), 6) AS high FROM d""")(run)
 
 
-_bootstrap("bootstrap_paired", "concat_ws('|', as_of::VARCHAR, firm::VARCHAR, ratio)", F.concat_ws("|", F.col("as_of").cast("string"), F.col("firm").cast("string"), F.col("ratio")))
-_bootstrap("bootstrap_clustered", "firm::VARCHAR", F.col("firm").cast("string"))
+_bootstrap("bootstrap_paired", "concat_ws('|', as_of::VARCHAR, firm::VARCHAR, ratio)", lambda: F.concat_ws("|", F.col("as_of").cast("string"), F.col("firm").cast("string"), F.col("ratio")))
+_bootstrap("bootstrap_clustered", "firm::VARCHAR", lambda: F.col("firm").cast("string"))
