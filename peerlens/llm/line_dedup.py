@@ -37,8 +37,8 @@ def shared_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return counted.where("first_doc < last_doc").drop("last_doc")
 
 
-def build_shards(lines: DataFrame, folder: str, keys_a_shard: int) -> int:
-    """Writes the shards' files and returns their number. Keys that collide in their first 64 bits go to the next round of shards."""
+def build_shards(lines: DataFrame, folder: str, keys_a_shard: int) -> np.ndarray:
+    """Writes the shards' files, each of about so many keys, and returns for each shard whether it has any."""
     count = lines.count()
     shards = -(-count // keys_a_shard)
     path = local_path(folder)
@@ -52,8 +52,10 @@ def build_shards(lines: DataFrame, folder: str, keys_a_shard: int) -> int:
         return pd.DataFrame({"shard": [key[0]], "n": [len(rows)]})
 
     if shards:
-        lines.groupBy(F.pmod("a", F.lit(shards)).alias("shard")).applyInPandas(make, "shard bigint, n bigint").write.mode("overwrite").parquet(f"{folder}/made")
-    return shards
+        made = lines.groupBy(F.pmod("a", F.lit(shards)).alias("shard")).applyInPandas(make, "shard bigint, n bigint").select("shard").collect()  # a number for each shard
+    full = np.zeros(shards, bool)
+    full[[r[0] for r in made] if shards else []] = True
+    return full
 
 
 def _placed(values: np.ndarray, slots: np.ndarray, kind: type) -> np.ndarray:
@@ -62,16 +64,18 @@ def _placed(values: np.ndarray, slots: np.ndarray, kind: type) -> np.ndarray:
     return out
 
 
-def probe(path: str, shards: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def probe(path: str, full: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First document (LAST where the line isn't shared) and number of documents of each line."""
     first, count = np.full(len(a), LAST, np.int64), np.zeros(len(a), np.int64)
-    if not shards or not len(a):
+    if not len(full) or not len(a):
         return first, count
-    shard = np.mod(a, shards)
+    shard = np.mod(a, len(full))
     order = np.argsort(shard, kind="stable")
     edges = np.flatnonzero(np.r_[True, np.diff(shard[order]) > 0, True])
     for i, j in zip(edges[:-1], edges[1:], strict=True):
         own = order[i:j]
+        if not full[shard[own[0]]]:
+            continue
         index = mapped.load(f"{path}/{shard[own[0]]}")
         slot = mph.slots(index, a[own].view(np.uint64))
         hit = slot >= 0
@@ -91,7 +95,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_chars: int = 10, keys_
     """
     docs = pick(docs, doc_id="bigint", text="string", **dict.fromkeys(extra, ""))
     at = workspace(spark)
-    shards = build_shards(written(spark, shared_lines(docs, min_chars), f"{at}/lines"), f"{at}/shards", keys_a_shard)
+    full = build_shards(written(spark, shared_lines(docs, min_chars), f"{at}/lines"), f"{at}/shards", keys_a_shard)
     path = local_path(f"{at}/shards")
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +106,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_chars: int = 10, keys_
             known = flat.is_valid().to_numpy(zero_copy_only=False)
             a, b = (pc.struct_field(flat.filter(pa.array(known)), [i]).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
             docs_of = np.repeat(batch.column("key").to_numpy(zero_copy_only=False), n)[known]
-            first, _ = probe(path, shards, a, b)
+            first, _ = probe(path, full, a, b)
             gone = np.zeros(len(flat), bool)
             gone[known] = (first != LAST) & (first != docs_of)
             ends = np.cumsum(n)

@@ -121,6 +121,8 @@ class Model:
     words: int = 1
     pairs: int = 1
     bases: list[int] = field(default_factory=list)  # id of the first word of each range
+    full: frozenset[int] = frozenset()  # ranges that have words
+    full_pairs: frozenset[int] = frozenset()
     tokens: int = 0
     types: int = 0
     texts: int = 0
@@ -138,8 +140,8 @@ class Model:
         """Ids of ascending word hashes, UNKNOWN for those that aren't in the training texts."""
         out = np.full(len(hashes), UNKNOWN, np.int64)
         for s, i, j in self._ranges(_range_of(hashes, self.words)):
-            keys = mapped.load(f"{self.path}/words/{s}")["keys"]
-            if len(keys):
+            if s in self.full:
+                keys = mapped.load(f"{self.path}/words/{s}")["keys"]
                 at = np.minimum(np.searchsorted(keys, hashes[i:j]), len(keys) - 1)
                 out[i:j] = np.where(keys[at] == hashes[i:j], at + self.bases[s], UNKNOWN)
         return out
@@ -167,8 +169,9 @@ class Model:
         shard = _range_of(mix(pairs), self.pairs)
         order = np.argsort(shard, kind="stable")
         for s, i, j in self._ranges(shard[order]):
-            own, arrays = order[i:j], mapped.load(f"{self.path}/pairs/{s}")
-            if len(keys := arrays["keys"]):
+            if s in self.full_pairs:
+                own, arrays = order[i:j], mapped.load(f"{self.path}/pairs/{s}")
+                keys = arrays["keys"]
                 at = np.minimum(np.searchsorted(keys, pairs[own]), len(keys) - 1)
                 out[own] = np.where(keys[at] == pairs[own], arrays["counts"][at], 0)
         return out
@@ -244,6 +247,7 @@ def train(spark: SparkSession, docs: DataFrame, word_bytes: int = 64 << 20, pair
         model.bases.append(model.types)
         model.types += found.get(s, (0, 0))[0]
         model.tokens += found.get(s, (0, 0))[1]
+    model.full = frozenset(found)
     if model.types >= 1 << 32:
         raise ValueError("over 2^32 words")
     if not model.texts:
@@ -274,10 +278,11 @@ def train(spark: SparkSession, docs: DataFrame, word_bytes: int = 64 << 20, pair
         rows += [(s, 0, p) for s, p in _send(u, owner(u), *kinds)]
         u, n = np.unique(right, return_counts=True)
         rows += [(s, 1, p) for s, p in _send(u, owner(u), n)]
-        rows.append((-1, 2, np.array([np.count_nonzero(counts == k) for k in (1, 2, 3, 4)], np.int64).tobytes()))
+        rows.append((key[0].as_py(), 2, np.array([np.count_nonzero(counts == k) for k in (1, 2, 3, 4)], np.int64).tobytes()))
         return pa.table({"shard": pa.array([r[0] for r in rows], pa.int64()), "kind": pa.array([r[1] for r in rows], pa.int32()), "payload": pa.array([r[2] for r in rows], pa.binary())})
 
     stats = written(spark, tokens.mapInArrow(count_pairs, BLOCK).groupBy("shard").applyInArrow(merge_pairs, "shard bigint, kind int, payload binary"), f"{at}/stats")
+    model.full_pairs = frozenset(r[0] for r in stats.where("kind = 2").select("shard").collect())
     model.pair_discounts = discounts(_sum_of(stats.where("kind = 2")))
 
     def merge_contexts(key: tuple, t: pa.Table) -> pa.Table:
