@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,11 +35,34 @@ def tfidf(docs: DataFrame, n: int, size: int) -> DataFrame:
     return raw.join(norm, "doc").where("norm > 0").select("doc", "gram", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def cosines(vectors: DataFrame) -> DataFrame:
-    """firm, peer, sim_text for all ordered pairs that share an n-gram."""
-    a = vectors.select(F.col("doc").alias("firm"), "gram", F.col("weight").alias("wa"))
-    b = vectors.select(F.col("doc").alias("peer"), "gram", F.col("weight").alias("wb"))
-    return a.join(b, "gram").where(F.col("firm") != F.col("peer")).groupBy("firm", "peer").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 9).alias("sim_text"))
+def cosines(vectors: DataFrame, block: int = 256) -> DataFrame:
+    """firm, peer, sim_text for all ordered pairs that share an n-gram.
+
+    A join on n-grams makes a row for each n-gram of each pair; with a vocabulary that most texts share that is hundreds of millions for a thousand texts. So
+    texts are put into blocks, and every two blocks meet in a task as two matrices of at most block x vocabulary numbers.
+    """
+    v = vectors.groupBy("doc").agg(F.collect_list(F.xxhash64("gram")).alias("grams"), F.collect_list("weight").alias("weights"))
+    blocks = max(1, -(-vectors.select("doc").distinct().count() // block))
+    v = v.withColumn("own", F.pmod(F.xxhash64("doc"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    v = v.select("doc", "grams", "weights", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        doc, own = t.column("doc").to_numpy(), t.column("own").to_numpy()
+        grams, weights = (t.column(c).combine_chunks() for c in ("grams", "weights"))
+        n = pc.list_value_length(grams).to_numpy()
+        kinds, at = np.unique(grams.flatten().to_numpy(), return_inverse=True)
+        m = np.zeros((len(doc), len(kinds)))
+        m[np.repeat(np.arange(len(doc)), n), at] = weights.flatten().to_numpy()
+        x, y = np.flatnonzero(own == key[0].as_py()), np.flatnonzero(own == key[1].as_py())
+        sim = m[x] @ m[y].T
+        p, q = np.nonzero((sim > 0) & (doc[x][:, None] != doc[y][None, :]))
+        a, b, s = doc[x][p], doc[y][q], sim[p, q]
+        if key[0] != key[1]:
+            a, b, s = np.r_[a, b], np.r_[b, a], np.r_[s, s]
+        return pa.table({"firm": pa.array(a, pa.int64()), "peer": pa.array(b, pa.int64()), "s": pa.array(s, pa.float64())})
+
+    made = v.groupBy("i", "j").applyInArrow(run, "firm bigint, peer bigint, s double")
+    return made.select("firm", "peer", F.round("s", 9).alias("sim_text"))
 
 
 def text_sql(docs: str, n: int, size: int) -> str:
