@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import few, pick
 
 #: Row groups of so many bytes, pages of so many; delta encoding for the numbers that ascend or are small, a dictionary for token ids.
 LAYOUT = {
@@ -142,15 +142,15 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int, partit
     writer.parquet(path)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+def read_tokens(spark: SparkSession, path: str, most_broadcast: int = 100_000) -> DataFrame:
     """The stored rows with `start`: ids of all documents before. Columns that aren't selected aren't read.
 
-    Starts come from the token counts of whole files: one row for each file.
+    Starts come from the token counts of whole files: one row for each file, broadcast up to most_broadcast files so that the ids aren't shuffled.
     """
     t = spark.read.schema(SCHEMA).parquet(path)
     totals = t.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = totals.select("part", F.coalesce(F.expr("sum(n) over (order by part rows between unbounded preceding and 1 preceding)"), F.lit(0)).alias("base"))
-    return t.join(before, "part").select("doc_id", (F.col("base") + F.col("part_start")).alias("start"), "n_tokens", "ids")
+    return t.join(F.broadcast(before) if few(totals, most_broadcast) else before, "part").select("doc_id", (F.col("base") + F.col("part_start")).alias("start"), "n_tokens", "ids")
 
 
 def with_checksums(tokens: DataFrame) -> DataFrame:
