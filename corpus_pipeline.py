@@ -27,7 +27,8 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rows that fail a rule of the current policy; null and empty texts fail."""
-    led = quality.apply_policy(quality.with_ledger(tagged(docs, "text")), quality.POLICIES["clean", 2])
+    lexicon = quality.learn_lexicon(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    led = quality.apply_policy(quality.with_ledger(tagged(docs, "text"), lexicon), quality.POLICIES["clean", 3])
     return untagged(led.where("kept"), docs.columns)
 
 

@@ -12,9 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, pick, split_words
+from .common import NON_WORD, SPACES, ascii_lower, pick, split_words
 
-#: Words of abuse; a fixed list.
+#: Words of abuse; a fixed list of English words. The rule `toxic` learns those of every language from labels.
 ABUSE = ["idiot", "moron", "scum", "stupid", "trash", "worthless", "disgusting", "pathetic", "clown", "loser"]
 
 
@@ -77,7 +77,9 @@ RULES = [
     Rule("word_length", 6, "word_chars > 20 * n_words or 10 * word_chars < 15 * n_words"),
     Rule("abuse", 7, "n_abuse >= 1"),
 ]
-BITS = {r.name: r.bit for r in RULES}
+#: Needs a lexicon, see with_ledger(); the ledger without one doesn't have it.
+TOXIC = Rule("toxic", 8, "n_toxic > 0 and 100 * n_toxic >= n_plain")
+BITS = {r.name: r.bit for r in [*RULES, TOXIC]}
 
 
 @dataclass(frozen=True)
@@ -95,11 +97,31 @@ POLICIES = {
     ("base", 1): Policy("base", 1, ("few_words", "repeated_windows")),
     ("clean", 1): Policy("clean", 1, tuple(r.name for r in RULES if r.name != "abuse")),
     ("clean", 2): Policy("clean", 2, tuple(r.name for r in RULES)),
+    ("clean", 3): Policy("clean", 3, (*[r.name for r in RULES if r.name != "abuse"], "toxic")),
 }
 
 
-def with_ledger(df: DataFrame) -> DataFrame:
-    """df, which has a column text, with all measurements and the bit mask `failures`.
+def plain_words(text: Column) -> Column:
+    return split_words(ascii_lower(text), NON_WORD)
+
+
+def learn_lexicon(docs: DataFrame, labels: DataFrame, rows: int = 200_000, least: int = 4, ratio: int = 20, most: int = 10_000) -> list[str]:
+    """Words of toxic texts of any language: in `least` labelled toxic texts or more, and in a share of them that is `ratio` times that of the others; ABUSE with them.
+
+    At most `rows` labelled rows, drawn by a hash of doc_id, are read, and the `most` most frequent words are kept, so the driver holds a bounded list.
+    """
+    known = pick(labels, doc_id="", toxic="int").where("toxic is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    d = pick(docs, doc_id="", text="string").join(F.broadcast(known), "doc_id").select((F.col("toxic") == 1).alias("toxic"), F.array_distinct(plain_words(F.col("text"))).alias("words"))
+    sizes = d.agg(F.count_if("toxic"), F.count_if(~F.col("toxic"))).first()
+    if not sizes[0]:
+        return sorted(ABUSE)
+    each = d.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("c"))
+    found = each.where((F.col("t") >= least) & (F.col("t") * F.lit(sizes[1] + 1) >= ratio * (F.col("c") + 0.5) * F.lit(sizes[0] + 1)))
+    return sorted({*ABUSE, *[r.word for r in found.orderBy(F.desc("t"), "word").limit(most).collect()]})
+
+
+def with_ledger(df: DataFrame, lexicon: list[str] | None = None) -> DataFrame:
+    """df, which has a column text, with all measurements and the bit mask `failures`; with a lexicon also n_plain, n_toxic and the rule `toxic`.
 
     Each step is a projection of its own, so that words, lines and window hashes are made once for each document.
     """
@@ -110,17 +132,21 @@ def with_ledger(df: DataFrame) -> DataFrame:
     windows = F.transform(F.sequence(F.lit(0), F.size(h) - 5), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(5)]))
     w = w.withColumn("grams", F.when(F.size(h) >= 5, windows).otherwise(F.array().cast("array<bigint>")))
     w = w.withColumns(measures())
-    mask = reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.expr(r.failed), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("bigint") for r in RULES])
+    if lexicon is not None:
+        w = w.withColumn("plain", plain_words(F.col("text")))
+        w = w.withColumns({"n_plain": F.size("plain").cast("bigint"), "n_toxic": F.size(F.filter("plain", lambda x: x.isin(lexicon))).cast("bigint")}).drop("plain")
+    rules = RULES if lexicon is None else [*RULES, TOXIC]
+    mask = reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.expr(r.failed), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("bigint") for r in rules])
     # A generator of one row: filters on the mask stay above it. Pushed below, they would repeat all that goes into it, once for each use.
     return w.select("*", F.explode(F.array(mask)).alias("failures")).drop("words", "lines", "hashes", "grams")
 
 
-def ledger(docs: DataFrame) -> DataFrame:
+def ledger(docs: DataFrame, lexicon: list[str] | None = None) -> DataFrame:
     """doc_id, measurements and failure bits of every row of docs.
 
     A null text has no words; empty texts fail few_words alone. Rows are judged one by one: ties and repeated rows stay. Further columns are ignored.
     """
-    return with_ledger(pick(docs, doc_id="", text="string")).drop("text")
+    return with_ledger(pick(docs, doc_id="", text="string"), lexicon).drop("text")
 
 
 def apply_policy(led: DataFrame, policy: Policy) -> DataFrame:
