@@ -85,7 +85,7 @@ def weight_grid(axes: int, steps: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0
     return sorted({tuple(round(x / sum(w), 4) for x in w) for w in product(steps, repeat=axes) if sum(w) > 0})
 
 
-_GRID = [w for w in weight_grid(4) if all(round(x * 2, 4) == int(round(x * 2, 4)) for x in w)]
+_GRID = weight_grid(4)
 _GRID_SQL = "(VALUES " + ", ".join(f"({i}, {', '.join(f'{x!r}::DOUBLE' for x in w)})" for i, w in enumerate(_GRID)) + ") AS w(g, w0, w1, w2, w3)"
 _SIM4 = " + ".join(f"w{i} * {k}" for i, k in enumerate(FOUR))
 
@@ -95,7 +95,7 @@ g1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g, as_of, firm O
 g2 AS (SELECT g, d.as_of, d.firm, d.ratio, d.value AS actual, median(r.value) AS pred, count(r.value) AS n FROM defined d JOIN g1 ON g1.as_of = d.as_of AND g1.firm = d.firm LEFT JOIN ratios r ON r.as_of = d.as_of AND r.firm = g1.peer AND r.ratio = d.ratio GROUP BY ALL)
 SELECT g, round(median(CASE WHEN n < {DEFAULT.min_peers} THEN penalty ELSE abs(pred - actual) / abs(actual) END), 6) AS ape FROM g2 CROSS JOIN pen GROUP BY g""")
 def weight_grid_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Median error of each weighting on the dev snapshots. Axis values are computed once for each pair; a weighting only adds them up again."""
+    """Median error of each of the 529 weightings on the dev snapshots. Axis values are computed once for each pair; a weighting only adds them up again."""
     r = ratios(spark, sf)
     s = A.scored(features(spark, sf).where(F.col("as_of").isin(*DEFAULT.dev_years)), FOUR)
     grid = F.array(*[F.struct(F.lit(i).alias("g"), *[F.lit(x).alias(f"w{k}") for k, x in enumerate(w)]) for i, w in enumerate(_GRID)])
