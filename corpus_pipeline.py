@@ -47,17 +47,30 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each class of near copies, and one row of it."""
-    classes = written(spark, near_dup.near_duplicates(spark, docs), f"{workspace(spark)}/classes")
-    kept = without(docs, classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct())
-    repeated = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    """Keeps one row of each class of near copies: of the smallest doc_id (none comes last), its text of the smallest hash, and the smallest of the other columns."""
+    classes = written(spark, near_dup.text_classes(spark, docs), f"{workspace(spark)}/classes")
+    counted = classes.groupBy("doc_id", "own").agg(F.first("stays").alias("stays"), F.count("*").alias("n"))
+    counted = written(spark, counted, f"{workspace(spark)}/counted")
+    kept = without_texts(docs, counted.where("not stays"))
+    repeated = counted.where("stays and n > 1")
     if repeated.isEmpty():
         return kept
-    # Rows that share a doc_id: the smallest text stays, with the smallest of the other columns.
-    rows = tagged(kept, "doc_id")
-    again = rows.join(repeated.withColumnRenamed("doc_id", "r"), rows.doc_id.eqNullSafe(F.col("r")), "left_semi")
-    one = again.groupBy("doc_id").agg(F.min("row_").alias("row_"))
-    return without(kept, repeated).unionAll(untagged(one, docs.columns))
+    rows = with_text_key(kept)
+    gone = repeated.select(F.col("doc_id").alias("r"), F.col("own").alias("s"))
+    again = rows.join(gone, rows.doc_id.eqNullSafe(F.col("r")) & (rows.own == F.col("s")), "left_semi")
+    one = again.groupBy("doc_id", "own").agg(F.min("row_").alias("row_"))
+    return without_texts(kept, repeated).unionAll(untagged(one, docs.columns))
+
+
+def with_text_key(docs: DataFrame) -> DataFrame:
+    return tagged(docs, "doc_id", "text").select("row_", "doc_id", near_dup.text_hash(F.col("text")).alias("own"))
+
+
+def without_texts(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """docs but for the rows with these doc_ids and text hashes; a null id matches a null one."""
+    rows, gone = with_text_key(docs), texts.select(F.col("doc_id").alias("gone"), F.col("own").alias("hash"))
+    kept = rows.join(F.broadcast(gone) if few(gone, MOST_BROADCAST) else gone, rows.doc_id.eqNullSafe(F.col("gone")) & (rows.own == F.col("hash")), "left_anti")
+    return untagged(kept, docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

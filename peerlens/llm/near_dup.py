@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import few, pick, workspace, written
 from .components import Sets, components
@@ -29,7 +30,7 @@ from .mph import mix
 BANDS, ROWS = 32, 6
 #: Pairs whose signatures agree in less than this share of slots are dropped unverified: at 0.8 that is 4.2 standard deviations below, one pair in 60,000.
 LEAST_ESTIMATE = 0.68
-#: Where rows without a doc_id are placed: they count as one document that comes last.
+#: Stands for a missing doc_id where texts are looked up by doc_id and hash; the hash alone tells such texts apart.
 LAST = (1 << 63) - 1
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -111,6 +112,18 @@ def _tokens(text: Column) -> Column:
     return F.transform(words_of(text), lambda w: F.xxhash64(w))
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame, most_broadcast: int) -> DataFrame:
+    """The rows of wanted (with key and own, a doc_id and the hash of a text of it) with that text, once however often docs repeat it."""
+    t = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("key"), text_hash(F.col("text")).alias("own"), "text")
+    names = [c for c in wanted.columns if c not in ("key", "own")]
+    found = t.join(F.broadcast(wanted) if few(wanted, most_broadcast) else wanted, ["key", "own"])
+    return found.select(*names, "text").dropDuplicates([c for c in names if c != "sig"])
+
+
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -118,7 +131,7 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(docs: DataFrame, width: int, weights: str) -> DataFrame:
-    """key, a, b (128 bits of the shingles and their counts; of the text if it has no words), n (distinct shingles), bands, sig (16 bits of each slot) of each row."""
+    """doc_id, own (hash of the text), a, b (128 bits of the shingles and their counts; of the text if it has no words), n (distinct shingles), bands, sig (16 bits of each slot) of each row."""
     slots = BANDS * ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,10 +152,10 @@ def sketch(docs: DataFrame, width: int, weights: str) -> DataFrame:
                     h = mix(h * GOLD + sig.reshape(len(batch), BANDS, ROWS)[:, :, k])
                 bands = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(n > 0, BANDS, 0))].astype(np.int32)), pa.array(h[n > 0].ravel().view(np.int64)))
                 short = [x.tobytes() for x in (mix(sig) >> np.uint64(48)).astype(np.uint16)]
-                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(a), pa.array(b), pa.array(n.astype(np.int64)), bands, pa.array(short, pa.binary())], ["key", "a", "b", "n", "bands", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("own"), pa.array(a), pa.array(b), pa.array(n.astype(np.int64)), bands, pa.array(short, pa.binary())], ["doc_id", "own", "a", "b", "n", "bands", "sig"])
 
-    d = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own"), _tokens(F.col("text")).alias("tokens"))
-    return d.mapInArrow(run, "key bigint, a bigint, b bigint, n bigint, bands array<bigint>, sig binary")
+    d = docs.select("doc_id", text_hash(F.col("text")).alias("own"), _tokens(F.col("text")).alias("tokens"))
+    return d.mapInArrow(run, "doc_id bigint, own bigint, a bigint, b bigint, n bigint, bands array<bigint>, sig binary")
 
 
 def agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -158,19 +171,18 @@ def agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return j.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, weights: str, threshold: float, members: int = 500, most_broadcast: int = 300_000) -> DataFrame:
-    """Those of the pairs (a, b; many b for each a) whose whole texts are similar enough.
+def verified(pairs: DataFrame, docs: DataFrame, places: DataFrame, width: int, weights: str, threshold: float, members: int = 500, most_broadcast: int = 300_000) -> DataFrame:
+    """Those of the pairs (a, b; many b for each a) whose whole texts are similar enough; places: node, key, own.
 
     Texts meet in groups of an a and about so many of its b; the text of an a with more of them is sent to each of its groups.
     """
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / members).alias("parts"))
     p = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
-    wanted = p.select("a", "part", F.col("b").alias("key")).unionByName(p.select("a", "part", F.col("a").alias("key")).distinct())
-    texts = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("key"), "text")
-    rows = texts.join(F.broadcast(wanted) if few(wanted, most_broadcast) else wanted, "key").repartition("a", "part")
+    wanted = p.select("a", "part", F.col("b").alias("node")).unionByName(p.select("a", "part", F.col("a").alias("node")).distinct())
+    rows = texts_of(docs, wanted.join(places, "node"), most_broadcast).repartition("a", "part")
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        keys = t.column("key").to_numpy()
+        keys = t.column("node").to_numpy()
         elem, weight, doc = shingles(*_lists(t.column("tokens")), width, weights)
         edges = np.searchsorted(doc, np.arange(len(keys) + 1))
 
@@ -184,7 +196,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, weights: str, thresh
         found = {int(keys[i]) for i in np.flatnonzero(keys != a).tolist() for x in own if similarity(x, part(i)) >= threshold}
         return pa.table({"a": pa.array([a] * len(found), pa.int64()), "b": pa.array(sorted(found), pa.int64())})
 
-    return rows.select("a", "part", "key", _tokens(F.col("text")).alias("tokens")).groupBy("a", "part").applyInArrow(run, "a bigint, b bigint")
+    return rows.select("a", "part", "node", _tokens(F.col("text")).alias("tokens")).groupBy("a", "part").applyInArrow(run, "a bigint, b bigint")
 
 
 def blocks_of(members: DataFrame, key: str, block: int) -> DataFrame:
@@ -249,43 +261,57 @@ def settled(members: DataFrame, width: int, weights: str, threshold: float, bloc
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, threshold: float = 0.8, weights: str = "count") -> DataFrame:
-    """doc_id and class_id, the smallest doc_id of all documents that links of at least `threshold` connect it with; a row for each row of docs.
+    """doc_id and class_id of every row of docs; rows with one class_id are those whose texts links of at least `threshold` connect.
+
+    class_id is the smallest doc_id of the class. A class without any doc_id, or whose smallest doc_id already names another class (a doc_id with
+    several texts), has a negative number made of its texts' hashes instead. Further columns are ignored. See text_classes().
+    """
+    return text_classes(spark, docs, width, threshold, weights).select("doc_id", "class_id")
+
+
+def text_classes(spark: SparkSession, docs: DataFrame, width: int = 5, threshold: float = 0.8, weights: str = "count") -> DataFrame:
+    """doc_id, own (text_hash of the text), class_id, stays (whether doc_id and own are those of the class's first text) of every row of docs.
 
     Words are lower-cased (A-Z) runs of letters, digits and characters past ASCII; a text with fewer than `width` words is one shingle. Texts without words,
-    null among them, are in one class only with equal texts (null equals empty). Rows that share a doc_id are one document, in one
-    class; rows without a doc_id are one document that comes last, whose class_id may be null. Empty tables are allowed; further columns are ignored.
+    null among them, are in one class only with equal texts (null equals empty). Texts are what is linked: rows that share a doc_id, or have none, are in one
+    class only if their texts are similar. The first text of a class has its smallest doc_id (none comes last) and of that the smallest hash. Empty tables are allowed.
     """
     docs = pick(docs, doc_id="bigint", text="string")
     at = workspace(spark)
     rows = written(spark, sketch(docs, width, weights), f"{at}/rows")
-    copies = written(spark, rows.groupBy("a", "b").agg(F.min("key").alias("node")), f"{at}/copies")
-    nodes = rows.where("n > 0").join(copies.withColumnRenamed("node", "key"), ["a", "b", "key"], "left_semi")
-    nodes = written(spark, nodes.select(F.col("key").alias("node"), "bands", "sig").dropDuplicates(["node", "bands"]), f"{at}/nodes")
+    # A node is a distinct text; `least` is the first row of it. The numbers hold because the table is written.
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own"))
+    copies = written(spark, rows.groupBy("a", "b").agg(least.alias("least")).withColumn("node", F.monotonically_increasing_id()), f"{at}/copies")
+    key = lambda c: F.coalesce(c, F.lit(LAST))
+    places = copies.select("node", key(F.col("least.doc_id")).alias("key"), F.col("least.own").alias("own"))
+    nodes = rows.where("n > 0").withColumn("key", key(F.col("doc_id"))).join(copies.select("a", "b", "node", key(F.col("least.doc_id")).alias("key"), F.col("least.own").alias("own")), ["a", "b", "key", "own"])
+    nodes = written(spark, nodes.select("node", "bands", "sig").dropDuplicates(["node", "bands"]), f"{at}/nodes")
 
     banded = nodes.select(F.explode("bands").alias("bucket"), "node")
     buckets = written(spark, banded.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("members")).where("members > 1"), f"{at}/buckets")
     stars = written(spark, agreeing(banded.join(buckets, "bucket").where("node > a").select("a", F.col("node").alias("b")).distinct(), nodes), f"{at}/stars")
-    links = written(spark, verified(stars, docs, width, weights, threshold), f"{at}/links")
-    # A doc_id with several texts is one document.
-    several = rows.join(copies, ["a", "b"]).where("key > node").select(F.col("key").alias("a"), F.col("node").alias("b"))
-    several = several.join(nodes.select(F.col("node").alias("a")).distinct(), "a", "left_semi")
-    links = links.unionByName(several)
+    links = written(spark, verified(stars, docs, places, width, weights, threshold), f"{at}/links")
     first = components(spark, links)
 
     labelled = nodes.join(first, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "bands", "sig")
     labelled = written(spark, labelled, f"{at}/labelled")
     spread = labelled.select("node", "root", F.explode("bands").alias("bucket"))
     mixed = spread.join(buckets.where("members > 2"), "bucket").groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-    once = labelled.select("node", "root", "sig").dropDuplicates(["node"])
+    once = labelled.select("node", "root", "sig")
     near = written(spark, across(spread.select("bucket", "node").join(mixed, "bucket").join(once, "node")), f"{at}/near")
     if not near.isEmpty():
         hoods = components(spark, near)
         members = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(hoods, "node", "left").select("node", F.coalesce("root", "node").alias("near"))
-        members = written(spark, members.join(once, "node"), f"{at}/members")
-        texts = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("node"), "text").join(F.broadcast(members) if few(members, 20_000) else members, "node")
+        members = written(spark, members.join(once, "node").join(places, "node"), f"{at}/members")
+        texts = texts_of(docs, members, 20_000)
         more = written(spark, settled(texts.select("near", "node", "root", "sig", _tokens(F.col("text")).alias("tokens")), width, weights, threshold), f"{at}/more")
         first = components(spark, links.unionByName(more))
-    named = rows.select("key", "a", "b").join(copies, ["a", "b"]).select("key", "node")
-    named = named.join(first, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
-    null = lambda c: F.when(F.col(c) != LAST, F.col(c))
-    return named.select(null("key").alias("doc_id"), null("root").alias("class_id"))
+    named = copies.join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    classes = named.groupBy("root").agg(F.min("least").alias("first"))
+    # Of classes with one smallest doc_id the one of the smallest hash is named by it; classes without a doc_id are apart.
+    again = F.row_number().over(Window.partitionBy("first.doc_id", F.when(F.col("first.none"), F.col("root"))).orderBy("first.own", "root"))
+    other = -(F.col("first.own").bitwiseAND(F.lit((1 << 62) - 1))) - 1
+    classes = classes.withColumn("again", again).withColumn("class_id", F.when(~F.col("first.none") & (F.col("again") == 1), F.col("first.doc_id")).otherwise(other))
+    found = named.select("a", "b", "root").join(classes.select("root", "class_id", "first"), "root").select("a", "b", "class_id", "first")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("own") == F.col("first.own"))
+    return rows.select("doc_id", "own", "a", "b").join(found, ["a", "b"]).select("doc_id", "own", "class_id", stays.alias("stays"))
