@@ -1,10 +1,14 @@
 """Scores of an interpolated modified Kneser-Ney model, counted in Spark and mapped into memory by workers.
 
-The model is of order 2. Counting goes through blocks: a task counts what it has read, sorts it, and sends one compressed block to each shard; a
+The model has any order from 2. The highest order counts occurrences; the lower ones count how many different words stand before a run of words, except that
+runs at the start of a text, which nothing can stand before, keep their occurrences. A context that isn't known leaves the probability to the next lower order.
+
+Counting goes through blocks: a task counts what it has read, sorts it, and sends one compressed block to each shard; a
 shard's task merges its blocks into sorted arrays in a file of the shared folder. A frequent word or word pair is one
 entry in each block, so no shard grows with it, and the number of shards grows with the corpus.
 
-Words are known by 64-bit hashes; a word's id is its place among the sorted hashes. A pair of ids is one 64-bit number.
+Words are known by 64-bit hashes; a word's id is its place among the sorted hashes. A pair of ids is one 64-bit number; longer runs are
+looked up by 64-bit hashes of their ids, and lie with all the runs of the same context.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ from .mph import mix
 END, UNKNOWN = 0x0E4D0F7E, -1
 BLOCK = "shard bigint, payload binary"
 _CODEC = "zstd"
+_ID = np.uint64(0xFFFFFFFF)
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def token_hashes(text: Column) -> Column:
@@ -113,6 +119,43 @@ def _texts(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[tuple[np.
         yield np.concatenate(kept), np.concatenate(lengths)
 
 
+def _padded(ids: np.ndarray, lengths: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of texts with `start` before each, and each one's place in its text (0 for start)."""
+    first = np.cumsum(lengths) - lengths
+    out = np.insert(ids, first, start)
+    return out, np.arange(len(out)) - np.repeat(first + np.arange(len(first)), lengths + 1)
+
+
+def _runs(ids: np.ndarray, ends: np.ndarray, k: int) -> list[np.ndarray]:
+    """The k ids up to each end as columns; the first two as one."""
+    words = [ids[ends - k + 1 + i].astype(np.uint64) for i in range(k)]
+    return [(words[0] << np.uint64(32)) | words[1], *words[2:]]
+
+
+def _distinct(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows in ascending order, with the sums of their counts."""
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    first = np.flatnonzero(new)
+    return [c[first] for c in columns], np.add.reduceat(counts[order], first) if len(first) else counts
+
+
+def _context_keys(columns: list[np.ndarray]) -> np.ndarray:
+    """Hashes of all but the last id of runs of three or more."""
+    h = mix(columns[0])
+    for c in columns[1:-1]:
+        h = mix(h * _GOLD + c + np.uint64(1))
+    return h
+
+
+def _narrow(a: np.ndarray) -> np.ndarray:
+    return a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
+
+
 @dataclass
 class Model:
     """Where the arrays are, and the few numbers that hold for all of them."""
@@ -130,6 +173,9 @@ class Model:
     pair_discounts: tuple[float, float, float] = (0.5, 1.0, 1.5)
     word_discounts: tuple[float, float, float] = (0.5, 1.0, 1.5)
     word_kinds: tuple[int, int, int] = (0, 0, 0)  # words with 1, 2, 3 or more continuations
+    order: int = 2
+    run_discounts: dict[int, tuple[float, float, float]] = field(default_factory=dict)  # of runs of three words or more, by length
+    full_runs: dict[int, frozenset[int]] = field(default_factory=dict)
 
     @property
     def start(self) -> int:
@@ -189,14 +235,14 @@ class Model:
         uniq, inv = np.unique(hashes, return_inverse=True)
         uid = self.ids(uniq)
         (raw,) = self.of_words(uid, "words", ("counts",))
-        conts, one, two, more = self.of_words(uid, "contexts", ("conts", "one", "two", "more"))
+        conts, one, two, more, sums = self.of_words(uid, "contexts", ("conts", "one", "two", "more", "total"))
         lower = self.word_probability(conts)[inv]
         base = np.log10((raw + 1) / (self.tokens + 1 * (self.types + 1)))[inv]
         known = (raw > 0)[inv]
         ids = uid[inv]
         before, total, rest = np.empty(len(ids), np.int64), np.empty(len(ids)), np.empty(len(ids))
-        before[1:], total[1:], rest[1:] = ids[:-1], raw[inv][:-1], sum(d * x for d, x in zip(self.pair_discounts, (one, two, more), strict=True))[inv][:-1]
-        before[first], total[first] = self.start, self.texts
+        before[1:], total[1:], rest[1:] = ids[:-1], sums[inv][:-1], sum(d * x for d, x in zip(self.pair_discounts, (one, two, more), strict=True))[inv][:-1]
+        before[first], total[first] = self.start, self.texts  # runs at the start keep their occurrences
         rest[first] = self.start_rest()
         ok = (before >= 0) & (total > 0)
         both = ok & (ids >= 0)
@@ -205,9 +251,39 @@ class Model:
         counts[both] = self.pair_counts(pairs)[back]
         total = np.where(ok, total, 1.0)
         p = np.where(ok, _discounted(counts, self.pair_discounts) / total + rest / total * lower, lower)
+        seq, place = _padded(ids, lengths, self.start)
+        for k in range(3, self.order + 1):
+            p = self.longer(k, seq, place, p)
         add = lambda x: np.add.reduceat(x, first) if len(first) else x
         return add(known.astype(np.int64)), add(base), add(np.log10(p))
 
+    def longer(self, k: int, seq: np.ndarray, place: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """Probabilities by runs of k words where the k - 1 words before are known, else the lower order's; one for each token of padded texts."""
+        token, ends = np.cumsum(place > 0) - 1, np.flatnonzero(place >= k - 1)
+        for i in range(1, k):
+            ends = ends[seq[ends - i] >= 0]
+        if not len(ends):
+            return lower
+        columns = _runs(seq, ends, k)
+        context = _context_keys(columns)
+        key = mix(context * _GOLD + columns[-1] + np.uint64(1))
+        count, total, rest = (np.zeros(len(ends)) for _ in range(3))
+        order = np.argsort(context, kind="stable")
+        for s, i, j in self._ranges(_range_of(context[order], self.pairs)):
+            if s not in self.full_runs[k]:
+                continue
+            own, a = order[i:j], mapped.load(f"{self.path}/runs{k}/{s}")
+            at = np.minimum(np.searchsorted(a["contexts"], context[own]), len(a["contexts"]) - 1)
+            own, at = own[a["contexts"][at] == context[own]], at[a["contexts"][at] == context[own]]
+            total[own] = a["total"][at]
+            rest[own] = sum(d * a[n][at] for d, n in zip(self.run_discounts[k], ("one", "two", "more"), strict=True))
+            at = np.minimum(np.searchsorted(a["keys"], key[own]), len(a["keys"]) - 1)
+            count[own] = np.where((a["keys"][at] == key[own]) & (seq[ends[own]] >= 0), a["counts"][at], 0)
+        ok = total > 0
+        out, t = lower.copy(), token[ends[ok]]
+        out[t] = (_discounted(count[ok], self.run_discounts[k]) + rest[ok] * lower[t]) / total[ok]
+        return out
+
     def start_rest(self) -> float:
         a = mapped.load(f"{self.path}/contexts/{self.words}") if self.texts else None
         return 0.0 if a is None else float(sum(d * a[k][0] for d, k in zip(self.pair_discounts, ("one", "two", "more"), strict=True)))
@@ -224,11 +300,11 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(x, 0.0), k + 1.0) for k, x in enumerate(d))  # type: ignore[return-value]
 
 
-def train(spark: SparkSession, docs: DataFrame, word_bytes: int = 64 << 20, pair_bytes: int = 24 << 20, buffer: int = 3_000_000) -> Model:
+def train(spark: SparkSession, docs: DataFrame, word_bytes: int = 64 << 20, pair_bytes: int = 24 << 20, buffer: int = 3_000_000, order: int = 2) -> Model:
     """Counts the column `tokens` (hashes) of docs, whose texts have `size` bytes: a range of words for each word_bytes, one of pairs for each pair_bytes of text."""
     size = docs.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     at = workspace(spark)
-    model = Model(local_path(at), max(1, -(-size[0] // word_bytes)), max(1, -(-size[0] // pair_bytes)), texts=size[1])
+    model = Model(local_path(at), max(1, -(-size[0] // word_bytes)), max(1, -(-size[0] // pair_bytes)), texts=size[1], order=order)
     tokens = docs.select("tokens")
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,6 +341,50 @@ def train(spark: SparkSession, docs: DataFrame, word_bytes: int = 64 << 20, pair
             pairs, counts = np.unique((before << np.uint64(32)) | ids, return_counts=True)
             yield from _blocks(_send(pairs, _range_of(mix(pairs), model.pairs), counts))
 
+    def count_runs(k: int, starts: bool):
+        """Runs of k words: all, or those at the start of a text."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for hashes, lengths in _texts(batches, buffer):
+                uniq, inv = np.unique(hashes, return_inverse=True)
+                seq, place = _padded(model.ids(uniq)[inv], lengths, model.start)
+                ends = np.flatnonzero(place == k - 1 if starts else place >= k - 1)
+                yield from _blocks(send_runs(*_distinct(_runs(seq, ends, k), np.ones(len(ends), np.int64))))
+
+        return run
+
+    def send_runs(columns: list[np.ndarray], counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        hashes = mix(columns[0]) if len(columns) == 1 else _context_keys(columns)
+        yield from _send(columns[0], _range_of(hashes, model.pairs), *columns[1:], counts)
+
+    def merge_runs(k: int):
+        def run(key: tuple, t: pa.Table) -> pa.Table:
+            s = key[0].as_py()
+            *columns, counts = (np.concatenate(x) for x in zip(*[_unpack(x) for x in t.column("payload").to_pylist()], strict=True))
+            columns, counts = _distinct(columns, counts)
+            context = _context_keys(columns)
+            keys = mix(context * _GOLD + columns[-1] + np.uint64(1))
+            by = np.argsort(keys, kind="stable")
+            u, i = np.unique(context, return_inverse=True)
+            kinds = {n: np.bincount(i, weights=w).astype(np.int64) for n, w in (("total", counts), ("one", counts == 1), ("two", counts == 2), ("more", counts >= 3))}
+            mapped.save(f"{model.path}/runs{k}/{s}", {"keys": keys[by], "counts": _narrow(counts[by]), "contexts": u, **{n: _narrow(x) for n, x in kinds.items()}})
+            numbers = np.array([np.count_nonzero(counts == c) for c in (1, 2, 3, 4)], np.int64).tobytes()
+            del context, keys, by, u, i, kinds
+            words = [columns[0] & _ID, *columns[1:]]
+            shorter = _distinct([(words[0] << np.uint64(32)) | words[1], *words[2:]], np.ones(len(counts), np.int64))
+            rows = [(x, 1, p) for x, p in send_runs(*shorter)] + [(s, 2, numbers)]
+            return pa.table({"shard": pa.array([r[0] for r in rows], pa.int64()), "kind": pa.array([r[1] for r in rows], pa.int32()), "payload": pa.array([r[2] for r in rows], pa.binary())})
+
+        return run
+
+    blocks = tokens.mapInArrow(count_pairs if order == 2 else count_runs(order, False), BLOCK)
+    for k in range(order, 2, -1):
+        made = written(spark, blocks.groupBy("shard").applyInArrow(merge_runs(k), "shard bigint, kind int, payload binary"), f"{at}/stats{k}")
+        found_runs = made.where("kind = 2")
+        model.full_runs[k] = frozenset(r[0] for r in found_runs.select("shard").collect())
+        model.run_discounts[k] = discounts(_sum_of(found_runs)) if model.full_runs[k] else (0.5, 1.0, 1.5)
+        blocks = made.where("kind = 1").select("shard", "payload").unionAll(tokens.mapInArrow(count_runs(k - 1, True), BLOCK))
+
     def owner(ids: np.ndarray) -> np.ndarray:
         return np.where(ids == model.start, model.words, np.searchsorted(model.bases, ids, side="right") - 1)
 
@@ -274,25 +394,25 @@ def train(spark: SparkSession, docs: DataFrame, word_bytes: int = 64 << 20, pair
         left, right = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
         rows = []
         u, i = np.unique(left, return_inverse=True)
-        kinds = [np.bincount(i, weights=w).astype(np.int64) for w in (counts == 1, counts == 2, counts >= 3)]
+        kinds = [np.bincount(i, weights=w).astype(np.int64) for w in (counts == 1, counts == 2, counts >= 3, counts)]
         rows += [(s, 0, p) for s, p in _send(u, owner(u), *kinds)]
         u, n = np.unique(right, return_counts=True)
         rows += [(s, 1, p) for s, p in _send(u, owner(u), n)]
         rows.append((key[0].as_py(), 2, np.array([np.count_nonzero(counts == k) for k in (1, 2, 3, 4)], np.int64).tobytes()))
         return pa.table({"shard": pa.array([r[0] for r in rows], pa.int64()), "kind": pa.array([r[1] for r in rows], pa.int32()), "payload": pa.array([r[2] for r in rows], pa.binary())})
 
-    stats = written(spark, tokens.mapInArrow(count_pairs, BLOCK).groupBy("shard").applyInArrow(merge_pairs, "shard bigint, kind int, payload binary"), f"{at}/stats")
+    stats = written(spark, blocks.groupBy("shard").applyInArrow(merge_pairs, "shard bigint, kind int, payload binary"), f"{at}/stats")
     model.full_pairs = frozenset(r[0] for r in stats.where("kind = 2").select("shard").collect())
     model.pair_discounts = discounts(_sum_of(stats.where("kind = 2")))
 
     def merge_contexts(key: tuple, t: pa.Table) -> pa.Table:
         s = key[0].as_py()
         base, n = (model.start, 1) if s == model.words else (model.bases[s], sizes[s])
-        arrays = {k: np.zeros(n, np.uint32) for k in ("one", "two", "more", "conts")}
+        arrays = {k: np.zeros(n, np.uint64 if k == "total" else np.uint32) for k in ("one", "two", "more", "total", "conts")}
         for kind, payload in zip(t.column("kind").to_pylist(), t.column("payload").to_pylist(), strict=True):
             ids, *values = _unpack(payload)
-            for name, v in zip(("one", "two", "more") if kind == 0 else ("conts",), values, strict=True):
-                arrays[name][ids.astype(np.int64) - base] += v.astype(np.uint32)
+            for name, v in zip(("one", "two", "more", "total") if kind == 0 else ("conts",), values, strict=True):
+                arrays[name][ids.astype(np.int64) - base] += v.astype(arrays[name].dtype)
         mapped.save(f"{model.path}/contexts/{s}", arrays)
         c = arrays["conts"]
         numbers = [int(c.sum()), *[int(np.count_nonzero(c == k)) for k in (1, 2, 3, 4)], int(np.count_nonzero(c >= 3))]
@@ -309,8 +429,8 @@ def _sum_of(rows: DataFrame) -> list[int]:
     return np.sum([np.frombuffer(r[0], np.int64) for r in rows.select("payload").collect()], axis=0).tolist()
 
 
-def score_documents(spark: SparkSession, docs: DataFrame, held_out: Column, **sizes: int) -> DataFrame:
-    """Trains on the rows where held_out (over doc_id and text) isn't true, and scores every row's whole text.
+def score_documents(spark: SparkSession, docs: DataFrame, held_out: Column, order: int = 2, **sizes: int) -> DataFrame:
+    """Trains a model of this order on the rows where held_out (over doc_id and text) isn't true, and scores every row's whole text.
 
     Returns doc_id, held_out, n_tokens (words and one end), n_known (tokens that occur in training), train_tokens, base_score, score (log10 of the
     text's probability), perplexity (of its tokens). A null text is an empty one: just the end. A null in held_out means training. Repeated rows
@@ -318,7 +438,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, held_out: Column, **si
     """
     d = pick(docs, doc_id="", text="string")
     d = d.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), token_hashes(F.col("text")).alias("tokens"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("size"))
-    model = train(spark, d.where("not held_out"), **sizes)
+    model = train(spark, d.where("not held_out"), order=order, **sizes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

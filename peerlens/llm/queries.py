@@ -31,7 +31,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score_documents(spark, _read(spark, sf_dir, "documents"), langid.fold(F.col("doc_id"), 7) == 2)
+    return lm_score.score_documents(spark, _read(spark, sf_dir, "documents"), langid.fold(F.col("doc_id"), 7) == 2, order=3)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
