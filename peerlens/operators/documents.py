@@ -62,7 +62,7 @@ def segment_profile(docs: DataFrame, wanted: str, revenue: list[str], compositio
     flat = lambda t: F.array_join(F.flatten(t), " ")
     has = lambda t, words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(flat(t), w))
     fits = F.filter("tables", lambda t: has(t, revenue) & has(t, composition))
-    row = lambda r: F.struct(F.get(r, F.lit(0)).alias("label"), F.array_max(F.filter(F.transform(F.slice(r, 2, 1000), lambda c: C.money_cell(c)), lambda v: v > 0)).alias("v"))
+    row = lambda r: F.struct(F.get(r, F.lit(0)).alias("label"), F.array_max(F.filter(F.transform(F.slice(r, F.lit(2), F.size(r)), lambda c: C.money_cell(c)), lambda v: v > 0)).alias("v"))
     rows = F.filter(F.transform(F.filter(F.get(fits, F.lit(0)), lambda r: F.size(r) > 1), row), lambda x: x["v"].isNotNull() & ~x["label"].isin(totals))
     s = s.withColumn("n_fit", F.size(fits)).withColumn("rows", F.coalesce(rows, F.array().cast("array<struct<label:string,v:double>>")))
     total = F.aggregate("rows", F.lit(0.0), lambda a, x: a + x["v"])
@@ -77,6 +77,6 @@ def segment_profile(docs: DataFrame, wanted: str, revenue: list[str], compositio
 def accounts_found(docs: DataFrame, aliases: list[str]) -> DataFrame:
     """doc_id and the aliases that label a table row with a number."""
     r = docs.select("doc_id", F.flatten(table_rows(F.col("raw"))).alias("rows"))
-    numeric = F.filter("rows", lambda x: F.exists(F.slice(x, 2, 1000), lambda c: C.money_cell(c).isNotNull()))
+    numeric = F.filter("rows", lambda x: F.exists(F.slice(x, F.lit(2), F.size(x)), lambda c: C.money_cell(c).isNotNull()))
     labels = F.transform(numeric, lambda x: C.strip_parenthesis(F.get(x, F.lit(0))))
     return r.select("doc_id", F.array_intersect(F.array(*map(F.lit, aliases)), labels).alias("found"))
