@@ -6,7 +6,11 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +91,20 @@ def few(df: DataFrame, most: int) -> bool:
     return df.limit(most + 1).count() <= most
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: str, rows: int = 500, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most so many rows with about so many bytes (or list elements) of a column together, so that memory follows neither the rows'
+    number nor their length; a row that is longer by itself is a slice of its own."""
+    for whole in batches:
+        c = whole.column(column)
+        lengths = (pc.list_value_length(c) if pa.types.is_list(c.type) else pc.binary_length(c)).to_numpy(zero_copy_only=False)
+        ends, low = np.cumsum(np.nan_to_num(lengths)), 0
+        while low < len(whole):
+            before = ends[low - 1] if low else 0
+            high = min(max(int(np.searchsorted(ends, before + size, side="right")), low + 1), low + rows)
+            yield whole.slice(low, high - low)
+            low = high
+
+
 def local_path(uri: str) -> str:
     """The path under which Python finds a shared folder that is mounted everywhere."""
     if uri.startswith("file:"):

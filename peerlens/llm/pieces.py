@@ -2,7 +2,7 @@
 
 Texts are normalised by the longest prefix in the model's compiled character map, each normalised byte with the source byte
 it comes from. Pieces are found by merging, best score first, and projected back to byte spans of the original text. As no
-piece of such models reaches from a word into the next space, words are encoded one by one and remembered.
+piece of such models reaches from a word into the next space, words are encoded one by one, and what is known of them is remembered.
 """
 
 from __future__ import annotations
@@ -21,9 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import pick, slices
 
 SPACE = "▁"
+#: What a text is cut into: spaces and what follows them; spaces at the end.
+CHUNK = re.compile(r" +[^ ]*")
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE = 2
 
@@ -35,7 +37,12 @@ class CharMap:
         size = struct.unpack("<I", blob[:4])[0] if blob else 0
         self.units = np.frombuffer(blob[4 : 4 + size], "<u4").tolist()
         self.table = blob[4 + size :]
-        self.first = frozenset(b for b in range(256) if self.units and self._step(self._offset(self.units[0]), b) is not None)
+        root = self._offset(self.units[0]) if self.units else 0
+        self.first = frozenset(b for b in range(256) if self.units and self._step(root, b) is not None)
+        # Whether a source string may hold a space next to something else: a unit for the byte 0x20 that isn't the root's own, or one below that.
+        own = root ^ 0x20
+        after = own ^ self._offset(self.units[own]) if 0x20 in self.first else 0
+        self.spans_spaces = any(u & 0x800000FF == 0x20 and i not in (0, own) for i, u in enumerate(self.units)) or 0x20 in self.first and any(self._step(after, b) is not None for b in range(1, 256))
 
     @staticmethod
     def _offset(unit: int) -> int:
@@ -64,10 +71,16 @@ class Normalizer:
     def __init__(self, spec) -> None:
         self.map = CharMap(spec.precompiled_charsmap)
         self.dummy, self.squeeze, self.escape = spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces
-        self.plain = not self.map.units and not self.squeeze and self.escape
 
-    def __call__(self, text: str) -> tuple[bytes, list[int]]:
-        """Normalised UTF-8 and, for each of its bytes and its end, the source byte that it comes from."""
+    def keeps(self, text: str) -> bool:
+        """Whether a text without spaces stays as it is: it has no byte that the map's source strings begin with."""
+        return not self.map.first or self.map.first.isdisjoint(text.encode())
+
+    def __call__(self, text: str, inside: bool = False) -> tuple[bytes, list[int]]:
+        """Normalised UTF-8 and, for each of its bytes and its end, the source byte that it comes from.
+
+        inside: the text is what follows a space inside of a longer one; that space is put first, and nothing is taken off.
+        """
         source, out, align = text.encode(), bytearray(), []
         space = SPACE.encode() if self.escape else b" "
         at, size = 0, len(source)
@@ -80,15 +93,15 @@ class Normalizer:
             n = 1 if b < 0x80 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4
             return n, source[at : at + n]
 
-        if self.squeeze:
+        if self.squeeze and not inside:
             while at < size and (p := prefix())[1] == b" ":
                 at += p[0]
-        if at == size:
+        if at == size and not inside:
             return b"", [at]
-        if self.dummy:
+        if self.dummy or inside:
             out += space
-            align += [at] * len(space)
-        after_space = self.squeeze
+            align += [at - inside] * len(space)
+        after_space = self.squeeze and not inside
         while at < size:
             n, made = prefix()
             while after_space and made.startswith(b" "):
@@ -102,7 +115,7 @@ class Normalizer:
                 after_space = made.endswith(b" ")
             at += n
             after_space = after_space and self.squeeze
-        if self.squeeze:
+        if self.squeeze and not inside:
             while out.endswith(space):
                 del out[-len(space) :]
                 at = align[-len(space)]
@@ -110,29 +123,64 @@ class Normalizer:
         return bytes(out), [*align, at]
 
 
-class Words(dict):
-    """What is known of words: ids, bytes of each normalised piece, decoded text."""
+class Merges:
+    """All ways to join two neighbouring symbols into a piece. A symbol is a piece, or a character that is none (its code point from CHARACTERS on)."""
+
+    CHARACTERS, NONE = 1 << 28, np.int32(2**31 - 1)
 
-    def __init__(self, coder: Coder, most: int):
-        super().__init__()
-        self.coder, self.most = coder, most
+    def __init__(self, scores: dict[str, float], ids: dict[str, int]):
+        self.rank_of = {x: i for i, x in enumerate(sorted(set(scores.values()), reverse=True))}
+        symbol = lambda x: ids.get(x, self.CHARACTERS + ord(x) if len(x) == 1 else None)
+        splits = ((symbol(p[:k]), symbol(p[k:]), ids[p], self.rank_of[x]) for p, x in scores.items() for k in range(1, len(p)))
+        rows = np.array([r for r in splits if r[0] is not None and r[1] is not None], np.int64).reshape(-1, 4)
+        keys = (rows[:, 0] << 32) + rows[:, 1]
+        order = np.argsort(keys)
+        self.keys = np.r_[keys[order], np.iinfo(np.int64).max]
+        self.made, self.ranks = np.r_[rows[order, 2], -1], np.r_[rows[order, 3], self.NONE].astype(np.int32)
+        self.code = np.arange(0x110000, dtype=np.int64) + self.CHARACTERS
+        for p, i in ids.items():
+            if len(p) == 1:
+                self.code[ord(p)] = i
 
-    def __missing__(self, word: str) -> tuple[bytes, bytes, str]:
-        ids = self.coder.merge(word)
-        sizes = [1 if i in self.coder.bytes_of else len(self.coder.pieces[i].encode()) for i in ids]
-        value = (array("I", ids).tobytes(), array("I", sizes).tobytes(), self.coder.decode_pieces(ids))
-        if len(word) <= 40:
-            if len(self) >= self.most:
-                self.clear()
-            self[word] = value
-        return value
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Place of each pair in the arrays; the last one for pairs that don't join."""
+        keys = (left << 32) + right
+        at = np.searchsorted(self.keys, keys)
+        return np.where(self.keys[at] == keys, at, len(self.keys) - 1)
+
+    def __call__(self, words: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of words of at most `width` characters, one after the other, and how many each word has.
+
+        Step by step, every word joins its best pair, the leftmost of equals, until it has none.
+        """
+        sizes = np.array([len(w) for w in words])
+        m = np.full((len(words), width), -1, np.int64)
+        m[np.arange(width) < sizes[:, None]] = self.code[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
+        out, rows, column = np.full_like(m, -1), np.arange(len(m)), np.arange(width)
+        ranks = self.ranks[self.find(m[:, :-1], m[:, 1:])]
+        while len(rows):
+            j = ranks.argmin(axis=1)
+            live = ranks[np.arange(len(j)), j] < self.NONE
+            if not live.all():
+                out[rows[~live]] = m[~live]
+                rows, m, ranks, j = rows[live], m[live], ranks[live], j[live]
+            at, before = np.arange(len(j)), np.flatnonzero(j)
+            new = self.made[self.find(m[at, j], m[at, j + 1])]
+            m = np.take_along_axis(m, np.minimum(column + (column > j[:, None]), width - 1), 1)
+            ranks = np.take_along_axis(ranks, np.minimum(column[:-1] + (column[:-1] >= j[:, None]), width - 2), 1)
+            m[:, -1], ranks[:, -1], m[at, j] = -1, self.NONE, new
+            ranks[at, j] = self.ranks[self.find(new, m[at, j + 1])]
+            ranks[before, j[before] - 1] = self.ranks[self.find(m[before, j[before] - 1], new[before])]
+        return out[out >= 0], (out >= 0).sum(axis=1)
 
 
 class Coder:
     """A BPE model with byte fallback and no user-defined or unused pieces."""
 
-    def __init__(self, path: str, remembered: int = 300_000):
-        import sentencepiece
+    #: Words are merged together in groups of so many characters at most; longer ones one by one.
+    WIDTHS = (6, 8, 10, 12, 16, 24, 64)
+
+    def __init__(self, path: str, remembered: int = 200_000):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         m = pb.ModelProto()
@@ -153,11 +201,15 @@ class Coder:
         inner = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.scores)
         lone = "" if any("\n" in p for p in self.scores) else "\n"
         self.cut = re.compile(r"(?s).+" if inner else rf"{SPACE}*[^{SPACE}{lone}]+|{SPACE}+" + (r"|\n+" if lone else ""))
-        self.words = Words(self, remembered)
-        # Single words may go through the library if nothing but the leading space is added to them and no piece holds a space inside.
-        self.by_space = self.normalizer.plain and self.normalizer.dummy and not inner
-        self.library, self.spaced, self.remembered = sentencepiece.SentencePieceProcessor(model_proto=m.SerializeToString()), {}, remembered
-        self.source_bytes = np.array([1 if i in self.bytes_of else len(p.replace(SPACE, " ").encode()) for i, p in enumerate(self.pieces)], np.int64)
+        self.parts = re.compile(f"[ {SPACE}{lone}]")
+        self.merges, self.remembered = Merges(self.scores, self.ids), remembered
+        self.sizes = np.array([len(p.encode()) for p in self.pieces], np.uint8)  # more than 255 bytes raise an error
+        # What is known: of normalised words their ids, bytes of each piece and decoded text; of chunks (what follows a space up to the next run of spaces)
+        # their ids, source bytes of each piece (the space's with the first), and decoded text.
+        self.words: dict[str, tuple[bytes, bytes, str]] = {}
+        self.chunks: dict[str, tuple[bytes, bytes, str] | None] = {}
+        # A text may be cut before each run of spaces if no piece reaches over such a place and the character map neither.
+        self.by_chunk = self.normalizer.dummy and self.normalizer.escape and not inner and not self.normalizer.map.spans_spaces
 
     def merge(self, word: str) -> list[int]:
         """ids of a word: neighbours are merged, best score first, leftmost first among equals; unknown characters become bytes."""
@@ -205,40 +257,106 @@ class Coder:
         first = next((i for i in ids if i not in self.silent), None)
         return text[1:] if self.normalizer.dummy and first is not None and first not in self.bytes_of and text.startswith(" ") else text
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, str]]:
+    def learn(self, words: set[str]) -> None:
+        """Takes normalised words in."""
+        for w, ids, sizes in self.merged(words.difference(self.words)):
+            self.words[w] = self.alone(w) if ids is None else (ids, sizes, w.replace(SPACE, " "))
+
+    def merged(self, words: set[str], together: int = 20_000) -> Iterator[tuple[str, bytes | None, bytes]]:
+        """Each word with its ids and bytes of each piece; many short ones are merged at a time. Without them where the word is long or has characters that are no pieces."""
+        new = sorted(words, key=len)
+        lengths = np.array([len(w) for w in new])
+        for low, high in zip((0, *self.WIDTHS), self.WIDTHS):
+            first, last = np.searchsorted(lengths, [low, high], side="right").tolist()
+            for at in range(first, last, together):
+                part = new[at : min(at + together, last)]
+                symbols, n = self.merges(part, high)
+                ends = np.cumsum(n)
+                bad = np.zeros(len(part), bool)
+                bad[np.repeat(np.arange(len(part)), n)[symbols >= Merges.CHARACTERS]] = True
+                raw, sizes = symbols.astype("<u4").tobytes(), self.sizes[np.minimum(symbols, len(self.sizes) - 1)].tobytes()
+                for w, a, b, x in zip(part, (ends - n).tolist(), ends.tolist(), bad.tolist(), strict=True):
+                    yield w, None if x else raw[4 * a : 4 * b], sizes[a:b]
+        for w in new[int(np.searchsorted(lengths, self.WIDTHS[-1], side="right")) :]:
+            yield w, None, b""
+
+    def alone(self, word: str) -> tuple[bytes, bytes, str]:
+        ids = self.merge(word)
+        return array("I", ids).tobytes(), bytes([1 if i in self.bytes_of else self.sizes[i] for i in ids]), self.decode_pieces(ids)
+
+    def learn_chunks(self, chunks: set[str]) -> None:
+        """Takes chunks in, each normalised. None for one that can't be encoded apart from its neighbours, because spaces come of its other characters or nothing does.
+
+        A chunk that the normaliser keeps as it is, and that is one word, has its pieces' own bytes; with the first one goes a byte for the space.
+        """
+        apart, extra = self.parts, len(SPACE.encode()) - 1
+        whole = {SPACE + c for c in chunks if c and not apart.search(c) and self.normalizer.keeps(c)}
+        for w, ids, sizes in self.merged(whole):
+            c = w[1:]
+            if ids is not None and len(c) < 250:
+                self.chunks[c] = ids, bytes((sizes[0] - extra,)) + sizes[1:], c
+        made = []
+        for c in chunks.difference(self.chunks):
+            raw, align = self.normalizer(c, True)
+            known = raw.decode()
+            body = known[1:]
+            unsafe = c.strip(" ") and (not body or body.endswith(SPACE) or self.normalizer.squeeze and body.startswith(SPACE))
+            made.append((c, None if unsafe else self.cut.findall(known), align))
+        self.learn({w for _, words, _ in made if words for w in words})
+        for c, words, align in made:
+            self.chunks[c] = words and self.chunk(c, [self.words[w] for w in words], align)
+
+    @staticmethod
+    def chunk(c: str, parts: list[tuple[bytes, bytes, str]], align: list[int]) -> tuple[bytes, bytes, str] | None:
+        at, before, out = 0, -1, []
+        for p in parts:
+            for n in p[1]:
+                at += n
+                out.append(align[at] - before)
+                before = align[at]
+        text = "".join([p[2] for p in parts])[1:]
+        return None if max(out) > 255 else (b"".join([p[0] for p in parts]), bytes(out), c if text == c else text)
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, str]]:
         """For each text its ids without begin and end, the source byte at which each piece ends, and the decoded text.
 
         The first piece starts at byte 0 and each other one where the one before ends; a piece that stands for a single byte covers just that.
+        Chunks and words are normalised and merged once for all texts of the call, and for later ones as far as they are remembered.
         """
-        cut = [t.split(" ") if self.by_space and t and t[0] != " " and "  " not in t and SPACE not in t else None for t in texts]
-        if len(self.spaced) > self.remembered:
-            self.spaced.clear()
-        new = list(set().union(*[c for c in cut if c]).difference(self.spaced))
-        for low in range(0, len(new), 10_000):
-            part = new[low : low + 10_000]
-            known = self.library.encode(part, num_threads=1)
-            self.spaced |= zip(part, [(array("I", ids).tobytes(), self.decode_pieces(ids)) if w else self.lone_space for w, ids in zip(part, known, strict=True)], strict=True)
-        look, out = self.spaced.__getitem__, []
+        if len(self.chunks) > self.remembered:
+            self.chunks.clear()
+        if len(self.words) > self.remembered:
+            self.words.clear()
+        cut = [self.chunks_of(t) for t in texts]
+        new = set().union(*[c for c in cut if c]).difference(self.chunks)
+        self.learn_chunks(new)
         for t, c in zip(texts, cut, strict=True):
-            if c is None:
-                out.append(self.encode_aligned(t))
+            parts = c and [self.chunks[x] for x in c]
+            if not parts or None in parts:
+                yield self.encode_aligned(t)
                 continue
-            parts = list(map(look, c))
             ids = np.frombuffer(b"".join([p[0] for p in parts]), "<u4")
-            out.append((ids, np.cumsum(self.source_bytes[ids]) - 1, "".join([p[1] for p in parts])[1:]))
-        return out
-
-    @property
-    def lone_space(self) -> tuple[bytes, str]:
-        ids = self.merge(SPACE)
-        return array("I", ids).tobytes(), self.decode_pieces(ids)
+            ends = np.cumsum(np.frombuffer(b"".join([p[1] for p in parts]), np.uint8), dtype=np.int64) - 1
+            yield ids, ends, " ".join([p[2] for p in parts])
+        for c in new:
+            if len(c) > 40:
+                del self.chunks[c]
+
+    def chunks_of(self, text: str) -> list[str] | None:
+        if not text or not self.by_chunk:
+            return None
+        if "  " in text or text[0] == " " or text[-1] == " ":
+            return None if self.normalizer.squeeze else [c[1:] for c in CHUNK.findall(" " + text)]
+        return text.split(" ")
 
     def encode_aligned(self, text: str) -> tuple[np.ndarray, np.ndarray, str]:
-        """As encode(), for any text: normalised with the source of every byte."""
+        """As encode(), with the whole text normalised at once."""
         raw, align = self.normalizer(text)
-        parts = list(map(self.words.__getitem__, self.cut.findall(raw.decode())))
+        words = self.cut.findall(raw.decode())
+        self.learn(set(words))
+        parts = [self.words[w] for w in words]
         ids = np.frombuffer(b"".join([p[0] for p in parts]), "<u4")
-        ends = np.array(align)[np.cumsum(np.frombuffer(b"".join([p[1] for p in parts]), "<u4"), dtype=np.int64)]
+        ends = np.array(align)[np.cumsum(np.frombuffer(b"".join([p[1] for p in parts]), np.uint8), dtype=np.int64)]
         decoded = "".join([p[2] for p in parts])
         return ids, ends, decoded[1:] if self.normalizer.dummy and decoded.startswith(" ") else decoded
 
@@ -257,12 +375,14 @@ def encode_documents(docs: DataFrame, model: str, outputs: tuple[str, ...] = ("i
     """
     kinds = {"ids": "array<int>", "ends": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string", "ends_crc32": "bigint"}
 
+    types = {"array<int>": pa.list_(pa.int32()), "string": pa.string(), "bigint": pa.int64()}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(model)
         head, tail = np.array([c.begin], "<u4").tobytes(), np.array([c.end], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches, "text"):
             out = {"n_tokens": [], **{k: [] for k in outputs}}
-            for ids, ends, decoded in (x for low in range(0, len(batch), 500) for x in c.encode(batch.column("text").slice(low, 500).to_pylist())):
+            for ids, ends, decoded in c.encode(batch.column("text").to_pylist()):
                 raw = head + ids.tobytes() + tail
                 out["n_tokens"].append(len(ids) + 2)
                 for k in outputs:
@@ -271,7 +391,6 @@ def encode_documents(docs: DataFrame, model: str, outputs: tuple[str, ...] = ("i
                         else hashlib.sha256(raw).hexdigest() if k == "ids_sha256" else hashlib.sha256(decoded.encode()).hexdigest() if k == "decoded_sha256"
                         else zlib.crc32(ends.astype("<u8").tobytes())
                     )
-            types = {"array<int>": pa.list_(pa.int32()), "string": pa.string(), "bigint": pa.int64()}
             arrays = [pa.array(out["n_tokens"], pa.int64()), *[pa.array(out[k], types[kinds[k]]) for k in outputs]]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays, *[batch.column(x) for x in keep]], ["doc_id", "n_tokens", *outputs, *keep])
 

@@ -134,7 +134,7 @@ def test_sentencepiece(spark):
         assert got[i].ends == sorted(got[i].ends) and (not t or got[i].ends[-1] == len(t.encode()))
     c = pieces.coder(path)
     raw = "naïve café".encode()
-    ids, ends, _ = c.encode(["naïve café"])[0]
+    ids, ends, _ = next(c.encode(["naïve café"]))
     spans = [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
     assert b"".join(spans) == raw and c.decode(ids.tolist()) == "naïve café"
     assert pieces.encode_documents(frame(spark, [], []), path).count() == 0
