@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -105,6 +106,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, rows: int = 500, size
             low = high
 
 
+def release() -> None:
+    """Gives back what a worker's allocators hold but don't use: workers live on, and the next stage's memory would come on top."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def local_path(uri: str) -> str:
     """The path under which Python finds a shared folder that is mounted everywhere."""
     if uri.startswith("file:"):

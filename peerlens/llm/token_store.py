@@ -5,12 +5,14 @@ Files follow the order of the documents, so a range of documents is a range of r
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import few, pick
+from .common import few, pick, release, slices
 
 #: Row groups of so many bytes, pages of so many; delta encoding for the numbers that ascend or are small, a dictionary for token ids.
 LAYOUT = {
@@ -29,82 +31,91 @@ LAYOUT = {
 }
 SCHEMA = "doc_id bigint, part int, nth bigint, part_start bigint, n_tokens bigint, ids array<int>"
 
-#: Characters and strings whose handling needs a whole text: past Latin letters (composition), odd separators, special tokens.
-FOREIGN = re.compile("[\x1c-\x1f\u0250-\U0010ffff]|<\\|")
-#: The tokenizer's own pattern of words, for such texts.
-WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\s\w]|_)+")
-#: The short way holds for tokenizers that lower the case and end every token at white space; such probes decide.
-PROBES = ("Don't STOP 3²x_ü·é ¼ab \xadz\n'Ve #a#", "İı  ŉ\t\x85x\xa0y ''s 's'S", "a \n b")
+#: Normalisers that treat what stands between spaces apart from the rest.
+APART = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase"}
 
 
-def needs_whole(text: str) -> bool:
-    """Whether FOREIGN finds something; most texts are settled by tests that run at the speed of a copy."""
-    if not text.isascii():
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return FOREIGN.search(text) is not None
-    return "<|" in text or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
+def cuts_at_spaces(tokenizer: Any) -> bool:
+    """Whether a tokenizer takes what stands between spaces and line feeds apart from the rest: by its own description, white space is nothing but a gap between words."""
+    d = json.loads(tokenizer.to_str())
+    norm, pre = ((x or {}).get(k, [x]) for x, k in ((d["normalizer"], "normalizers"), (d["pre_tokenizer"], "pretokenizers")))
+    gaps = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    if d["post_processor"] or any(n and n != gaps and n["type"] not in APART for n in norm) or any(a["lstrip"] or a["rstrip"] or re.search(r"\s", a["content"]) for a in d["added_tokens"]):
+        return False
+    split = pre[0] or {}
+    if split.get("type") != "Split" or split["behavior"] != "Removed" or not split["invert"] or any(p["type"] != "ByteLevel" or p["add_prefix_space"] or p["use_regex"] for p in pre[1:]):
+        return False
+    kinds = "aZ7é中²'._-\x00"
+    return all(not re.search(r"\s", w) for a in kinds for gap in (" ", "\n", " \n ") for b in kinds for w, _ in tokenizer.pre_tokenizer.pre_tokenize_str(f"{a}{a}{gap}{b}{b}"))
 
 
 class Encoder:
     """Ids of texts as bytes (little-endian unsigned 32-bit integers), equal to those of the library.
 
-    Texts of Latin letters are lowered and cut at white space. Chunks that aren't remembered are cut into words, and only words that
-    aren't remembered go to the library, many in one string: each word's ids end with one that ends a word. All other texts go through the library as a whole.
+    If the tokenizer takes what stands between spaces apart from the rest, texts are cut there. Chunks that aren't remembered go through the library's normaliser and
+    are cut into words by the tokenizer's own pattern; words that aren't remembered go to the library, many in one string, where each word's ids end with one that
+    ends a word. Chunks with special tokens or characters past Latin letters, about which two regular expression engines may differ, go to the library as they
+    are. With any other tokenizer whole texts do.
     """
 
     def __init__(self, path: str, remembered: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.remembered, self.known, self.words = remembered, {}, {}
+        self.remembered, self.known, self.words, self.cuts = remembered, {"": b""}, {}, cuts_at_spaces(self.tokenizer)
+        d = json.loads(self.tokenizer.to_str())
+        pre = (d["pre_tokenizer"] or {}).get("pretokenizers", [d["pre_tokenizer"]])[0]
+        self.word = regex.compile(pre["pattern"].get("Regex") or regex.escape(pre["pattern"]["String"])) if self.cuts else None
+        self.foreign = re.compile("|".join(["[^\x00-\u024f]", *[re.escape(a["content"]) for a in d["added_tokens"]]]))
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
-            self.ends_word[i] = token.endswith("</w>")
-        self.short = True
-        self.short = all(self([x], whole=lambda t: False)[0] == self.whole(x) for x in PROBES)
+            self.ends_word[i] = bool(suffix := d["model"].get("end_of_word_suffix")) and token.endswith(suffix)
 
-    def whole(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: set[str], together: int = 1000) -> None:
-        if len(self.words) > self.remembered:
-            self.words.clear()
+    def learn_words(self, words: set[str], together: int = 2000) -> None:
         new = list(words.difference(self.words))
         for low in range(0, len(new), together):
             part = new[low : low + together]
-            (e,) = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
-            ids = np.array(e.ids, "<u4")
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
             if len(ends) == len(part):
-                raw, at = ids.tobytes(), (ends * 4).tolist()
+                raw, at = ids.tobytes(), ends.tolist()
                 self.words |= zip(part, [raw[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)], strict=True)
             else:
-                self.words |= ((w, self.whole(w)) for w in part)
-
-    def __call__(self, texts: list[str], whole: Callable[[str], bool] = lambda t: needs_whole(t)) -> list[bytes]:
+                self.words |= zip(part, self.whole(part), strict=True)
+
+    def learn(self, chunks: list[str]) -> None:
+        odd = [c for c in chunks if self.foreign.search(c)] if self.foreign.search(" ".join(chunks)) else []
+        self.known |= zip(odd, self.whole(odd), strict=True)
+        plain = [c for c in chunks if c not in self.known] if odd else chunks
+        normal = self.tokenizer.normalizer.normalize_str(" ".join(plain)).split(" ") if self.tokenizer.normalizer else plain
+        if len(normal) != len(plain):  # a chunk holds white space of another kind
+            normal = [self.tokenizer.normalizer.normalize_str(c) for c in plain]
+        cut = list(map(self.word.findall, normal))
+        self.learn_words({w for c in cut for w in c})
+        words = self.words
+        self.known |= ((c, words[w[0]] if len(w) == 1 else b"".join([words[x] for x in w])) for c, w in zip(plain, cut, strict=True))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if not self.cuts:
+            return self.whole(texts)
         if len(self.known) > self.remembered:
-            self.known.clear()
-        look, out, missing = self.known.get, [], []
-        for t in texts:
-            if not self.short or whole(t):
-                out.append([self.whole(t)])
-                continue
-            chunks = t.lower().split()
-            found = list(map(look, chunks))
-            if None in found:
-                missing += [(found, i, chunks[i]) for i, x in enumerate(found) if x is None]
-            out.append(found)
-        if new := {c for _, _, c in missing}:
-            parts = [(c, WORD.findall(c)) for c in new]
-            self.learn({w for _, p in parts for w in p})
-            of = self.words
-            self.known |= ((c, of[p[0]] if len(p) == 1 else b"".join([of[w] for w in p])) for c, p in parts)
-            for found, i, c in missing:
-                found[i] = self.known[c]
-        return [b"".join(x) for x in out]
+            self.known = {"": b""}
+        if len(self.words) > self.remembered:
+            self.words = {}
+        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        new = list(set().union(*cut).difference(self.known))
+        self.learn(new)
+        look = self.known.__getitem__
+        out = [b"".join(map(look, x)) for x in cut]
+        for c in new:
+            if len(c) > 40:
+                del self.known[c]
+        return out
 
 
 @lru_cache(maxsize=4)
@@ -125,16 +136,15 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int, partit
         encode, part = encoder(tokenizer), TaskContext.get().partitionId()
         tail = np.array([end_id], "<u4").tobytes()
         nth = start = 0
-        for whole in batches:
-            for low in range(0, len(whole), 500):
-                batch = whole.slice(low, 500)
-                raw = [x + tail for x in encode(batch.column("text").to_pylist())]
-                n = np.array([len(x) // 4 for x in raw], np.int64)
-                ends = np.cumsum(n)
-                ids = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(np.frombuffer(b"".join(raw), "<i4")))
-                cols = [batch.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(np.arange(nth, nth + len(n))), pa.array(start + ends - n), pa.array(n), ids]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "part", "nth", "part_start", "n_tokens", "ids"])
-                nth, start = nth + len(n), start + int(n.sum())
+        for batch in slices(batches, "text"):
+            raw = [x + tail for x in encode(batch.column("text").to_pylist())]
+            n = np.array([len(x) // 4 for x in raw], np.int64)
+            ends = np.cumsum(n)
+            ids = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+            cols = [batch.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(np.arange(nth, nth + len(n))), pa.array(start + ends - n), pa.array(n), ids]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "part", "nth", "part_start", "n_tokens", "ids"])
+            nth, start = nth + len(n), start + int(n.sum())
+        release()
 
     writer = d.mapInArrow(run, SCHEMA).write.mode("overwrite")
     for k, v in LAYOUT.items():
