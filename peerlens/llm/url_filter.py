@@ -1,6 +1,6 @@
 """URL filters: rules on hosts and paths, found through short hash prefixes.
 
-Each url is expanded into (host suffix, path prefix) expressions. A 32-bit prefix of an expression's
+Each url is expanded into (host suffix, path prefix) expressions, of the lengths that rules have. A 32-bit prefix of an expression's
 SHA-256 is joined with the rules' prefixes; the full digests then confirm, and the longest fitting rule decides.
 """
 
@@ -39,13 +39,17 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", most_
     r = r.select(F.conv(F.substr(digest, F.lit(1), F.lit(8)), 16, 10).cast("bigint").alias("short"), digest.alias("digest"), F.struct(
         (F.length("host") + F.length("path")).alias("length"), F.length("host").alias("host_length"), (F.col("verdict") == "block").alias("strict"),
         F.concat("host", "path").alias("rule"), F.col("verdict").alias("verdict")).alias("found"))
-    # Path lengths that occur in rules: at most as many numbers as the longest path has characters.
-    lengths = sorted(x[0] for x in pick(rules, path="string").dropna().select(F.length("path")).distinct().collect())
+    # Path lengths and label counts that occur in rules: at most as many numbers as the longest path has characters, or the longest host labels.
+    known = pick(rules, host="string", path="string", verdict="string").dropna()
+    lengths = sorted(x[0] for x in known.select(F.length("path")).distinct().collect())
+    counts = sorted(x[0] for x in known.select(F.size(F.split("host", r"\."))).distinct().collect())
 
     host, path = host_and_path(F.col("url"))
     p = pick(pages, page_id="", url="string").select("page_id", host.alias("host"), path.alias("path"))
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
+    # Only suffixes of so many labels as some rule's host has: a url of thousands of labels makes no more of them than any other.
+    last = lambda n: F.when(F.size(labels) >= n, F.substring_index("host", ".", -n))
+    suffixes = F.filter(F.array(*[last(n) for n in counts]), lambda x: x.isNotNull()) if counts else F.array().cast("array<string>")
     prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.left("path", F.lit(n))) for n in lengths]), lambda x: x.isNotNull())
     prefixes = prefixes if lengths else F.array().cast("array<string>")
     pairs = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda q: F.concat(s, F.lit("\n"), q))))
