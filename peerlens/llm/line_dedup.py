@@ -17,10 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import mapped, mph
-from .common import ascii_lower, local_path, pick, workspace, written
+from .common import ascii_lower, local_path, pick, slices, workspace, written
 
-#: Where rows without a doc_id are placed in the order of documents: they count as one document that comes last.
-LAST = (1 << 63) - 1
 STRIP = " \t\n\x0b\f\r"
 
 
@@ -31,10 +29,10 @@ def line_hashes(text: Column, min_chars: int) -> Column:
 
 
 def shared_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """a, b, n_docs, first_doc of the keys that at least two documents hold. Each row counts a key once."""
-    hashed = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), F.explode(F.array_distinct(F.array_compact(line_hashes(F.col("text"), min_chars)))).alias("h"))
-    counted = hashed.groupBy("h.a", "h.b").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-    return counted.where("first_doc < last_doc").drop("last_doc")
+    """a, b, n_docs, first_doc of the keys that at least two documents hold (rows without a doc_id are one, which is never the first). Each row counts a key once."""
+    hashed = docs.select("doc_id", F.explode(F.array_distinct(F.array_compact(line_hashes(F.col("text"), min_chars)))).alias("h"))
+    counted = hashed.groupBy("h.a", "h.b").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("doc_id").alias("named"))
+    return counted.where("first_doc < last_doc or 0 < named and named < n_docs").drop("last_doc", "named")
 
 
 def build_shards(lines: DataFrame, folder: str, keys_a_shard: int) -> np.ndarray:
@@ -48,7 +46,7 @@ def build_shards(lines: DataFrame, folder: str, keys_a_shard: int) -> np.ndarray
         index = mph.build(a)
         order = mph.slots(index, a)
         put = lambda name, kind: _placed(rows[name].to_numpy(), order, kind)
-        mapped.save(f"{path}/{key[0]}", index | {"fingerprints": put("b", np.int64), "counts": put("n_docs", np.uint32), "first": put("first_doc", np.int64)})
+        mapped.save(f"{path}/{key[0]}", index | {"fingerprints": put("b", np.int64), "counts": put("n_docs", np.uint64), "first": put("first_doc", np.int64)})
         return pd.DataFrame({"shard": [key[0]], "n": [len(rows)]})
 
     if shards:
@@ -60,13 +58,13 @@ def build_shards(lines: DataFrame, folder: str, keys_a_shard: int) -> np.ndarray
 
 def _placed(values: np.ndarray, slots: np.ndarray, kind: type) -> np.ndarray:
     out = np.empty(len(values), kind)
-    out[slots] = values.clip(0, np.iinfo(np.uint32).max) if kind is np.uint32 else values
+    out[slots] = values
     return out
 
 
 def probe(path: str, full: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First document (LAST where the line isn't shared) and number of documents of each line."""
-    first, count = np.full(len(a), LAST, np.int64), np.zeros(len(a), np.int64)
+    """First document and number of documents of each line; 0 documents where the line isn't shared."""
+    first, count = np.zeros(len(a), np.int64), np.zeros(len(a), np.uint64)
     if not len(full) or not len(a):
         return first, count
     shard = np.mod(a, len(full))
@@ -99,16 +97,16 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_chars: int = 10, keys_
     path = local_path(f"{at}/shards")
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text", 2000, 8 << 20):
             texts, lists = batch.column("text"), batch.column("h")
             n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
             flat = lists.flatten()
             known = flat.is_valid().to_numpy(zero_copy_only=False)
             a, b = (pc.struct_field(flat.filter(pa.array(known)), [i]).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-            docs_of = np.repeat(batch.column("key").to_numpy(zero_copy_only=False), n)[known]
-            first, _ = probe(path, full, a, b)
+            docs_of, nameless = (np.repeat(x.to_numpy(zero_copy_only=False), n)[known] for x in (pc.fill_null(batch.column("doc_id"), 0), batch.column("doc_id").is_null()))
+            first, count = probe(path, full, a, b)
             gone = np.zeros(len(flat), bool)
-            gone[known] = (first != LAST) & (first != docs_of)
+            gone[known] = (count > 0) & (nameless | (first != docs_of))
             ends = np.cumsum(n)
             total = np.r_[0, np.cumsum(gone)]
             dropped = total[ends] - total[ends - n]
@@ -120,6 +118,6 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_chars: int = 10, keys_
                 texts = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(dropped.astype(np.int64)), texts, *[batch.column(c) for c in extra]], ["doc_id", "n_lines", "n_dropped", "text", *extra])
 
-    hashed = docs.withColumns({"text": F.coalesce("text", F.lit("")), "key": F.coalesce("doc_id", F.lit(LAST)), "h": line_hashes(F.col("text"), min_chars)})
+    hashed = docs.withColumns({"text": F.coalesce("text", F.lit("")), "h": line_hashes(F.col("text"), min_chars)})
     kinds = ", ".join(["doc_id bigint, n_lines bigint, n_dropped bigint, text string", *[f"`{c}` {hashed.schema[c].dataType.simpleString()}" for c in extra]])
     return hashed.mapInArrow(drop, kinds)
