@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import few, pick, workspace, written
+from .common import few, pick, release, slices, workspace, written
 from .components import Sets, components
 from .decontaminate import words_of
 from .mph import mix
@@ -135,24 +135,23 @@ def sketch(docs: DataFrame, width: int, weights: str) -> DataFrame:
     slots = BANDS * ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for low in range(0, len(whole), 300):
-                batch = whole.slice(low, 300)
-                elem, weight, doc = shingles(*_lists(batch.column("tokens")), width, weights)
-                n = np.bincount(doc, minlength=len(batch))
-                sig = signatures(elem, weight, doc, len(batch), slots)
-                w = weight.astype(np.uint64)
-                ends = np.r_[0, np.cumsum(n)]
-                sums = [np.r_[np.uint64(0), np.cumsum(mix(elem + np.uint64(s)) * (w * np.uint64(2) + np.uint64(1)), dtype=np.uint64)] for s in (1, 2)]
-                a, b = (mix(s[ends[1:]] - s[ends[:-1]] + n.astype(np.uint64)).view(np.int64) for s in sums)
-                own = batch.column("own").to_numpy(zero_copy_only=False)
-                a, b = np.where(n > 0, a, own), np.where(n > 0, b, -1)
-                h = np.zeros((len(batch), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
-                for k in range(ROWS):
-                    h = mix(h * GOLD + sig.reshape(len(batch), BANDS, ROWS)[:, :, k])
-                bands = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(n > 0, BANDS, 0))].astype(np.int32)), pa.array(h[n > 0].ravel().view(np.int64)))
-                short = [x.tobytes() for x in (mix(sig) >> np.uint64(48)).astype(np.uint16)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("own"), pa.array(a), pa.array(b), pa.array(n.astype(np.int64)), bands, pa.array(short, pa.binary())], ["doc_id", "own", "a", "b", "n", "bands", "sig"])
+        for batch in slices(batches, "tokens", 300, 100_000):
+            elem, weight, doc = shingles(*_lists(batch.column("tokens")), width, weights)
+            n = np.bincount(doc, minlength=len(batch))
+            sig = signatures(elem, weight, doc, len(batch), slots)
+            w = weight.astype(np.uint64)
+            ends = np.r_[0, np.cumsum(n)]
+            sums = [np.r_[np.uint64(0), np.cumsum(mix(elem + np.uint64(s)) * (w * np.uint64(2) + np.uint64(1)), dtype=np.uint64)] for s in (1, 2)]
+            a, b = (mix(s[ends[1:]] - s[ends[:-1]] + n.astype(np.uint64)).view(np.int64) for s in sums)
+            own = batch.column("own").to_numpy(zero_copy_only=False)
+            a, b = np.where(n > 0, a, own), np.where(n > 0, b, -1)
+            h = np.zeros((len(batch), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
+            for k in range(ROWS):
+                h = mix(h * GOLD + sig.reshape(len(batch), BANDS, ROWS)[:, :, k])
+            bands = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(n > 0, BANDS, 0))].astype(np.int32)), pa.array(h[n > 0].ravel().view(np.int64)))
+            short = [x.tobytes() for x in (mix(sig) >> np.uint64(48)).astype(np.uint16)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("own"), pa.array(a), pa.array(b), pa.array(n.astype(np.int64)), bands, pa.array(short, pa.binary())], ["doc_id", "own", "a", "b", "n", "bands", "sig"])
+        release()
 
     d = docs.select("doc_id", text_hash(F.col("text")).alias("own"), _tokens(F.col("text")).alias("tokens"))
     return d.mapInArrow(run, "doc_id bigint, own bigint, a bigint, b bigint, n bigint, bands array<bigint>, sig binary")
@@ -171,29 +170,41 @@ def agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return j.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, places: DataFrame, width: int, weights: str, threshold: float, members: int = 500, most_broadcast: int = 300_000) -> DataFrame:
-    """Those of the pairs (a, b; many b for each a) whose whole texts are similar enough; places: node, key, own.
+class ShingleSets:
+    """(ascending shingles, weights) of the texts of a column of tokens, made when they are asked for; about so many of them are kept."""
 
-    Texts meet in groups of an a and about so many of its b; the text of an a with more of them is sent to each of its groups.
+    def __init__(self, tokens: pa.ChunkedArray, width: int, weights: str, most: int = 2_000_000):
+        self.tokens, self.width, self.weights, self.most = tokens, width, weights, most
+        self.known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.size = 0
+
+    def __call__(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        if k not in self.known:
+            flat, lengths = _lists(self.tokens.slice(k, 1))
+            e, w, _ = shingles(flat, lengths, self.width, self.weights)
+            order = np.argsort(e)
+            if self.size > self.most:
+                self.known, self.size = {}, 0
+            self.known[k] = e[order], w[order]
+            self.size += len(e)
+        return self.known[k]
+
+
+def verified(pairs: DataFrame, docs: DataFrame, places: DataFrame, width: int, weights: str, threshold: float, most: int = 500_000, most_broadcast: int = 300_000) -> DataFrame:
+    """Those of the pairs (a, b; many b for each a) whose whole texts are similar enough; places: node, key, own, n.
+
+    Texts meet in groups of an a and those of its b that have about so many shingles together; the text of an a with more of them is sent to each of its groups.
     """
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / members).alias("parts"))
-    p = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+    p = pairs.join(places.select(F.col("node").alias("b"), "n"), "b")
+    sizes = p.groupBy("a").agg(F.ceil(F.sum("n") / most).alias("parts"))
+    p = p.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
     wanted = p.select("a", "part", F.col("b").alias("node")).unionByName(p.select("a", "part", F.col("a").alias("node")).distinct())
-    rows = texts_of(docs, wanted.join(places, "node"), most_broadcast).repartition("a", "part")
+    rows = texts_of(docs, wanted.join(places.drop("n"), "node"), most_broadcast).repartition("a", "part")
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
-        keys = t.column("node").to_numpy()
-        elem, weight, doc = shingles(*_lists(t.column("tokens")), width, weights)
-        edges = np.searchsorted(doc, np.arange(len(keys) + 1))
-
-        def part(i: int) -> tuple[np.ndarray, np.ndarray]:
-            e, w = elem[edges[i] : edges[i + 1]], weight[edges[i] : edges[i + 1]]
-            order = np.argsort(e)
-            return e[order], w[order]
-
-        a = key[0].as_py()
-        own = [part(i) for i in np.flatnonzero(keys == a).tolist()]
-        found = {int(keys[i]) for i in np.flatnonzero(keys != a).tolist() for x in own if similarity(x, part(i)) >= threshold}
+        a, keys, sets = key[0].as_py(), t.column("node").to_numpy(), ShingleSets(t.column("tokens"), width, weights, 0)
+        own = [sets(i) for i in np.flatnonzero(keys == a).tolist()]
+        found = {int(keys[i]) for i in np.flatnonzero(keys != a).tolist() for x in own if similarity(x, sets(i)) >= threshold}
         return pa.table({"a": pa.array([a] * len(found), pa.int64()), "b": pa.array(sorted(found), pa.int64())})
 
     return rows.select("a", "part", "node", _tokens(F.col("text")).alias("tokens")).groupBy("a", "part").applyInArrow(run, "a bigint, b bigint")
@@ -239,17 +250,7 @@ def settled(members: DataFrame, width: int, weights: str, threshold: float, bloc
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         likely = [(s, x, y) for x, ys, shares in _likely(t, key[1].as_py(), key[2].as_py()) for y, s in zip(ys.tolist(), shares.tolist(), strict=True)]
-        node, root, sets, out, known = t.column("node").to_pylist(), t.column("root").to_pylist(), Sets(), [], {}
-        elem, weight, doc = shingles(*_lists(t.column("tokens")), width, weights)
-        edges = np.searchsorted(doc, np.arange(len(node) + 1))
-
-        def part(k: int) -> tuple[np.ndarray, np.ndarray]:
-            if k not in known:
-                e, w = elem[edges[k] : edges[k + 1]], weight[edges[k] : edges[k + 1]]
-                order = np.argsort(e)
-                known[k] = e[order], w[order]
-            return known[k]
-
+        node, root, sets, out, part = t.column("node").to_pylist(), t.column("root").to_pylist(), Sets(), [], ShingleSets(t.column("tokens"), width, weights)
         for _, x, y in sorted(likely, reverse=True):
             if sets.top(root[x]) != sets.top(root[y]) and similarity(part(x), part(y)) >= threshold:
                 sets.join(root[x], root[y])
@@ -281,9 +282,9 @@ def text_classes(spark: SparkSession, docs: DataFrame, width: int = 5, threshold
     rows = written(spark, sketch(docs, width, weights), f"{at}/rows")
     # A node is a distinct text; `least` is the first row of it. The numbers hold because the table is written.
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own"))
-    copies = written(spark, rows.groupBy("a", "b").agg(least.alias("least")).withColumn("node", F.monotonically_increasing_id()), f"{at}/copies")
+    copies = written(spark, rows.groupBy("a", "b").agg(least.alias("least"), F.first("n").alias("n")).withColumn("node", F.monotonically_increasing_id()), f"{at}/copies")
     key = lambda c: F.coalesce(c, F.lit(LAST))
-    places = copies.select("node", key(F.col("least.doc_id")).alias("key"), F.col("least.own").alias("own"))
+    places = copies.select("node", key(F.col("least.doc_id")).alias("key"), F.col("least.own").alias("own"), "n")
     nodes = rows.where("n > 0").withColumn("key", key(F.col("doc_id"))).join(copies.select("a", "b", "node", key(F.col("least.doc_id")).alias("key"), F.col("least.own").alias("own")), ["a", "b", "key", "own"])
     nodes = written(spark, nodes.select("node", "bands", "sig").dropDuplicates(["node", "bands"]), f"{at}/nodes")
 
@@ -302,7 +303,7 @@ def text_classes(spark: SparkSession, docs: DataFrame, width: int = 5, threshold
     if not near.isEmpty():
         hoods = components(spark, near)
         members = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(hoods, "node", "left").select("node", F.coalesce("root", "node").alias("near"))
-        members = written(spark, members.join(once, "node").join(places, "node"), f"{at}/members")
+        members = written(spark, members.join(once, "node").join(places.drop("n"), "node"), f"{at}/members")
         texts = texts_of(docs, members, 20_000)
         more = written(spark, settled(texts.select("near", "node", "root", "sig", _tokens(F.col("text")).alias("tokens")), width, weights, threshold), f"{at}/more")
         first = components(spark, links.unionByName(more))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, slices
+from .common import pick, release, slices
 
 SPACE = "▁"
 #: What a text is cut into: spaces and what follows them; spaces at the end.
@@ -393,6 +393,7 @@ def encode_documents(docs: DataFrame, model: str, outputs: tuple[str, ...] = ("i
                     )
             arrays = [pa.array(out["n_tokens"], pa.int64()), *[pa.array(out[k], types[kinds[k]]) for k in outputs]]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays, *[batch.column(x) for x in keep]], ["doc_id", "n_tokens", *outputs, *keep])
+        release()
 
     d = pick(docs, doc_id="", text="string", **dict.fromkeys(keep, "")).withColumn("text", F.coalesce("text", F.lit("")))
     schema = ", ".join([f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_tokens bigint", *[f"{k} {kinds[k]}" for k in outputs], *[f"`{x}` {d.schema[x].dataType.simpleString()}" for x in keep]])
