@@ -210,10 +210,10 @@ def verified(pairs: DataFrame, docs: DataFrame, places: DataFrame, width: int, w
     return rows.select("a", "part", "node", _tokens(F.col("text")).alias("tokens")).groupBy("a", "part").applyInArrow(run, "a bigint, b bigint")
 
 
-def blocks_of(members: DataFrame, key: str, block: int) -> DataFrame:
-    """Members of a key in blocks of about so many, each row sent to every pair (i <= j) of blocks that its own is in."""
-    sizes = members.groupBy(key).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    m = members.join(sizes, key).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+def blocks_of(members: DataFrame, sizes: DataFrame, key: str, block: int) -> DataFrame:
+    """Members of a key in blocks of about so many, each row sent to every pair (i <= j) of blocks that its own is in; sizes: a stored table of keys and their numbers of members."""
+    blocks = sizes.select(key, F.ceil(F.col("members") / block).cast("int").alias("blocks"))
+    m = members.join(F.broadcast(blocks) if few(sizes, 1_000_000) else blocks, key).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return m.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "blocks")
 
@@ -234,18 +234,18 @@ def _links(pairs: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pa.array([min(p) for p in pairs], pa.int64()), "b": pa.array([max(p) for p in pairs], pa.int64())})
 
 
-def across(members: DataFrame, block: int = 1024) -> DataFrame:
+def across(members: DataFrame, sizes: DataFrame, block: int = 512) -> DataFrame:
     """Spanning forest (a, b) of the pairs of one bucket that are in different components and may be similar; members: bucket, node, root, sig."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         sets, node = Sets(), t.column("node").to_pylist()
         return _links([(node[x], node[y]) for x, ys, _ in _likely(t, key[1].as_py(), key[2].as_py()) for y in ys.tolist() if sets.join(x, y)])
 
-    m = blocks_of(members, "bucket", block).select("bucket", "i", "j", "own", "node", "root", "sig")
+    m = blocks_of(members, sizes, "bucket", block).select("bucket", "i", "j", "own", "node", "root", "sig")
     return m.groupBy("bucket", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
 
 
-def settled(members: DataFrame, width: int, weights: str, threshold: float, block: int = 512) -> DataFrame:
+def settled(members: DataFrame, sizes: DataFrame, width: int, weights: str, threshold: float, block: int = 512) -> DataFrame:
     """Links (a, b) that join components within a neighbourhood; members: near, node, root, sig, tokens."""
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
@@ -257,7 +257,7 @@ def settled(members: DataFrame, width: int, weights: str, threshold: float, bloc
                 out.append((node[x], node[y]))
         return _links(out)
 
-    m = blocks_of(members, "near", block).select("near", "i", "j", "own", "node", "root", "sig", "tokens")
+    m = blocks_of(members, sizes, "near", block).select("near", "i", "j", "own", "node", "root", "sig", "tokens")
     return m.groupBy("near", "i", "j").applyInArrow(run, "a bigint, b bigint").distinct()
 
 
@@ -297,15 +297,19 @@ def text_classes(spark: SparkSession, docs: DataFrame, width: int = 5, threshold
     labelled = nodes.join(first, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "bands", "sig")
     labelled = written(spark, labelled, f"{at}/labelled")
     spread = labelled.select("node", "root", F.explode("bands").alias("bucket"))
-    mixed = spread.join(buckets.where("members > 2"), "bucket").groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
+    # Two members were compared above. Summed before the shuffle, so that a bucket of very many texts is a row from each task.
+    mixed = spread.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).where("members > 2 and low < high").select("bucket", "members")
+    mixed = written(spark, mixed, f"{at}/mixed")
+    wanted = F.broadcast(mixed.select("bucket")) if few(mixed, 1_000_000) else mixed.select("bucket")
     once = labelled.select("node", "root", "sig")
-    near = written(spark, across(spread.select("bucket", "node").join(mixed, "bucket").join(once, "node")), f"{at}/near")
+    near = written(spark, across(spread.select("bucket", "node", "root").join(wanted, "bucket").join(once.drop("root"), "node"), mixed), f"{at}/near")
     if not near.isEmpty():
         hoods = components(spark, near)
         members = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(hoods, "node", "left").select("node", F.coalesce("root", "node").alias("near"))
         members = written(spark, members.join(once, "node").join(places.drop("n"), "node"), f"{at}/members")
-        texts = texts_of(docs, members, 20_000)
-        more = written(spark, settled(texts.select("near", "node", "root", "sig", _tokens(F.col("text")).alias("tokens")), width, weights, threshold), f"{at}/more")
+        sizes = written(spark, members.groupBy("near").agg(F.count("*").alias("members")), f"{at}/sizes")
+        texts = texts_of(docs, members, 20_000).select("near", "node", "root", "sig", _tokens(F.col("text")).alias("tokens"))
+        more = written(spark, settled(texts, sizes, width, weights, threshold), f"{at}/more")
         first = components(spark, links.unionByName(more))
     named = copies.join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = named.groupBy("root").agg(F.min("least").alias("first"))
