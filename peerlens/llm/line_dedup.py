@@ -1,6 +1,6 @@
 """Line dedup: lines that several documents share stay in the first of them only.
 
-Spark counts line hashes; those found in two documents or more go into shards, each a minimal perfect hash with compact arrays of
+Spark counts line hashes; the distinct ones go into shards, each a minimal perfect hash with compact arrays of
 fingerprints, document counts and first documents. Documents probe the arrays, which workers map into memory; lines are never joined.
 A line is known by 128 bits: 64 choose the slot, the other 64 are the fingerprint kept there.
 """
@@ -28,11 +28,12 @@ def line_hashes(text: Column, min_chars: int) -> Column:
     return F.transform(keys, lambda k: F.when(F.length(k) >= min_chars, F.struct(F.xxhash64(k).alias("a"), F.xxhash64(F.lit(1), k).alias("b"))))
 
 
-def shared_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """a, b, n_docs, first_doc of the keys that at least two documents hold (rows without a doc_id are one, which is never the first). Each row counts a key once."""
+def distinct_lines(docs: DataFrame, min_chars: int) -> DataFrame:
+    """a, b, n_docs, first_doc of every key. Each row counts a key once; 1 stands for rows of a single document, however many they are (rows without a doc_id are one, which is never the first)."""
     hashed = docs.select("doc_id", F.explode(F.array_distinct(F.array_compact(line_hashes(F.col("text"), min_chars)))).alias("h"))
-    counted = hashed.groupBy("h.a", "h.b").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("doc_id").alias("named"))
-    return counted.where("first_doc < last_doc or 0 < named and named < n_docs").drop("last_doc", "named")
+    counted = hashed.groupBy("h.a", "h.b").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("doc_id").alias("named"))
+    shared = F.expr("first_doc < last_doc or 0 < named and named < n")
+    return counted.select("a", "b", F.when(shared, F.col("n")).otherwise(1).alias("n_docs"), F.coalesce("first_doc", F.lit(0)).alias("first_doc"))
 
 
 def build_shards(lines: DataFrame, folder: str, keys_a_shard: int) -> np.ndarray:
@@ -46,7 +47,7 @@ def build_shards(lines: DataFrame, folder: str, keys_a_shard: int) -> np.ndarray
         index = mph.build(a)
         order = mph.slots(index, a)
         put = lambda name, kind: _placed(rows[name].to_numpy(), order, kind)
-        mapped.save(f"{path}/{key[0]}", index | {"fingerprints": put("b", np.int64), "counts": put("n_docs", np.uint64), "first": put("first_doc", np.int64)})
+        mapped.save(f"{path}/{key[0]}", index | {"fingerprints": put("b", np.int64), "counts": put("n_docs", np.min_scalar_type(int(rows["n_docs"].max()))), "first": put("first_doc", np.int64)})
         return pd.DataFrame({"shard": [key[0]], "n": [len(rows)]})
 
     if shards:
@@ -63,7 +64,7 @@ def _placed(values: np.ndarray, slots: np.ndarray, kind: type) -> np.ndarray:
 
 
 def probe(path: str, full: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First document and number of documents of each line; 0 documents where the line isn't shared."""
+    """First document and number of documents of each line; 0 documents where the line isn't known."""
     first, count = np.zeros(len(a), np.int64), np.zeros(len(a), np.uint64)
     if not len(full) or not len(a):
         return first, count
@@ -93,7 +94,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_chars: int = 10, keys_
     """
     docs = pick(docs, doc_id="bigint", text="string", **dict.fromkeys(extra, ""))
     at = workspace(spark)
-    full = build_shards(written(spark, shared_lines(docs, min_chars), f"{at}/lines"), f"{at}/shards", keys_a_shard)
+    full = build_shards(written(spark, distinct_lines(docs, min_chars), f"{at}/lines"), f"{at}/shards", keys_a_shard)
     path = local_path(f"{at}/shards")
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +107,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_chars: int = 10, keys_
             docs_of, nameless = (np.repeat(x.to_numpy(zero_copy_only=False), n)[known] for x in (pc.fill_null(batch.column("doc_id"), 0), batch.column("doc_id").is_null()))
             first, count = probe(path, full, a, b)
             gone = np.zeros(len(flat), bool)
-            gone[known] = (count > 0) & (nameless | (first != docs_of))
+            gone[known] = (count > 1) & (nameless | (first != docs_of))
             ends = np.cumsum(n)
             total = np.r_[0, np.cumsum(gone)]
             dropped = total[ends] - total[ends - n]

@@ -38,6 +38,12 @@ def test_against_brute_force(spark, shard):
     assert sorted(map(tuple, got), key=repr) == brute(ROWS)
 
 
+def test_no_doc_id_stands_for_none(spark):
+    rows = [((1 << 63) - 1, "a line that two share", 1, "x"), (None, "a line that two share", 1, "x"), (-(1 << 63), "of the first alone", 1, "x"), (None, "of the first alone\nx", 1, "x")]
+    got = line_dedup.dedup_lines(spark, spark.createDataFrame(rows, SCHEMA)).select("doc_id", "n_dropped", "text").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([((1 << 63) - 1, 0, "a line that two share"), (None, 1, ""), (-(1 << 63), 0, "of the first alone"), (None, 1, "x")], key=repr)
+
+
 def test_empty_table(spark):
     assert line_dedup.dedup_lines(spark, spark.createDataFrame([], SCHEMA)).count() == 0
 
