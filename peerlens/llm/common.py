@@ -75,8 +75,14 @@ def workspace(spark: SparkSession) -> str:
 
 
 def written(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, survives lost executors."""
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    """df as a table in the shared folder: cuts the lineage, survives lost executors. Once it is written, the shuffle files that it took go."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(name, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

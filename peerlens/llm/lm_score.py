@@ -4,17 +4,19 @@ The model has any order from 2. The highest order counts occurrences; the lower
 runs at the start of a text, which nothing can stand before, keep their occurrences. A context that isn't known leaves the probability to the next lower order.
 
 Counting goes through blocks: a task counts what it has read, sorts it, and sends one compressed block to each shard; a
-shard's task merges its blocks into sorted arrays in a file of the shared folder. A frequent word or word pair is one
-entry in each block, so no shard grows with it, and the number of shards grows with the corpus.
+shard's task merges its blocks into sorted arrays in a file of the shared folder. A frequent word or run of words is one
+entry in each block, so no shard grows with it, and the number of shards grows with the corpus. Each order is counted in passes over ranges of shards, so that only a
+part of its blocks is on disk at a time.
 
-Words are known by 64-bit hashes; a word's id is its place among the sorted hashes. A pair of ids is one 64-bit number; longer runs are
-looked up by 64-bit hashes of their ids, and lie with all the runs of the same context.
+Words are known by 64-bit hashes; a word's id is its place among the sorted hashes, and ids are packed into as many bits as they need. Runs of words are looked up by
+64-bit hashes of their ids, of which sorted arrays keep 40 bits; the others follow from the place.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +25,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import mapped
-from .common import SPACES, ascii_lower, local_path, pick, split_words, workspace, written
+from .common import SPACES, ascii_lower, forget, local_path, pick, release, slices, split_words, workspace, written
 from .mph import mix
 
 #: Hash of the token that ends each text; id of a word that the model doesn't know.
 END, UNKNOWN = 0x0E4D0F7E, -1
-BLOCK = "shard bigint, payload binary"
+BLOCK = "level int, shard bigint, payload binary"
 _CODEC = "zstd"
-_ID = np.uint64(0xFFFFFFFF)
+_HALF, _32 = np.uint64(0xFFFFFFFF), np.uint64(32)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -86,35 +88,33 @@ def _send(keys: np.ndarray, shard: np.ndarray, *counts: np.ndarray) -> Iterator[
         yield int(s[i]), _pack(keys[own], *[c[own] for c in counts])
 
 
-def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [[] for _ in names]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+def _rows(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    return pa.table({"level": pa.array([r[0] for r in rows], pa.int32()), "shard": pa.array([r[1] for r in rows], pa.int64()), "payload": pa.array([r[2] for r in rows], pa.binary())})
 
 
-def _blocks(rows: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+def _blocks(level: int, rows: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
     for shard, payload in rows:
-        yield _batch([(shard, payload)], ["shard", "payload"], [pa.int64(), pa.binary()])
+        yield from _rows([(level, shard, payload)]).to_batches()
 
 
 def _texts(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Token hashes of whole texts, each with END after it, and the texts' lengths; about so many tokens at a time."""
     kept, lengths, size = [], [], 0
-    for whole in batches:
-        for low in range(0, len(whole), 500):
-            lists = whole.column("tokens").slice(low, 500)
-            n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-            out = np.empty(int(n.sum()), np.uint64)
-            ends = np.cumsum(n) - 1
-            inner = np.ones(len(out), bool)
-            inner[ends] = False
-            out[ends] = END
-            out[inner] = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            kept.append(out)
-            lengths.append(n)
-            size += len(out)
-            if size >= tokens:
-                yield np.concatenate(kept), np.concatenate(lengths)
-                kept, lengths, size = [], [], 0
+    for batch in slices(batches, "tokens", 500, tokens):
+        lists = batch.column("tokens")
+        n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        out = np.empty(int(n.sum()), np.uint64)
+        ends = np.cumsum(n) - 1
+        inner = np.ones(len(out), bool)
+        inner[ends] = False
+        out[ends] = END
+        out[inner] = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        kept.append(out)
+        lengths.append(n)
+        size += len(out)
+        if size >= tokens:
+            yield np.concatenate(kept), np.concatenate(lengths)
+            kept, lengths, size = [], [], 0
     if kept:
         yield np.concatenate(kept), np.concatenate(lengths)
 
@@ -126,34 +126,82 @@ def _padded(ids: np.ndarray, lengths: np.ndarray, start: int) -> tuple[np.ndarra
     return out, np.arange(len(out)) - np.repeat(first + np.arange(len(first)), lengths + 1)
 
 
-def _runs(ids: np.ndarray, ends: np.ndarray, k: int) -> list[np.ndarray]:
-    """The k ids up to each end as columns; the first two as one."""
-    words = [ids[ends - k + 1 + i].astype(np.uint64) for i in range(k)]
-    return [(words[0] << np.uint64(32)) | words[1], *words[2:]]
+def _columns(ids: np.ndarray, ends: np.ndarray, k: int) -> list[np.ndarray]:
+    """The k ids up to each end."""
+    return [ids[ends - k + 1 + i].astype(np.uint64) for i in range(k)]
 
 
-def _distinct(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+def _packed(columns: list[np.ndarray], bits: int) -> list[np.ndarray]:
+    """Columns of ids of so many bits in as few columns as hold them; the order of rows stays the same."""
+    per = max(1, 64 // bits)
+    return [reduce(lambda x, y: (x << np.uint64(bits)) | y, columns[i : i + per]) for i in range(0, len(columns), per)]
+
+
+def _unpacked(packed: list[np.ndarray], bits: int, k: int) -> list[np.ndarray]:
+    per, out = max(1, 64 // bits), []
+    for i, x in enumerate(packed):
+        n = min(per, k - i * per)
+        out += [(x >> np.uint64(bits * (n - 1 - j))) & np.uint64((1 << bits) - 1) for j in range(n)]
+    return out
+
+
+def _distinct(packed: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct rows in ascending order, with the sums of their counts."""
-    order = np.lexsort(columns[::-1])
-    columns = [c[order] for c in columns]
+    order = np.lexsort(packed[::-1]) if len(packed) > 1 else np.argsort(packed[0], kind="stable")
+    packed = [c[order] for c in packed]
     new = np.zeros(len(order), bool)
     new[:1] = True
-    for c in columns:
+    for c in packed:
         new[1:] |= c[1:] != c[:-1]
     first = np.flatnonzero(new)
-    return [c[first] for c in columns], np.add.reduceat(counts[order], first) if len(first) else counts
+    return [c[first] for c in packed], np.add.reduceat(counts[order], first) if len(first) else counts
+
+
+def _context_hash(columns: list[np.ndarray]) -> np.ndarray:
+    """Hashes of all but the last id of runs."""
+    return reduce(lambda h, c: mix(h * _GOLD + c + np.uint64(1)), columns[1:-1], mix(columns[0] + np.uint64(1)))
+
+
+def _place(hashes: np.ndarray, shards: int, buckets: int) -> np.ndarray:
+    """Bucket of hashes of one shard: equal parts of the shard's range, in ascending order."""
+    within = ((hashes >> _32) * np.uint64(shards)) & _HALF
+    return ((within * np.uint64(buckets)) >> _32).astype(np.int64)
+
+
+def _keys(name: str, hashes: np.ndarray, shards: int) -> dict[str, np.ndarray]:
+    """Ascending distinct hashes of a shard: 40 bits of each, and where each bucket begins."""
+    buckets = len(hashes) // 6 + 1
+    begin = np.searchsorted(_place(hashes, shards, buckets), np.arange(buckets + 1))
+    return {f"{name}_low": hashes.astype(np.uint32), f"{name}_high": (hashes >> _32).astype(np.uint8), f"{name}_at": begin.astype(np.min_scalar_type(len(hashes)))}
+
+
+def _find(a: dict[str, np.ndarray], name: str, hashes: np.ndarray, shards: int) -> np.ndarray:
+    """Places of hashes among the keys of a shard, -1 for those that aren't there."""
+    bucket = _place(hashes, shards, len(a[f"{name}_at"]) - 1)
+    at, end = a[f"{name}_at"][bucket].astype(np.int64), a[f"{name}_at"][bucket + 1].astype(np.int64)
+    low, high = hashes.astype(np.uint32), (hashes >> _32).astype(np.uint8)
+    out, live = np.full(len(hashes), -1, np.int64), np.arange(len(hashes))
+    while len(live := live[at[live] < end[live]]):
+        hit = a[f"{name}_low"][at[live]] == low[live]
+        hit[hit] = a[f"{name}_high"][at[live[hit]]] == high[live[hit]]
+        out[live[hit]] = at[live[hit]]
+        live = live[~hit]
+        at[live] += 1
+    return out
 
 
-def _context_keys(columns: list[np.ndarray]) -> np.ndarray:
-    """Hashes of all but the last id of runs of three or more."""
-    h = mix(columns[0])
-    for c in columns[1:-1]:
-        h = mix(h * _GOLD + c + np.uint64(1))
-    return h
+def _numbers(name: str, values: np.ndarray) -> dict[str, np.ndarray]:
+    """Numbers as bytes; those from 255 on stand in a list of their own."""
+    big = np.flatnonzero(values >= 255)
+    return {name: np.minimum(values, 255).astype(np.uint8), f"{name}_where": big.astype(np.uint64), f"{name}_big": values[big].astype(np.uint64)}
 
 
-def _narrow(a: np.ndarray) -> np.ndarray:
-    return a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
+def _value(a: dict[str, np.ndarray], name: str, at: np.ndarray) -> np.ndarray:
+    out = a[name][at].astype(np.float64)
+    big = np.flatnonzero(out == 255)
+    if len(big):
+        out[big] = a[f"{name}_big"][np.searchsorted(a[f"{name}_where"], at[big].astype(np.uint64))]
+    return out
 
 
 @dataclass
@@ -161,32 +209,31 @@ class Model:
     """Where the arrays are, and the few numbers that hold for all of them."""
 
     path: str
-    words: int = 1
-    pairs: int = 1
+    words: int = 1  # ranges of words
+    shards: int = 1  # ranges of contexts
+    order: int = 2
     bases: list[int] = field(default_factory=list)  # id of the first word of each range
-    full: frozenset[int] = frozenset()  # ranges that have words
-    full_pairs: frozenset[int] = frozenset()
+    full: dict[int, frozenset[int]] = field(default_factory=dict)  # by length of run: shards that have any
+    discounts: dict[int, tuple[float, float, float]] = field(default_factory=dict)  # by length of run
     tokens: int = 0
     types: int = 0
-    texts: int = 0
     continuations: int = 0
-    pair_discounts: tuple[float, float, float] = (0.5, 1.0, 1.5)
-    word_discounts: tuple[float, float, float] = (0.5, 1.0, 1.5)
     word_kinds: tuple[int, int, int] = (0, 0, 0)  # words with 1, 2, 3 or more continuations
-    order: int = 2
-    run_discounts: dict[int, tuple[float, float, float]] = field(default_factory=dict)  # of runs of three words or more, by length
-    full_runs: dict[int, frozenset[int]] = field(default_factory=dict)
 
     @property
     def start(self) -> int:
         """Id of the context before a text's first token."""
         return self.types
 
+    @property
+    def bits(self) -> int:
+        return max(1, self.types.bit_length())
+
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of ascending word hashes, UNKNOWN for those that aren't in the training texts."""
         out = np.full(len(hashes), UNKNOWN, np.int64)
         for s, i, j in self._ranges(_range_of(hashes, self.words)):
-            if s in self.full:
+            if s in self.full[1]:
                 keys = mapped.load(f"{self.path}/words/{s}")["keys"]
                 at = np.minimum(np.searchsorted(keys, hashes[i:j]), len(keys) - 1)
                 out[i:j] = np.where(keys[at] == hashes[i:j], at + self.bases[s], UNKNOWN)
@@ -197,62 +244,36 @@ class Model:
         edges = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True]).tolist() if len(shard) else []
         return [(int(shard[i]), i, j) for i, j in zip(edges[:-1], edges[1:], strict=True)]
 
-    def of_words(self, ids: np.ndarray, kind: str, names: tuple[str, ...]) -> list[np.ndarray]:
-        """Columns of the words' arrays for ascending ids; 0 for UNKNOWN."""
-        out = [np.zeros(len(ids), np.float64) for _ in names]
-        known = np.flatnonzero((ids >= 0) & (ids < self.types))
-        shard = np.searchsorted(self.bases, ids[known], side="right") - 1
-        for s, i, j in self._ranges(shard):
-            own = known[i:j]
-            arrays = mapped.load(f"{self.path}/{kind}/{s}")
-            for o, name in zip(out, names, strict=True):
-                o[own] = arrays[name][ids[own] - self.bases[s]]
-        return out
+    def owner(self, ids: np.ndarray) -> np.ndarray:
+        """Range of each word."""
+        return np.searchsorted(self.bases, ids, side="right") - 1
 
-    def pair_counts(self, pairs: np.ndarray) -> np.ndarray:
-        """Counts of ascending pairs."""
-        out = np.zeros(len(pairs))
-        shard = _range_of(mix(pairs), self.pairs)
-        order = np.argsort(shard, kind="stable")
-        for s, i, j in self._ranges(shard[order]):
-            if s in self.full_pairs:
-                own, arrays = order[i:j], mapped.load(f"{self.path}/pairs/{s}")
-                keys = arrays["keys"]
-                at = np.minimum(np.searchsorted(keys, pairs[own]), len(keys) - 1)
-                out[own] = np.where(keys[at] == pairs[own], arrays["counts"][at], 0)
+    def of_words(self, ids: np.ndarray, kind: str) -> np.ndarray:
+        """The words' numbers for ascending ids; 0 for UNKNOWN."""
+        out, known = np.zeros(len(ids)), np.flatnonzero(ids >= 0)
+        for s, i, j in self._ranges(self.owner(ids[known])):
+            own = known[i:j]
+            out[own] = _value(mapped.load(f"{self.path}/{kind}/{s}"), "counts", ids[own] - self.bases[s])
         return out
 
     def word_probability(self, continuations: np.ndarray) -> np.ndarray:
-        """Lower order: discounted share of the contexts a word follows, interpolated with the same share for all types and one unknown."""
+        """Lowest order: discounted share of the contexts a word follows, interpolated with the same share for all types and one unknown."""
         if not self.continuations:
             return np.full(len(continuations), 1 / (self.types + 1))
-        rest = sum(d * n for d, n in zip(self.word_discounts, self.word_kinds, strict=True)) / self.continuations
-        return _discounted(continuations, self.word_discounts) / self.continuations + rest / (self.types + 1)
+        rest = sum(d * n for d, n in zip(self.discounts[1], self.word_kinds, strict=True)) / self.continuations
+        return _discounted(continuations, self.discounts[1]) / self.continuations + rest / (self.types + 1)
 
     def score(self, hashes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each text: known tokens, base score, log10 probability."""
         first = np.cumsum(lengths) - lengths
         uniq, inv = np.unique(hashes, return_inverse=True)
         uid = self.ids(uniq)
-        (raw,) = self.of_words(uid, "words", ("counts",))
-        conts, one, two, more, sums = self.of_words(uid, "contexts", ("conts", "one", "two", "more", "total"))
-        lower = self.word_probability(conts)[inv]
+        raw = self.of_words(uid, "words")
         base = np.log10((raw + 1) / (self.tokens + 1 * (self.types + 1)))[inv]
         known = (raw > 0)[inv]
-        ids = uid[inv]
-        before, total, rest = np.empty(len(ids), np.int64), np.empty(len(ids)), np.empty(len(ids))
-        before[1:], total[1:], rest[1:] = ids[:-1], sums[inv][:-1], sum(d * x for d, x in zip(self.pair_discounts, (one, two, more), strict=True))[inv][:-1]
-        before[first], total[first] = self.start, self.texts  # runs at the start keep their occurrences
-        rest[first] = self.start_rest()
-        ok = (before >= 0) & (total > 0)
-        both = ok & (ids >= 0)
-        counts = np.zeros(len(ids))
-        pairs, back = np.unique((before[both].astype(np.uint64) << np.uint64(32)) | ids[both].astype(np.uint64), return_inverse=True)
-        counts[both] = self.pair_counts(pairs)[back]
-        total = np.where(ok, total, 1.0)
-        p = np.where(ok, _discounted(counts, self.pair_discounts) / total + rest / total * lower, lower)
-        seq, place = _padded(ids, lengths, self.start)
-        for k in range(3, self.order + 1):
+        p = self.word_probability(self.of_words(uid, "conts") if self.tokens else raw)[inv]
+        seq, place = _padded(uid[inv], lengths, self.start)
+        for k in range(2, self.order + 1):
             p = self.longer(k, seq, place, p)
         add = lambda x: np.add.reduceat(x, first) if len(first) else x
         return add(known.astype(np.int64)), add(base), add(np.log10(p))
@@ -262,32 +283,29 @@ class Model:
         token, ends = np.cumsum(place > 0) - 1, np.flatnonzero(place >= k - 1)
         for i in range(1, k):
             ends = ends[seq[ends - i] >= 0]
-        if not len(ends):
+        if not len(ends) or not self.tokens:
             return lower
-        columns = _runs(seq, ends, k)
-        context = _context_keys(columns)
+        columns = _columns(seq, ends, k)
+        context = _context_hash(columns)
         key = mix(context * _GOLD + columns[-1] + np.uint64(1))
         count, total, rest = (np.zeros(len(ends)) for _ in range(3))
-        order = np.argsort(context, kind="stable")
-        for s, i, j in self._ranges(_range_of(context[order], self.pairs)):
-            if s not in self.full_runs[k]:
+        order = np.argsort(context)
+        for s, i, j in self._ranges(_range_of(context[order], self.shards)):
+            if s not in self.full[k]:
                 continue
             own, a = order[i:j], mapped.load(f"{self.path}/runs{k}/{s}")
-            at = np.minimum(np.searchsorted(a["contexts"], context[own]), len(a["contexts"]) - 1)
-            own, at = own[a["contexts"][at] == context[own]], at[a["contexts"][at] == context[own]]
-            total[own] = a["total"][at]
-            rest[own] = sum(d * a[n][at] for d, n in zip(self.run_discounts[k], ("one", "two", "more"), strict=True))
-            at = np.minimum(np.searchsorted(a["keys"], key[own]), len(a["keys"]) - 1)
-            count[own] = np.where((a["keys"][at] == key[own]) & (seq[ends[own]] >= 0), a["counts"][at], 0)
+            at = _find(a, "contexts", context[own], self.shards)
+            own, at = own[at >= 0], at[at >= 0]
+            total[own] = _value(a, "total", at)
+            rest[own] = sum(d * _value(a, n, at) for d, n in zip(self.discounts[k], ("one", "two", "more"), strict=True))
+            own = own[seq[ends[own]] >= 0]
+            at = _find(a, "keys", key[own], 1)
+            count[own[at >= 0]] = _value(a, "counts", at[at >= 0])
         ok = total > 0
         out, t = lower.copy(), token[ends[ok]]
-        out[t] = (_discounted(count[ok], self.run_discounts[k]) + rest[ok] * lower[t]) / total[ok]
+        out[t] = (_discounted(count[ok], self.discounts[k]) + rest[ok] * lower[t]) / total[ok]
         return out
 
-    def start_rest(self) -> float:
-        a = mapped.load(f"{self.path}/contexts/{self.words}") if self.texts else None
-        return 0.0 if a is None else float(sum(d * a[k][0] for d, k in zip(self.pair_discounts, ("one", "two", "more"), strict=True)))
-
 
 def _discounted(counts: np.ndarray, discounts: tuple[float, float, float]) -> np.ndarray:
     return np.maximum(counts - np.array([0.0, *discounts])[np.minimum(counts, 3).astype(np.int64)], 0)
@@ -300,127 +318,121 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(x, 0.0), k + 1.0) for k, x in enumerate(d))  # type: ignore[return-value]
 
 
-def train(spark: SparkSession, docs: DataFrame, word_bytes: int = 64 << 20, pair_bytes: int = 24 << 20, buffer: int = 3_000_000, order: int = 2) -> Model:
-    """Counts the column `tokens` (hashes) of docs, whose texts have `size` bytes: a range of words for each word_bytes, one of pairs for each pair_bytes of text."""
+def train(spark: SparkSession, docs: DataFrame, word_bytes: int = 64 << 20, pair_bytes: int = 24 << 20, buffer: int = 3_000_000, order: int = 2, passes: int = 3) -> Model:
+    """Counts the column `tokens` (hashes) of docs, whose texts have `size` bytes: a range of words for each word_bytes, one of contexts for each pair_bytes of text."""
     size = docs.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     at = workspace(spark)
-    model = Model(local_path(at), max(1, -(-size[0] // word_bytes)), max(1, -(-size[0] // pair_bytes)), texts=size[1], order=order)
+    model = Model(local_path(at), max(1, -(-size[0] // word_bytes)), max(1, -(-size[0] // pair_bytes)), order)
     tokens = docs.select("tokens")
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for hashes, _ in _texts(batches, buffer):
             keys, counts = np.unique(hashes, return_counts=True)
-            yield from _blocks(_send(keys, _range_of(keys, model.words), counts))
+            yield from _blocks(1, _send(keys, _range_of(keys, model.words), counts))
+        release()
 
     def merge_words(key: tuple, t: pa.Table) -> pa.Table:
         keys, counts = _merge([_unpack(x) for x in t.column("payload").to_pylist()])
-        mapped.save(f"{model.path}/words/{key[0].as_py()}", {"keys": keys, "counts": counts.astype(np.uint64)})
+        mapped.save(f"{model.path}/words/{key[0].as_py()}", {"keys": keys, **_numbers("counts", counts)})
         return pa.table({"shard": [key[0].as_py()], "types": [len(keys)], "tokens": [int(counts.sum())]})
 
-    merged = tokens.mapInArrow(count_words, BLOCK).groupBy("shard").applyInArrow(merge_words, "shard bigint, types bigint, tokens bigint")
+    merged = written(spark, tokens.mapInArrow(count_words, BLOCK).groupBy("shard").applyInArrow(merge_words, "shard bigint, types bigint, tokens bigint"), f"{at}/sizes")
     found = {r[0]: (r[1], r[2]) for r in merged.collect()}  # one row for each range of words
     for s in range(model.words):
         model.bases.append(model.types)
         model.types += found.get(s, (0, 0))[0]
         model.tokens += found.get(s, (0, 0))[1]
-    model.full = frozenset(found)
-    if model.types >= 1 << 32:
-        raise ValueError("over 2^32 words")
-    if not model.texts:
+    model.full[1] = frozenset(found)
+    if not model.tokens:
         return model
-    sizes = [*[found.get(s, (0, 0))[0] for s in range(model.words)], 1]
-
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for hashes, lengths in _texts(batches, buffer):
-            uniq, inv = np.unique(hashes, return_inverse=True)
-            ids = model.ids(uniq).astype(np.uint64)[inv]
-            before = np.empty(len(ids), np.uint64)
-            before[1:] = ids[:-1]
-            before[np.cumsum(lengths) - lengths] = model.start
-            del uniq, inv
-            pairs, counts = np.unique((before << np.uint64(32)) | ids, return_counts=True)
-            yield from _blocks(_send(pairs, _range_of(mix(pairs), model.pairs), counts))
-
-    def count_runs(k: int, starts: bool):
-        """Runs of k words: all, or those at the start of a text."""
+    bits, start = model.bits, model.start
+
+    def send_runs(columns: list[np.ndarray], counts: np.ndarray, low: int = 0, high: int = 1 << 62) -> Iterator[tuple[int, bytes]]:
+        """Runs of two words or more to the shard of their context, as far as that is in the range; single words to their own range."""
+        shard = _range_of(_context_hash(columns), model.shards) if len(columns) > 1 else model.owner(columns[0].astype(np.int64))
+        own = (shard >= low) & (shard < high)
+        packed, counts = _distinct(_packed([c[own] for c in columns], bits), counts[own])
+        columns = _unpacked(packed, bits, len(columns))
+        shard = _range_of(_context_hash(columns), model.shards) if len(columns) > 1 else model.owner(columns[0].astype(np.int64))
+        yield from _send(packed[0], shard, *packed[1:], counts)
+
+    def count_runs(low: int, high: int):
+        """Runs of `order` words; of a text that is shorter, with its start, all of it."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for hashes, lengths in _texts(batches, buffer):
                 uniq, inv = np.unique(hashes, return_inverse=True)
-                seq, place = _padded(model.ids(uniq)[inv], lengths, model.start)
-                ends = np.flatnonzero(place == k - 1 if starts else place >= k - 1)
-                yield from _blocks(send_runs(*_distinct(_runs(seq, ends, k), np.ones(len(ends), np.int64))))
+                seq, place = _padded(model.ids(uniq)[inv], lengths, start)
+                del uniq, inv
+                last = np.cumsum(lengths + 1) - 1
+                for k in range(2, order + 1):
+                    ends = np.flatnonzero(place >= k - 1) if k == order else last[lengths + 1 == k]
+                    if len(ends):
+                        yield from _blocks(k, send_runs(_columns(seq, ends, k), np.ones(len(ends), np.int64), low, high))
+            release()
 
         return run
 
-    def send_runs(columns: list[np.ndarray], counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
-        hashes = mix(columns[0]) if len(columns) == 1 else _context_keys(columns)
-        yield from _send(columns[0], _range_of(hashes, model.pairs), *columns[1:], counts)
-
     def merge_runs(k: int):
         def run(key: tuple, t: pa.Table) -> pa.Table:
-            s = key[0].as_py()
-            *columns, counts = (np.concatenate(x) for x in zip(*[_unpack(x) for x in t.column("payload").to_pylist()], strict=True))
-            columns, counts = _distinct(columns, counts)
-            context = _context_keys(columns)
+            level, s = key[0].as_py(), key[1].as_py()
+            payloads = t.column("payload").to_pylist()
+            if level < k:  # of a later turn
+                return _rows([(level, s, x) for x in payloads])
+            *packed, counts = (np.concatenate(x) for x in zip(*[_unpack(x) for x in payloads], strict=True))
+            del payloads
+            packed, counts = _distinct(packed, counts)
+            columns = _unpacked(packed, bits, k)
+            context = _context_hash(columns)
             keys = mix(context * _GOLD + columns[-1] + np.uint64(1))
-            by = np.argsort(keys, kind="stable")
-            u, i = np.unique(context, return_inverse=True)
-            kinds = {n: np.bincount(i, weights=w).astype(np.int64) for n, w in (("total", counts), ("one", counts == 1), ("two", counts == 2), ("more", counts >= 3))}
-            mapped.save(f"{model.path}/runs{k}/{s}", {"keys": keys[by], "counts": _narrow(counts[by]), "contexts": u, **{n: _narrow(x) for n, x in kinds.items()}})
-            numbers = np.array([np.count_nonzero(counts == c) for c in (1, 2, 3, 4)], np.int64).tobytes()
-            del context, keys, by, u, i, kinds
-            words = [columns[0] & _ID, *columns[1:]]
-            shorter = _distinct([(words[0] << np.uint64(32)) | words[1], *words[2:]], np.ones(len(counts), np.int64))
-            rows = [(x, 1, p) for x, p in send_runs(*shorter)] + [(s, 2, numbers)]
-            return pa.table({"shard": pa.array([r[0] for r in rows], pa.int64()), "kind": pa.array([r[1] for r in rows], pa.int32()), "payload": pa.array([r[2] for r in rows], pa.binary())})
+            by = np.argsort(keys)
+            out = _keys("keys", keys[by], 1) | _numbers("counts", counts[by])
+            by = np.argsort(context)
+            first = np.flatnonzero(np.r_[True, np.diff(context[by]) > 0])
+            c = counts[by]
+            out |= _keys("contexts", context[by][first], model.shards)
+            for name, w in (("total", c), ("one", c == 1), ("two", c == 2), ("more", c >= 3)):
+                out |= _numbers(name, np.add.reduceat(w.astype(np.int64), first))
+            mapped.save(f"{model.path}/runs{k}/{s}", out)
+            rows = [(0, s, np.array([np.count_nonzero(counts == n) for n in (1, 2, 3, 4)], np.int64).tobytes())]
+            del context, keys, by, first, c, out
+            rows += [(k - 1, x, p) for x, p in send_runs(columns[1:], np.ones(len(counts), np.int64))]
+            if k > 2:
+                own = columns[0] == start
+                rows += [(k - 1, x, p) for x, p in send_runs([c[own] for c in columns[:-1]], counts[own])]
+            release()
+            return _rows(rows)
 
         return run
 
-    blocks = tokens.mapInArrow(count_pairs if order == 2 else count_runs(order, False), BLOCK)
-    for k in range(order, 2, -1):
-        made = written(spark, blocks.groupBy("shard").applyInArrow(merge_runs(k), "shard bigint, kind int, payload binary"), f"{at}/stats{k}")
-        found_runs = made.where("kind = 2")
-        model.full_runs[k] = frozenset(r[0] for r in found_runs.select("shard").collect())
-        model.run_discounts[k] = discounts(_sum_of(found_runs)) if model.full_runs[k] else (0.5, 1.0, 1.5)
-        blocks = made.where("kind = 1").select("shard", "payload").unionAll(tokens.mapInArrow(count_runs(k - 1, True), BLOCK))
-
-    def owner(ids: np.ndarray) -> np.ndarray:
-        return np.where(ids == model.start, model.words, np.searchsorted(model.bases, ids, side="right") - 1)
-
-    def merge_pairs(key: tuple, t: pa.Table) -> pa.Table:
-        pairs, counts = _merge([_unpack(x) for x in t.column("payload").to_pylist()])
-        mapped.save(f"{model.path}/pairs/{key[0].as_py()}", {"keys": pairs, "counts": counts.clip(0, (1 << 32) - 1).astype(np.uint32)})
-        left, right = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        rows = []
-        u, i = np.unique(left, return_inverse=True)
-        kinds = [np.bincount(i, weights=w).astype(np.int64) for w in (counts == 1, counts == 2, counts >= 3, counts)]
-        rows += [(s, 0, p) for s, p in _send(u, owner(u), *kinds)]
-        u, n = np.unique(right, return_counts=True)
-        rows += [(s, 1, p) for s, p in _send(u, owner(u), n)]
-        rows.append((key[0].as_py(), 2, np.array([np.count_nonzero(counts == k) for k in (1, 2, 3, 4)], np.int64).tobytes()))
-        return pa.table({"shard": pa.array([r[0] for r in rows], pa.int64()), "kind": pa.array([r[1] for r in rows], pa.int32()), "payload": pa.array([r[2] for r in rows], pa.binary())})
-
-    stats = written(spark, blocks.groupBy("shard").applyInArrow(merge_pairs, "shard bigint, kind int, payload binary"), f"{at}/stats")
-    model.full_pairs = frozenset(r[0] for r in stats.where("kind = 2").select("shard").collect())
-    model.pair_discounts = discounts(_sum_of(stats.where("kind = 2")))
-
-    def merge_contexts(key: tuple, t: pa.Table) -> pa.Table:
+    edges = [model.shards * i // passes for i in range(passes + 1)]
+    ranges, made = [(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True) if a < b], None
+    for k in range(order, 1, -1):
+        parts = []
+        for i, (low, high) in enumerate(ranges):
+            blocks = tokens.mapInArrow(count_runs(low, high), BLOCK) if made is None else made.where(f"level = {k} and shard >= {low} and shard < {high}")
+            if made is not None and i == 0:
+                blocks = blocks.unionAll(made.where(f"level > 0 and level < {k}"))
+            parts.append(written(spark, blocks.groupBy("level", "shard").applyInArrow(merge_runs(k), BLOCK), f"{at}/level{k}/{i}"))
+        above, made = made, reduce(DataFrame.unionAll, parts)
+        numbers = made.where("level = 0")
+        model.full[k] = frozenset(r[0] for r in numbers.select("shard").collect())  # one row for each shard
+        model.discounts[k] = discounts(_sum_of(numbers)) if model.full[k] else (0.5, 1.0, 1.5)
+        if above is not None:
+            forget(spark, f"{at}/level{k + 1}")
+
+    def merge_continuations(key: tuple, t: pa.Table) -> pa.Table:
         s = key[0].as_py()
-        base, n = (model.start, 1) if s == model.words else (model.bases[s], sizes[s])
-        arrays = {k: np.zeros(n, np.uint64 if k == "total" else np.uint32) for k in ("one", "two", "more", "total", "conts")}
-        for kind, payload in zip(t.column("kind").to_pylist(), t.column("payload").to_pylist(), strict=True):
-            ids, *values = _unpack(payload)
-            for name, v in zip(("one", "two", "more", "total") if kind == 0 else ("conts",), values, strict=True):
-                arrays[name][ids.astype(np.int64) - base] += v.astype(arrays[name].dtype)
-        mapped.save(f"{model.path}/contexts/{s}", arrays)
-        c = arrays["conts"]
+        ids, counts = _merge([_unpack(x) for x in t.column("payload").to_pylist()])
+        c = np.zeros(found[s][0], np.int64)
+        c[ids.astype(np.int64) - model.bases[s]] = counts
+        mapped.save(f"{model.path}/conts/{s}", _numbers("counts", c))
         numbers = [int(c.sum()), *[int(np.count_nonzero(c == k)) for k in (1, 2, 3, 4)], int(np.count_nonzero(c >= 3))]
         return pa.table({"payload": pa.array([np.array(numbers, np.int64).tobytes()], pa.binary())})
 
-    made = stats.where("kind < 2").groupBy("shard").applyInArrow(merge_contexts, "payload binary")
-    total, n1, n2, n3, n4, more = _sum_of(made)
-    model.continuations, model.word_kinds, model.word_discounts = total, (n1, n2, more), discounts([n1, n2, n3, n4])
+    total, n1, n2, n3, n4, more = _sum_of(made.where("level = 1").groupBy("shard").applyInArrow(merge_continuations, "payload binary"))
+    forget(spark, f"{at}/level2")
+    model.continuations, model.word_kinds, model.discounts[1] = total, (n1, n2, more), discounts([n1, n2, n3, n4])
     return model
 
 
@@ -441,13 +453,12 @@ def score_documents(spark: SparkSession, docs: DataFrame, held_out: Column, orde
     model = train(spark, d.where("not held_out"), order=order, **sizes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for low in range(0, len(whole), 1000):
-                batch = whole.slice(low, 1000)
-                hashes, lengths = next(_texts(iter([batch]), 1 << 62))
-                known, base, score = model.score(hashes, lengths)
-                cols = [batch.column("doc_id"), batch.column("held_out"), pa.array(lengths), pa.array(known), pa.array(np.full(len(lengths), model.tokens)), pa.array(base), pa.array(score), pa.array(10 ** (-score / lengths))]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
+        for batch in slices(batches, "tokens", 1000, 500_000):
+            hashes, lengths = next(_texts(iter([batch.select(["tokens"])]), 1 << 40))
+            known, base, score = model.score(hashes, lengths)
+            cols = [batch.column("doc_id"), batch.column("held_out"), pa.array(lengths), pa.array(known), pa.array(np.full(len(lengths), model.tokens)), pa.array(base), pa.array(score), pa.array(10 ** (-score / lengths))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
+        release()
 
     kind = d.schema["doc_id"].dataType.simpleString()
     return d.select("doc_id", "held_out", "tokens").mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double")
