@@ -132,6 +132,20 @@ def test_sentencepiece(spark):
         assert got[i].ids == ids and got[i].decoded == sp.decode(ids) and got[i].n_tokens == len(ids)
         assert got[i].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert got[i].ends == sorted(got[i].ends) and (not t or got[i].ends[-1] == len(t.encode()))
+    c = pieces.Coder(path)
+    met, normal = [], c.normalizer
+
+    class Spy(pieces.Normalizer):
+        def __init__(self):
+            self.__dict__ = normal.__dict__
+
+        def keeps(self, text):
+            met.append(text)
+            return False
+
+    c.normalizer = Spy()
+    list(c.encode(["some words here and words there"]))
+    assert sorted(met) == ["and", "here", "some", "there", "words"] and c.by_chunk  # each distinct chunk goes through the normaliser, once
     c = pieces.coder(path)
     raw = "naïve café".encode()
     ids, ends, _ = next(c.encode(["naïve café"]))
@@ -205,6 +219,8 @@ def test_url_filter(spark):
     for small in (10, 0):
         got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(p, rules, most_broadcast=small).collect()}
         assert got == {i: brute(u) for i, u in enumerate(urls)}
+    long = spark.createDataFrame([(1, "http://" + "a." * 20_000 + "example.com/en/x")], "page_id bigint, url string")
+    assert [r.rule for r in url_filter.judge_urls(long, rules).collect()] == ["example.com/en/"]
     twice = p.where("page_id < 3").withColumn("page_id", F.lit(None).cast("bigint"))
     assert url_filter.judge_urls(twice.union(twice), rules).count() == 6
     assert url_filter.judge_urls(p, rules.limit(0)).where("verdict = 'block'").count() == 0
