@@ -112,6 +112,25 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, rows: int = 500, size
             low = high
 
 
+class Recent:
+    """What is known of the keys used last: once `most` of them are in the young part, it becomes the old part, which the next one replaces."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def missing(self, keys: set) -> list:
+        """Those of the keys that aren't known; the others are in `young` from now on, and so must these be put."""
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+        young, old, out = self.young, self.old, []
+        for k in keys.difference(young):
+            if k in old:
+                young[k] = old[k]
+            else:
+                out.append(k)
+        return out
+
+
 def release() -> None:
     """Gives back what a worker's allocators hold but don't use: workers live on, and the next stage's memory would come on top."""
     pa.default_memory_pool().release_unused()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, release, slices
+from .common import Recent, pick, release, slices
 
 SPACE = "▁"
 #: What a text is cut into: spaces and what follows them; spaces at the end.
@@ -180,7 +180,7 @@ class Coder:
     #: Words are merged together in groups of so many characters at most; longer ones one by one.
     WIDTHS = (6, 8, 10, 12, 16, 24, 64)
 
-    def __init__(self, path: str, remembered: int = 200_000):
+    def __init__(self, path: str, remembered: int = 120_000):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         m = pb.ModelProto()
@@ -202,12 +202,11 @@ class Coder:
         lone = "" if any("\n" in p for p in self.scores) else "\n"
         self.cut = re.compile(r"(?s).+" if inner else rf"{SPACE}*[^{SPACE}{lone}]+|{SPACE}+" + (r"|\n+" if lone else ""))
         self.parts = re.compile(f"[ {SPACE}{lone}]")
-        self.merges, self.remembered = Merges(self.scores, self.ids), remembered
+        self.merges = Merges(self.scores, self.ids)
         self.sizes = np.array([len(p.encode()) for p in self.pieces], np.uint8)  # more than 255 bytes raise an error
         # What is known: of normalised words their ids, bytes of each piece and decoded text; of chunks (what follows a space up to the next run of spaces)
         # their ids, source bytes of each piece (the space's with the first), and decoded text.
-        self.words: dict[str, tuple[bytes, bytes, str]] = {}
-        self.chunks: dict[str, tuple[bytes, bytes, str] | None] = {}
+        self.words, self.chunks = Recent(remembered // 4), Recent(remembered)
         # A text may be cut before each run of spaces if no piece reaches over such a place and the character map neither.
         self.by_chunk = self.normalizer.dummy and self.normalizer.escape and not inner and not self.normalizer.map.spans_spaces
 
@@ -257,12 +256,15 @@ class Coder:
         first = next((i for i in ids if i not in self.silent), None)
         return text[1:] if self.normalizer.dummy and first is not None and first not in self.bytes_of and text.startswith(" ") else text
 
-    def learn(self, words: set[str]) -> None:
-        """Takes normalised words in."""
-        for w, ids, sizes in self.merged(words.difference(self.words)):
-            self.words[w] = self.alone(w) if ids is None else (ids, sizes, w.replace(SPACE, " "))
+    def learn(self, words: set[str]) -> dict[str, tuple[bytes, bytes, str]]:
+        """What is known of normalised words, these among them."""
+        new = self.words.missing(words)
+        known = self.words.young
+        for w, ids, sizes in self.merged(new):
+            known[w] = self.alone(w) if ids is None else (ids, sizes, w.replace(SPACE, " "))
+        return known
 
-    def merged(self, words: set[str], together: int = 20_000) -> Iterator[tuple[str, bytes | None, bytes]]:
+    def merged(self, words: list[str] | set[str], together: int = 20_000) -> Iterator[tuple[str, bytes | None, bytes]]:
         """Each word with its ids and bytes of each piece; many short ones are merged at a time. Without them where the word is long or has characters that are no pieces."""
         new = sorted(words, key=len)
         lengths = np.array([len(w) for w in new])
@@ -284,27 +286,27 @@ class Coder:
         ids = self.merge(word)
         return array("I", ids).tobytes(), bytes([1 if i in self.bytes_of else self.sizes[i] for i in ids]), self.decode_pieces(ids)
 
-    def learn_chunks(self, chunks: set[str]) -> None:
+    def learn_chunks(self, chunks: list[str]) -> None:
         """Takes chunks in, each normalised. None for one that can't be encoded apart from its neighbours, because spaces come of its other characters or nothing does.
 
         A chunk that the normaliser keeps as it is, and that is one word, has its pieces' own bytes; with the first one goes a byte for the space.
         """
-        apart, extra = self.parts, len(SPACE.encode()) - 1
+        apart, extra, known_chunks = self.parts, len(SPACE.encode()) - 1, self.chunks.young
         whole = {SPACE + c for c in chunks if c and not apart.search(c) and self.normalizer.keeps(c)}
         for w, ids, sizes in self.merged(whole):
             c = w[1:]
             if ids is not None and len(c) < 250:
-                self.chunks[c] = ids, bytes((sizes[0] - extra,)) + sizes[1:], c
+                known_chunks[c] = ids, bytes((sizes[0] - extra,)) + sizes[1:], c
         made = []
-        for c in chunks.difference(self.chunks):
+        for c in [c for c in chunks if c not in known_chunks]:
             raw, align = self.normalizer(c, True)
             known = raw.decode()
             body = known[1:]
             unsafe = c.strip(" ") and (not body or body.endswith(SPACE) or self.normalizer.squeeze and body.startswith(SPACE))
             made.append((c, None if unsafe else self.cut.findall(known), align))
-        self.learn({w for _, words, _ in made if words for w in words})
+        of = self.learn({w for _, words, _ in made if words for w in words})
         for c, words, align in made:
-            self.chunks[c] = words and self.chunk(c, [self.words[w] for w in words], align)
+            known_chunks[c] = words and self.chunk(c, [of[w] for w in words], align)
 
     @staticmethod
     def chunk(c: str, parts: list[tuple[bytes, bytes, str]], align: list[int]) -> tuple[bytes, bytes, str] | None:
@@ -323,15 +325,12 @@ class Coder:
         The first piece starts at byte 0 and each other one where the one before ends; a piece that stands for a single byte covers just that.
         Chunks and words are normalised and merged once for all texts of the call, and for later ones as far as they are remembered.
         """
-        if len(self.chunks) > self.remembered:
-            self.chunks.clear()
-        if len(self.words) > self.remembered:
-            self.words.clear()
         cut = [self.chunks_of(t) for t in texts]
-        new = set().union(*[c for c in cut if c]).difference(self.chunks)
+        new = self.chunks.missing(set().union(*[c for c in cut if c]))
         self.learn_chunks(new)
+        known = self.chunks.young
         for t, c in zip(texts, cut, strict=True):
-            parts = c and [self.chunks[x] for x in c]
+            parts = c and [known[x] for x in c]
             if not parts or None in parts:
                 yield self.encode_aligned(t)
                 continue
@@ -340,7 +339,7 @@ class Coder:
             yield ids, ends, " ".join([p[2] for p in parts])
         for c in new:
             if len(c) > 40:
-                del self.chunks[c]
+                del known[c]
 
     def chunks_of(self, text: str) -> list[str] | None:
         if not text or not self.by_chunk:
@@ -353,8 +352,7 @@ class Coder:
         """As encode(), with the whole text normalised at once."""
         raw, align = self.normalizer(text)
         words = self.cut.findall(raw.decode())
-        self.learn(set(words))
-        parts = [self.words[w] for w in words]
+        parts = list(map(self.learn(set(words)).__getitem__, words))
         ids = np.frombuffer(b"".join([p[0] for p in parts]), "<u4")
         ends = np.array(align)[np.cumsum(np.frombuffer(b"".join([p[1] for p in parts]), np.uint8), dtype=np.int64)]
         decoded = "".join([p[2] for p in parts])

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import few, pick, release, slices
+from .common import Recent, few, pick, release, slices
 
 #: Row groups of so many bytes, pages of so many; delta encoding for the numbers that ascend or are small, a dictionary for token ids.
 LAYOUT = {
@@ -58,13 +58,17 @@ class Encoder:
     are. With any other tokenizer whole texts do.
     """
 
-    def __init__(self, path: str, remembered: int = 400_000):
+    def __init__(self, path: str, remembered: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.remembered, self.known, self.words, self.cuts = remembered, {"": b""}, {}, cuts_at_spaces(self.tokenizer)
+        self.known, self.words, self.cuts = Recent(remembered), Recent(remembered // 2), cuts_at_spaces(self.tokenizer)
+        # The same model for words that are normalised and cut already.
+        self.of_words = Tokenizer.from_file(path)
+        self.of_words.normalizer = normalizers.Sequence([])
+        self.of_words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), *[pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)] * self.bytewise])
         d = json.loads(self.tokenizer.to_str())
         pre = (d["pre_tokenizer"] or {}).get("pretokenizers", [d["pre_tokenizer"]])[0]
         self.word = regex.compile(pre["pattern"].get("Regex") or regex.escape(pre["pattern"]["String"])) if self.cuts else None
@@ -76,45 +80,48 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn_words(self, words: set[str], together: int = 2000) -> None:
-        new = list(words.difference(self.words))
+    @property
+    def bytewise(self) -> bool:
+        pre = json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {}
+        return any(x["type"] == "ByteLevel" for x in pre.get("pretokenizers", []))
+
+    def learn_words(self, words: set[str], together: int = 2000) -> dict[str, bytes]:
+        new = self.words.missing(words)
+        known = self.words.young
         for low in range(0, len(new), together):
             part = new[low : low + together]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.of_words.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
             if len(ends) == len(part):
                 raw, at = ids.tobytes(), ends.tolist()
-                self.words |= zip(part, [raw[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)], strict=True)
+                known |= zip(part, [raw[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)], strict=True)
             else:
-                self.words |= zip(part, self.whole(part), strict=True)
+                known |= zip(part, self.whole(part), strict=True)
+        return known
 
     def learn(self, chunks: list[str]) -> None:
         odd = [c for c in chunks if self.foreign.search(c)] if self.foreign.search(" ".join(chunks)) else []
-        self.known |= zip(odd, self.whole(odd), strict=True)
-        plain = [c for c in chunks if c not in self.known] if odd else chunks
+        known = self.known.young
+        known |= zip(odd, self.whole(odd), strict=True)
+        plain = [c for c in chunks if c not in known] if odd else chunks
         normal = self.tokenizer.normalizer.normalize_str(" ".join(plain)).split(" ") if self.tokenizer.normalizer else plain
         if len(normal) != len(plain):  # a chunk holds white space of another kind
             normal = [self.tokenizer.normalizer.normalize_str(c) for c in plain]
         cut = list(map(self.word.findall, normal))
-        self.learn_words({w for c in cut for w in c})
-        words = self.words
-        self.known |= ((c, words[w[0]] if len(w) == 1 else b"".join([words[x] for x in w])) for c, w in zip(plain, cut, strict=True))
+        words = self.learn_words({w for c in cut for w in c})
+        known |= ((c, words[w[0]] if len(w) == 1 else b"".join([words[x] for x in w])) for c, w in zip(plain, cut, strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
             return self.whole(texts)
-        if len(self.known) > self.remembered:
-            self.known = {"": b""}
-        if len(self.words) > self.remembered:
-            self.words = {}
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*cut).difference(self.known))
+        new = self.known.missing(set().union(*cut))
         self.learn(new)
-        look = self.known.__getitem__
+        look = self.known.young.__getitem__
         out = [b"".join(map(look, x)) for x in cut]
         for c in new:
             if len(c) > 40:
-                del self.known[c]
+                del self.known.young[c]
         return out
 
 
