@@ -31,6 +31,8 @@ LAYOUT = {
 }
 SCHEMA = "doc_id bigint, part int, nth bigint, part_start bigint, n_tokens bigint, ids array<int>"
 
+#: Stands between the ids of chunks.
+GAP = b"\xff" * 4
 #: Normalisers that treat what stands between spaces apart from the rest.
 APART = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase"}
 
@@ -50,7 +52,7 @@ def cuts_at_spaces(tokenizer: Any) -> bool:
 
 
 class Encoder:
-    """Ids of texts as bytes (little-endian unsigned 32-bit integers), equal to those of the library.
+    """Ids of texts, equal to those of the library; as bytes they are little-endian unsigned 32-bit integers.
 
     If the tokenizer takes what stands between spaces apart from the rest, texts are cut there. Chunks that aren't remembered go through the library's normaliser and
     are cut into words by the tokenizer's own pattern; words that aren't remembered go to the library, many in one string, where each word's ids end with one that
@@ -71,7 +73,8 @@ class Encoder:
         self.of_words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), *[pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)] * self.bytewise])
         d = json.loads(self.tokenizer.to_str())
         pre = (d["pre_tokenizer"] or {}).get("pretokenizers", [d["pre_tokenizer"]])[0]
-        self.word = regex.compile(pre["pattern"].get("Regex") or regex.escape(pre["pattern"]["String"])) if self.cuts else None
+        # Words and the spaces between chunks, in one search through many chunks.
+        self.word = regex.compile(f"(?:{pre['pattern'].get('Regex') or regex.escape(pre['pattern']['String'])})| ") if self.cuts else None
         self.foreign = re.compile("|".join(["[^\x00-\u024f]", *[re.escape(a["content"]) for a in d["added_tokens"]]]))
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
@@ -104,25 +107,41 @@ class Encoder:
         known = self.known.young
         known |= zip(odd, self.whole(odd), strict=True)
         plain = [c for c in chunks if c not in known] if odd else chunks
-        normal = self.tokenizer.normalizer.normalize_str(" ".join(plain)).split(" ") if self.tokenizer.normalizer else plain
-        if len(normal) != len(plain):  # a chunk holds white space of another kind
-            normal = [self.tokenizer.normalizer.normalize_str(c) for c in plain]
-        cut = list(map(self.word.findall, normal))
-        words = self.learn_words({w for c in cut for w in c})
-        known |= ((c, words[w[0]] if len(w) == 1 else b"".join([words[x] for x in w])) for c, w in zip(plain, cut, strict=True))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if not self.cuts:
-            return self.whole(texts)
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        new = self.known.missing(set().union(*cut))
-        self.learn(new)
-        look = self.known.young.__getitem__
-        out = [b"".join(map(look, x)) for x in cut]
+        normal = self.tokenizer.normalizer.normalize_str(" ".join(plain)) if self.tokenizer.normalizer else " ".join(plain)
+        if normal.count(" ") + 1 != len(plain):  # a chunk holds white space of another kind
+            odd = [self.tokenizer.normalizer.normalize_str(c).replace(" ", "\n") for c in plain]
+            normal = " ".join(odd)
+        found = self.word.findall(normal)
+        words = self.learn_words(set(found).difference((" ",)))
+        words[" "] = GAP
+        ids = b"".join(map(words.__getitem__, found))
+        # The gaps tell the chunks apart; no id is that large.
+        flat = np.frombuffer(ids, "<u4")
+        gaps = np.flatnonzero(flat == 0xFFFFFFFF)
+        begin, end = (np.r_[0, gaps + 1] * 4).tolist(), (np.r_[gaps, len(flat)] * 4).tolist()
+        known |= zip(plain, [ids[a:b] for a, b in zip(begin, end, strict=True)], strict=True)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and how many each text has."""
+        if not self.cuts or not len(texts):
+            raw = self.whole(texts.to_pylist()) if len(texts) else []
+            return np.frombuffer(b"".join(raw), "<u4"), np.array([len(x) // 4 for x in raw], np.int64)
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        chunks = cut.flatten().dictionary_encode()
+        kinds, at = chunks.dictionary.to_numpy(zero_copy_only=False).tolist(), chunks.indices.to_numpy()
+        new = self.known.missing(set(kinds))
+        if new:
+            self.learn(new)
+        raw = list(map(self.known.young.__getitem__, kinds))
         for c in new:
             if len(c) > 40:
                 del self.known.young[c]
-        return out
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        begin, each = np.cumsum(sizes) - sizes, sizes[at]
+        upto = np.cumsum(each)
+        ids = np.frombuffer(b"".join(raw), "<u4").take(np.repeat(begin[at] - (upto - each), each) + np.arange(int(upto[-1])))
+        ends = np.cumsum(pc.list_value_length(cut).to_numpy().astype(np.int64))
+        return ids, np.diff(np.r_[0, upto][ends], prepend=0)
 
 
 @lru_cache(maxsize=4)
@@ -141,13 +160,16 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int, partit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = encoder(tokenizer), TaskContext.get().partitionId()
-        tail = np.array([end_id], "<u4").tobytes()
         nth = start = 0
-        for batch in slices(batches, "text"):
-            raw = [x + tail for x in encode(batch.column("text").to_pylist())]
-            n = np.array([len(x) // 4 for x in raw], np.int64)
+        for batch in slices(batches, "text", 2000, 8 << 20):
+            found, n = encode(batch.column("text"))
+            n = n + 1
             ends = np.cumsum(n)
-            ids = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+            flat = np.full(int(ends[-1]), end_id, np.uint32)
+            inner = np.ones(len(flat), bool)
+            inner[ends - 1] = False
+            flat[inner] = found
+            ids = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(flat.view(np.int32)))
             cols = [batch.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(np.arange(nth, nth + len(n))), pa.array(start + ends - n), pa.array(n), ids]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "part", "nth", "part_start", "n_tokens", "ids"])
             nth, start = nth + len(n), start + int(n.sum())
