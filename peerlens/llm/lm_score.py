@@ -318,7 +318,7 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(x, 0.0), k + 1.0) for k, x in enumerate(d))  # type: ignore[return-value]
 
 
-def train(spark: SparkSession, docs: DataFrame, word_bytes: int = 64 << 20, pair_bytes: int = 24 << 20, buffer: int = 3_000_000, order: int = 2, passes: int = 3) -> Model:
+def train(spark: SparkSession, docs: DataFrame, word_bytes: int = 64 << 20, pair_bytes: int = 24 << 20, buffer: int = 3_000_000, order: int = 2, passes: int = 2) -> Model:
     """Counts the column `tokens` (hashes) of docs, whose texts have `size` bytes: a range of words for each word_bytes, one of contexts for each pair_bytes of text."""
     size = docs.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     at = workspace(spark)
