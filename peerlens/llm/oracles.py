@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .common import LOWER, UPPER
-from .quality import ABUSE, POLICIES, RULES
+from .quality import LEAST, POLICIES, RATIO, RULES, TOXIC, WORDS
 from .url_filter import RULES as URL_RULES
 
 _SPACES = r"[\x20\x09-\x0D]+"
@@ -46,9 +46,15 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM m GROUP BY doc_id
 """
 
-_RULE_SQL = " + ".join(f"(CASE WHEN {r.failed} THEN {1 << r.bit} ELSE 0 END)" for r in RULES)
+_RULE_SQL = " + ".join(f"(CASE WHEN {r.failed} THEN {1 << r.bit} ELSE 0 END)" for r in [*RULES, TOXIC])
 OP4 = rf"""
-WITH d AS (
+WITH pw AS (SELECT doc_id, {_words('text')} AS ws FROM documents),
+ld AS (SELECT l.toxic = 1 AS toxic, list_distinct(ws) AS ws FROM pw JOIN labels l USING (doc_id) WHERE l.toxic IS NOT NULL),
+sz AS (SELECT count(*) FILTER (WHERE toxic) AS all_t, count(*) FILTER (WHERE NOT toxic) AS all_c FROM ld),
+ew AS (SELECT w, count(*) FILTER (WHERE toxic) AS t, count(*) FILTER (WHERE NOT toxic) AS c FROM (SELECT toxic, unnest(ws) AS w FROM ld) GROUP BY w),
+lex AS (SELECT w FROM ew CROSS JOIN sz WHERE t >= {LEAST} AND t * (all_c + 1) >= {RATIO} * (c + 0.5) * (all_t + 1) ORDER BY t DESC, w LIMIT {WORDS}),
+px AS (SELECT doc_id, count(*) AS n_plain, count(lex.w) AS n_toxic FROM (SELECT doc_id, unnest(ws) AS w FROM pw) x LEFT JOIN lex ON x.w = lex.w GROUP BY doc_id),
+d AS (
   SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '{_SPACES}'), lambda x: x <> '') AS w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
 g AS (SELECT doc_id, s, array_to_string(w[s:s + 4], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 3)) AS s FROM d)),
@@ -59,11 +65,11 @@ rep AS (
 m AS (
   SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
     len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(regexp_extract_all(t, '!!')) AS n_bangs,
-    len(regexp_extract_all(t, '[A-Z]')) AS n_upper, len(lines) AS n_lines, len(regexp_extract_all(t, '(?i)\b(?:{'|'.join(ABUSE)})\b')) AS n_abuse
-  FROM d LEFT JOIN rep ON d.doc_id = rep.doc_id),
+    len(regexp_extract_all(t, '[A-Z]')) AS n_upper, len(lines) AS n_lines, coalesce(px.n_plain, 0) AS n_plain, coalesce(px.n_toxic, 0) AS n_toxic
+  FROM d LEFT JOIN rep ON d.doc_id = rep.doc_id LEFT JOIN px ON d.doc_id = px.doc_id),
 f AS (SELECT *, ({_RULE_SQL})::BIGINT AS failures FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & {POLICIES['base', 1].mask}) <> 0 AS base_failed,
-  (failures & {POLICIES['clean', 2].mask}) = 0 AS kept, failures, n_bangs, n_upper, n_lines, n_abuse FROM f
+  (failures & {POLICIES['clean', 3].mask}) = 0 AS kept, failures, n_bangs, n_upper, n_lines, n_plain, n_toxic FROM f
 """
 
 _URL_RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)

@@ -14,10 +14,6 @@ from pyspark.sql import functions as F
 
 from .common import NON_WORD, SPACES, ascii_lower, pick, split_words
 
-#: Words of abuse; a fixed list of English words. The rule `toxic` learns those of every language from labels.
-ABUSE = ["idiot", "moron", "scum", "stupid", "trash", "worthless", "disgusting", "pathetic", "clown", "loser"]
-
-
 def measures() -> dict[str, Column]:
     """Measurements over the columns text, words, lines and grams (hashes of 5-word windows)."""
     t = F.coalesce("text", F.lit(""))
@@ -31,7 +27,6 @@ def measures() -> dict[str, Column]:
         "n_upper": F.regexp_count(t, F.lit("[A-Z]")).cast("bigint"),
         "n_lines": F.size(nonblank).cast("bigint"),
         "n_dup_lines": (F.size(nonblank) - F.size(F.array_distinct(nonblank))).cast("bigint"),
-        "n_abuse": F.regexp_count(t, F.lit(rf"(?i)\b(?:{'|'.join(ABUSE)})\b")).cast("bigint"),
         "n_repeat_words": repeat_words(F.col("grams")).cast("bigint"),
     }
 
@@ -66,7 +61,7 @@ class Rule:
     failed: str
 
 
-#: The ledger's rules; bits are stable across versions.
+#: The ledger's rules; bits are stable across versions. Bit 7 was a fixed list of words and isn't used again.
 RULES = [
     Rule("few_words", 0, "n_words < 10"),
     Rule("repeated_windows", 1, "100 * n_repeat_words > 20 * n_words"),
@@ -75,7 +70,6 @@ RULES = [
     Rule("capitals", 4, "10 * n_upper > 6 * word_chars"),
     Rule("repeated_lines", 5, "n_lines >= 4 and 10 * n_dup_lines > 3 * n_lines"),
     Rule("word_length", 6, "word_chars > 20 * n_words or 10 * word_chars < 15 * n_words"),
-    Rule("abuse", 7, "n_abuse >= 1"),
 ]
 #: Needs a lexicon, see with_ledger(); the ledger without one doesn't have it.
 TOXIC = Rule("toxic", 8, "n_toxic > 0 and 100 * n_toxic >= n_plain")
@@ -95,29 +89,30 @@ class Policy:
 
 POLICIES = {
     ("base", 1): Policy("base", 1, ("few_words", "repeated_windows")),
-    ("clean", 1): Policy("clean", 1, tuple(r.name for r in RULES if r.name != "abuse")),
-    ("clean", 2): Policy("clean", 2, tuple(r.name for r in RULES)),
-    ("clean", 3): Policy("clean", 3, (*[r.name for r in RULES if r.name != "abuse"], "toxic")),
+    ("clean", 1): Policy("clean", 1, tuple(r.name for r in RULES)),
+    ("clean", 3): Policy("clean", 3, (*[r.name for r in RULES], "toxic")),
 }
 
+#: Of the labelled rows at most so many are learned from; a word counts from so many toxic texts on, and from so many times its share of the others; so many words are kept.
+LABELLED, LEAST, RATIO, WORDS = 200_000, 4, 20, 10_000
+
 
 def plain_words(text: Column) -> Column:
     return split_words(ascii_lower(text), NON_WORD)
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, rows: int = 200_000, least: int = 4, ratio: int = 20, most: int = 10_000) -> list[str]:
-    """Words of toxic texts of any language: in `least` labelled toxic texts or more, and in a share of them that is `ratio` times that of the others; ABUSE with them.
+def learn_lexicon(docs: DataFrame, labels: DataFrame, rows: int = LABELLED, least: int = LEAST, ratio: int = RATIO, most: int = WORDS) -> list[str]:
+    """Words of toxic texts of any language: in `least` labelled toxic texts or more, and in a share of them that is `ratio` times that of the others.
 
-    At most `rows` labelled rows, drawn by a hash of doc_id, are read, and the `most` most frequent words are kept, so the driver holds a bounded list.
+    At most `rows` labelled rows, drawn by a hash of doc_id, are read, and the `most` most frequent words are kept, so the driver holds a bounded list. Without labelled
+    toxic texts there are none.
     """
     known = pick(labels, doc_id="", toxic="int").where("toxic is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     d = pick(docs, doc_id="", text="string").join(F.broadcast(known), "doc_id").select((F.col("toxic") == 1).alias("toxic"), F.array_distinct(plain_words(F.col("text"))).alias("words"))
-    sizes = d.agg(F.count_if("toxic"), F.count_if(~F.col("toxic"))).first()
-    if not sizes[0]:
-        return sorted(ABUSE)
-    each = d.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("c"))
-    found = each.where((F.col("t") >= least) & (F.col("t") * F.lit(sizes[1] + 1) >= ratio * (F.col("c") + 0.5) * F.lit(sizes[0] + 1)))
-    return sorted({*ABUSE, *[r.word for r in found.orderBy(F.desc("t"), "word").limit(most).collect()]})
+    each = d.select("toxic", F.explode(F.concat(F.array(F.lit("")), "words")).alias("word")).groupBy("word").agg(F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("c"))
+    sizes = F.broadcast(each.where("word = ''").select(F.col("t").alias("all_t"), F.col("c").alias("all_c")))  # one row: every text has the empty word once
+    found = each.where("word <> ''").crossJoin(sizes).where((F.col("t") >= least) & (F.col("t") * (F.col("all_c") + 1) >= ratio * (F.col("c") + 0.5) * (F.col("all_t") + 1)))
+    return sorted(r.word for r in found.orderBy(F.desc("t"), "word").limit(most).collect())
 
 
 def with_ledger(df: DataFrame, lexicon: list[str] | None = None) -> DataFrame:

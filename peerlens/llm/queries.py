@@ -35,17 +35,11 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    led = quality.apply_policy(quality.ledger(_read(spark, sf_dir, "documents")), quality.POLICIES["clean", 2])
-    base = F.col("failures").bitwiseAND(F.lit(quality.POLICIES["base", 1].mask)) != 0
-    return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failures", "n_bangs", "n_upper", "n_lines", "n_abuse")
-
-
-def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger with the learned rule. A query of its own, because op4_quality_rules must give the rows of its SQL, which has no learned rule."""
     docs = _read(spark, sf_dir, "documents")
     led = quality.ledger(docs, quality.learn_lexicon(docs, _read(spark, sf_dir, "labels")))
-    toxic = F.col("failures").bitwiseAND(F.lit(1 << quality.TOXIC.bit)) != 0
-    return quality.apply_policy(led, quality.POLICIES["clean", 3]).select("doc_id", "n_plain", "n_toxic", toxic.alias("toxic"), "failures", "kept")
+    led = quality.apply_policy(led, quality.POLICIES["clean", 3])
+    base = F.col("failures").bitwiseAND(F.lit(quality.POLICIES["base", 1].mask)) != 0
+    return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failures", "n_bangs", "n_upper", "n_lines", "n_plain", "n_toxic")
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,4 +71,4 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(spark, _read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op3_lm_score, op4_quality_rules, op4_toxicity, op5_sharding, op6_language_id, op7_sentencepiece, op8_token_store, op9_url_filter, op10_minhash)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op3_lm_score, op4_quality_rules, op5_sharding, op6_language_id, op7_sentencepiece, op8_token_store, op9_url_filter, op10_minhash)}

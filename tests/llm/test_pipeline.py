@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 
 import corpus_pipeline
-from peerlens.llm.quality import ABUSE
+from peerlens.llm.quality import LEAST, RATIO
 from peerlens.llm.queries import tokenizer_path
 
 from .test_line_dedup import brute as brute_lines
@@ -19,11 +19,22 @@ from .test_operators import base_measures, words
 SF = "/root/testdata/sf0.001"
 
 
-def keeps(text):
+def lexicon(docs, labels):
+    """Words of labelled toxic texts, counted one by one."""
+    toxic = {i: t for i, t in labels if t is not None}
+    sides = [[set(words(t)) for i, t in docs if toxic.get(i) == k] for k in (1, 0)]
+    seen = set().union(*sides[0])
+    count = lambda w, side: sum(w in x for x in side)
+    return {w for w in seen if (n := count(w, sides[0])) >= LEAST and n * (len(sides[1]) + 1) >= RATIO * (count(w, sides[1]) + 0.5) * (len(sides[0]) + 1)}
+
+
+def keeps(text, bad_words):
     n, chars, symbols, dup, rep = base_measures(text)
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     bangs, upper = len(re.findall("!!", text or "")), len(re.findall("[A-Z]", text or ""))
-    abuse = re.search(rf"(?i)\b(?:{'|'.join(ABUSE)})\b", text or "")
+    plain = words(text)
+    found = sum(w in bad_words for w in plain)
+    abuse = found > 0 and 100 * found >= len(plain)
     bad = n < 10 or 100 * rep > 20 * n or 10 * symbols > 3 * n or 10 * bangs > 2 * n or 10 * upper > 6 * chars or (len(lines) >= 4 and 10 * dup > 3 * len(lines)) or chars > 20 * n or 10 * chars < 15 * n or abuse
     return not bad
 
@@ -33,7 +44,8 @@ def test_pipeline_against_brute_force(spark):
 
     docs = duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()
     items = duckdb.sql(f"SELECT text FROM '{SF}/benchmark.parquet'").fetchall()
-    docs = [(i, t) for i, t in docs if keeps(t)]
+    bad_words = lexicon(docs, duckdb.sql(f"SELECT doc_id, toxic FROM '{SF}/labels.parquet'").fetchall())
+    docs = [(i, t) for i, t in docs if keeps(t, bad_words)]
     docs = sorted((i, t) for i, _, _, t in brute_lines(docs))
     top = dict(brute_classes(docs))
     docs = [(i, t) for i, t in docs if top[i] == i]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from peerlens.llm import quality
 
@@ -17,8 +19,8 @@ def tables(spark):
 def test_words_of_any_language_are_learned_and_judged_by_their_share(spark, tmp_path):
     docs, labels = tables(spark)
     lexicon = quality.learn_lexicon(docs, labels)
-    assert set(lexicon) == {*quality.ABUSE, "du", "mieser", "schuft"}
-    new = spark.createDataFrame([(1, CLEAN.format("neu") + " du mieser Schuft"), (2, " ".join(CLEAN.format(f"{i} y{i}") for i in range(30)) + " schuft idiot"), (3, CLEAN.format("drei")), (4, None)], "doc_id bigint, text string")
+    assert set(lexicon) == {"du", "mieser", "schuft"}
+    new = spark.createDataFrame([(1, CLEAN.format("neu") + " du mieser Schuft"), (2, " ".join(CLEAN.format(f"{i} y{i}") for i in range(30)) + " schuft du"), (3, CLEAN.format("drei")), (4, None)], "doc_id bigint, text string")
     got = {r.doc_id: r for r in quality.apply_policy(quality.ledger(new, lexicon), quality.POLICIES["clean", 3]).collect()}
     bit = 1 << quality.TOXIC.bit
     assert got[1].n_toxic == 3 and got[1].failures & bit and not got[1].kept
@@ -28,6 +30,7 @@ def test_words_of_any_language_are_learned_and_judged_by_their_share(spark, tmp_
     assert {r.doc_id for r in corpus_pipeline.quality_rules(spark, new, str(tmp_path)).collect()} & {1, 3} == {3}
 
 
-def test_without_labels_the_fixed_words_stay(spark):
+def test_without_labels_there_are_no_words(spark):
     docs, labels = tables(spark)
-    assert quality.learn_lexicon(docs, labels.limit(0)) == sorted(quality.ABUSE)
+    assert quality.learn_lexicon(docs, labels.limit(0)) == [] == quality.learn_lexicon(docs, labels.withColumn("toxic", F.lit(0)))
+    assert quality.ledger(docs, []).where("n_toxic > 0").count() == 0
