@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import Recent, few, pick, release, slices
 
-#: Row groups of so many bytes, pages of so many; delta encoding for the numbers that ascend or are small, a dictionary for token ids.
+#: Pages of so many bytes, in row groups of so many (see write_tokens()); delta encoding for the numbers that ascend or are small, a dictionary for token ids.
 LAYOUT = {
-    "parquet.block.size": str(16 << 20), "parquet.page.size": str(64 << 10), "parquet.page.row.count.limit": "2000", "parquet.writer.version": "PARQUET_2_0",
+    "parquet.page.size": str(64 << 10), "parquet.page.row.count.limit": "2000", "parquet.writer.version": "PARQUET_2_0",
     "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": str(2 << 20), "compression": "zstd",
     **{f"parquet.enable.dictionary#{c}": "false" for c in ("doc_id", "part", "nth", "part_start", "n_tokens")},
 }
@@ -149,7 +149,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int, partitions: int | None = None) -> None:
+def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int, partitions: int | None = None, row_group: int = 16 << 20) -> None:
     """Writes the ids of all texts, each with end_id after it, in ascending doc_id order (nulls first; equal ids by a hash of the text).
 
     The texts are range-partitioned once; each task then writes one file of the order. A null text is an empty one. Repeated rows stay.
@@ -176,7 +176,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int, partit
         release()
 
     writer = d.mapInArrow(run, SCHEMA).write.mode("overwrite")
-    for k, v in LAYOUT.items():
+    for k, v in {**LAYOUT, "parquet.block.size": str(row_group)}.items():
         writer = writer.option(k, v)
     writer.parquet(path)
 
@@ -192,6 +192,11 @@ def read_tokens(spark: SparkSession, path: str, most_broadcast: int = 100_000) -
     return t.join(F.broadcast(before) if few(totals, most_broadcast) else before, "part").select("doc_id", (F.col("base") + F.col("part_start")).alias("start"), "n_tokens", "ids")
 
 
+def read_documents(spark: SparkSession, path: str, first: int, last: int) -> DataFrame:
+    """The rows of read_tokens() for doc_ids from first to last. As files follow doc_id, its statistics leave only the row groups, and within them the pages, that overlap this range to be read."""
+    return read_tokens(spark, path).where(F.col("doc_id").between(first, last))
+
+
 def with_checksums(tokens: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of rows from read_tokens()."""
 

@@ -57,6 +57,56 @@ def test_against_brute_force(spark):
     assert sorted(map(tuple, near_dup.near_duplicates(spark, d).collect())) == brute(rows)
 
 
+def test_long_texts_and_largest_id(spark):
+    words = [f"w{i * 7919 % 5003}" for i in range(30_000)]
+    other = list(words)
+    for i in range(0, 30_000, 400):
+        other[i] = "changed"
+    last = (1 << 63) - 1
+    rows = [(last, " ".join(words)), (5, " ".join(other)), (6, " ".join(words[:15_000])), (7, "z" * 200_000), (None, "z" * 200_000)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = near_dup.near_duplicates(spark, d).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(last, 5), (5, 5), (6, 6), (7, 7), (None, 7)], key=repr)
+
+
+def test_groups_of_texts_are_split_and_chunked(spark):
+    rows = rows_of(9)
+    d = spark.createDataFrame([(i, t) for i, t in rows], "doc_id bigint, text string")
+    small = near_dup.ShingleSets(near_dup.pa.chunked_array([[[1, 2, 3, 4, 5, 6], [7], [1, 2, 3, 4, 5, 6]]]), 5, "count", 0)
+    assert near_dup.similarity(small(0), small(2)) == 1 and near_dup.similarity(small(0), small(1)) == 0 and len(small.known) == 1
+    assert sorted(map(tuple, near_dup.near_duplicates(spark, d).collect())) == brute(rows)
+
+
+def links_of(rows):
+    """All pairs that share a shingle and are similar enough, by the probability Jaccard similarity of whole texts."""
+    grams, holders = {}, {}
+    for i, t in rows:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        if w:
+            c = Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
+            e = np.array([hash(x) & 0xFFFFFFFFFFFFFFF for x in c], np.uint64)
+            order = np.argsort(e)
+            grams[i] = e[order], np.array(list(c.values()), float)[order]
+            for x in e.tolist():
+                holders.setdefault(x, []).append(i)
+    met = Counter((a, b) for h in holders.values() for k, b in enumerate(h) for a in h[:k])
+    return [(a, b) for (a, b), n in met.items() if n >= 0.6 * min(len(grams[a][0]), len(grams[b][0])) and near_dup.similarity(grams[a], grams[b]) >= 0.8]
+
+
+def test_recall_on_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    links = links_of([tuple(r) for r in docs.collect()])
+    top = {r.doc_id: r.class_id for r in near_dup.near_duplicates(spark, docs).collect()}
+    found = sum(top[a] == top[b] for a, b in links)
+    assert len(links) > 100 and found >= 0.99 * len(links), (found, len(links))
+    joined = {}
+    for i, c in top.items():
+        joined.setdefault(c, []).append(i)
+    linked = {x for p in links for x in p}
+    texts = dict(map(tuple, docs.collect()))
+    assert all(len(m) == 1 or all(i in linked or (texts[i] or "") in {texts[j] or "" for j in m if j != i} for i in m) for m in joined.values())
+
+
 def test_null_and_repeated_ids(spark):
     d = spark.createDataFrame([(None, "a b c d e f g"), (2, "a b c d e f g"), (2, "a b c d e f g"), (3, "other words are in here too"), (None, None)], "doc_id bigint, text string")
     got = sorted(map(tuple, near_dup.near_duplicates(spark, d).collect()), key=repr)
