@@ -27,12 +27,16 @@ def parse_amount(s: Column) -> Column:
 
 
 def money_cell(s: Column) -> Column:
-    """Number of a table cell with comma groups or at least four digits; parentheses make it negative; null otherwise."""
+    """Number of a table cell that looks like money: its whole part is grouped by commas or has four digits or more. Parentheses make it negative; null for anything else."""
     t = F.trim(s)
-    inner = F.regexp_replace(t, r"[(),]", "")
-    ok = t.rlike(r"^\(?-?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]{4,})(?:\.[0-9]+)?\)?$")
-    value = inner.try_cast("double")
-    return F.when(ok, F.when(t.startswith("("), -value).otherwise(value))
+    bare = F.regexp_replace(F.regexp_replace(t, r"^\(|\)$", ""), "^-", "")
+    whole, digits = F.substring_index(bare, ".", 1), F.regexp_replace(F.substring_index(bare, ".", 1), ",", "")
+    tail = F.substr(bare, F.length(whole) + 1)
+    groups = F.split(whole, ",")
+    grouped = (F.size(groups) > 1) & F.length(groups[0]).between(1, 3) & F.forall(F.slice(groups, F.lit(2), F.size(groups)), lambda g: F.length(g) == 3)
+    money = (grouped | ((F.size(groups) == 1) & (F.length(whole) >= 4))) & digits.rlike("^[0-9]+$") & ((tail == "") | tail.rlike(r"^\.[0-9]+$"))
+    value = F.concat(digits, tail).try_cast("double")
+    return F.when(money, F.when(t.startswith("(") != t.startswith("-"), -value).otherwise(value))
 
 
 def clean_html(s: Column) -> Column:
@@ -47,11 +51,11 @@ def flat_text(s: Column) -> Column:
 
 
 def name_key(s: Column) -> Column:
-    """NFKC, without spaces, lower case: pure ASCII names stay in the JVM, others take one vectorised pass."""
+    """NFKC, without spaces, lower case; one vectorised pass, in which ASCII names are only handed through."""
 
     @F.pandas_udf("string")
     def nfkc(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: v if v is None else unicodedata.normalize("NFKC", v))
+        return x.map(lambda v: v if v is None or v.isascii() else unicodedata.normalize("NFKC", v))
 
     return F.lower(F.trim(F.regexp_replace(nfkc(s), " ", "")))
 

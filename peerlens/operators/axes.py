@@ -58,13 +58,14 @@ AXES: dict[str, Callable[[], Column]] = {
 }
 
 
-def pairs(f: DataFrame, blocks: int = 8, targets: DataFrame | None = None) -> DataFrame:
-    """All ordered pairs of different firms of a snapshot.
+def pairs(f: DataFrame, targets: DataFrame | None = None, block: int = 256) -> DataFrame:
+    """All ordered pairs of different firms of a snapshot, for what has to see each pair in the JVM; blocks.py ranks without making them.
 
-    The score adds up all axes, so no pair can be left out. Peers are sent to each of `blocks` blocks of targets: the join has
-    an equality on (snapshot, block), work is even over snapshots * blocks, and nothing that grows is broadcast.
+    Peers are sent to each block of about so many targets: the join has an equality on (snapshot, block), work is even over snapshots and blocks, whose number
+    grows with the firms, and nothing that grows is broadcast.
     """
     a = f if targets is None else f.join(targets, ["as_of", "firm"], "left_semi")
+    blocks = max(1, -(-a.groupBy("as_of").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0] // block))
     left = a.select("as_of", F.pmod(F.xxhash64("firm"), F.lit(blocks)).alias("block"), "firm", *[F.col(c).alias(f"{c}_a") for c in f.columns if c not in ("as_of", "firm")])
     right = f.select("as_of", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"), F.col("firm").alias("peer"), *[F.col(c).alias(f"{c}_b") for c in f.columns if c not in ("as_of", "firm")])
     return left.join(right, ["as_of", "block"]).where(F.col("firm") != F.col("peer"))
@@ -87,17 +88,6 @@ def top_k(s: DataFrame, k: int, order: tuple[Column, ...] = ()) -> DataFrame:
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def baseline(f: DataFrame, k: int, prefixes: tuple[int, ...] = DEFAULT.prefixes) -> DataFrame:
-    """Peers by industry tier, then distance of log sizes; a missing size is last within its tier, never dropped."""
-    tier = F.lit(len(prefixes))
-    for t in range(len(prefixes) - 1, -1, -1):
-        n = F.lit(prefixes[t])
-        tier = F.when((F.col("code_a") != "") & (F.left("code_a", n) == F.left("code_b", n)), t).otherwise(tier)
-    d = F.sqrt((F.col("ln_rev_a") - F.col("ln_rev_b")) * (F.col("ln_rev_a") - F.col("ln_rev_b")) + (F.col("ln_ast_a") - F.col("ln_ast_b")) * (F.col("ln_ast_a") - F.col("ln_ast_b")))
-    s = pairs(f).select("as_of", "firm", "peer", tier.alias("tier"), F.coalesce(F.round(d, 9), F.lit(float("inf"))).alias("dist"))
-    return top_k(s, k, (F.asc("tier"), F.asc("dist"), F.asc("peer")))
-
-
 def random_peers(f: DataFrame, k: int, seed: int) -> DataFrame:
     """k peers of each target without replacement, by a hash of seed, snapshot, target and peer."""
     draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("as_of").cast("string"), F.col("firm").cast("string"), F.col("peer").cast("string")).cast("binary"))

@@ -1,73 +1,84 @@
-"""Sections and tables of filings: spans by title, a segment table's concentration, statement rows."""
+"""Sections and tables of filings, with built-in functions: a document is cut at its titles, a section at its tables, rows and cells.
+
+Titles are TITLE elements; a top-level one begins with a Roman numeral (letters, or the numeral characters of Unicode) and a full stop. Cells are TD, TH, TE or TU elements.
+"""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
 from peerlens.functions import scalar as C
 
-#: A top-level title: an element TITLE whose text starts with a Roman numeral and a dot.
-TITLE = re.compile(r"<TITLE[^>]*>(.*?)</TITLE>", re.S | re.I)
-ROMAN = re.compile(r"^\s*[IVXⅠ-Ⅻ]+\s*\.")
-
-
-def _clean(s: str) -> str:
-    return re.sub(r"\s+", " ", re.sub(r"&cr;|&nbsp;", " ", re.sub(r"<[^>]*>", " ", s))).strip()
-
-
-@udtf(returnType="pos int, title string, raw string, text string")
-class Sections:
-    """One row for each top-level section of a raw document: offset, cleaned title, raw span up to the next title, cleaned text."""
-
-    def eval(self, raw: str) -> Iterator[tuple]:
-        marks = [(m.start(), m.end(), _clean(m[1])) for m in TITLE.finditer(raw or "") if ROMAN.match(_clean(m[1]))]
-        for i, (start, end, title) in enumerate(marks):
-            stop = marks[i + 1][0] if i + 1 < len(marks) else len(raw)
-            yield start, title, raw[start:stop], _clean(raw[end:stop])
+#: Element names of cells.
+CELLS = ("TD", "TE", "TH", "TU")
+#: A Roman numeral and a full stop at the start of a title; U+2160 to U+217F are the numerals as characters.
+NUMERAL = "^\\s*(?:[IVXLC]+|[\\u2160-\\u217F]+)\\s*\\."
+
+
+def elements(raw: Column, *names: str) -> Column:
+    """array<string>: contents of the elements of these names, in order; such elements don't nest in filings."""
+    parts = F.split(raw, f"(?i)<(?=(?:{'|'.join(names)})\\b)")
+    inner = lambda p: F.regexp_replace(F.substr(p, F.instr(p, ">") + 1), f"(?is)</(?:{'|'.join(names)})\\b.*", "")
+    return F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), inner)
+
+
+def sections(docs: DataFrame) -> DataFrame:
+    """docs with n_titles and sections: array<struct<at, title, raw, text>> of the top-level sections, in order. `at` is the offset of the title, raw the span to the next one, text the cleaned body."""
+    d = docs.withColumn("source", F.coalesce("raw", F.lit("")))
+    parts = F.split("source", "(?i)(?=<TITLE\\b)")
+    d = d.withColumn("parts", parts)
+    # Every piece knows where it starts; pieces whose title isn't a top-level one belong to the section before.
+    start = F.transform("parts", lambda p, i: F.aggregate(F.slice("parts", F.lit(1), i), F.lit(0), lambda n, q: n + F.length(q)))
+    title = lambda p: F.when(p.rlike("(?is)^<TITLE\\b"), C.clean_html(F.get(elements(p, "TITLE"), F.lit(0))))
+    d = d.withColumn("marks", F.arrays_zip(start.alias("at"), F.transform("parts", title).alias("title")))
+    d = d.withColumn("n_titles", F.size(F.filter("marks", lambda m: m["title"].isNotNull())))
+    d = d.withColumn("tops", F.filter("marks", lambda m: m["title"].rlike(NUMERAL)))
+    after = lambda i: F.coalesce(F.get(F.col("tops"), i + 1)["at"], F.length("source"))
+    span = lambda m, i: F.substr(F.col("source"), m["at"] + 1, after(i) - m["at"])
+    body = lambda s: C.clean_html(F.regexp_replace(s, "(?is)^<TITLE\\b.*?</TITLE>", ""))
+    found = F.transform("tops", lambda m, i: F.struct(m["at"].alias("at"), m["title"].alias("title"), span(m, i).alias("raw"), body(span(m, i)).alias("text")))
+    return d.withColumn("sections", found).drop("source", "parts", "marks", "tops")
 
 
 def section(docs: DataFrame, wanted: str) -> DataFrame:
-    """doc_id, status (ok, no_titles, no_section, empty), text, raw of the first section whose title, without numeral and spaces, is the wanted one."""
-    d = docs.select("doc_id", F.coalesce("raw", F.lit("")).alias("source"))
-    titles = F.regexp_extract_all("source", F.lit(r"(?is)(<TITLE[^>]*>.*?</TITLE>)"), 1)
-    parts = F.split("source", r"(?is)(?=<TITLE[^>]*>\s*[IVXⅠ-Ⅻ]+\s*\.)")
-    head = lambda p: C.clean_html(F.regexp_extract(p, r"(?is)^<TITLE[^>]*>(.*?)</TITLE>", 1))
-    bare = lambda t: F.regexp_replace(F.regexp_replace(t, r"^\s*[IVXⅠ-Ⅻ]+\s*\.", ""), r"\s", "")
-    own = F.filter(parts, lambda p: head(p).rlike(r"^[IVXⅠ-Ⅻ]+\s*\."))
-    hit = F.get(F.filter(own, lambda p: bare(head(p)) == wanted.replace(" ", "")), F.lit(0))
-    body = C.clean_html(F.regexp_replace(hit, r"(?is)^<TITLE[^>]*>.*?</TITLE>", ""))
-    status = F.when((F.size(own) <= 0) | (F.size(titles) <= 0), "no_titles").when(hit.isNull(), "no_section").when(body == "", "empty").otherwise("ok")
-    return d.select("doc_id", status.alias("status"), F.when(status == "ok", body).alias("text"), F.when(status == "ok", hit).alias("raw"))
+    """doc_id, status (ok, no_titles, no_section, empty), text, raw of the first section whose title, without numeral and spaces, contains the wanted one."""
+    name = "".join(wanted.split())
+    bare = lambda t: F.regexp_replace(F.regexp_replace(t, NUMERAL, ""), "\\s", "")
+    d = sections(docs).withColumn("hit", F.get(F.filter("sections", lambda s: F.contains(bare(s["title"]), F.lit(name))), F.lit(0)))
+    status = F.when(F.size("sections") <= 0, "no_titles").when(F.col("hit").isNull(), "no_section").when(F.col("hit.text") == "", "empty").otherwise("ok")
+    return d.select("doc_id", status.alias("status"), F.when(status == "ok", F.col("hit.text")).alias("text"), F.when(status == "ok", F.col("hit.raw")).alias("raw"))
 
 
 def table_rows(raw: Column) -> Column:
-    """array<array<array<string>>>: the cleaned cells of each row of each table, with built-in functions only."""
-    tables = F.regexp_extract_all(raw, F.lit(r"(?is)<TABLE[^>]*>(.*?)</TABLE>"), 1)
-    rows = lambda t: F.regexp_extract_all(t, F.lit(r"(?is)<TR[^>]*>(.*?)</TR>"), 1)
-    cells = lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<T[DHEU][^>]*>(.*?)</T[DHEU]>"), 1), lambda c: C.clean_html(c))
-    return F.transform(tables, lambda t: F.transform(rows(t), cells))
+    """array<array<array<string>>>: the cleaned cells of each row of each table."""
+    rows = lambda t: elements(t, "TR")
+    return F.transform(elements(raw, "TABLE"), lambda t: F.transform(rows(t), lambda r: F.transform(elements(r, *CELLS), lambda c: C.clean_html(c))))
+
+
+def labelled_amounts(rows: Column) -> Column:
+    """array<struct<label, amounts>> of rows with a label that isn't blank: first cell, and the money cells of all others, however many."""
+    one = lambda r: F.struct(F.get(r, F.lit(0)).alias("label"), F.filter(F.transform(F.slice(r, F.lit(2), F.size(r)), lambda c: C.money_cell(c)), lambda v: v.isNotNull()).alias("amounts"))
+    return F.filter(F.transform(F.filter(rows, lambda r: F.size(r) > 1), one), lambda x: x["label"] != "")
 
 
 def segment_profile(docs: DataFrame, wanted: str, revenue: list[str], composition: list[str], totals: list[str]) -> DataFrame:
-    """doc_id, status, seg_n, seg_top_share, seg_hhi from the first table of the section that names revenue and composition and has rows.
+    """doc_id, status, seg_n, seg_top_share, seg_hhi of a section's segments.
 
-    A row's revenue is its largest positive money cell. Labels that equal a total token are left out, whole labels only.
+    Tables that name revenue and composition are taken in order until one has rows: labelled ones, not totals (whole labels), with a positive money cell, the largest
+    of which is the row's revenue. status: ok, no_section, no_table (none names both), no_rows (none of those has rows).
     """
     s = section(docs, wanted).withColumn("tables", table_rows(F.col("raw")))
-    flat = lambda t: F.array_join(F.flatten(t), " ")
-    has = lambda t, words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(flat(t), w))
-    fits = F.filter("tables", lambda t: has(t, revenue) & has(t, composition))
-    row = lambda r: F.struct(F.get(r, F.lit(0)).alias("label"), F.array_max(F.filter(F.transform(F.slice(r, F.lit(2), F.size(r)), lambda c: C.money_cell(c)), lambda v: v > 0)).alias("v"))
-    rows = F.filter(F.transform(F.filter(F.get(fits, F.lit(0)), lambda r: F.size(r) > 1), row), lambda x: x["v"].isNotNull() & ~x["label"].isin(totals))
-    s = s.withColumn("n_fit", F.size(fits)).withColumn("rows", F.coalesce(rows, F.array().cast("array<struct<label:string,v:double>>")))
-    total = F.aggregate("rows", F.lit(0.0), lambda a, x: a + x["v"])
-    s = s.withColumn("shares", F.transform("rows", lambda x: x["v"] / total))
-    status = F.when(F.col("status") != "ok", F.lit("no_section")).when(F.col("n_fit") <= 0, "no_table").when(F.size("rows") == 0, "no_rows").otherwise("ok")
+    names = lambda t, words: reduce(lambda a, b: a | b, [F.contains(F.array_join(F.flatten(t), " "), F.lit(w)) for w in words])
+    value = lambda x: F.array_max(F.filter(x["amounts"], lambda v: v > 0))
+    rows = lambda t: F.transform(F.filter(labelled_amounts(t), lambda x: ~x["label"].isin(totals) & value(x).isNotNull()), value)
+    s = s.withColumn("fitting", F.transform(F.filter("tables", lambda t: names(t, revenue) & names(t, composition)), rows))
+    s = s.withColumn("values", F.get(F.filter("fitting", lambda v: F.size(v) > 0), F.lit(0)))
+    total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x)
+    s = s.withColumn("shares", F.transform("values", lambda x: x / total))
+    status = F.when(F.col("status") != "ok", F.lit("no_section")).when(F.size("fitting") <= 0, "no_table").when(F.col("values").isNull(), "no_rows").otherwise("ok")
     ok = status == "ok"
     return s.select(
         "doc_id", status.alias("status"), F.when(ok, F.size("shares")).alias("seg_n"), F.when(ok, F.round(F.array_max("shares"), 6)).alias("seg_top_share"),
@@ -75,8 +86,8 @@ def segment_profile(docs: DataFrame, wanted: str, revenue: list[str], compositio
 
 
 def accounts_found(docs: DataFrame, aliases: list[str]) -> DataFrame:
-    """doc_id and the aliases that label a table row with a number."""
-    r = docs.select("doc_id", F.flatten(table_rows(F.col("raw"))).alias("rows"))
-    numeric = F.filter("rows", lambda x: F.exists(F.slice(x, F.lit(2), F.size(x)), lambda c: C.money_cell(c).isNotNull()))
-    labels = F.transform(numeric, lambda x: C.strip_parenthesis(F.get(x, F.lit(0))))
-    return r.select("doc_id", F.array_intersect(F.array(*map(F.lit, aliases)), labels).alias("found"))
+    """doc_id, found (aliases that label a table row with a money cell) and mentioned (aliases that the text has anywhere, spaces aside)."""
+    r = docs.select("doc_id", labelled_amounts(F.flatten(table_rows(F.coalesce("raw", F.lit(""))))).alias("rows"), C.flat_text(F.coalesce("raw", F.lit(""))).alias("flat"))
+    labels = F.transform(F.filter("rows", lambda x: F.size(x["amounts"]) > 0), lambda x: C.strip_parenthesis(x["label"]))
+    wanted = F.array(*map(F.lit, aliases))
+    return r.select("doc_id", F.array_intersect(wanted, labels).alias("found"), F.filter(wanted, lambda a: F.contains("flat", F.regexp_replace(a, "\\s", ""))).alias("mentioned"))

@@ -1,77 +1,174 @@
-"""Gates: criteria that are recomputed, signed decisions, frozen parameters."""
+"""Decisions about data: gates as tables of checks, metrics as aggregates, sealed parameters.
+
+A gate is a row for each check: what is measured, the bound it must keep, the value that someone stated, and what came of recomputing it. Metrics are functions from
+tables to a DataFrame of one number, so a decision rests on the tables and not on what was stated. A record is sealed with a key over the text of its fields; every step
+seals what it hands on, and a record whose seal doesn't fit is never accepted.
+"""
 
 from __future__ import annotations
 
 import hashlib
 import hmac
 import json
-from collections.abc import Callable, Iterable
-from typing import Any
+from collections.abc import Callable, Mapping
+from dataclasses import asdict, dataclass, field, replace
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+Tables = Mapping[str, DataFrame]
+Metric = Callable[[Tables], DataFrame]
+
+WAITING, PASSED, FAILED, APPROVED = "waiting", "passed", "failed", "approved"
+
+
+@dataclass(frozen=True)
+class Check:
+    metric: str
+    relation: str  # at_most, below, at_least, above, equals
+    bound: float
+
+    def holds(self, value: float) -> bool:
+        x, y = value, self.bound
+        return {"at_most": x <= y, "below": x < y, "at_least": x >= y, "above": x > y, "equals": x == y}[self.relation]
+
+
+@dataclass(frozen=True)
+class Outcome:
+    """What recomputing a check's metric gave; None where there was no metric or no value."""
+
+    check: Check
+    stated: float | None
+    recomputed: float | None
+    agrees: bool
+    holds: bool
+
+
+@dataclass(frozen=True)
+class Gate:
+    name: str
+    checks: tuple[Check, ...]
+    state: str = WAITING
+    stated: tuple[tuple[str, float], ...] = ()
+    outcomes: tuple[Outcome, ...] = ()
+    by: str = ""
+    history: tuple[str, ...] = ()  # seals of the records before
+    seal: str = field(default="", compare=False)
 
-OPS: dict[str, Callable[[float, float], bool]] = {"<=": lambda x, y: x <= y, "<": lambda x, y: x < y, ">=": lambda x, y: x >= y, ">": lambda x, y: x > y, "==": lambda x, y: x == y}
+    def text(self) -> str:
+        return _text({k: v for k, v in asdict(self).items() if k != "seal"})
 
+    def sealed(self, key: bytes) -> Gate:
+        return replace(self, seal=hmac.digest(key, self.text().encode(), "sha256").hex())
 
-def canonical(doc: dict[str, Any]) -> bytes:
-    return json.dumps({k: v for k, v in doc.items() if k != "sig"}, sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode()
+    def authentic(self, key: bytes) -> bool:
+        return hmac.compare_digest(self.seal, self.sealed(key).seal)
 
 
-def signature(doc: dict[str, Any], key: bytes) -> str:
-    return hmac.new(key, canonical(doc), hashlib.sha256).hexdigest()
+def _text(value: object) -> str:
+    """One text for equal values: keys in order, no spaces."""
+    return json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
 
 
-def create(gate_id: str, checks: list[dict[str, Any]], key: bytes) -> dict[str, Any]:
-    """A pending gate; checks have metric, op, threshold."""
-    gate = {"gate_id": gate_id, "status": "PENDING", "checks": checks, "measured": {}, "decided_by": None}
-    return gate | {"sig": signature(gate, key)}
+def open_gate(name: str, checks: list[Check], key: bytes) -> Gate:
+    return Gate(name, tuple(checks)).sealed(key)
 
 
-def measure(gate: dict[str, Any], values: dict[str, float], key: bytes) -> dict[str, Any]:
-    """Records stated values; never decides."""
-    out = gate | {"measured": dict(values), "status": "PENDING"}
-    return out | {"sig": signature(out, key)}
+def state_values(gate: Gate, values: Mapping[str, float], key: bytes) -> Gate:
+    """The gate with stated values; it waits again, whatever it was before."""
+    return replace(gate, state=WAITING, stated=tuple(sorted(values.items())), outcomes=(), by="", history=(*gate.history, gate.seal)).sealed(key)
 
 
-def judge(gate: dict[str, Any], recompute: dict[str, Callable[[], float | None]], key: bytes, decided_by: str, decimals: int = 2) -> dict[str, Any]:
-    """PASS only if the signature holds and every metric, recomputed from raw data, agrees with the stated value and meets its threshold."""
-    ok, rows = verify(gate, key), []
-    for c in gate["checks"]:
-        f, stated = recompute.get(c["metric"]), gate["measured"].get(c["metric"])
-        real = f() if f else None
-        reconciled = real is not None and stated is not None and round(real, decimals) == round(stated, decimals)
-        met = real is not None and OPS[c["op"]](real, c["threshold"])
-        rows.append({**c, "recomputed": real, "reconciled": reconciled, "met": met})
-        ok = ok and reconciled and met
-    out = gate | {"status": "PASS" if ok and rows else "FAIL", "results": rows, "decided_by": decided_by}
-    return out | {"sig": signature(out, key)}
+def recompute(tables: Tables, metrics: Mapping[str, Metric]) -> dict[str, float | None]:
+    """Each metric's number from the tables; None where the tables it needs are missing or it has no value."""
+    out: dict[str, float | None] = {}
+    for name, metric in metrics.items():
+        try:
+            row = metric(tables).first()
+        except KeyError:  # a table that isn't there
+            row = None
+        out[name] = None if row is None or row[0] is None else float(row[0])
+    return out
 
 
-def verify(gate: dict[str, Any], key: bytes) -> bool:
-    return hmac.compare_digest(gate.get("sig") or "", signature(gate, key))
+def decide(gate: Gate, tables: Tables, metrics: Mapping[str, Metric], key: bytes, by: str, decimals: int = 2) -> Gate:
+    """Passed only if the seal fits and every check's metric, recomputed, agrees with what was stated and keeps its bound."""
+    real, stated, outcomes = recompute(tables, {c.metric: metrics[c.metric] for c in gate.checks if c.metric in metrics}), dict(gate.stated), []
+    for c in gate.checks:
+        x, said = real.get(c.metric), stated.get(c.metric)
+        outcomes.append(Outcome(c, said, x, x is not None and said is not None and round(x, decimals) == round(said, decimals), x is not None and c.holds(x)))
+    fine = gate.authentic(key) and bool(outcomes) and all(o.agrees and o.holds for o in outcomes)
+    return replace(gate, state=PASSED if fine else FAILED, outcomes=tuple(outcomes), by=by, history=(*gate.history, gate.seal)).sealed(key)
 
 
-def require_pass(gate: dict[str, Any], key: bytes) -> None:
-    if not verify(gate, key) or gate["status"] != "PASS":
+def approve(gate: Gate, person: str, token: str, tokens: Mapping[str, str], key: bytes) -> Gate:
+    """A person's consent to a gate that passed; `tokens` has the SHA-256 of each person's token. No program decides this step by itself."""
+    known = hmac.compare_digest(tokens.get(person, ""), hashlib.sha256(token.encode()).hexdigest())
+    if not known or gate.state != PASSED or not gate.authentic(key):
+        raise PermissionError("only a known person may approve a gate that passed and whose seal fits")
+    return replace(gate, state=APPROVED, by=person, history=(*gate.history, gate.seal)).sealed(key)
+
+
+def amend(gate: Gate, checks: list[Check], reason: str, key: bytes) -> Gate:
+    """Checks with new bounds, for a stated reason; the gate has to be decided anew and keeps the seals of what it was."""
+    if not reason:
+        raise ValueError("an amendment needs a reason")
+    new = {c.metric: c for c in checks}
+    merged = tuple(new.pop(c.metric, c) for c in gate.checks) + tuple(new.values())
+    return replace(gate, checks=merged, state=WAITING, outcomes=(), by=f"amended: {reason}", history=(*gate.history, gate.seal)).sealed(key)
+
+
+def demand(gate: Gate, key: bytes, *states: str) -> None:
+    """Ends the program unless the gate is authentic and in one of the states (passed or approved)."""
+    if not gate.authentic(key) or gate.state not in (states or (PASSED, APPROVED)):
         raise SystemExit(1)
 
 
-def is_tautological(metric: Callable[[Any], float], inputs: Iterable[Any]) -> bool:
-    """Whether a metric is the same for all of several different inputs."""
-    return len({metric(x) for x in inputs}) <= 1
+def never_moves(metric: Metric, tables: Tables, changes: Mapping[str, Callable[[DataFrame], DataFrame]]) -> bool:
+    """Whether a metric stays the same however its tables are changed (each change alone): such a check says nothing."""
+    base = metric(tables).first()
+    return all(metric({**tables, name: change(tables[name])}).first() == base for name, change in changes.items())
+
+
+def shared_sides(spark: SparkSession, ratios: list[tuple[str, str, str]], visible: list[str]) -> DataFrame:
+    """Ratios (name, numerator, denominator) both of whose sides an engine may see: what is to be predicted would be known."""
+    seen = spark.createDataFrame([(v,) for v in sorted(set(visible))], "account string")
+    sides = spark.createDataFrame(ratios, "ratio string, numerator string, denominator string").unpivot("ratio", ["numerator", "denominator"], "side", "account").drop("side").distinct()
+    hidden = sides.join(seen, "account", "left_anti").select("ratio").distinct()
+    return sides.select("ratio").distinct().join(hidden, "ratio", "left_anti")
 
 
-def freeze(parameters: dict[str, Any]) -> tuple[str, str]:
-    """Canonical text of parameters and its SHA-256."""
-    text = canonical(parameters).decode()
+def seal(parameters: Mapping[str, object]) -> tuple[str, str]:
+    """Parameters as text and its SHA-256."""
+    text = _text(parameters)
     return text, hashlib.sha256(text.encode()).hexdigest()
 
 
-def verify_freeze(text: str, digest: str) -> dict[str, Any]:
-    if hashlib.sha256(text.encode()).hexdigest() != digest:
-        raise ValueError("frozen parameters were changed")
+def unseal(text: str, digest: str) -> dict:
+    """The parameters, if they are those that were sealed."""
+    if not hmac.compare_digest(hashlib.sha256(text.encode()).hexdigest(), digest):
+        raise ValueError("the parameters aren't those that were sealed")
     return json.loads(text)
 
 
-def find_leaks(ratios: Iterable[tuple[str, str, str]], allowed: Iterable[str]) -> list[str]:
-    """Ratios whose numerator and denominator the ranking engine may both see."""
-    allowed = set(allowed)
-    return [name for name, num, den in ratios if {num, den} <= allowed]
+def manifest(old: DataFrame, new: DataFrame, key: list[str], accounts: list[str], by: str) -> DataFrame:
+    """by, account, changed, old and new digest, same: how many rows of each part have another value than before (a null is a value), and order-free digests of both versions.
+
+    Rows that only one version has count as changed.
+    """
+    long = lambda d, v: d.unpivot(key, accounts, "account", v)
+    j = long(old, "was").join(long(new, "now"), [*key, "account"], "full")
+    digest = lambda v: F.concat_ws("-", F.count(v).cast("string"), F.sum(F.xxhash64(*key, v).cast("decimal(38,0)")).cast("string"))
+    g = j.groupBy(by, "account").agg(F.count_if(~F.col("was").eqNullSafe(F.col("now"))).alias("changed"), digest("was").alias("old_digest"), digest("now").alias("new_digest"))
+    return g.withColumn("same", F.col("old_digest") == F.col("new_digest"))
+
+
+def label_agrees(df: DataFrame, label: str, key: list[str], values: list[str]) -> bool:
+    """Whether a stated digest is that of a table's content."""
+    return content_label(df, key, values) == label
+
+
+def content_label(df: DataFrame, key: list[str], values: list[str]) -> str:
+    """Digest of a table's content by key, whatever the order and the files."""
+    row = df.agg(F.count("*"), F.sum(F.xxhash64(*key, *values).cast("decimal(38,0)"))).first()
+    return hashlib.sha256(f"{row[0]}:{row[1]}".encode()).hexdigest()

@@ -35,6 +35,11 @@ def as_of_join(left: DataFrame, right: DataFrame, key: str, left_on: str, right_
     return u.where("__o = 1").select(*left.columns, *[F.col(f"__v.{v}").alias(v) for v in values])
 
 
+def few(df: DataFrame, most: int) -> bool:
+    """Whether df has no more than so many rows; reads no more than that."""
+    return df.limit(most + 1).count() <= most
+
+
 def first_row(df: DataFrame, by: list[str], *order: Column) -> DataFrame:
     """One row for each group: the first in the order."""
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("__n = 1").drop("__n")
@@ -82,12 +87,12 @@ def eta_squared(df: DataFrame, group: str, value: str, by: list[str]) -> DataFra
     return t.select(*by, "n", "groups", F.when((F.col("n") >= 3) & (F.col("groups") >= 2) & (total > 0), (F.col("b") - mean) / total).alias("eta2"))
 
 
-def auc(df: DataFrame, positive: str, score: str) -> DataFrame:
-    """Mann-Whitney U over n1 * n2 with averaged ties, from counts by distinct score: one row for each score is sorted, not one for each value."""
-    c = df.groupBy(score).agg(F.sum(F.col(positive).cast("int")).alias("p"), F.sum((~F.col(positive)).cast("int")).alias("n"))
+def auc(counts: DataFrame, positive: str, score: str, n: str) -> DataFrame:
+    """Mann-Whitney U over n1 * n2 with averaged ties, from how often each score occurs: the window sorts a row for each distinct score, so scores must have few decimals."""
+    c = counts.groupBy(score).agg(F.sum(F.when(F.col(positive), F.col(n)).otherwise(0)).alias("p"), F.sum(F.when(F.col(positive), 0).otherwise(F.col(n))).alias("q"))
     w = Window.partitionBy(F.lit(1)).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    u = c.withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    return u.agg(F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"), (F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)) / (F.sum("p") * F.sum("n"))).alias("auc"))
+    u = c.withColumn("below", F.coalesce(F.sum("q").over(w), F.lit(0)))
+    return u.agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), (F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)) / (F.sum("p") * F.sum("q"))).alias("auc"))
 
 
 def bucket_of(n: Column) -> Column:

@@ -35,11 +35,11 @@ def penalty(r: DataFrame, dev: tuple[int, ...] = DEFAULT.dev_years, q: float = D
     return market_cases(r).where(F.col("as_of").isin(*dev)).agg(F.percentile("ape", F.lit(q)).alias("penalty"))
 
 
-def peer_values(r: DataFrame, peers: DataFrame) -> DataFrame:
-    """as_of, firm, ratio, actual, rank, sim, v: the ratios of each case's peers; v is null where a peer has none."""
+def peer_values(r: DataFrame, peers: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """as_of, firm, ratio, actual, rank, sim, v: the ratios of each case's peers; v is null where a peer has none. by: further columns of peers that tell cases apart."""
     actual = r.where("value is not null and value <> 0").select("as_of", "firm", "ratio", F.col("value").alias("actual"))
     v = r.select("as_of", F.col("firm").alias("peer"), "ratio", F.col("value").alias("v"))
-    return actual.join(peers.select("as_of", "firm", "peer", "rank", "sim"), ["as_of", "firm"]).join(v, ["as_of", "peer", "ratio"], "left")
+    return actual.join(peers.select(*by, "as_of", "firm", "peer", "rank", "sim"), ["as_of", "firm"]).join(v, ["as_of", "peer", "ratio"], "left")
 
 
 def median_of(v: str = "v", w: str = "sim") -> Column:
@@ -71,11 +71,11 @@ def weighted_median(v: str = "v", w: str = "sim") -> Column:
 AGGREGATORS: dict[str, Callable[[], Column]] = {"median": median_of, "wmean": mean_by_similarity, "wmedian": weighted_median, "trimmed": trimmed_mean}
 
 
-def peer_cases(r: DataFrame, peers: DataFrame, pen: DataFrame, aggregator: str = "median", min_peers: int = DEFAULT.min_peers) -> DataFrame:
-    """as_of, firm, ratio, ape, fail: cases with too few valid peers get the penalty."""
-    g = peer_values(r, peers).groupBy("as_of", "firm", "ratio", "actual").agg(AGGREGATORS[aggregator]().alias("pred"), F.count("v").alias("n"))
+def peer_cases(r: DataFrame, peers: DataFrame, pen: DataFrame, aggregator: str = "median", min_peers: int = DEFAULT.min_peers, by: tuple[str, ...] = ()) -> DataFrame:
+    """as_of, firm, ratio, ape, fail (and the columns `by`): cases with too few valid peers get the penalty."""
+    g = peer_values(r, peers, by).groupBy(*by, "as_of", "firm", "ratio", "actual").agg(AGGREGATORS[aggregator]().alias("pred"), F.count("v").alias("n"))
     fail = F.col("n") < min_peers
-    return g.crossJoin(F.broadcast(pen)).select("as_of", "firm", "ratio", F.when(fail, F.col("penalty")).otherwise(ape(F.col("pred"), F.col("actual"))).alias("ape"), fail.alias("fail"))  # pen: one row
+    return g.crossJoin(F.broadcast(pen)).select(*by, "as_of", "firm", "ratio", F.when(fail, F.col("penalty")).otherwise(ape(F.col("pred"), F.col("actual"))).alias("ape"), fail.alias("fail"))  # pen: one row
 
 
 def aggregate(cases: DataFrame, *by: str, within: tuple[int, ...] = DEFAULT.within) -> DataFrame:

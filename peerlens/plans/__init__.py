@@ -1,6 +1,7 @@
 """Queries of the engine, each as a DataFrame plan and as SQL that must give the same rows."""
 
 from . import data_queries as _data_queries
+from . import audit_queries as _audit_queries
 from . import peer_queries as _peer_queries
 from . import text_queries as _text_queries
 from .registry import ORACLE as ORACLE

@@ -56,12 +56,14 @@ def pit_violations(spark: SparkSession, sf: str) -> DataFrame:
     return R.violations(lines(spark, sf), day_of("fy"), "day").groupBy(F.col("fy").alias("year"), "firm").agg(F.count("*").alias("n"))
 
 
-_LAYERS = "SELECT DISTINCT fy + 1 AS y, 'scale' AS layer FROM acc UNION SELECT DISTINCT year, 'universe' FROM filings UNION SELECT DISTINCT fy + 1, 'growth' FROM growth WHERE growth IS NOT NULL UNION SELECT DISTINCT fy + 1, 'segment' FROM seg"
+_LAYERS = "SELECT DISTINCT fy + 1 AS y, 'scale' AS layer FROM acc UNION SELECT DISTINCT year, 'universe' FROM filings UNION SELECT DISTINCT fy + 1, 'growth' FROM growth WHERE growth IS NOT NULL UNION SELECT DISTINCT fy + 1, 'segment' FROM seg UNION SELECT DISTINCT f.year, 'mktcap' FROM filings f JOIN firms USING (firm) WHERE mktcap IS NOT NULL UNION SELECT DISTINCT fy + 1, 'ratios' FROM acc WHERE revenue > 0"
 
 
 def _layers(spark: SparkSession, sf: str) -> DataFrame:
     a = accounts(spark, sf)
-    parts = {"scale": a.select((F.col("fy") + 1).alias("y")), "universe": filings(spark, sf).select(F.col("year").alias("y")), "growth": growth(a).where("growth is not null").select((F.col("fy") + 1).alias("y")), "segment": segments(spark, sf).select((F.col("fy") + 1).alias("y"))}
+    parts = {
+        "scale": a.select((F.col("fy") + 1).alias("y")), "universe": filings(spark, sf).select(F.col("year").alias("y")), "growth": growth(a).where("growth is not null").select((F.col("fy") + 1).alias("y")), "segment": segments(spark, sf).select((F.col("fy") + 1).alias("y")),
+        "mktcap": filings(spark, sf).join(firms(spark, sf).where("mktcap is not null").select("firm"), "firm", "left_semi").select(F.col("year").alias("y")), "ratios": a.where("revenue > 0").select((F.col("fy") + 1).alias("y"))}
     out = None
     for name, p in parts.items():
         p = p.distinct().withColumn("layer", F.lit(name))
@@ -69,12 +71,12 @@ def _layers(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-@query(f"{_P} SELECT y AS year FROM ({_LAYERS}) GROUP BY y HAVING count(DISTINCT layer) = 4")
+@query(f"{_P} SELECT y AS year FROM ({_LAYERS}) GROUP BY y HAVING count(DISTINCT layer) = 6")
 def snapshot_years_complete(spark: SparkSession, sf: str) -> DataFrame:
-    return _layers(spark, sf).groupBy(F.col("y").alias("year")).agg(F.count_distinct("layer").alias("n")).where("n = 4").select("year")
+    return _layers(spark, sf).groupBy(F.col("y").alias("year")).agg(F.count_distinct("layer").alias("n")).where("n = 6").select("year")
 
 
-@query(f"{_P} SELECT max(y) AS year FROM (SELECT y FROM ({_LAYERS}) GROUP BY y HAVING count(DISTINCT layer) = 4)")
+@query(f"{_P} SELECT max(y) AS year FROM (SELECT y FROM ({_LAYERS}) GROUP BY y HAVING count(DISTINCT layer) = 6)")
 def serving_year(spark: SparkSession, sf: str) -> DataFrame:
     """The snapshot to serve without a pin: the latest complete one."""
     return snapshot_years_complete(spark, sf).agg(F.max("year").alias("year"))
@@ -423,23 +425,29 @@ def availability(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "orders").groupBy(F.year("o_orderdate").alias("year"), F.col("o_orderstatus").alias("kind")).agg(F.count("*").alias("n"), F.bool_or(F.col("o_orderpriority") == "1-URGENT").alias("any_urgent"))
 
 
-@query("""SELECT user_id, min(year(ts))::INT AS first_year, count(*) AS n FROM events WHERE list_contains(['purchase', 'signup'], event_type) GROUP BY user_id""")
+_NOTICE = "WITH p AS (SELECT user_id, list_sort(list(DISTINCT year(ts)::INT)) AS ys FROM events GROUP BY 1), n AS (SELECT user_id, min(year(ts))::INT AS first_year, count(*) AS n FROM events WHERE list_contains(['purchase', 'signup'], event_type) AND user_id % 10 NOT IN (1, 2) GROUP BY 1)"
+
+
+@query(f"{_NOTICE} SELECT n.user_id, first_year, n, len(list_filter(ys, lambda y: y < first_year)) > 0 AS before, len(list_filter(ys, lambda y: y > first_year)) > 0 AS after FROM n JOIN p USING (user_id)")
 def notice_filter(spark: SparkSession, sf: str) -> DataFrame:
-    """First year with a notice of one of the kinds, by key."""
-    return read(spark, sf, "events").where(F.col("event_type").isin("purchase", "signup")).groupBy("user_id").agg(F.min(F.year("ts")).alias("first_year"), F.count("*").alias("n"))
+    """First year with a notice of one of the kinds, by key, excluded classes left out, and whether the key is present before and after that year."""
+    e = read(spark, sf, "events")
+    notice = F.col("event_type").isin("purchase", "signup") & ~(F.col("user_id") % 10).isin(1, 2)
+    g = e.groupBy("user_id").agg(F.min(F.when(notice, F.year("ts"))).alias("first_year"), F.count_if(notice).alias("n"), F.collect_set(F.year("ts")).alias("ys"))
+    return g.where("n > 0").select("user_id", "first_year", "n", F.exists("ys", lambda y: y < F.col("first_year")).alias("before"), F.exists("ys", lambda y: y > F.col("first_year")).alias("after"))
 
 
-@query("SELECT k, n, pct FROM (SELECT c_mktsegment AS k, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM (SELECT * FROM customer ORDER BY md5('20260715|' || c_custkey::VARCHAR) LIMIT 120) GROUP BY 1) ORDER BY n DESC, k LIMIT 5")
+@query(f"SELECT k, n, pct FROM (SELECT c_mktsegment AS k, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM (SELECT * FROM customer ORDER BY md5('{DEFAULT.seed}|' || c_custkey::VARCHAR) LIMIT 120) GROUP BY 1) ORDER BY n DESC, k LIMIT 5")
 def category_sample(spark: SparkSession, sf: str) -> DataFrame:
     """A sampling operator: 120 keys drawn by hash, and their five most frequent categories."""
-    s = read(spark, sf, "customer").orderBy(F.md5(F.concat(F.lit("20260715|"), F.col("c_custkey").cast("string")).cast("binary"))).limit(120)
+    s = read(spark, sf, "customer").orderBy(F.md5(F.concat(F.lit(f"{DEFAULT.seed}|"), F.col("c_custkey").cast("string")).cast("binary"))).limit(120)
     g = s.groupBy(F.col("c_mktsegment").alias("k")).agg(F.count("*").alias("n"))
     return g.withColumn("pct", F.expr("round(100.0D * n / sum(n) over (partition by 1), 6)")).orderBy(F.desc("n"), "k").limit(5)
 
 
-@query(f"WITH s AS (SELECT *, row_number() OVER (PARTITION BY as_of ORDER BY md5('{DEFAULT.seed}|' || firm::VARCHAR)) AS n FROM (WITH {PANEL_SQL} SELECT as_of, firm FROM panel)) SELECT as_of, firm FROM s WHERE n <= 25")
+@query(f"WITH s AS (SELECT *, row_number() OVER (PARTITION BY as_of ORDER BY md5('{DEFAULT.seed}|' || firm::VARCHAR)) AS n FROM (WITH {PANEL_SQL} SELECT as_of, firm FROM panel)) SELECT as_of, firm FROM s WHERE n <= {DEFAULT.targets_a_year}")
 def target_subsample(spark: SparkSession, sf: str) -> DataFrame:
-    """A sampling operator: 25 targets of each snapshot, by hash."""
+    """A sampling operator: so many targets of each snapshot, by hash."""
     w = F.md5(F.concat(F.lit(f"{DEFAULT.seed}|"), F.col("firm").cast("string")).cast("binary"))
     p = panel(spark, sf).select("as_of", "firm")
-    return p.withColumn("n", F.row_number().over(Window.partitionBy("as_of").orderBy(w))).where("n <= 25").select("as_of", "firm")
+    return p.withColumn("n", F.row_number().over(Window.partitionBy("as_of").orderBy(w))).where(F.col("n") <= DEFAULT.targets_a_year).select("as_of", "firm")

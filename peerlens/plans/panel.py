@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from peerlens.config import DEFAULT
 
@@ -62,12 +63,61 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return share.groupBy("firm", "fy").agg(F.count("*").alias("seg_n"), F.round(F.max("share"), 9).alias("seg_top"), F.round(F.sum(F.col("share") * F.col("share")), 6).alias("seg_hhi"))
 
 
-def panel(spark: SparkSession, sf_dir: str, years: tuple[int, ...] = DEFAULT.snapshot_years) -> DataFrame:
-    """as_of (year of the snapshot), firm, code, rcept_dt, accounts, mktcap, growth, segment profile; only firms that filed by the snapshot day."""
-    a = accounts(spark, sf_dir)
-    f = filings(spark, sf_dir).where(F.col("year").isin(*years)).withColumn("fy", F.col("year") - 1)
-    out = f.join(a, ["firm", "fy"]).join(growth(a), ["firm", "fy"], "left").join(segments(spark, sf_dir), ["firm", "fy"], "left").join(firms(spark, sf_dir), "firm", "left")
-    return out.withColumnRenamed("year", "as_of").drop("fy")
+def rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """firm, fy, rcept_dt (first filing between January 1 and the snapshot day), has (whether there are accounts), accounts, segment profile: one scan of the lines, first by segment, then by year."""
+    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.col("p_retailprice").alias("retail"), F.col("p_type").alias("segment"), F.lit(True).alias("known"))
+    net, ok = F.col("price") * (1 - F.col("disc")), F.col("known")
+    of = lambda c, name: F.sum(F.when(ok, c)).alias(name)
+    by = lines(spark, sf_dir).join(p, "part", "left").groupBy("firm", "fy", "segment").agg(
+        F.min(F.when(F.date_format("day", "MMdd") <= "0515", F.col("day"))).alias("rcept_dt"), F.count("known").alias("known"), of(net, "revenue"), of(F.col("price") * (1 + F.col("tax")), "assets"), of(F.col("qty") * F.col("retail"), "cost"),
+        of(F.col("price") * F.col("tax"), "taxes"), of(F.when(F.col("status") == "O", net).otherwise(0.0), "inventory"), of(F.when(F.col("flag") == "N", net).otherwise(0.0), "receivables"))
+    total = lambda c: F.round(F.sum(c), 4).alias(c)
+    v = F.collect_list(F.when(F.col("known") > 0, F.round("revenue", 4))).alias("v")  # one number for each part type
+    y = by.groupBy("firm", "fy").agg(F.min("rcept_dt").alias("rcept_dt"), (F.sum("known") > 0).alias("has"), *map(total, ("revenue", "assets", "cost", "taxes", "inventory", "receivables")), v)
+    y = y.withColumn("total", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 4))
+    y = y.withColumn("shares", F.when(F.col("total") > 0, F.transform(F.filter("v", lambda x: x > 0), lambda x: x / F.col("total"))))
+    some = F.size("shares") > 0
+    y = y.withColumn("gross", F.round(F.col("revenue") - F.col("cost"), 4))
+    return y.select(
+        "firm", "fy", "rcept_dt", "has", "revenue", "assets", "cost", "gross", F.round(F.col("gross") - F.col("taxes"), 4).alias("op_income"), "inventory", "receivables",
+        F.when(some, F.size("shares").cast("bigint")).alias("seg_n"), F.when(some, F.round(F.array_max("shares"), 9)).alias("seg_top"),
+        F.when(some, F.round(F.aggregate("shares", F.lit(0.0), lambda a, x: a + x * x), 6)).alias("seg_hhi"))
+
+
+ACCOUNTS = ("revenue", "assets", "cost", "gross", "op_income", "inventory", "receivables")
+SEGMENT = ("seg_n", "seg_top", "seg_hhi")
+
+
+def build_panel(spark: SparkSession, sf_dir: str, years: tuple[int, ...] = DEFAULT.snapshot_years) -> DataFrame:
+    """as_of (year of the snapshot), firm, code, rcept_dt, accounts, mktcap, growth, segment profile; only firms that filed by the snapshot day.
+
+    The accounts are those of the year before, by a step back that counts only if it is one year; growth takes one more such step.
+    """
+    w = Window.partitionBy("firm").orderBy("fy")
+    y = rollup(spark, sf_dir)
+    y = y.select("firm", "fy", "rcept_dt", F.lag(F.struct("fy", "has", *ACCOUNTS, *SEGMENT), 1).over(w).alias("x"), F.lag(F.struct("fy", "revenue"), 2).over(w).alias("z"))
+    y = y.where(F.col("fy").isin(*years) & F.col("rcept_dt").isNotNull() & (F.col("x.fy") == F.col("fy") - 1) & F.col("x.has"))
+    growth = F.when((F.col("z.fy") == F.col("fy") - 2) & (F.col("z.revenue") > 0), F.col("x.revenue") / F.col("z.revenue") - 1)
+    y = y.select(F.col("fy").alias("as_of"), "firm", "rcept_dt", *[F.col(f"x.{c}").alias(c) for c in ACCOUNTS], growth.alias("growth"), *[F.col(f"x.{c}").alias(c) for c in SEGMENT])
+    return y.join(firms(spark, sf_dir), "firm", "left")
+
+
+_CONTEXT: dict[tuple[str, str], DataFrame] = {}
+
+
+def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel of all snapshots, kept by Spark after its first use (a row for each firm and snapshot; what a lost executor held is made again). See forget_context()."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CONTEXT:
+        _CONTEXT[key] = build_panel(spark, sf_dir).persist()
+    return _CONTEXT[key]
+
+
+def forget_context() -> None:
+    """Drops what panel() keeps, for tables that have changed."""
+    for df in _CONTEXT.values():
+        df.unpersist()
+    _CONTEXT.clear()
 
 
 #: The same as common table expressions for DuckDB: firms, acc, filings, growth, seg, panel.

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from peerlens.config import DEFAULT
 from peerlens.operators import axes as A
+from peerlens.operators import blocks as B
+from peerlens.operators import resample
 from peerlens.operators import score as S
 from peerlens.operators import text as X
 
@@ -31,13 +33,20 @@ def features(spark: SparkSession, sf: str) -> DataFrame:
     return A.features(panel(spark, sf))
 
 
-def text_similarity(spark: SparkSession, sf: str) -> DataFrame:
+def vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """doc, gram, weight of the firms' texts."""
     docs = read(spark, sf, "documents").select(F.col("doc_id").alias("doc"), "text").join(read(spark, sf, "supplier").select(F.col("s_suppkey").alias("doc")), "doc")
-    return X.cosines(X.tfidf(docs, DEFAULT.gram, DEFAULT.vocabulary))
+    return X.tfidf(docs, DEFAULT.gram, DEFAULT.vocabulary)
 
 
 def peers(spark: SparkSession, sf: str, k: int = K, weights: dict[str, float] | None = None) -> DataFrame:
-    return A.top_k(A.scored(features(spark, sf), weights or FOUR), k)
+    w = weights or FOUR
+    return B.ranked(features(spark, sf), w, k, vectors(spark, sf) if "text" in w else None)
+
+
+def final_peers(spark: SparkSession, sf: str) -> DataFrame:
+    """The engine with all weighted axes, text among them, and its own k."""
+    return peers(spark, sf, DEFAULT.k_final, W)
 
 
 def ratios(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,10 +64,7 @@ def _axis(name: str):
     cte = f"{WITH}, {TEXT_SQL}" if name == "text" else WITH
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        p = A.pairs(features(spark, sf))
-        if name == "text":
-            p = p.join(text_similarity(spark, sf), ["firm", "peer"], "left")
-        return p.groupBy("as_of", "firm").agg(F.round(F.max(F.round(A.AXES[name](), 6)), 6).alias("best"), F.round(F.avg(F.round(A.AXES[name](), 6)), 6).alias("mean"))
+        return B.axis_profile(features(spark, sf), name, vectors(spark, sf) if name == "text" else None).select("as_of", "firm", *r6("best", "mean"))
 
     run.__name__ = f"axis_{name}"
     query(f"{cte} SELECT as_of, firm, round(max(v), 6) AS best, round(avg(v), 6) AS mean FROM ({columns}{text}) GROUP BY ALL")(run)
@@ -81,7 +87,7 @@ BASE = f"""{WITH}, base AS (SELECT a.as_of, a.firm, b.firm AS peer, {_TIER} AS t
 
 @query(f"{BASE} SELECT as_of, firm, rank, peer, tier, round(dist, 6) AS dist FROM peers")
 def baseline_peers(spark: SparkSession, sf: str) -> DataFrame:
-    return A.baseline(features(spark, sf), K).select("as_of", "firm", "rank", "peer", "tier", F.round("dist", 6).alias("dist"))
+    return B.baseline(features(spark, sf), K).select("as_of", "firm", "rank", "peer", "tier", F.round("dist", 6).alias("dist"))
 
 
 @query(f"""WITH {PANEL_SQL}, d AS (SELECT a.as_of, a.firm, b.firm AS peer, md5(concat_ws('|', '{DEFAULT.seed}', a.as_of::VARCHAR, a.firm::VARCHAR, b.firm::VARCHAR)) AS draw
@@ -92,8 +98,7 @@ def random_peers(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{WITH}, {TEXT_SQL}, {A.scored_sql(W)}, {A.top_k_sql(DEFAULT.k_final)} SELECT as_of, firm, rank, peer, round(sim, 6) AS sim FROM peers")
 def similarity_peers(spark: SparkSession, sf: str) -> DataFrame:
-    s = A.scored(features(spark, sf), W, text_similarity(spark, sf))
-    return A.top_k(s, DEFAULT.k_final).select("as_of", "firm", "rank", "peer", F.round("sim", 6).alias("sim"))
+    return final_peers(spark, sf).select("as_of", "firm", "rank", "peer", F.round("sim", 6).alias("sim"))
 
 
 _TOTAL = sum(FOUR.values())
@@ -108,18 +113,29 @@ def peer_rationale(spark: SparkSession, sf: str) -> DataFrame:
 _LABELS = ", ".join(f"{{'v': round({v / _TOTAL!r}::DOUBLE * {k}, 9), 'o': {len(FOUR) - i}, 'l': '{k}'}}" for i, (k, v) in enumerate(FOUR.items()))
 
 
-@query(f"""{PEERS} SELECT as_of, firm, peer, array_to_string(list_transform(list_reverse_sort(list_filter([{_LABELS}], lambda x: x.v > 0))[1:2], lambda x: x.l), ',') AS top_axes FROM peers""")
-def top_axes(spark: SparkSession, sf: str) -> DataFrame:
-    """Labels of the two axes that contribute most to a peer's score."""
-    each = [F.struct(F.round(F.lit(v / _TOTAL) * F.col(k), 9).alias("v"), F.lit(len(FOUR) - i).alias("o"), F.lit(k).alias("l")) for i, (k, v) in enumerate(FOUR.items())]
+FINAL = f"{WITH}, {TEXT_SQL}, {A.scored_sql(W)}, {A.top_k_sql(DEFAULT.k_final)}"
+_LABELLED = ", ".join(f"{{'v': round({v / sum(W.values())!r}::DOUBLE * {k}, 9), 'o': {len(W) - i}, 'l': '{k}'}}" for i, (k, v) in enumerate(W.items()))
+_TOP = f"list_transform(list_reverse_sort(list_filter([{_LABELLED}], lambda x: x.v > 0))[1:2], lambda x: x.l)"
+
+
+def labels(p: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """p with top_axes: labels of the two axes that contribute most to a peer's score, the first named one among equals."""
+    total = sum(weights.values())
+    each = [F.struct(F.round(F.lit(v / total) * F.col(k), 9).alias("v"), F.lit(len(weights) - i).alias("o"), F.lit(k).alias("l")) for i, (k, v) in enumerate(weights.items())]
     best = F.slice(F.sort_array(F.filter(F.array(*each), lambda x: x["v"] > 0), asc=False), 1, 2)
-    return peers(spark, sf).select("as_of", "firm", "peer", F.array_join(F.transform(best, lambda x: x["l"]), ",").alias("top_axes"))
+    return p.withColumn("top_axes", F.transform(best, lambda x: x["l"]))
 
 
-@query(f"""{PEERS} SELECT as_of, firm, peer, CASE WHEN industry > 0 THEN 1 ELSE 2 END AS section FROM peers""")
+@query(f"{FINAL} SELECT as_of, firm, peer, array_to_string({_TOP}, ',') AS top_axes FROM peers")
+def top_axes(spark: SparkSession, sf: str) -> DataFrame:
+    return labels(final_peers(spark, sf), W).select("as_of", "firm", "peer", F.array_join("top_axes", ",").alias("top_axes"))
+
+
+@query(f"{FINAL} SELECT as_of, firm, rank, peer, CASE WHEN list_has_any({_TOP}, ['industry', 'text']) THEN 1 ELSE 2 END AS section FROM peers")
 def display_groups(spark: SparkSession, sf: str) -> DataFrame:
-    """Section 1: the peer shares the industry; section 2: it doesn't. Ranks stay as they are."""
-    return peers(spark, sf).select("as_of", "firm", "peer", F.when(F.col("industry") > 0, 1).otherwise(2).alias("section"))
+    """Section 1: industry or text is among a peer's labels; section 2: neither is. Ranks stay as they are."""
+    shown = F.arrays_overlap("top_axes", F.array(F.lit("industry"), F.lit("text")))
+    return labels(final_peers(spark, sf), W).select("as_of", "firm", "rank", "peer", F.when(shown, 1).otherwise(2).alias("section"))
 
 
 @query(f"WITH {PANEL_SQL}, {S.RATIOS_SQL} SELECT as_of, firm, ratio, {R6.format('value')} FROM ratios")
@@ -187,18 +203,20 @@ for _name in S.AGGREGATORS:
     _aggregator(_name)
 
 _GRID = [3, 5, 7, 10]
-_METHODS = " UNION ALL ".join(f"SELECT as_of, firm, ratio, actual, k, '{m}' AS method, {x} AS pred, count(v) AS n FROM kv GROUP BY as_of, firm, ratio, actual, k" for m, x in S.AGGREGATORS_SQL.items())
+_WMEDIAN = """CASE WHEN max(total) > 0 THEN min(v) FILTER (WHERE cum >= total / 2) ELSE median(v) END"""
+_METHODS = " UNION ALL ".join(f"SELECT as_of, firm, ratio, actual, k, '{m}' AS method, {x} AS pred, count(v) AS n FROM kv GROUP BY as_of, firm, ratio, actual, k" for m, x in {**S.AGGREGATORS_SQL, "wmedian": _WMEDIAN}.items())
 
 
-@query(f"""{PEERS10}, {S.RATIOS_SQL}, {S.PEER_VALUES_SQL}, kv AS (SELECT pv.*, k FROM pv JOIN (SELECT unnest({_GRID}) AS k) ON rank <= k), g AS ({_METHODS})
+@query(f"""{PEERS10}, {S.RATIOS_SQL}, {S.PEER_VALUES_SQL}, kv AS (SELECT pv.*, k, sum(sim) FILTER (WHERE v IS NOT NULL) OVER (PARTITION BY as_of, firm, ratio, k ORDER BY v, sim ROWS UNBOUNDED PRECEDING) AS cum,
+  sum(sim) FILTER (WHERE v IS NOT NULL) OVER (PARTITION BY as_of, firm, ratio, k) AS total FROM pv JOIN (SELECT unnest({_GRID}) AS k) ON rank <= k), g AS ({_METHODS})
 SELECT method, k, count(*) AS n, round(median(CASE WHEN n < {DEFAULT.min_peers} THEN penalty ELSE abs(pred - actual) / abs(actual) END), 6) AS median_ape FROM g CROSS JOIN pen GROUP BY method, k""")
 def agg_k_grid(spark: SparkSession, sf: str) -> DataFrame:
     """Aggregators by k: peers are ranked once, and a rank belongs to every k that it doesn't exceed."""
     r = ratios(spark, sf)
     v = S.peer_values(r, peers(spark, sf, max(_GRID)))
     v = v.withColumn("k", F.explode(F.filter(F.array(*map(F.lit, _GRID)), lambda k: F.col("rank") <= k)))
-    g = v.groupBy("as_of", "firm", "ratio", "actual", "k").agg(*[S.AGGREGATORS[m]().alias(m) for m in S.AGGREGATORS_SQL], F.count("v").alias("n"))
-    g = g.unpivot(["as_of", "firm", "ratio", "actual", "k", "n"], list(S.AGGREGATORS_SQL), "method", "pred").crossJoin(F.broadcast(S.penalty(r)))  # one row
+    g = v.groupBy("as_of", "firm", "ratio", "actual", "k").agg(*[f().alias(m) for m, f in S.AGGREGATORS.items()], F.count("v").alias("n"))
+    g = g.unpivot(["as_of", "firm", "ratio", "actual", "k", "n"], list(S.AGGREGATORS), "method", "pred").crossJoin(F.broadcast(S.penalty(r)))  # one row
     err = F.when(F.col("n") < DEFAULT.min_peers, F.col("penalty")).otherwise(S.ape(F.col("pred"), F.col("actual")))
     return g.groupBy("method", "k").agg(F.count("*").alias("n"), F.round(F.median(err), 6).alias("median_ape"))
 
@@ -223,6 +241,23 @@ def split_report(spark: SparkSession, sf: str) -> DataFrame:
     return c.groupBy(F.col("as_of").isin(*DEFAULT.dev_years).alias("dev")).agg(F.count("*").alias("n"), F.round(F.median("ape"), 6).alias("overall"), F.round(F.median(F.when(~F.col("ill"), F.col("ape"))), 6).alias("stable"), F.round(F.avg(F.col("ill").cast("int")), 6).alias("excluded"))
 
 
+@query(f"{FINAL}, {S.RATIOS_SQL}, {S.PEER_VALUES_SQL}, {S.CASES_SQL} SELECT coalesce(ratio, 'all') AS ratio, {_AGG} FROM cases GROUP BY ROLLUP (ratio)")
+def score_final(spark: SparkSession, sf: str) -> DataFrame:
+    """The final engine (all weighted axes with text, its own k) scored as score_aggregate() does."""
+    r = ratios(spark, sf)
+    return S.aggregate(S.peer_cases(r, final_peers(spark, sf), S.penalty(r))).select("ratio", "n", *r6(*_SCORES))
+
+
+@query(f"""{FINAL}, {S.RATIOS_SQL}, {S.PEER_VALUES_SQL}, {S.CASES_SQL}, {_TAU}
+SELECT c.as_of IN {DEFAULT.dev_years} AS dev, c.ratio, count(*) AS n, round(median(ape), 6) AS overall, round(median(ape) FILTER (WHERE NOT ill), 6) AS stable, round(avg(ill::INT), 6) AS excluded
+FROM cases c JOIN flags USING (as_of, firm, ratio) GROUP BY 1, 2""")
+def split_report_final(spark: SparkSession, sf: str) -> DataFrame:
+    """The final engine's errors by ratio, dev and holdout apart, over all and over stable cases."""
+    r = ratios(spark, sf)
+    c = S.peer_cases(r, final_peers(spark, sf), S.penalty(r)).join(S.flags(r, S.ill_thresholds(r)), ["as_of", "firm", "ratio"])
+    return c.groupBy(F.col("as_of").isin(*DEFAULT.dev_years).alias("dev"), "ratio").agg(F.count("*").alias("n"), F.round(F.median("ape"), 6).alias("overall"), F.round(F.median(F.when(~F.col("ill"), F.col("ape"))), 6).alias("stable"), F.round(F.avg(F.col("ill").cast("int")), 6).alias("excluded"))
+
+
 _COH = f"coh AS (SELECT as_of, firm, round(avg(sim), 9) AS cohesion FROM peers GROUP BY ALL), th AS (SELECT quantile_cont(cohesion, 0.33) AS q33, quantile_cont(cohesion, 0.67) AS q67 FROM coh WHERE as_of IN {DEFAULT.dev_years})"
 
 
@@ -249,13 +284,22 @@ def thresholds(spark: SparkSession, sf: str) -> DataFrame:
     return cohesion_bounds(S.cohesion(p)).select(*r6("q33", "q67")).crossJoin(dev)  # one row each
 
 
-@query(f"""{PEERS}, {S.RATIOS_SQL}, {S.PEER_VALUES_SQL}, {_BLOCK}
+@query(f"""{PEERS}, {S.RATIOS_SQL}, {S.PEER_VALUES_SQL}, {_COH}, {_BLOCK}, {_TAU}
 SELECT as_of, firm, ratio, round(actual, 6) AS actual, n, round(peer_median, 6) AS peer_median, round(deviation, 6) AS deviation,
-  CASE WHEN peer_median IS NOT NULL THEN CASE WHEN actual > peer_median THEN 'above' ELSE 'below' END END AS direction, deviation >= bound AS needs_check FROM dev CROSS JOIN dth""")
+  CASE WHEN peer_median IS NOT NULL THEN CASE WHEN actual > peer_median THEN 'above' ELSE 'below' END END AS direction, deviation >= bound AS needs_check, peer_median IS NOT NULL AS comparable,
+  CASE WHEN ill THEN 'LOW' WHEN cohesion >= q67 THEN 'HIGH' WHEN cohesion >= q33 THEN 'MEDIUM' ELSE 'LOW' END AS confidence,
+  CASE WHEN peer_median IS NULL THEN 'too few comparable peers' WHEN ill THEN 'small numerator' WHEN deviation >= bound THEN 'far from peers' ELSE '' END AS note
+FROM dev CROSS JOIN dth JOIN coh USING (as_of, firm) CROSS JOIN th JOIN flags USING (as_of, firm, ratio)""")
 def ratio_block(spark: SparkSession, sf: str) -> DataFrame:
-    b = S.ratio_block(ratios(spark, sf), peers(spark, sf))
+    """Each case beside its peers: direction and check only where enough peers are comparable; an ill-conditioned ratio has low confidence whatever the group's grade."""
+    r, p = ratios(spark, sf), peers(spark, sf).persist()  # a few rows for each firm and snapshot, used three times
+    b, c = S.ratio_block(r, p), S.cohesion(p)
     bound = b.where(F.col("as_of").isin(*DEFAULT.dev_years)).agg(F.percentile("deviation", F.lit(0.9)).alias("bound"))
-    return b.crossJoin(F.broadcast(bound)).select("as_of", "firm", "ratio", *r6("actual"), "n", *r6("peer_median", "deviation"), "direction", (F.col("deviation") >= F.col("bound")).alias("needs_check"))  # one row
+    j = b.crossJoin(F.broadcast(bound)).join(c.crossJoin(F.broadcast(cohesion_bounds(c))), ["as_of", "firm"]).join(S.flags(r, S.ill_thresholds(r)), ["as_of", "firm", "ratio"])  # one row each
+    check, short = F.col("deviation") >= F.col("bound"), F.col("peer_median").isNull()
+    note = F.when(short, "too few comparable peers").when(F.col("ill"), "small numerator").when(check, "far from peers").otherwise("")
+    sure = F.when(F.col("ill"), "LOW").otherwise(S.grade(F.col("cohesion"), F.col("q33"), F.col("q67")))
+    return j.select("as_of", "firm", "ratio", *r6("actual"), "n", *r6("peer_median", "deviation"), "direction", check.alias("needs_check"), (~short).alias("comparable"), sure.alias("confidence"), note.alias("note"))
 
 
 @query(f"""{PEERS}, {S.RATIOS_SQL}, {S.PEER_VALUES_SQL}, {_BLOCK} SELECT as_of, firm, array_to_string(list_sort(list(ratio)), ',') AS flagged FROM dev CROSS JOIN dth WHERE deviation >= bound GROUP BY ALL""")
@@ -272,87 +316,82 @@ def worst_targets(spark: SparkSession, sf: str) -> DataFrame:
     return w.orderBy(F.desc("mean_ape"), F.asc("firm")).limit(20).select("as_of", "firm", *r6("mean_ape"))
 
 
-_ABL = {k: v for k, v in FOUR.items() if k != "growth"}
-_OFF = f"{A.scored_sql(_ABL).replace('scored AS', 'scored_off AS', 1)}, {A.top_k_sql(K, 'peers_off', 'scored_off')}"
-_CASES_OFF = S.PEER_VALUES_SQL.replace("pv AS", "pv_off AS").replace("JOIN peers p", "JOIN peers_off p") + ", " + S.CASES_SQL.replace("cases AS", "cases_off AS").replace("FROM pv ", "FROM pv_off ")
+_OFF = {k: {a: v for a, v in FOUR.items() if a != k} for k in FOUR}
+_OFF_SQL = ", ".join(f"{A.scored_sql(w).replace('scored AS', f'scored_{k} AS', 1)}, {A.top_k_sql(K, f'peers_{k}', f'scored_{k}')}" for k, w in _OFF.items())
+
+
+def _cases_of(tag: str, source: str) -> str:
+    return (S.PEER_VALUES_SQL.replace("pv AS", f"pv_{tag} AS").replace("JOIN peers p", f"JOIN {source} p").replace("p.sim", "0.0 AS sim") + ", " + S.CASES_SQL.replace("cases AS", f"cases_{tag} AS").replace("FROM pv ", f"FROM pv_{tag} "))
+
+
+_EACH_OFF = " UNION ALL ".join(f"SELECT '{k}' AS axis, * FROM cases_{k}" for k in _OFF)
 
 
-@query(f"""{PEERS}, {_OFF}, {S.RATIOS_SQL}, {S.PEER_VALUES_SQL}, {S.CASES_SQL}, {_CASES_OFF}
-SELECT ratio, count(*) AS n, round(median(a.ape), 6) AS with_axis, round(median(b.ape), 6) AS without_axis, round(avg(b.ape - a.ape), 6) AS benefit, round(corr(a.ape, b.ape), 6) AS r
-FROM cases a JOIN cases_off b USING (as_of, firm, ratio) GROUP BY ratio""")
+@query(f"""{PEERS}, {_OFF_SQL}, {S.RATIOS_SQL}, {S.PEER_VALUES_SQL}, {S.CASES_SQL}, {", ".join(_cases_of(k, f"peers_{k}") for k in _OFF)}, off AS ({_EACH_OFF})
+SELECT axis, ratio, count(*) AS n, round(median(a.ape), 6) AS with_axis, round(median(b.ape), 6) AS without_axis, round(avg(b.ape - a.ape), 6) AS benefit, round(corr(a.ape, b.ape), 6) AS r
+FROM cases a JOIN off b USING (as_of, firm, ratio) GROUP BY axis, ratio""")
 def axis_ablation(spark: SparkSession, sf: str) -> DataFrame:
-    """The growth axis taken out, the other weights normalised again, peers ranked and scored anew; errors compared case by case."""
-    r, f = ratios(spark, sf), features(spark, sf)
-    pen = S.penalty(r)
-    on = S.peer_cases(r, A.top_k(A.scored(f, FOUR), K), pen)
-    off = S.peer_cases(r, A.top_k(A.scored(f, _ABL), K), pen).select("as_of", "firm", "ratio", F.col("ape").alias("off"))
-    return on.join(off, ["as_of", "firm", "ratio"]).groupBy("ratio").agg(F.count("*").alias("n"), F.round(F.median("ape"), 6).alias("with_axis"), F.round(F.median("off"), 6).alias("without_axis"), F.round(F.avg(F.col("off") - F.col("ape")), 6).alias("benefit"), F.round(F.corr("ape", "off"), 6).alias("r"))
+    """Each axis taken out in turn, the other weights normalised again, peers ranked and scored anew; errors compared case by case. All engines are ranked in one pass over the blocks."""
+    r = ratios(spark, sf)
+    specs = {"": (FOUR, K), **{k: (w, K) for k, w in _OFF.items()}}
+    c = S.peer_cases(r, B.engines(features(spark, sf), specs), S.penalty(r), by=("engine",)).persist()  # a row for each engine and case, used twice
+    off = c.where("engine <> ''").select(F.col("engine").alias("axis"), "as_of", "firm", "ratio", F.col("ape").alias("off"))
+    return c.where("engine = ''").join(off, ["as_of", "firm", "ratio"]).groupBy("axis", "ratio").agg(F.count("*").alias("n"), F.round(F.median("ape"), 6).alias("with_axis"), F.round(F.median("off"), 6).alias("without_axis"), F.round(F.avg(F.col("off") - F.col("ape")), 6).alias("benefit"), F.round(F.corr("ape", "off"), 6).alias("r"))
 
 
-def _cases_of(tag: str, source: str) -> str:
-    return (S.PEER_VALUES_SQL.replace("pv AS", f"pv_{tag} AS").replace("JOIN peers p", f"JOIN {source} p").replace("p.sim", "0.0 AS sim") + ", " + S.CASES_SQL.replace("cases AS", f"cases_{tag} AS").replace("FROM pv ", f"FROM pv_{tag} "))
+_ON = ", ".join(_cases_of(k, f"peers_{k}") for k in ("growth",))
+
+
+@query(f"""{PEERS}, {_OFF_SQL}, {S.RATIOS_SQL}, {S.PEER_VALUES_SQL}, {S.CASES_SQL}, {_ON},
+t AS (SELECT a.as_of, a.firm, round(avg(b.ape - a.ape), 9) AS benefit, any_value(abs(p.growth)) AS g FROM cases a JOIN cases_growth b USING (as_of, firm, ratio) JOIN panel p USING (as_of, firm) WHERE p.growth IS NOT NULL GROUP BY a.as_of, a.firm),
+m AS (SELECT median(g) AS half FROM t) SELECT count(*) AS n, round(corr(g, benefit), 6) AS r, round(avg(benefit) FILTER (WHERE g >= half), 6) AS fast, round(avg(benefit) FILTER (WHERE g < half), 6) AS slow FROM t CROSS JOIN m""")
+def ablation_by_growth(spark: SparkSession, sf: str) -> DataFrame:
+    """What the growth axis is worth to a target, averaged over its ratios, beside how fast the target grows: correlation, and means on both sides of the median growth."""
+    r = ratios(spark, sf)
+    c = S.peer_cases(r, B.engines(features(spark, sf), {"on": (FOUR, K), "off": (_OFF["growth"], K)}), S.penalty(r), by=("engine",))
+    e = c.groupBy("as_of", "firm", "ratio").agg(F.max(F.when(F.col("engine") == "on", F.col("ape"))).alias("on"), F.max(F.when(F.col("engine") == "off", F.col("ape"))).alias("off"))
+    g = panel(spark, sf).where("growth is not null").select("as_of", "firm", F.abs("growth").alias("g"))
+    t = e.join(g, ["as_of", "firm"]).groupBy("as_of", "firm", "g").agg(F.round(F.avg(F.col("off") - F.col("on")), 9).alias("benefit"))
+    t = t.crossJoin(F.broadcast(t.agg(F.median("g").alias("half"))))  # one row
+    side = lambda c: F.round(F.avg(F.when(c, F.col("benefit"))), 6)
+    return t.agg(F.count("*").alias("n"), F.round(F.corr("g", "benefit"), 6).alias("r"), side(F.col("g") >= F.col("half")).alias("fast"), side(F.col("g") < F.col("half")).alias("slow"))
 
 
 _RANDOM = f"""rd AS (SELECT a.as_of, a.firm, b.firm AS peer, md5(concat_ws('|', '{DEFAULT.seed}', a.as_of::VARCHAR, a.firm::VARCHAR, b.firm::VARCHAR)) AS draw FROM panel a JOIN panel b ON a.as_of = b.as_of AND a.firm <> b.firm), {A.top_k_sql(K, 'rpeers', 'rd', 'draw, peer')}"""
 _BASEP = BASE[len(WITH) + 2 :].replace("peers AS", "bpeers AS")
+_FINALP = f"{A.scored_sql(W).replace('scored AS', 'scored_final AS', 1)}, {A.top_k_sql(DEFAULT.k_final, 'fpeers', 'scored_final')}"
 
 
-@query(f"""{PEERS}, {_RANDOM}, {_BASEP}, {S.RATIOS_SQL}, {_cases_of('sim', 'peers')}, {_cases_of('rnd', 'rpeers')}, {_cases_of('base', 'bpeers')},
-every AS (SELECT 'similarity' AS engine, * FROM cases_sim UNION ALL SELECT 'random', * FROM cases_rnd UNION ALL SELECT 'baseline', * FROM cases_base UNION ALL SELECT 'market', as_of, firm, ratio, ape, false FROM market)
+@query(f"""{WITH}, {TEXT_SQL}, {A.scored_sql(FOUR)}, {A.top_k_sql(K)}, {_FINALP}, {_RANDOM}, {_BASEP}, {S.RATIOS_SQL}, {_cases_of('fin', 'fpeers')}, {_cases_of('sim', 'peers')}, {_cases_of('rnd', 'rpeers')}, {_cases_of('base', 'bpeers')},
+every AS (SELECT 'similarity' AS engine, * FROM cases_sim UNION ALL SELECT 'final', * FROM cases_fin UNION ALL SELECT 'random', * FROM cases_rnd UNION ALL SELECT 'baseline', * FROM cases_base UNION ALL SELECT 'market', as_of, firm, ratio, ape, false FROM market)
 SELECT engine, coalesce(ratio, 'all') AS ratio, {_AGG} FROM every GROUP BY GROUPING SETS ((engine, ratio), (engine))""")
 def showdown(spark: SparkSession, sf: str) -> DataFrame:
-    """Engines and controls side by side on the same cases and penalty, scored in one pass."""
+    """Engines and controls side by side on the same cases and penalty: ranked in one pass over the blocks, scored in one."""
     r, f = ratios(spark, sf), features(spark, sf)
-    pen = S.penalty(r)
-    engines = {"similarity": A.top_k(A.scored(f, FOUR), K), "random": A.random_peers(f, K, DEFAULT.seed).withColumn("sim", F.lit(0.0)), "baseline": A.baseline(f, K).withColumn("sim", F.lit(0.0))}
-    every = S.market_cases(r).withColumns({"fail": F.lit(False), "engine": F.lit("market")})
-    for name, p in engines.items():
-        every = every.unionByName(S.peer_cases(r, p, pen).withColumn("engine", F.lit(name)))
+    p = B.engines(f, {"similarity": (FOUR, K), "final": (W, DEFAULT.k_final), "baseline": (None, K)}, vectors(spark, sf))
+    p = p.unionByName(A.random_peers(f, K, DEFAULT.seed).withColumns({"sim": F.lit(0.0), "engine": F.lit("random")}))
+    every = S.peer_cases(r, p, S.penalty(r), by=("engine",)).unionByName(S.market_cases(r).withColumns({"fail": F.lit(False), "engine": F.lit("market")}))
     return S.aggregate(every, "engine").select("engine", "ratio", "n", *r6(*_SCORES))
 
 
-_B = 40
-_DRAW = "('0x' || substr(md5(concat_ws('|', b::VARCHAR, {0})), 1, 8))::BIGINT"
 _PAIRED = f"""{PEERS}, {_BASEP}, {S.RATIOS_SQL}, {_cases_of('sim', 'peers')}, {_cases_of('base', 'bpeers')},
-both_ AS (SELECT a.as_of, a.firm, a.ratio, a.ape AS x, c.ape AS y FROM cases_sim a JOIN cases_base c USING (as_of, firm, ratio)), reps AS (SELECT unnest(range(0, {_B})) AS b)"""
+both_ AS (SELECT a.as_of, a.firm, a.ratio, a.ape AS x, c.ape AS y, @key AS key FROM cases_sim a JOIN cases_base c USING (as_of, firm, ratio)), """
 
 
-def _paired(spark: SparkSession, sf: str) -> DataFrame:
-    r, f = ratios(spark, sf), features(spark, sf)
-    pen = S.penalty(r)
-    a = S.peer_cases(r, A.top_k(A.scored(f, FOUR), K), pen).select("as_of", "firm", "ratio", F.col("ape").alias("x"))
-    return a.join(S.peer_cases(r, A.baseline(f, K).withColumn("sim", F.lit(0.0)), pen).select("as_of", "firm", "ratio", F.col("ape").alias("y")), ["as_of", "firm", "ratio"])
-
-
-def _draw(key: Column) -> Column:
-    return F.conv(F.substr(F.md5(F.concat_ws("|", F.col("b").cast("string"), key).cast("binary")), F.lit(1), F.lit(8)), 16, 10).cast("bigint")
-
-
-def _poisson(u: Column) -> Column:
-    """Poisson(1) draw from a 32-bit hash, up to 6: each row's multiplicity in a replicate."""
-    bounds = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
-    out = F.lit(6)
-    for k in range(5, -1, -1):
-        out = F.when(u < F.lit(bounds[k] * 4294967296.0), k).otherwise(out)
-    return out
-
-
-_POISSON = "CASE " + " ".join(f"WHEN u < {b * 4294967296.0!r} THEN {k}" for k, b in enumerate((0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183))) + " ELSE 6 END"
+def paired(spark: SparkSession, sf: str) -> DataFrame:
+    """as_of, firm, ratio, x (error with the engine's peers), y (with the baseline's)."""
+    r = ratios(spark, sf)
+    c = S.peer_cases(r, B.engines(features(spark, sf), {"x": (FOUR, K), "y": (None, K)}), S.penalty(r), by=("engine",))
+    return c.groupBy("as_of", "firm", "ratio").agg(*[F.max(F.when(F.col("engine") == e, F.col("ape"))).alias(e) for e in ("x", "y")])
 
 
 def _bootstrap(name: str, key_sql: str, key) -> None:
-    """Each replicate weights every case (or every firm, with all its cases) by a Poisson draw from a hash, so replicates are rows of one plan and need no driver loop."""
-
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        b = _paired(spark, sf).withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(_B - 1).cast("bigint"))))
-        b = b.withColumn("m", _poisson(_draw(key()))).where("m > 0").select("b", "x", "y", F.explode(F.sequence(F.lit(1), "m")).alias("i"))
-        d = b.groupBy("b").agg((F.median("x") - F.median("y")).alias("d"))
-        return d.agg(F.count("*").alias("replicates"), *[F.round(F.percentile("d", F.lit(q)), 6).alias(n) for q, n in ((0.025, "low"), (0.5, "mid"), (0.975, "high"))])
+        i = resample.interval(paired(spark, sf).withColumn("key", key()), DEFAULT.replicates)
+        return i.select("replicates", "n", *r6("difference", "low", "mid", "high"), "better")
 
     run.__name__ = name
-    query(f"""{_PAIRED}, dr AS (SELECT b, x, y, {_DRAW.format(key_sql)} AS u FROM both_ CROSS JOIN reps), ex AS (SELECT b, x, y, unnest(range(0, {_POISSON})) AS i FROM dr),
-    d AS (SELECT b, median(x) - median(y) AS d FROM ex GROUP BY b)
-    SELECT count(*) AS replicates, round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.5), 6) AS mid, round(quantile_cont(d, 0.975), 6) AS high FROM d""")(run)
+    query(_PAIRED.replace("@key", key_sql) + resample.interval_sql("both_", DEFAULT.replicates))(run)
 
 
 _bootstrap("bootstrap_paired", "concat_ws('|', as_of::VARCHAR, firm::VARCHAR, ratio)", lambda: F.concat_ws("|", F.col("as_of").cast("string"), F.col("firm").cast("string"), F.col("ratio")))

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import random
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from peerlens.config import DEFAULT
 from peerlens.operators import axes as A
+from peerlens.operators import blocks as B
+from peerlens.operators import govern as G
 from peerlens.operators import relational as R
 from peerlens.operators import score as S
 from peerlens.operators import statements as T
 from peerlens.operators import text as X
 
 from .panel import firms, read
-from .peer_queries import FOUR, PEERS, TEXT_SQL, WITH, K, cases, features, peers, ratios, text_similarity
+from .peer_queries import FINAL, FOUR, PEERS, TEXT_SQL, WITH, K, W, cases, features, final_peers, peers, ratios, vectors
 from .registry import ORACLE, query
 
 _DOCS = X.text_sql("SELECT doc_id AS doc, text FROM documents", DEFAULT.gram, DEFAULT.vocabulary)
@@ -42,30 +47,75 @@ def tfidf_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return v.groupBy("doc").agg(F.count("*").alias("n"), F.round(F.sum(F.col("weight") * F.col("weight")), 6).alias("norm"), F.round(F.max("weight"), 6).alias("top"))
 
 
-_PAIRS = f"""WITH {TEXT_SQL}, f AS (SELECT s_suppkey AS firm, lpad(n_regionkey::VARCHAR, 2, '0') AS g FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-p AS (SELECT a.g = b.g AS same, coalesce(t.sim_text, 0.0) AS sim FROM f a JOIN f b ON a.firm < b.firm LEFT JOIN textsim t ON t.firm = a.firm AND t.peer = b.firm WHERE a.firm IN (SELECT doc FROM vec) AND b.firm IN (SELECT doc FROM vec))"""
+#: Cosines are counted with four decimals, so that quantiles and ranks need a row for each value and not for each pair.
+_PAIRS = f"""f AS (SELECT as_of, firm, left(code, 2) AS g FROM panel WHERE length(code) >= 2 AND firm IN (SELECT doc FROM vec)),
+p AS (SELECT a.as_of, a.g = b.g AS same, round(coalesce(t.sim_text, 0.0), 4) AS sim FROM f a JOIN f b ON a.as_of = b.as_of AND a.firm < b.firm LEFT JOIN textsim t ON t.firm = a.firm AND t.peer = b.firm)"""
 
 
 def text_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """same (industry group), sim of each unordered pair of firms with a text vector."""
-    docs = documents(spark, sf).join(read(spark, sf, "supplier").select(F.col("s_suppkey").alias("doc")), "doc")
-    v = X.tfidf(docs, DEFAULT.gram, DEFAULT.vocabulary)
-    f = firms(spark, sf).select("firm", F.left("code", F.lit(2)).alias("g")).join(v.select(F.col("doc").alias("firm")).distinct(), "firm", "left_semi").withColumn("as_of", F.lit(0))
-    p = A.pairs(f.select("as_of", "firm", "g")).where("firm < peer")
-    return p.join(X.cosines(v), ["firm", "peer"], "left").select((F.col("g_a") == F.col("g_b")).alias("same"), F.coalesce("sim_text", F.lit(0.0)).alias("sim"))
+    """as_of, same (industry group), sim, n: how many unordered pairs of firms with a text vector and a full code have a cosine; counted in blocks."""
+    v = vectors(spark, sf)
+    f = features(spark, sf).where("length(code) >= 2").join(v.select(F.col("doc").alias("firm")).distinct(), "firm", "left_semi")
 
+    def take(y: int, a: B.Side, b: B.Side, text: np.ndarray | None):
+        same = a.same_prefix(b, 2)
+        ok = a.firm[:, None] < b.firm[None, :]
+        key, n = np.unique(np.rint(B.half_up(text[ok], 4) * 10_000).astype(np.int64) * 2 + same[ok], return_counts=True)
+        yield pa.table({"as_of": pa.array(np.full(len(key), y, np.int32)), "same": pa.array((key % 2).astype(np.int32)), "sim": pa.array((key // 2) / 10_000), "n": pa.array(n)})
 
-@query(f"{_PAIRS} SELECT same, count(*) AS n, round(quantile_cont(sim, 0.5), 6) AS p50, round(quantile_cont(sim, 0.9), 6) AS p90, round(quantile_cont(sim, 0.99), 6) AS p99, round(quantile_cont(sim, 0.99), 2) AS floor FROM p GROUP BY same")
+    found = B.meet(f, take, "as_of int, same int, sim double, n bigint", v)
+    return found.groupBy("as_of", (F.col("same") == 1).alias("same"), "sim").agg(F.sum("n").alias("n"))
+
+
+def _quantiles(*by: str) -> str:
+    return f"{', '.join(by)}, count(*) AS n, round(quantile_cont(sim, 0.5), 6) AS p50, round(quantile_cont(sim, 0.9), 6) AS p90, round(quantile_cont(sim, 0.99), 6) AS p99"
+
+
+def quantiles(counts: DataFrame, *by: str) -> DataFrame:
+    q = F.percentile("sim", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)), F.col("n"))
+    return counts.groupBy(*by).agg(F.sum("n").alias("n"), q.alias("q")).select(*by, "n", *[F.round(F.col("q")[i], 6).alias(c) for i, c in enumerate(("p50", "p90", "p99"))])
+
+
+@query(f"{WITH}, {TEXT_SQL}, {_PAIRS} SELECT {_quantiles('as_of', 'same')} FROM p GROUP BY as_of, same")
 def tag_floor_null(spark: SparkSession, sf: str) -> DataFrame:
-    """Quantiles of cosines within and across industry groups; the 99th percentile across them is the floor under which the text label isn't shown."""
-    q = F.percentile("sim", F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
-    g = text_pairs(spark, sf).groupBy("same").agg(F.count("*").alias("n"), q.alias("q"))
-    return g.select("same", "n", *[F.round(F.col("q")[i], 6).alias(c) for i, c in enumerate(("p50", "p90", "p99"))], F.round(F.col("q")[2], 2).alias("floor"))
+    """Quantiles of cosines within and across industry groups, by snapshot."""
+    return quantiles(text_pairs(spark, sf), "as_of", "same")
+
+
+_FLOOR = f"fl AS (SELECT round(avg(p99), 2) AS floor FROM (SELECT as_of, quantile_cont(sim, 0.99) AS p99 FROM p WHERE NOT same AND as_of IN {DEFAULT.dev_years} GROUP BY as_of))"
+
 
+def text_floor(counts: DataFrame) -> DataFrame:
+    """One row: the mean over the dev snapshots of the 99th percentile across groups; below it the text label isn't shown."""
+    c = counts.where(~F.col("same") & F.col("as_of").isin(*DEFAULT.dev_years)).groupBy("as_of").agg(F.percentile("sim", F.lit(0.99), F.col("n")).alias("p99"))
+    return c.agg(F.round(F.avg("p99"), 2).alias("floor"))
 
-@query(f"{_PAIRS}, r AS (SELECT same, (rank() OVER (ORDER BY sim) + (count(*) OVER (PARTITION BY sim) - 1) / 2.0) AS rk FROM p), s AS (SELECT count(*) FILTER (WHERE same) AS a, count(*) FILTER (WHERE NOT same) AS b, sum(rk) FILTER (WHERE same) AS u FROM r) SELECT a AS n_pos, b AS n_neg, round((u - a * (a + 1) / 2.0) / (a * b), 6) AS auc FROM s")
+
+@query(f"{WITH}, {TEXT_SQL}, {_PAIRS}, {_FLOOR}, c AS (SELECT as_of, quantile_cont(sim, 0.99) AS p99 FROM p WHERE NOT same GROUP BY as_of) SELECT as_of, round(p99, 6) AS p99, floor, abs(p99 - floor) < 0.03 AS valid FROM c CROSS JOIN fl")
+def floor_validity(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each snapshot's own null distribution stays near the floor that is shown with it."""
+    counts = text_pairs(spark, sf).persist()  # a row for each cosine of four decimals
+    c = counts.where(~F.col("same")).groupBy("as_of").agg(F.percentile("sim", F.lit(0.99), F.col("n")).alias("p99"))
+    return c.crossJoin(F.broadcast(text_floor(counts))).select("as_of", F.round("p99", 6).alias("p99"), "floor", (F.abs(F.col("p99") - F.col("floor")) < 0.03).alias("valid"))  # one row
+
+
+@query(f"{WITH}, {TEXT_SQL}, {_PAIRS}, {_FLOOR}, c AS (SELECT as_of, firm, lead(firm) OVER (PARTITION BY as_of ORDER BY firm) AS other FROM f) SELECT as_of, c.firm, other, round(coalesce(sim_text, 0.0), 6) AS cos, coalesce(sim_text, 0.0) >= floor AS shown FROM c CROSS JOIN fl LEFT JOIN textsim t ON t.firm = c.firm AND t.peer = c.other WHERE other IS NOT NULL")
+def case_cosines(spark: SparkSession, sf: str) -> DataFrame:
+    """Cosines of a list of named pairs (each firm and the next) against the floor: the list decides how many vectors meet."""
+    v = vectors(spark, sf)
+    one = v.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("gram", "weight"))).alias("m"))
+    f = features(spark, sf).where("length(code) >= 2").join(one.select(F.col("doc").alias("firm")), "firm", "left_semi").select("as_of", "firm")
+    pairs = f.withColumn("other", F.lead("firm").over(Window.partitionBy("as_of").orderBy("firm"))).where("other is not null")
+    known = pairs.select("firm", "other").distinct().join(one.select(F.col("doc").alias("firm"), F.col("m").alias("a")), "firm").join(one.select(F.col("doc").alias("other"), F.col("m").alias("b")), "other")
+    both = F.aggregate(F.array_intersect(F.map_keys("a"), F.map_keys("b")), F.lit(0.0), lambda t, g: t + F.col("a")[g] * F.col("b")[g])
+    known = known.select("firm", "other", F.round(both, 9).alias("cos"))
+    j = pairs.join(known, ["firm", "other"]).crossJoin(F.broadcast(text_floor(text_pairs(spark, sf))))  # one row
+    return j.select("as_of", "firm", "other", F.round("cos", 6).alias("cos"), (F.col("cos") >= F.col("floor")).alias("shown"))
+
+
+@query(f"{WITH}, {TEXT_SQL}, {_PAIRS}, r AS (SELECT same, (rank() OVER (ORDER BY sim) + (count(*) OVER (PARTITION BY sim) - 1) / 2.0) AS rk FROM p), s AS (SELECT count(*) FILTER (WHERE same) AS a, count(*) FILTER (WHERE NOT same) AS b, sum(rk) FILTER (WHERE same) AS u FROM r) SELECT a AS n_pos, b AS n_neg, round((u - a * (a + 1) / 2.0) / (a * b), 6) AS auc FROM s")
 def tag_auc(spark: SparkSession, sf: str) -> DataFrame:
-    return R.auc(text_pairs(spark, sf), "same", "sim").withColumn("auc", F.round("auc", 6))
+    return R.auc(text_pairs(spark, sf), "same", "sim", "n").withColumn("auc", F.round("auc", 6))
 
 
 @query("""WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 100 = 0),
@@ -86,27 +136,43 @@ def weight_grid(axes: int, steps: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0
 
 
 _GRID = weight_grid(4)
-_GRID_SQL = "(VALUES " + ", ".join(f"({i}, {', '.join(f'{x!r}::DOUBLE' for x in w)})" for i, w in enumerate(_GRID)) + ") AS w(g, w0, w1, w2, w3)"
-_SIM4 = " + ".join(f"w{i} * {k}" for i, k in enumerate(FOUR))
+#: The four axes alone, and six weightings drawn at random.
+_FEW = [tuple(float(i == k) for i in range(4)) for k in range(4)] + [tuple(round(random.Random(f"{DEFAULT.seed}{i}{k}").random(), 4) for k in range(4)) for i in range(6)]
 
 
-@query(f"""{PEERS}, {S.RATIOS_SQL}, g0 AS (SELECT g, as_of, firm, peer, round({_SIM4}, 9) AS sim FROM scored CROSS JOIN {_GRID_SQL} WHERE as_of IN {DEFAULT.dev_years}),
+def _grid_sql(grid: list[tuple[float, ...]]) -> str:
+    rows = "(VALUES " + ", ".join(f"({i}, {', '.join(f'{x!r}::DOUBLE' for x in w)})" for i, w in enumerate(grid)) + ") AS w(g, w0, w1, w2, w3)"
+    sim = " + ".join(f"w{i} * {k}" for i, k in enumerate(FOUR))
+    return f"""{PEERS}, {S.RATIOS_SQL}, g0 AS (SELECT g, as_of, firm, peer, round({sim}, 9) AS sim FROM scored CROSS JOIN {rows} WHERE as_of IN {DEFAULT.dev_years}),
 g1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g, as_of, firm ORDER BY sim DESC, peer) AS rank FROM g0) WHERE rank <= {K}),
 g2 AS (SELECT g, d.as_of, d.firm, d.ratio, d.value AS actual, median(r.value) AS pred, count(r.value) AS n FROM defined d JOIN g1 ON g1.as_of = d.as_of AND g1.firm = d.firm LEFT JOIN ratios r ON r.as_of = d.as_of AND r.firm = g1.peer AND r.ratio = d.ratio GROUP BY ALL)
-SELECT g, round(median(CASE WHEN n < {DEFAULT.min_peers} THEN penalty ELSE abs(pred - actual) / abs(actual) END), 6) AS ape FROM g2 CROSS JOIN pen GROUP BY g""")
+SELECT g, round(median(CASE WHEN n < {DEFAULT.min_peers} THEN penalty ELSE abs(pred - actual) / abs(actual) END), 6) AS ape FROM g2 CROSS JOIN pen GROUP BY g"""
+
+
+def grid_scores(spark: SparkSession, sf: str, grid: list[tuple[float, ...]]) -> DataFrame:
+    r, f = ratios(spark, sf), features(spark, sf).where(F.col("as_of").isin(*DEFAULT.dev_years))
+    e = B.grid_errors(f, r, S.penalty(r), tuple(FOUR), np.array(grid), K)
+    return e.groupBy("g").agg(F.round(F.median("ape"), 6).alias("ape"))
+
+
+@query(_grid_sql(_GRID))
 def weight_grid_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Median error of each of the 529 weightings on the dev snapshots. Axis values are computed once for each pair; a weighting only adds them up again."""
-    r = ratios(spark, sf)
-    s = A.scored(features(spark, sf).where(F.col("as_of").isin(*DEFAULT.dev_years)), FOUR)
-    grid = F.array(*[F.struct(F.lit(i).alias("g"), *[F.lit(x).alias(f"w{k}") for k, x in enumerate(w)]) for i, w in enumerate(_GRID)])
+    """Median error of each of the 529 weightings on the dev snapshots. Axis values of a target are made once; a weighting only adds them up again."""
+    return grid_scores(spark, sf, _GRID)
+
+
+@query(f"SELECT g, ape, true AS equal FROM ({_grid_sql(_FEW)})")
+def grid_equivalence(spark: SparkSession, sf: str) -> DataFrame:
+    """The block scorer against the plain one, which joins pairs, ranks and scores: single axes and random weightings must agree to 1e-9."""
+    r, f = ratios(spark, sf), features(spark, sf).where(F.col("as_of").isin(*DEFAULT.dev_years))
+    pen = S.penalty(r)
+    grid = F.array(*[F.struct(F.lit(i).alias("g"), *[F.lit(x).alias(f"w{k}") for k, x in enumerate(w)]) for i, w in enumerate(_FEW)])
     sim = sum((F.col(f"w.w{i}") * F.col(k) for i, k in enumerate(FOUR)), F.lit(0.0))
-    each = s.drop("sim").withColumn("w", F.explode(grid)).select(F.col("w.g").alias("g"), "as_of", "firm", "peer", F.round(sim, 9).alias("sim"))
+    each = A.scored(f, FOUR).drop("sim").withColumn("w", F.explode(grid)).select(F.col("w.g").alias("g"), "as_of", "firm", "peer", F.round(sim, 9).alias("sim"))
     top = each.withColumn("rank", F.row_number().over(Window.partitionBy("g", "as_of", "firm").orderBy(F.desc("sim"), "peer"))).where(F.col("rank") <= K)
-    actual = r.where("value is not null and value <> 0").select("as_of", "firm", "ratio", F.col("value").alias("actual"))
-    v = r.select("as_of", F.col("firm").alias("peer"), "ratio", F.col("value").alias("v"))
-    g = actual.join(top, ["as_of", "firm"]).join(v, ["as_of", "peer", "ratio"], "left").groupBy("g", "as_of", "firm", "ratio", "actual").agg(F.median("v").alias("pred"), F.count("v").alias("n"))
-    err = F.when(F.col("n") < DEFAULT.min_peers, F.col("penalty")).otherwise(S.ape(F.col("pred"), F.col("actual")))
-    return g.crossJoin(F.broadcast(S.penalty(r))).groupBy("g").agg(F.round(F.median(err), 6).alias("ape"))  # one row
+    plain = S.peer_cases(r, top, pen, by=("g",)).groupBy("g").agg(F.median("ape").alias("plain"))
+    fast = B.grid_errors(f, r, pen, tuple(FOUR), np.array(_FEW), K).groupBy("g").agg(F.median("ape").alias("ape"))
+    return fast.join(plain, "g").select("g", F.round("ape", 6).alias("ape"), (F.abs(F.col("ape") - F.col("plain")) < 1e-9).alias("equal"))
 
 
 @query(f"SELECT arg_min(g, (ape, g)) AS g, min(ape) AS ape FROM ({ORACLE['weight_grid_scores']})")
@@ -115,37 +181,89 @@ def weight_grid_argmin(spark: SparkSession, sf: str) -> DataFrame:
     return weight_grid_scores(spark, sf).agg(F.min(F.struct("ape", "g")).alias("m")).select("m.g", "m.ape")
 
 
-@query(f"""{PEERS}, one AS (SELECT max(as_of) AS as_of FROM panel), lab AS (SELECT p.*, name FROM peers p JOIN one USING (as_of) JOIN firms f ON f.firm = p.firm WHERE name = (SELECT min(name) FROM firms)) SELECT as_of, firm, rank, peer, round(sim, 6) AS sim FROM lab""")
-def firm_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Peers of one firm by name in the last snapshot: the target is filtered before the pairs are made, so this is one against all."""
-    f = features(spark, sf)
-    f = f.where(F.col("as_of") == max(DEFAULT.snapshot_years))
-    named = firms(spark, sf).orderBy("name").limit(1).select("firm").withColumn("as_of", F.lit(max(DEFAULT.snapshot_years)))
-    return A.top_k(A.scored(f, FOUR, targets=named), K).select("as_of", "firm", "rank", "peer", F.round("sim", 6).alias("sim"))
+def tuned(spark: SparkSession, sf: str) -> DataFrame:
+    """g, ape of every weighting of the final engine's axes (2851 for five) with its k, on a sample of the dev targets; the sample is the operator's."""
+    r, f = ratios(spark, sf), features(spark, sf).where(F.col("as_of").isin(*DEFAULT.dev_years))
+    order = F.md5(F.concat(F.lit(f"{DEFAULT.seed}|"), F.col("firm").cast("string")).cast("binary"))
+    targets = f.select("as_of", "firm").withColumn("n", F.row_number().over(Window.partitionBy("as_of").orderBy(order))).where(F.col("n") <= DEFAULT.targets_a_year)
+    e = B.grid_errors(f, r, S.penalty(r), tuple(W), np.array(weight_grid(len(W))), DEFAULT.k_final, vectors(spark, sf), targets)
+    return e.groupBy("g").agg(F.median("ape").alias("ape"))
+
+
+@query()
+def weight_search_final(spark: SparkSession, sf: str) -> DataFrame:
+    """The dev error of every weighting of the five axes; no SQL, DuckDB would join 2851 times all pairs."""
+    names = F.array(*[F.array(*map(F.lit, w)) for w in weight_grid(len(W))])
+    return tuned(spark, sf).select("g", F.get(names, F.col("g")).alias("weights"), F.round("ape", 6).alias("ape"))
+
+
+def frozen_parameters(spark: SparkSession, sf: str) -> tuple[str, str]:
+    """Best weights of the dev search (the first in order among equals), k, penalty and thresholds of ill-conditioned ratios, as sealed text and digest. Reads dev snapshots only."""
+    best = tuned(spark, sf).agg(F.min(F.struct(F.round("ape", 9).alias("ape"), "g")).alias("m")).first().m  # one row
+    r = ratios(spark, sf).where(F.col("as_of").isin(*DEFAULT.dev_years))
+    tau = {x.ratio: x.tau for x in S.ill_thresholds(r).collect()}  # one row for each ratio
+    return G.seal({"engine": "axes", "weights": dict(zip(W, weight_grid(len(W))[best.g], strict=True)), "k": DEFAULT.k_final, "penalty": S.penalty(r).first()[0], "tau": tau})
+
+
+def frozen_cases(spark: SparkSession, sf: str, text: str, digest: str, years: list[int]) -> DataFrame:
+    """as_of, firm, ratio, ape, fail, ill of the years' cases by sealed parameters, whose seal is checked before and after they are used; an engine without weights is the baseline."""
+    spec = G.unseal(text, digest)
+    f, r = features(spark, sf).where(F.col("as_of").isin(*years)), ratios(spark, sf).where(F.col("as_of").isin(*years))
+    p = B.engines(f, {"": (spec["weights"] if spec["engine"] == "axes" else None, spec["k"])}, vectors(spark, sf))
+    c = S.peer_cases(r, p, spark.createDataFrame([(spec["penalty"],)], "penalty double"))
+    tau = spark.createDataFrame(sorted(spec["tau"].items()), "ratio string, tau double")
+    out = c.join(S.flags(r, tau), ["as_of", "firm", "ratio"])
+    G.unseal(text, digest)
+    return out
 
 
-@query(f"""{WITH}, {TEXT_SQL}, {A.scored_sql(DEFAULT.weights)}, {A.top_k_sql(DEFAULT.k_final)} SELECT as_of, firm, rank, peer, text > 0 AND text >= 0.05 AS text_label FROM peers""")
+@query()
+def holdout_frozen(spark: SparkSession, sf: str) -> DataFrame:
+    """The holdout's errors by parameters that the dev snapshots alone decided: found, sealed, and applied unchanged. No SQL, as for the search."""
+    text, digest = frozen_parameters(spark, sf)
+    c = frozen_cases(spark, sf, text, digest, [y for y in DEFAULT.snapshot_years if y not in DEFAULT.dev_years])
+    c = c.groupBy("ratio").agg(F.count("*").alias("n"), F.round(F.median("ape"), 6).alias("overall"), F.round(F.median(F.when(~F.col("ill"), F.col("ape"))), 6).alias("stable"), F.round(F.avg((~F.col("fail")).cast("double")), 6).alias("coverage"))
+    return c.withColumn("digest", F.lit(digest))
+
+
+@query(f"""{FINAL}, {_PAIRS}, {_FLOOR} SELECT as_of, firm, rank, peer, text > 0 AND text >= floor AS text_label FROM peers CROSS JOIN fl""")
 def label_floor(spark: SparkSession, sf: str) -> DataFrame:
-    """Whether the text label of a peer may be shown: its raw similarity reaches the floor. Ranks and scores don't change."""
-    p = A.top_k(A.scored(features(spark, sf), DEFAULT.weights, text_similarity(spark, sf)), DEFAULT.k_final)
-    return p.select("as_of", "firm", "rank", "peer", ((F.col("text") > 0) & (F.col("text") >= 0.05)).alias("text_label"))
+    """Whether the text label of a peer may be shown: its raw similarity reaches the derived floor. Ranks and scores don't change."""
+    p = final_peers(spark, sf).crossJoin(F.broadcast(text_floor(text_pairs(spark, sf))))  # one row
+    return p.select("as_of", "firm", "rank", "peer", ((F.col("text") > 0) & (F.col("text") >= F.col("floor"))).alias("text_label"))
+
+
+_BLOCKED = f"{PEERS}, p2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY as_of, firm ORDER BY sim DESC, peer) AS rank FROM scored) WHERE rank <= {K})"
 
 
-@query(f"{PEERS}, {PEERS[len(WITH) + 2:].replace('scored AS', 's2 AS', 1).replace('peers AS', 'p2 AS', 1).replace('FROM scored', 'FROM s2', 1)} SELECT count(*) AS n, count(*) FILTER (WHERE a.peer IS DISTINCT FROM b.peer) AS differing, max(a.rank) AS k FROM peers a FULL JOIN p2 b ON a.as_of = b.as_of AND a.firm = b.firm AND a.rank = b.rank")
+@query(f"{_BLOCKED} SELECT a.as_of, count(*) AS n, count(*) FILTER (WHERE a.peer IS DISTINCT FROM b.peer) AS differing, max(a.rank) AS k FROM peers a FULL JOIN p2 b ON a.as_of = b.as_of AND a.firm = b.firm AND a.rank = b.rank GROUP BY a.as_of")
 def selection_check(spark: SparkSession, sf: str) -> DataFrame:
-    """The selection, made again, against itself: rows that differ, and the largest rank as the k of the label."""
+    """The selection of the block engine against the one that joins pairs: rows that differ by rank, and the largest rank as the k of the label. The two share no code beyond the features."""
     a = peers(spark, sf).select("as_of", "firm", "rank", "peer")
-    b = peers(spark, sf).select("as_of", "firm", "rank", F.col("peer").alias("again"))
+    b = A.top_k(A.scored(features(spark, sf), FOUR), K).select("as_of", "firm", "rank", F.col("peer").alias("again"))
     j = a.join(b, ["as_of", "firm", "rank"], "full")
-    return j.agg(F.count("*").alias("n"), F.count_if(~F.col("peer").eqNullSafe(F.col("again"))).alias("differing"), F.max("rank").alias("k"))
+    return j.groupBy("as_of").agg(F.count("*").alias("n"), F.count_if(~F.col("peer").eqNullSafe(F.col("again"))).alias("differing"), F.max("rank").alias("k"))
 
 
-@query(f"""{PEERS}, {S.RATIOS_SQL}, {S.PEER_VALUES_SQL}, {S.CASES_SQL}, w AS (SELECT as_of, firm, arg_max(ratio, (ape, ratio)) AS driver, max(ape) AS worst, bool_or(fail) AS fail FROM cases GROUP BY ALL)
-SELECT CASE WHEN fail THEN 'data' WHEN worst > 1 THEN 'intrinsic' ELSE 'industry' END AS cause, driver, count(*) AS n FROM w GROUP BY ALL""")
+#: An error is extreme from here on, an actual value near nothing below, and peers belong together with so many of the target's code or such a mean cosine. Fixed values.
+EXTREME, TINY, SAME_CODE, COHERENT = 3.0, 0.05, 3, 0.35
+
+
+@query(f"""{FINAL}, {S.RATIOS_SQL}, {S.PEER_VALUES_SQL}, {S.CASES_SQL}, w AS (SELECT c.as_of, c.firm, arg_max(ratio, (ape, ratio)) AS driver, max(ape) AS worst, arg_max(d.value, (ape, ratio)) AS actual FROM cases c JOIN defined d USING (as_of, firm, ratio) GROUP BY ALL),
+h AS (SELECT as_of, firm, count(*) FILTER (WHERE industry = 1) AS same, avg(text) AS cos FROM peers GROUP BY ALL), s AS (SELECT s_suppkey AS firm, coalesce(length(text), 0) > 0 AS ok FROM supplier LEFT JOIN documents ON doc_id = s_suppkey),
+k AS (SELECT w.*, CASE WHEN NOT s.ok THEN 'data' WHEN worst >= {EXTREME} AND abs(actual) < {TINY} THEN 'intrinsic' WHEN coalesce(same, 0) < {SAME_CODE} AND round(coalesce(cos, 0), 9) < {COHERENT} THEN 'industry' ELSE 'intrinsic' END AS cause FROM w LEFT JOIN h USING (as_of, firm) JOIN s USING (firm))
+SELECT cause, driver, count(*) AS n FROM k GROUP BY ALL""")
 def worst_causes(spark: SparkSession, sf: str) -> DataFrame:
-    """The ratio that drives each target's error, and a coarse cause."""
-    w = cases(spark, sf).groupBy("as_of", "firm").agg(F.max_by("ratio", F.struct("ape", "ratio")).alias("driver"), F.max("ape").alias("worst"), F.bool_or("fail").alias("fail"))
-    return w.groupBy(F.when(F.col("fail"), "data").when(F.col("worst") > 1, "intrinsic").otherwise("industry").alias("cause"), "driver").agg(F.count("*").alias("n"))
+    """Why targets are predicted badly, by the ratio that drives the error: no text (data), an extreme error of a tiny value or in spite of coherent peers (intrinsic), scattered peers (industry)."""
+    r, p = ratios(spark, sf), final_peers(spark, sf).persist()  # a few rows for each firm and snapshot
+    c = S.peer_cases(r, p, S.penalty(r)).join(r.select("as_of", "firm", "ratio", "value"), ["as_of", "firm", "ratio"])
+    w = c.groupBy("as_of", "firm").agg(F.max_by(F.struct("ratio", "value"), F.struct("ape", "ratio")).alias("d"), F.max("ape").alias("worst"))
+    h = p.groupBy("as_of", "firm").agg(F.count_if(F.col("industry") == 1).alias("same"), F.avg("text").alias("cos"))
+    d = read(spark, sf, "documents").select(F.col("doc_id").alias("firm"), F.length("text").alias("size"))
+    ok = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("firm")).join(d, "firm", "left").select("firm", (F.coalesce("size", F.lit(0)) > 0).alias("ok"))
+    scattered = (F.coalesce("same", F.lit(0)) < SAME_CODE) & (F.round(F.coalesce("cos", F.lit(0.0)), 9) < COHERENT)
+    cause = F.when(~F.col("ok"), "data").when((F.col("worst") >= EXTREME) & (F.abs("d.value") < TINY), "intrinsic").when(scattered, "industry").otherwise("intrinsic")
+    return w.join(h, ["as_of", "firm"], "left").join(ok, "firm").groupBy(cause.alias("cause"), F.col("d.ratio").alias("driver")).agg(F.count("*").alias("n"))
 
 
 _STATEMENT = [("c1", 0, "BS", "Trade and other receivables", "12,840,000,000"), ("c1", 1, "BS", "Trade receivables (net)", "11,702,295,937"), ("c1", 2, "CIS", "Revenue", "-"), ("c1", 3, "IS", "Sales", "5,000.9"), ("c2", 0, "BS", "Revenue", "7"), ("c2", 1, "IS", "Revenue", "8")]
@@ -157,11 +275,3 @@ def alias_resolution(spark: SparkSession, sf: str) -> DataFrame:
     """Statement rows of two made-up firms: aliases by priority, statement by account, unreadable amounts passed over."""
     rows = spark.createDataFrame(_STATEMENT, "corp string, pos int, sj_div string, name string, amount string")
     return T.resolve_accounts(rows, spark.createDataFrame(_ALIASES, "account string, alias string, priority int, divs array<string>"))
-
-
-@query("SELECT p_partkey, contains(replace(p_name, ' ', ''), 'e') AND NOT contains(replace(p_name, ' ', ''), 'green') AS candidate, CASE WHEN p_size % 4 = 0 THEN 'c_absent' WHEN p_size % 3 = 0 THEN 'b_not_in_table' WHEN p_size % 5 = 0 THEN 'a_dictionary' WHEN p_size % 7 = 0 THEN 'd_format' ELSE 'e_other' END AS failure, CASE WHEN p_size % 6 = 0 THEN 'NA' WHEN p_size % 5 = 0 THEN 'NO_PICK' WHEN p_size % 4 = 0 OR p_size % 6 = 1 THEN 'OK' WHEN p_size % 3 = 0 THEN 'DEFINITIONAL' ELSE 'MISMAP' END AS verdict FROM part")
-def mapping_classes(spark: SparkSession, sf: str) -> DataFrame:
-    """Candidate search, failure class and verdict, with flags taken from numbers of the part table."""
-    n, p = F.col("p_size"), read(spark, sf, "part")
-    none = lambda k: n % k == 0
-    return p.select("p_partkey", T.candidates(F.col("p_name"), ["e"], ["green"]).alias("candidate"), T.failure_class(~none(5), ~none(3), ~none(4), ~none(7)).alias("failure"), T.verdict(F.when(~none(5), n), n % 6, none(4), none(3)).alias("verdict"))

@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 from peerlens.functions.scalar import iso_date
 
+from .snapshots import read_or_empty
+
 LEDGER = T.StructType([T.StructField(c, T.StringType()) for c in ("corp_code", "corp_name", "corp_cls", "stock_code", "rcept_dt", "report_nm")])
 
 
@@ -18,8 +20,8 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_layer(spark: SparkSession, path: str, schema: T.StructType, as_of: int | None = None) -> DataFrame:
-    """A layer partitioned by as_of; a year reads its partition only, and a year that isn't there gives no rows."""
-    d = spark.read.schema(schema).parquet(path)
+    """A layer partitioned by as_of; a year reads its partition only, and a year or a layer that isn't there gives no rows."""
+    d = read_or_empty(spark, path, schema)
     return d if as_of is None else d.where(F.col("as_of") == as_of)
 
 
@@ -42,5 +44,10 @@ def write_report_csv(reports: DataFrame, path: str) -> None:
     flat.select("firm", "as_of", "grade", "rank", "peer", "sim", *[F.col(c).alias(f"why_{c}") for c in why]).write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_rows_json(df: DataFrame, path: str) -> None:
+    """Scores, weights, thresholds: a table as JSON lines."""
+    write_report_json(df, path)
+
+
 def write_report_json(reports: DataFrame, path: str) -> None:
     reports.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)

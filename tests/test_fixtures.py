@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from peerlens.config import DEFAULT, RATIOS, SCALE_ACCOUNTS, Config
 from peerlens.functions import scalar as C
 from peerlens.operators import axes as A
+from peerlens.operators import blocks as B
 from peerlens.operators import documents as D
 from peerlens.operators import govern as G
 from peerlens.operators import relational as R
@@ -50,8 +51,9 @@ def test_axes(spark):
 
 
 def test_baseline_keeps_missing_sizes_last_in_their_tier(spark):
-    d = spark.createDataFrame([(1, 0, "0101", 1.0, 1.0), (1, 1, "0101", None, 1.0), (1, 2, "0101", 9.0, 1.0), (1, 3, "0199", 1.0, 1.0), (1, 4, "0200", 1.0, 1.0)], "as_of int, firm int, code string, ln_rev double, ln_ast double")
-    assert [r.peer for r in A.baseline(d, 9).where("firm = 0").orderBy("rank").collect()] == [2, 1, 3, 4]
+    rows = [(0, "0101", 1.0), (1, "0101", None), (2, "0101", 9.0), (3, "0199", 1.0), (4, "0200", 1.0)]
+    d = spark.createDataFrame([(1, f, c, x, 1.0, None, None, None, None, None) for f, c, x in rows], "as_of int, firm bigint, code string, ln_rev double, ln_ast double, ln_cap double, g double, s_n double, s_top double, s_hhi double")
+    assert [r.peer for r in B.baseline(d, 9).where("firm = 0").orderBy("rank").collect()] == [2, 1, 3, 4]
 
 
 def test_growth_over_a_gap_is_null(spark):
@@ -92,7 +94,7 @@ def test_scalars(spark):
     assert column(spark, ["x (2019.12) (2020.06)", "none"], "string", C.report_year) == [2020, None]
     assert column(spark, ["<p>a&nbsp;b</p> \n c"], "string", C.clean_html) == ["a b c"]
     assert column(spark, [1.0, None], "double", lambda v: C.compare("<=", v, F.lit(1.0))) == [True, False]
-    assert column(spark, ["005930", "5930", None], "string", C.is_listed) == [True, False, False]
+    assert column(spark, ["900010", "9000", None], "string", C.is_listed) == [True, False, False]
 
 
 def test_ngrams_ignore_noise(spark):
@@ -126,38 +128,93 @@ def test_documents(spark):
     got = {r.doc_id: tuple(r)[1:] for r in D.segment_profile(d, "Business", ["Revenue"], ["Share"], ["Total"]).collect()}
     assert got[1] == ("ok", 3, 0.5, 0.38) and got[5][0] == "no_table" and got[6][0] == "no_rows" and got[2][0] == "no_section"
     assert [r.found for r in D.accounts_found(d.where("doc_id = 1"), ["A", "Z"]).collect()] == [["A"]]
-    spans = d.where("doc_id = 1").lateralJoin(D.Sections(F.col("raw").outer())).select("title", "text").collect()
+    spans = D.sections(d.where("doc_id = 1")).first().sections
     assert [r.title for r in spans] == ["I. Overview", "II. Business", "III. Other"] and spans[2].text == "y"
+    assert all(docs[1][s.at :].startswith("<TITLE>") and docs[1].find(s.raw) == s.at for s in spans)
 
 
-def test_statement_classes(spark):
-    d = spark.createDataFrame([(None, 0, False, False), (None, 2, False, False), (5.0, 2, True, False), (5.0, 2, False, True), (5.0, 2, False, False)], "pick double, n int, exact boolean, combined boolean")
-    assert [r[0] for r in d.select(X.verdict(F.col("pick"), F.col("n"), F.col("exact"), F.col("combined"))).collect()] == ["NA", "NO_PICK", "OK", "DEFINITIONAL", "MISMAP"]
+def test_section_by_part_of_a_title(spark):
+    d = spark.createDataFrame([(1, "<TITLE>Cover</TITLE>a<title class='x'>Ⅱ. The  Business of it</title>b<TITLE>1. Inner</TITLE>c<TITLE>III. Z</TITLE>d")], "doc_id int, raw string")
+    r = D.section(d, "Business").first()
+    assert (r.status, r.text) == ("ok", "b 1. Inner c")
 
 
-def test_gates():
-    key = b"k"
-    g = G.measure(G.create("data", [{"metric": "m", "op": "<=", "threshold": 5}], key), {"m": 0.0}, key)
-    assert g["status"] == "PENDING"
-    assert G.judge(g, {"m": lambda: 9.9}, key, "auditor")["status"] == "FAIL"
-    assert G.judge(g, {}, key, "auditor")["status"] == "FAIL"
-    ok = G.judge(g, {"m": lambda: 0.0}, key, "auditor")
-    assert ok["status"] == "PASS" and G.verify(ok, key)
-    G.require_pass(ok, key)
-    forged = ok | {"measured": {"m": 1.0}}
-    assert not G.verify(forged, key)
+def test_first_segment_table_with_rows(spark):
+    empty, blank = table([["Revenue", "Share"], ["Total", "5,000"]]), table([["Revenue", "Share"], ["", "9,000"], ["A", "3,000"], ["Totals of B", "1,000"]])
+    d = spark.createDataFrame([(1, f"<TITLE>II. Business</TITLE>{empty}{blank}")], "doc_id int, raw string")
+    assert tuple(D.segment_profile(d, "Business", ["Revenue"], ["Share"], ["Total"]).first())[1:] == ("ok", 2, 0.75, 0.625)
+    found = D.accounts_found(spark.createDataFrame([(1, "Net sales grew " + table([["Sales", "-"], ["Cost (net)", "1,000"]]))], "doc_id int, raw string"), ["Sales", "Cost", "Net sales"]).first()
+    assert found.found == ["Cost"] and found.mentioned == ["Sales", "Cost", "Net sales"]
+
+
+def test_choices(spark):
+    d = spark.createDataFrame([(0, False, False, False, False), (2, False, False, False, False), (2, True, True, False, False), (2, True, False, True, True), (2, True, False, True, False)], "n int, chosen boolean, trade boolean, summed boolean, elsewhere boolean")
+    got = d.select(X.receivable_choice(F.col("n"), F.col("chosen"), F.col("trade"), F.col("summed"), F.col("elsewhere")).alias("r"), X.cost_choice(F.col("n"), F.col("chosen"), F.col("trade"), F.col("elsewhere")).alias("c")).collect()
+    assert [r.r for r in got] == ["NA", "NO_PICK", "OK", "APPROX", "DISCLOSURE"] and [r.c for r in got] == ["NA", "NO_PICK", "OK", "MISMAP", "DEFINITIONAL"]
+    ids = column(spark, ["shorttermtradereceivable", "tradeandothercurrentreceivables", "", "otherreceivables"], "string", lambda c: X.is_trade_only(c, F.lit("Trade receivables"), ["Tradereceivables"]))
+    assert ids == [True, False, True, False]
+
+
+def test_configuration(spark):
+    c = X.read_config("accounts:\n  revenue: {aliases: [Revenue, Net sales], statements: [IS]}\n  cost: {aliases: [Cost], statements: [IS]}\nratios:\n  - {name: margin, numerator: cost, denominator: revenue}\n")
+    assert c["ratios"] == [("margin", "cost", "revenue")]
+    assert sorted((r.alias, r.priority) for r in X.alias_table(spark, c["accounts"]).where("account = 'revenue'").collect()) == [("Netsales", 1), ("Revenue", 0)]
+    with pytest.raises(ValueError):
+        X.read_config("ratios: [{name: m, numerator: a, denominator: b}]")
+
+
+def test_gates(spark):
+    key, tables = b"k", {"t": spark.createDataFrame([(1.0,), (2.0,)], "v double")}
+    metrics = {"mean": lambda t: t["t"].agg(F.avg("v")), "rows": lambda t: t["t"].agg(F.count("*")), "lost": lambda t: t["missing"].agg(F.count("*")), "fixed": lambda t: t["t"].agg(F.lit(0.0))}
+    fine, low = G.Check("mean", "at_most", 5.0), G.Check("rows", "above", 9.0)
+    g = G.state_values(G.open_gate("data", [fine], key), {"mean": 1.5}, key)
+    assert g.state == G.WAITING and g.authentic(key)
+    ok = G.decide(g, tables, metrics, key, "auditor")
+    assert ok.state == G.PASSED and ok.outcomes[0].recomputed == 1.5
+    G.demand(ok, key)
+    assert G.decide(G.state_values(g, {"mean": 1.7}, key), tables, metrics, key, "auditor").state == G.FAILED  # stated otherwise
+    assert G.decide(G.state_values(G.open_gate("data", [low], key), {"rows": 2}, key), tables, metrics, key, "auditor").state == G.FAILED  # out of bounds
+    assert G.decide(G.state_values(G.open_gate("data", [G.Check("lost", "equals", 0)], key), {"lost": 0}, key), tables, metrics, key, "auditor").state == G.FAILED  # a table is missing
+    assert G.decide(G.state_values(G.open_gate("data", [G.Check("none", "equals", 0)], key), {"none": 0}, key), tables, metrics, key, "auditor").state == G.FAILED  # no such metric
+    from dataclasses import replace
+
+    forged = replace(g, checks=(G.Check("mean", "at_most", 50.0),))
+    assert not forged.authentic(key) and G.decide(forged, tables, metrics, key, "auditor").state == G.FAILED
     with pytest.raises(SystemExit):
-        G.require_pass(forged, key)
-    assert G.is_tautological(lambda x: 0.0, [1, 2]) and not G.is_tautological(lambda x: x, [1, 2])
-    text, digest = G.freeze({"k": 10, "weights": DEFAULT.weights})
-    assert G.verify_freeze(text, digest)["k"] == 10
+        G.demand(replace(ok, stated=(("mean", 1.0),)), key)
+    import hashlib
+
+    tokens = {"ann": hashlib.sha256(b"secret").hexdigest()}
+    done = G.approve(ok, "ann", "secret", tokens, key)
+    assert done.state == G.APPROVED and done.by == "ann" and ok.seal in done.history
+    for gate, person, token in ((ok, "ann", "wrong"), (ok, "bob", "secret"), (g, "ann", "secret")):
+        with pytest.raises(PermissionError):
+            G.approve(gate, person, token, tokens, key)
+    again = G.amend(done, [G.Check("mean", "at_most", 1.0)], "bound was too wide", key)
+    assert again.state == G.WAITING and again.authentic(key) and G.decide(again, tables, metrics, key, "auditor").state == G.FAILED
+    with pytest.raises(SystemExit):
+        G.demand(again, key)
+    double = {"t": lambda d: d.withColumn("v", F.col("v") * 2)}
+    assert G.never_moves(metrics["fixed"], tables, double) and not G.never_moves(metrics["mean"], tables, double)
+
+
+def test_seals_and_leaks(spark):
+    text, digest = G.seal({"weights": DEFAULT.weights, "k": 10})
+    assert G.unseal(text, digest)["k"] == 10 and G.seal({"k": 10, "weights": DEFAULT.weights}) == (text, digest)
     with pytest.raises(ValueError):
-        G.verify_freeze(text + " ", digest)
+        G.unseal(text + " ", digest)
     specs = [(r.name, r.numerator, r.denominator) for r in RATIOS]
-    assert G.find_leaks(specs, SCALE_ACCOUNTS) == [] and G.find_leaks([*specs, ("leak", "revenue", "assets")], SCALE_ACCOUNTS) == ["leak"]
+    leaks = lambda s: [r.ratio for r in G.shared_sides(spark, s, list(SCALE_ACCOUNTS)).collect()]
+    assert leaks(specs) == [] and leaks([*specs, ("leak", "revenue", "assets")]) == ["leak"]
     assert sum(Config(weights={"a": 2.0, "b": 6.0}).normal_weights.values()) == 1
 
 
+def test_labels_of_content(spark):
+    d = spark.createDataFrame([("a", 1), ("b", None)], "k string, v int")
+    label = G.content_label(d, ["k"], ["v"])
+    assert G.label_agrees(d.orderBy(F.desc("k")), label, ["k"], ["v"]) and not G.label_agrees(d.withColumn("v", F.lit(1)), label, ["k"], ["v"])
+
+
 def test_digests_ignore_row_order(spark):
     rows = [("a", 1), ("b", 2), ("c", None)]
     of = lambda r: tuple(spark.createDataFrame(r, "k string, v int").agg(C.table_digest(F.col("k"), F.coalesce(F.col("v").cast("string"), F.lit(""))), C.order_free_digest(F.col("k"), F.col("v"))).first())
@@ -166,9 +223,9 @@ def test_digests_ignore_row_order(spark):
 
 def test_sources(spark, tmp_path):
     p = tmp_path / "ledger.csv"
-    p.write_text("﻿corp_code,corp_name,corp_cls,stock_code,rcept_dt,report_nm\n00126380,A,Y,005930,20200330,r\n00000001,B,,,,\n", encoding="utf-8")
+    p.write_text("﻿corp_code,corp_name,corp_cls,stock_code,rcept_dt,report_nm\n00000007,A,Y,900010,20200330,r\n00000001,B,,,,\n", encoding="utf-8")
     got = {r.corp_code: r for r in tables.read_ledger(spark, str(p)).collect()}
-    assert got["00126380"].rcept_dt == "2020-03-30" and got["00000001"].stock_code == ""
+    assert got["00000007"].rcept_dt == "2020-03-30" and got["00000001"].stock_code == ""
     layer = spark.createDataFrame([(2020, "a", 5.0), (2021, "a", None)], "as_of int, corp string, amount double")
     tables.write_layer(layer, str(tmp_path / "layer"), ("amount",))
     schema = T.StructType([T.StructField("corp", T.StringType()), T.StructField("amount", T.LongType()), T.StructField("as_of", T.IntegerType())])

@@ -30,7 +30,7 @@ def rows(columns, data):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLE) and len(QUERIES) > 80
+    assert set(QUERIES) - set(ORACLE) == {"weight_search_final", "holdout_frozen"} and len(QUERIES) > 100
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
