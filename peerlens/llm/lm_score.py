@@ -288,17 +288,27 @@ class Model:
         columns = _columns(seq, ends, k)
         context = _context_hash(columns)
         key = mix(context * _GOLD + columns[-1] + np.uint64(1))
-        count, total, rest = (np.zeros(len(ends)) for _ in range(3))
-        order = np.argsort(context)
-        for s, i, j in self._ranges(_range_of(context[order], self.shards)):
-            if s not in self.full[k]:
-                continue
-            own, a = order[i:j], mapped.load(f"{self.path}/runs{k}/{s}")
-            at = _find(a, "contexts", context[own], self.shards)
-            own, at = own[at >= 0], at[at >= 0]
-            total[own] = _value(a, "total", at)
-            rest[own] = sum(d * _value(a, n, at) for d, n in zip(self.discounts[k], ("one", "two", "more"), strict=True))
-            own = own[seq[ends[own]] >= 0]
+        # Each context is looked up once, and both contexts and keys in ascending order, so that neighbours in the arrays follow each other.
+        kinds, of = np.unique(context, return_inverse=True)
+        shard = _range_of(kinds, self.shards)
+        sums, rests = np.zeros(len(kinds)), np.zeros(len(kinds))
+        for s, i, j in self._ranges(shard):
+            if s in self.full[k]:
+                a = mapped.load(f"{self.path}/runs{k}/{s}")
+                at = _find(a, "contexts", kinds[i:j], self.shards)
+                own, at = i + np.flatnonzero(at >= 0), at[at >= 0]
+                sums[own] = _value(a, "total", at)
+                rests[own] = sum(d * _value(a, n, at) for d, n in zip(self.discounts[k], ("one", "two", "more"), strict=True))
+        count, total, rest = np.zeros(len(ends)), sums[of], rests[of]
+        order = np.argsort(key)
+        order = order[(total[order] > 0) & (seq[ends[order]] >= 0)]
+        where = shard[of[order]]
+        if self.shards <= 1 << 16:
+            where = where.astype(np.uint16)  # sorted digit by digit
+        by = np.argsort(where, kind="stable")
+        order = order[by]
+        for s, i, j in self._ranges(where[by]):
+            a, own = mapped.load(f"{self.path}/runs{k}/{s}"), order[i:j]
             at = _find(a, "keys", key[own], 1)
             count[own[at >= 0]] = _value(a, "counts", at[at >= 0])
         ok = total > 0
