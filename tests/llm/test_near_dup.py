@@ -58,7 +58,7 @@ def test_against_brute_force(spark):
 
 
 def test_long_texts_and_largest_id(spark):
-    words = [f"w{i * 7919 % 5003}" for i in range(30_000)]
+    words = [f"w{i}" for i in range(30_000)]
     other = list(words)
     for i in range(0, 30_000, 400):
         other[i] = "changed"
@@ -98,6 +98,7 @@ def test_recall_on_documents(spark):
     links = links_of([tuple(r) for r in docs.collect()])
     top = {r.doc_id: r.class_id for r in near_dup.near_duplicates(spark, docs).collect()}
     found = sum(top[a] == top[b] for a, b in links)
+    print(f"{found} of {len(links)} links")
     assert len(links) > 100 and found >= 0.99 * len(links), (found, len(links))
     joined = {}
     for i, c in top.items():
