@@ -74,15 +74,20 @@ def workspace(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/peerlens-{uuid.uuid4().hex}"
 
 
+#: While a table is written: shuffle files that it took go once it is there, and batches for Python workers are small on both sides of the pipe.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
+
 def written(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage, survives lost executors. Once it is written, the shuffle files that it took go."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
+    """df as a table in the shared folder: cuts the lineage, survives lost executors."""
+    before = {k: spark.conf.get(k, None) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -130,6 +135,10 @@ class Recent:
                 out.append(k)
         return out
 
+    def rest(self) -> None:
+        """Drops the old part: between tasks a worker holds no more than the young one."""
+        self.old = {}
+
 
 def release() -> None:
     """Gives back what a worker's allocators hold but don't use: workers live on, and the next stage's memory would come on top."""

@@ -180,7 +180,7 @@ class Coder:
     #: Words are merged together in groups of so many characters at most; longer ones one by one.
     WIDTHS = (6, 8, 10, 12, 16, 24, 64)
 
-    def __init__(self, path: str, remembered: int = 120_000):
+    def __init__(self, path: str, remembered: int = 80_000):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         m = pb.ModelProto()
@@ -391,6 +391,8 @@ def encode_documents(docs: DataFrame, model: str, outputs: tuple[str, ...] = ("i
                     )
             arrays = [pa.array(out["n_tokens"], pa.int64()), *[pa.array(out[k], types[kinds[k]]) for k in outputs]]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays, *[batch.column(x) for x in keep]], ["doc_id", "n_tokens", *outputs, *keep])
+        c.chunks.rest()
+        c.words.rest()
         release()
 
     d = pick(docs, doc_id="", text="string", **dict.fromkeys(keep, "")).withColumn("text", F.coalesce("text", F.lit("")))
