@@ -198,12 +198,15 @@ def axis_profile(f: DataFrame, name: str, vectors: DataFrame | None = None, size
 
 
 def _first(sim: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k largest numbers (9 decimals, up to 1) of each row, ties by place; whole rows aren't sorted."""
+    """Places of the k largest numbers (9 decimals, not below 0) of each row, ties by place; whole rows aren't sorted."""
     n = sim.shape[1]
-    key = (np.rint(sim * 1e9).astype(np.int64) << 32) + np.arange(n, 0, -1)
+    bits = n.bit_length()  # number and place in one integer
+    if sim.size and sim.max() * 1e9 >= 1 << (62 - bits):
+        raise ValueError("similarities are too large")
+    key = (np.rint(sim * 1e9).astype(np.int64) << bits) + np.arange(n, 0, -1)
     if k < n:
         key = np.partition(key, n - k, axis=1)[:, n - k :]
-    return n - (np.sort(key, axis=1)[:, ::-1] & 0xFFFFFFFF)
+    return n - (np.sort(key, axis=1)[:, ::-1] & ((1 << bits) - 1))
 
 
 def grid_errors(f: DataFrame, values: DataFrame, penalty: DataFrame, names: tuple[str, ...], grid: np.ndarray, k: int, vectors: DataFrame | None = None, targets: DataFrame | None = None, min_peers: int = DEFAULT.min_peers, together: int = 16) -> DataFrame:

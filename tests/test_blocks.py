@@ -48,11 +48,11 @@ def test_ranks_are_those_of_all_pairs(spark, firms, vectors, size):
 def test_grid_against_one_ranking_for_each_weighting(spark, firms, vectors):
     rng, names = np.random.default_rng(5), ("industry", "scale", "text")
     values = spark.createDataFrame([(y, i, r, None if rng.random() < 0.2 else float(rng.random())) for y in (1, 2) for i in range(23) for r in ("p", "q")], "as_of int, firm bigint, ratio string, value double")
-    pen, grid = spark.createDataFrame([(7.0,)], "penalty double"), np.array([[1.0, 0.0, 0.0], [0.2, 0.5, 0.3], [0.0, 0.0, 1.0]])
+    pen, grid = spark.createDataFrame([(7.0,)], "penalty double"), np.array([[1.0, 0.0, 0.0], [0.2, 0.5, 0.3], [0.0, 0.0, 1.0], [3.0, 4.0, 2.0]])
     got = {(r.g, r.as_of, r.firm, r.ratio): r.ape for r in B.grid_errors(firms, values, pen, names, grid, 4, vectors, together=5).collect()}
     inside = values.join(firms.select("as_of", "firm"), ["as_of", "firm"])
     for g, w in enumerate(grid.tolist()):
-        p = B.ranked(firms, dict(zip(names, w, strict=True)), 4, vectors)
+        p = B.ranked(firms, dict(zip(names, w, strict=True)), 4, vectors)  # normalises weights, which leaves the order
         want = {(g, r.as_of, r.firm, r.ratio): r.ape for r in S.peer_cases(inside, p, pen).collect()}
         assert {k: v for k, v in got.items() if k[0] == g} == pytest.approx(want)
 
