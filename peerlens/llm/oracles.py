@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .common import LOWER, UPPER
+from .license_rules import CLASSES
+from .license_rules import RULES as LICENSE_RULES
 from .quality import LEAST, POLICIES, RATIO, RULES, TOXIC, WORDS
 from .url_filter import RULES as URL_RULES
 
@@ -83,4 +85,30 @@ f AS (
 SELECT page_id, host, path, rule, coalesce(rverdict, 'allow') AS verdict FROM f
 """
 
-ORACLE = {"op1_decontaminate": OP1, "op2_line_dedup": OP2, "op4_quality_rules": OP4, "op9_url_filter": OP9}
+_LICENSE_RULES = ", ".join(f"({r.order}, '{r.label}', {r.priority}, {CLASSES[r.kind]}::DOUBLE, '{r.gate}', '{r.spaced}')" for r in LICENSE_RULES)
+#: Every word stands between two spaces of its own, so a text's pieces between matches consist of whole words, and half of their spaces is their number.
+OP11 = f"""
+WITH r(ord, label, prio, sure, gate, pat) AS (VALUES {_LICENSE_RULES}),
+d AS (SELECT doc_id, {_words('text')} AS w FROM documents),
+c AS (SELECT doc_id, ' ' || array_to_string(w, '  ') || ' ' AS t FROM d),
+gates AS (SELECT DISTINCT doc_id, word FROM (SELECT doc_id, unnest(w) AS word FROM d) WHERE word IN (SELECT gate FROM r)),
+g AS (
+  SELECT c.doc_id, r.*, string_split_regex(t, pat) AS ps, regexp_extract_all(t, pat) AS ms
+  FROM gates JOIN r ON gates.word = r.gate JOIN c ON c.doc_id = gates.doc_id),
+e AS (SELECT doc_id, ord, label, prio, sure, unnest(ms) AS m, unnest(ps[1:len(ms)]) AS p, generate_subscripts(ms, 1) AS i FROM g WHERE len(ms) > 0),
+n AS (SELECT *, (length(m) - length(replace(m, ' ', ''))) // 2 AS nm, (length(p) - length(replace(p, ' ', ''))) // 2 AS np FROM e),
+h AS (SELECT *, (sum(np + nm) OVER (PARTITION BY doc_id, ord ORDER BY i))::BIGINT - nm AS a, (sum(np + nm) OVER (PARTITION BY doc_id, ord ORDER BY i))::BIGINT - 1 AS b FROM n),
+s AS (
+  SELECT h.* FROM h WHERE prio = 0 OR NOT EXISTS (
+    SELECT 1 FROM h o WHERE o.doc_id = h.doc_id AND o.a <= h.a AND o.b >= h.b
+      AND (o.prio < h.prio OR o.prio = h.prio AND (o.b - o.a > h.b - h.a OR o.b - o.a = h.b - h.a AND o.ord < h.ord)))),
+x AS (
+  SELECT doc_id, count(*) FILTER (WHERE prio = 0) AS n_base, min(a) FILTER (WHERE prio = 0) AS first_word, max(a) FILTER (WHERE prio = 0) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE prio = 0) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(sure) AS score, count(*) AS n_detections
+  FROM s GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  coalesce(score, 0.0::DOUBLE) AS score, coalesce(n_detections, 0) AS n_detections
+FROM d LEFT JOIN x ON d.doc_id = x.doc_id
+"""
+
+ORACLE = {"op1_decontaminate": OP1, "op2_line_dedup": OP2, "op4_quality_rules": OP4, "op9_url_filter": OP9, "op11_license_scan": OP11}
