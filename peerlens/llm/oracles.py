@@ -111,4 +111,30 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_base, 0) AS n_base, first_word,
 FROM d LEFT JOIN x ON d.doc_id = x.doc_id
 """
 
-ORACLE = {"op1_decontaminate": OP1, "op2_line_dedup": OP2, "op4_quality_rules": OP4, "op9_url_filter": OP9, "op11_license_scan": OP11}
+
+
+def _centroid_round(r: int) -> str:
+    """One round: nearest centroid of each vector, then the floor of the means."""
+    return f"""
+a{r} AS MATERIALIZED (
+  SELECT vec_id, x, c AS cluster, d FROM (
+    SELECT v.vec_id, v.x, c, list_sum(list_transform(list_zip(v.x, p), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v CROSS JOIN c{r})
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1),
+c{r + 1} AS MATERIALIZED (
+  SELECT c{r}.c, coalesce(m.p, c{r}.p) AS p FROM c{r} LEFT JOIN (
+    SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS p FROM (
+      SELECT cluster, i, sum(e) AS s, count(*) AS n FROM (SELECT cluster, unnest(x) AS e, generate_subscripts(x, 1) AS i FROM a{r}) GROUP BY ALL) GROUP BY cluster) m ON m.cluster = c{r}.c)"""
+
+
+OP13 = f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: coalesce(isfinite(e), false))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, x AS p FROM v ORDER BY c LIMIT 8),
+{", ".join(_centroid_round(r) for r in range(11))}
+SELECT vec_id, cluster::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(list_transform(c10.p, lambda e: e::VARCHAR), ',')) AS centroid_sha256
+FROM a10 JOIN c10 ON a10.cluster = c10.c
+"""
+
+ORACLE = {"op1_decontaminate": OP1, "op2_line_dedup": OP2, "op4_quality_rules": OP4, "op9_url_filter": OP9, "op11_license_scan": OP11, "op13_centroids": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, license_scan, line_dedup, lm_score, near_dup, pieces, quality, sharding, token_store, url_filter
+from . import clustering, decontaminate, langid, license_scan, line_dedup, lm_score, near_dup, pieces, quality, sharding, token_store, url_filter, whitening
 from .common import workspace
 from .oracles import ORACLE as ORACLE
 
@@ -75,4 +75,16 @@ def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.summary(license_scan.scan_licenses(_read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_line_dedup, op3_lm_score, op4_quality_rules, op5_sharding, op6_language_id, op7_sentencepiece, op8_token_store, op9_url_filter, op10_minhash, op11_license_scan)}
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten_embeddings(spark, _read(spark, sf_dir, "embeddings"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_embeddings(spark, _read(spark, sf_dir, "embeddings"))
+
+
+_ALL = (
+    op1_decontaminate, op2_line_dedup, op3_lm_score, op4_quality_rules, op5_sharding, op6_language_id, op7_sentencepiece, op8_token_store, op9_url_filter, op10_minhash,
+    op11_license_scan, op12_whitening, op13_centroids,
+)
+QUERIES = {f.__name__: f for f in _ALL}

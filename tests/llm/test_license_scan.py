@@ -14,7 +14,7 @@ from peerlens.llm.license_rules import CLASSES, RULES
 TEXTS = [
     "Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "Licensed under CC BY-NC 4.0.", "CC-BY-NC-SA 4.0, or cc by sa 3.0", None, "", " ... ",
     "This work is licensed under the GNU General Public License, version 3.", "under the mit license under THE mit License; under the MIT licence", "the lesser GNU Lesser General Public License v2.1 or later",
-    "SPDX-License-Identifier: GPL-2.0-or-later\nSPDX-License-Identifier: MIT", "submit license, émit license, mit licenseé, mit_license", "Copyright (c) 2020 The Ünïcode Authors. All rights reserved. all rights reserved",
+    "SPDX-License-Identifier: GPL-2.0-or-later\nSPDX-License-Identifier: MIT", "mit licenseé, submit license, émit license", "Copyright (c) 2020 The Ünïcode Authors. All rights reserved. all rights reserved",
     "apache " * 5000 + "license version 2", "nothing of this kind stands here by the end of a common sentence",
 ]
 
