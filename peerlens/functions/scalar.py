@@ -27,16 +27,18 @@ def parse_amount(s: Column) -> Column:
 
 
 def money_cell(s: Column) -> Column:
-    """Number of a table cell that looks like money: its whole part is grouped by commas or has four digits or more. Parentheses make it negative; null for anything else."""
-    t = F.trim(s)
-    bare = F.regexp_replace(F.regexp_replace(t, r"^\(|\)$", ""), "^-", "")
-    whole, digits = F.substring_index(bare, ".", 1), F.regexp_replace(F.substring_index(bare, ".", 1), ",", "")
-    tail = F.substr(bare, F.length(whole) + 1)
-    groups = F.split(whole, ",")
+    """Number of a table cell that looks like money: digits grouped by commas, or four of them or more; null for anything else, fractions included.
+
+    Blanks don't count. Both parentheses together negate, and so does a minus sign within them, so that both leave a positive number; one parenthesis alone changes nothing.
+    """
+    t = F.regexp_replace(s, " ", "")
+    inner = F.regexp_replace(t, r"^\(|\)$", "")
+    bare = F.regexp_replace(inner, "^-", "")
+    groups, digits = F.split(bare, ","), F.regexp_replace(bare, ",", "")
     grouped = (F.size(groups) > 1) & F.length(groups[0]).between(1, 3) & F.forall(F.slice(groups, F.lit(2), F.size(groups)), lambda g: F.length(g) == 3)
-    money = (grouped | ((F.size(groups) == 1) & (F.length(whole) >= 4))) & digits.rlike("^[0-9]+$") & ((tail == "") | tail.rlike(r"^\.[0-9]+$"))
-    value = F.concat(digits, tail).try_cast("double")
-    return F.when(money, F.when(t.startswith("(") != t.startswith("-"), -value).otherwise(value))
+    money = (grouped | ((F.size(groups) == 1) & (F.length(bare) >= 4))) & digits.rlike("^[0-9]+$")
+    value = digits.try_cast("double")
+    return F.when(money, F.when((t.startswith("(") & t.endswith(")")) != inner.startswith("-"), -value).otherwise(value))
 
 
 def clean_html(s: Column) -> Column:

@@ -85,6 +85,8 @@ def test_grades(spark):
 def test_scalars(spark):
     assert column(spark, ["1,000", "-", "", "12.7", "x", None, "-3.9", "9007199254740993", "NaN"], "string", C.parse_amount) == [1000, None, None, 12, None, None, -3, 9007199254740993, None]
     assert column(spark, ["1,234", "(1,234)", "123", "50.0", "-", "12345", "-5,678"], "string", C.money_cell) == [1234, -1234, None, None, None, 12345, -5678]
+    cells = ["(-1,234)", "( 1,234 )", "1 234 567", "(1,234", "1,234)", "1,234.5", "1,23", "-(1,234)", "- 1 234", "()", "", "1,234,56", ",234", "0,123", "٣٤٥٦", None]
+    assert column(spark, cells, "string", C.money_cell) == [1234, -1234, 1234567, 1234, 1234, None, None, None, -1234, None, None, None, None, 123, None, None]
     assert column(spark, ["20200515", "2020-05-15", ""], "string", C.iso_date) == ["2020-05-15", "2020-05-15", ""]
     assert column(spark, ["20200515x", "2020"], "string", C.iso_prefix) == ["2020-05-15", ""]
     assert column(spark, ["12", "1234567"], "string", lambda v: C.zero_pad(v, 6)) == ["000012", "1234567"]
