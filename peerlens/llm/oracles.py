@@ -5,7 +5,7 @@ from __future__ import annotations
 from .common import LOWER, UPPER
 from .license_rules import CLASSES
 from .license_rules import RULES as LICENSE_RULES
-from .quality import LEAST, POLICIES, RATIO, RULES, TOXIC, WORDS
+from .quality import BITS, LEAST, POLICIES, RATIO, RULES, TOXIC
 from .url_filter import RULES as URL_RULES
 
 _SPACES = r"[\x20\x09-\x0D]+"
@@ -54,7 +54,7 @@ WITH pw AS (SELECT doc_id, {_words('text')} AS ws FROM documents),
 ld AS (SELECT l.toxic = 1 AS toxic, list_distinct(ws) AS ws FROM pw JOIN labels l USING (doc_id) WHERE l.toxic IS NOT NULL),
 sz AS (SELECT count(*) FILTER (WHERE toxic) AS all_t, count(*) FILTER (WHERE NOT toxic) AS all_c FROM ld),
 ew AS (SELECT w, count(*) FILTER (WHERE toxic) AS t, count(*) FILTER (WHERE NOT toxic) AS c FROM (SELECT toxic, unnest(ws) AS w FROM ld) GROUP BY w),
-lex AS (SELECT w FROM ew CROSS JOIN sz WHERE t >= {LEAST} AND t * (all_c + 1) >= {RATIO} * (c + 0.5) * (all_t + 1) ORDER BY t DESC, w LIMIT {WORDS}),
+lex AS (SELECT w FROM ew CROSS JOIN sz WHERE t >= {LEAST} AND t * (all_c + 1) >= {RATIO} * (c + 0.5) * (all_t + 1)),
 px AS (SELECT doc_id, count(*) AS n_plain, count(lex.w) AS n_toxic FROM (SELECT doc_id, unnest(ws) AS w FROM pw) x LEFT JOIN lex ON x.w = lex.w GROUP BY doc_id),
 d AS (
   SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '{_SPACES}'), lambda x: x <> '') AS w,
@@ -74,6 +74,14 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
   (failures & {POLICIES['clean', 3].mask}) = 0 AS kept, failures, n_bangs, n_upper, n_lines, n_plain, n_toxic FROM f
 """
 
+_CLEAN = POLICIES["clean", 3]
+_RULE_BITS = ", ".join(f"('{r}', {1 << BITS[r]}::BIGINT)" for r in _CLEAN.rules)
+ABLATIONS = f"""
+WITH led AS ({OP4}), r(rule, bit) AS (VALUES {_RULE_BITS}), m AS (SELECT failures & {_CLEAN.mask} AS m FROM led)
+SELECT rule, count(*) FILTER (WHERE m & bit <> 0) AS n_failed, count(*) FILTER (WHERE m = bit) AS n_only, count(*) FILTER (WHERE m & ~bit = 0) AS n_kept_without, count(*) AS n_docs
+FROM m CROSS JOIN r GROUP BY rule
+"""
+
 _URL_RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 OP9 = f"""
 WITH r(rhost, rpath, rverdict) AS (VALUES {_URL_RULES}),
@@ -137,4 +145,4 @@ SELECT vec_id, cluster::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION B
 FROM a10 JOIN c10 ON a10.cluster = c10.c
 """
 
-ORACLE = {"op1_decontaminate": OP1, "op2_line_dedup": OP2, "op4_quality_rules": OP4, "op9_url_filter": OP9, "op11_license_scan": OP11, "op13_centroids": OP13}
+ORACLE = {"op1_decontaminate": OP1, "op2_line_dedup": OP2, "op4_quality_rules": OP4, "op9_url_filter": OP9, "quality_ablations": ABLATIONS, "op11_license_scan": OP11, "op13_centroids": OP13}

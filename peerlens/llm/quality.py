@@ -12,7 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_WORD, SPACES, ascii_lower, pick, split_words
+from .common import NON_WORD, SPACES, ascii_lower, pick, split_words, workspace, written
+
 
 def measures() -> dict[str, Column]:
     """Measurements over the columns text, words, lines and grams (hashes of 5-word windows)."""
@@ -93,29 +94,47 @@ POLICIES = {
     ("clean", 3): Policy("clean", 3, (*[r.name for r in RULES], "toxic")),
 }
 
-#: Of the labelled rows at most so many are learned from; a word counts from so many toxic texts on, and from so many times its share of the others; so many words are kept.
-LABELLED, LEAST, RATIO, WORDS = 200_000, 4, 20, 10_000
+#: Of the labelled rows at most so many are learned from; a word counts from so many toxic texts on, and from so many times its share of the others.
+LABELLED, LEAST, RATIO = 200_000, 4, 20
+#: So many learned words go into the plan as a list; more of them stay a table that texts' words are joined with. The result is the same.
+LISTED = 200_000
+
+Lexicon = list[str] | DataFrame
 
 
 def plain_words(text: Column) -> Column:
     return split_words(ascii_lower(text), NON_WORD)
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, rows: int = LABELLED, least: int = LEAST, ratio: int = RATIO, most: int = WORDS) -> list[str]:
+def learn_lexicon(docs: DataFrame, labels: DataFrame, rows: int = LABELLED, least: int = LEAST, ratio: int = RATIO, listed: int = LISTED) -> Lexicon:
     """Words of toxic texts of any language: in `least` labelled toxic texts or more, and in a share of them that is `ratio` times that of the others.
 
-    At most `rows` labelled rows, drawn by a hash of doc_id, are read, and the `most` most frequent words are kept, so the driver holds a bounded list. Without labelled
-    toxic texts there are none.
+    At most `rows` labelled rows, drawn by a hash of doc_id, are read. All words found are returned: up to `listed` of them as a list, else as a table with the column
+    `word`. Without labelled toxic texts there are none.
     """
     known = pick(labels, doc_id="", toxic="int").where("toxic is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     d = pick(docs, doc_id="", text="string").join(F.broadcast(known), "doc_id").select((F.col("toxic") == 1).alias("toxic"), F.array_distinct(plain_words(F.col("text"))).alias("words"))
     each = d.select("toxic", F.explode(F.concat(F.array(F.lit("")), "words")).alias("word")).groupBy("word").agg(F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("c"))
     sizes = F.broadcast(each.where("word = ''").select(F.col("t").alias("all_t"), F.col("c").alias("all_c")))  # one row: every text has the empty word once
-    found = each.where("word <> ''").crossJoin(sizes).where((F.col("t") >= least) & (F.col("t") * (F.col("all_c") + 1) >= ratio * (F.col("c") + 0.5) * (F.col("all_t") + 1)))
-    return sorted(r.word for r in found.orderBy(F.desc("t"), "word").limit(most).collect())
+    found = each.where("word <> ''").crossJoin(sizes).where((F.col("t") >= least) & (F.col("t") * (F.col("all_c") + 1) >= ratio * (F.col("c") + 0.5) * (F.col("all_t") + 1))).select("word")
+    first = [r.word for r in found.limit(listed + 1).collect()]
+    return sorted(first) if len(first) <= listed else written(docs.sparkSession, found, f"{workspace(docs.sparkSession)}/lexicon")
+
+
+def with_toxic_words(w: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """w, which has a column text, with n_plain and n_toxic: how many words a text has, and how many of them are in the lexicon."""
+    if not isinstance(lexicon, DataFrame):
+        w = w.withColumn("plain", plain_words(F.col("text")))
+        return w.withColumns({"n_plain": F.size("plain").cast("bigint"), "n_toxic": F.size(F.filter("plain", lambda x: x.isin(lexicon))).cast("bigint")}).drop("plain")
+    w = w.withColumn("text_key", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    texts = w.groupBy("text_key").agg(F.first("text").alias("text"))  # copies are counted once
+    words = texts.select("text_key", F.explode(plain_words(F.col("text"))).alias("word")).groupBy("text_key", "word").agg(F.count("*").alias("n"))
+    counted = words.join(lexicon, "word", "left_semi").groupBy("text_key").agg(F.sum("n").alias("n_toxic"))
+    w = w.join(counted, "text_key", "left").drop("text_key")
+    return w.withColumns({"n_plain": F.size(plain_words(F.col("text"))).cast("bigint"), "n_toxic": F.coalesce("n_toxic", F.lit(0)).cast("bigint")})
 
 
-def with_ledger(df: DataFrame, lexicon: list[str] | None = None) -> DataFrame:
+def with_ledger(df: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
     """df, which has a column text, with all measurements and the bit mask `failures`; with a lexicon also n_plain, n_toxic and the rule `toxic`.
 
     Each step is a projection of its own, so that words, lines and window hashes are made once for each document.
@@ -128,15 +147,14 @@ def with_ledger(df: DataFrame, lexicon: list[str] | None = None) -> DataFrame:
     w = w.withColumn("grams", F.when(F.size(h) >= 5, windows).otherwise(F.array().cast("array<bigint>")))
     w = w.withColumns(measures())
     if lexicon is not None:
-        w = w.withColumn("plain", plain_words(F.col("text")))
-        w = w.withColumns({"n_plain": F.size("plain").cast("bigint"), "n_toxic": F.size(F.filter("plain", lambda x: x.isin(lexicon))).cast("bigint")}).drop("plain")
+        w = with_toxic_words(w, lexicon)
     rules = RULES if lexicon is None else [*RULES, TOXIC]
     mask = reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.expr(r.failed), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("bigint") for r in rules])
     # A generator of one row: filters on the mask stay above it. Pushed below, they would repeat all that goes into it, once for each use.
     return w.select("*", F.explode(F.array(mask)).alias("failures")).drop("words", "lines", "hashes", "grams")
 
 
-def ledger(docs: DataFrame, lexicon: list[str] | None = None) -> DataFrame:
+def ledger(docs: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
     """doc_id, measurements and failure bits of every row of docs.
 
     A null text has no words; empty texts fail few_words alone. Rows are judged one by one: ties and repeated rows stay. Further columns are ignored.

@@ -42,6 +42,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failures", "n_bangs", "n_upper", "n_lines", "n_plain", "n_toxic")
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the current policy does alone and together with the others; reads the ledger's masks."""
+    docs = _read(spark, sf_dir, "documents")
+    return quality.ablations(quality.ledger(docs, quality.learn_lexicon(docs, _read(spark, sf_dir, "labels"))), quality.POLICIES["clean", 3])
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_read(spark, sf_dir, "documents"), 8)
 
@@ -85,6 +91,6 @@ def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     op1_decontaminate, op2_line_dedup, op3_lm_score, op4_quality_rules, op5_sharding, op6_language_id, op7_sentencepiece, op8_token_store, op9_url_filter, op10_minhash,
-    op11_license_scan, op12_whitening, op13_centroids,
+    op11_license_scan, op12_whitening, op13_centroids, quality_ablations,
 )
 QUERIES = {f.__name__: f for f in _ALL}

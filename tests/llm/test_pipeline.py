@@ -77,3 +77,11 @@ def test_stages_keep_columns_and_take_odd_rows(spark):
     kept = corpus_pipeline.near_dedup(spark, d, SF).collect()
     assert sorted(r.doc_id for r in kept if r.doc_id is not None).count(3) == 1
     assert {r.doc_id for r in corpus_pipeline.quality_rules(spark, d, SF).collect()} >= {2, 3}
+
+
+def test_near_dedup_of_equal_rows_with_columns_that_have_no_order(spark):
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, text, {"a": 2}, 5), (1, text, {"a": 1}, 5), (1, text, {"a": 1}, None), (2, "another text of five or more words", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, meta map<string,int>, n_chars int")
+    kept = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted((r.doc_id, r.meta, r.n_chars) for r in kept) == [(1, {"a": 1}, 5), (2, None, 1)]

@@ -34,3 +34,15 @@ def test_without_labels_there_are_no_words(spark):
     docs, labels = tables(spark)
     assert quality.learn_lexicon(docs, labels.limit(0)) == [] == quality.learn_lexicon(docs, labels.withColumn("toxic", F.lit(0)))
     assert quality.ledger(docs, []).where("n_toxic > 0").count() == 0
+
+
+def test_no_word_is_left_out(spark):
+    """12,000 toxic words, each in four texts: as a list and as a table they give the same ledger."""
+    bad = [f"q{i}" for i in range(12_000)]
+    docs = spark.createDataFrame([(i, " ".join(bad)) for i in range(4)] + [(i, CLEAN.format(i)) for i in range(4, 200)], "doc_id bigint, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i < 4)) for i in range(200)], "doc_id bigint, toxic int")
+    listed, table = quality.learn_lexicon(docs, labels), quality.learn_lexicon(docs, labels, listed=11_999)
+    assert listed == sorted(bad) == sorted(r.word for r in table.collect())
+    new = spark.createDataFrame([(1, "q11999 q0 q0 x"), (1, "q11999 q0 q0 x"), (2, None), (3, ""), (4, "Q5 q12000 q11998"), (5, CLEAN)], "doc_id bigint, text string")
+    rows = [sorted(map(tuple, quality.ledger(new, x).select("doc_id", "n_plain", "n_toxic", "failures").collect())) for x in (listed, table)]
+    assert rows[0] == rows[1] and [r[1:3] for r in rows[0]] == [(4, 3), (4, 3), (0, 0), (0, 0), (3, 2), (14, 0)]
