@@ -47,7 +47,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each class of near copies: of the smallest doc_id (none comes last), its text of the smallest hash, and the smallest of the other columns."""
+    """Keeps one row of each class of near copies: of the smallest doc_id (none comes last), its text of the smallest hash, and of its rows the first by their JSON."""
     classes = written(spark, near_dup.text_classes(spark, docs), f"{workspace(spark)}/classes")
     counted = classes.groupBy("doc_id", "own").agg(F.first("stays").alias("stays"), F.count("*").alias("n"))
     counted = written(spark, counted, f"{workspace(spark)}/counted")
@@ -58,7 +58,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = with_text_key(kept)
     gone = repeated.select(F.col("doc_id").alias("r"), F.col("own").alias("s"))
     again = rows.join(gone, rows.doc_id.eqNullSafe(F.col("r")) & (rows.own == F.col("s")), "left_semi")
-    one = again.groupBy("doc_id", "own").agg(F.min("row_").alias("row_"))
+    one = again.groupBy("doc_id", "own").agg(F.min_by("row_", F.to_json("row_")).alias("row_"))  # JSON has an order for columns of any type
     return without_texts(kept, repeated).unionAll(untagged(one, docs.columns))
 
 
