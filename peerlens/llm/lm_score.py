@@ -8,7 +8,7 @@ shard's task merges its blocks into sorted arrays in a file of the shared folder
 entry in each block, so no shard grows with it, and the number of shards grows with the corpus. Each order is counted in passes over ranges of shards, so that only a
 part of its blocks is on disk at a time.
 
-Words are known by 64-bit hashes; a word's id is its place among the sorted hashes, and ids are packed into as many bits as they need. Runs of words are looked up by
+Words are known by 64-bit hashes (word_hash.py); a word's id is its place among the sorted hashes, and ids are packed into as many bits as they need. Runs of words are looked up by
 64-bit hashes of their ids, of which sorted arrays keep 40 bits; the others follow from the place.
 """
 
@@ -20,13 +20,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import mapped
-from .common import SPACES, ascii_lower, forget, local_path, pick, release, slices, split_words, workspace, written
+from .common import forget, local_path, pick, release, slices, workspace, written
 from .mph import mix
+from .word_hash import hash_words
 
 #: Hash of the token that ends each text; id of a word that the model doesn't know.
 END, UNKNOWN = 0x0E4D0F7E, -1
@@ -36,10 +36,6 @@ _HALF, _32 = np.uint64(0xFFFFFFFF), np.uint64(32)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def token_hashes(text: Column) -> Column:
-    return F.transform(split_words(ascii_lower(text), SPACES), lambda w: F.xxhash64(w))
-
-
 def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays of one length as compressed bytes; the first, which ascends, as differences. Bytes of equal weight stand together."""
     out = [len(arrays[0]).to_bytes(8, "little")]
@@ -100,15 +96,15 @@ def _blocks(level: int, rows: Iterator[tuple[int, bytes]]) -> Iterator[pa.Record
 def _texts(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Token hashes of whole texts, each with END after it, and the texts' lengths; about so many tokens at a time."""
     kept, lengths, size = [], [], 0
-    for batch in slices(batches, "tokens", 500, tokens):
-        lists = batch.column("tokens")
-        n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    for batch in slices(batches, "text", 500):
+        hashes, n = hash_words(batch.column("text"))
+        n = n + 1
         out = np.empty(int(n.sum()), np.uint64)
         ends = np.cumsum(n) - 1
         inner = np.ones(len(out), bool)
         inner[ends] = False
         out[ends] = END
-        out[inner] = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        out[inner] = hashes
         kept.append(out)
         lengths.append(n)
         size += len(out)
@@ -329,11 +325,11 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
 
 
 def train(spark: SparkSession, docs: DataFrame, word_bytes: int = 64 << 20, pair_bytes: int = 24 << 20, buffer: int = 3_000_000, order: int = 2, passes: int = 2) -> Model:
-    """Counts the column `tokens` (hashes) of docs, whose texts have `size` bytes: a range of words for each word_bytes, one of contexts for each pair_bytes of text."""
-    size = docs.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    """Counts the words of the column `text` (binary) of docs: a range of words for each word_bytes, one of contexts for each pair_bytes of text."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()
     at = workspace(spark)
     model = Model(local_path(at), max(1, -(-size[0] // word_bytes)), max(1, -(-size[0] // pair_bytes)), order)
-    tokens = docs.select("tokens")
+    tokens = docs.select("text")
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for hashes, _ in _texts(batches, buffer):
@@ -459,16 +455,16 @@ def score_documents(spark: SparkSession, docs: DataFrame, held_out: Column, orde
     count and are scored each. Without any training text every token has probability 1. Further columns are ignored.
     """
     d = pick(docs, doc_id="", text="string")
-    d = d.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), token_hashes(F.col("text")).alias("tokens"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("size"))
+    d = d.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text").cast("binary").alias("text"))
     model = train(spark, d.where("not held_out"), order=order, **sizes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "tokens", 1000, 500_000):
-            hashes, lengths = next(_texts(iter([batch.select(["tokens"])]), 1 << 40))
+        for batch in slices(batches, "text", 500, 3 << 20):
+            hashes, lengths = next(_texts(iter([batch]), 1 << 40))
             known, base, score = model.score(hashes, lengths)
             cols = [batch.column("doc_id"), batch.column("held_out"), pa.array(lengths), pa.array(known), pa.array(np.full(len(lengths), model.tokens)), pa.array(base), pa.array(score), pa.array(10 ** (-score / lengths))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
         release()
 
     kind = d.schema["doc_id"].dataType.simpleString()
-    return d.select("doc_id", "held_out", "tokens").mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double")
+    return d.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, perplexity double")

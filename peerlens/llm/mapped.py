@@ -40,7 +40,7 @@ def load(path: str) -> dict[str, np.ndarray]:
         out = {}
         for k, (at, kind, length) in head.items():
             start = 8 + n + at
-            out[k] = raw[start : start + length * np.dtype(kind).itemsize].view(kind)
+            out[k] = np.asarray(raw[start : start + length * np.dtype(kind).itemsize].view(kind))  # a plain array: the map itself is slow to index
         if len(_OPEN) > 4096:
             _OPEN.clear()
         _OPEN[path] = out
