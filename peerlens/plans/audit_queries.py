@@ -11,8 +11,8 @@ from peerlens.operators import govern as G
 from peerlens.operators import statements as T
 from peerlens.sources import snapshots
 
-from .panel import PANEL_SQL, accounts, firms, panel, read
-from .peer_queries import FINAL, final_peers, flag_list, ratio_block
+from .panel import PANEL_SQL, accounts, filings, firms, growth, panel, read, segments
+from .peer_queries import FINAL, final_peers, ratio_block
 from .registry import ORACLE, query
 
 _NAMES = ["Supplier#000000001", " supplier #000000002 ", "Supplier#00000000", "customer#000000003", "nobody", "", "SUPPLIER#000000004"]
@@ -27,9 +27,13 @@ SELECT e.asked, CASE WHEN e.k = '' THEN 'empty' WHEN usable = 1 THEN 'ok' WHEN u
   CASE WHEN usable = 1 THEN firm END AS firm, coalesce(n_similar, 0) AS n_similar FROM e LEFT JOIN s USING (asked)""")
 def firm_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """What becomes of names that someone asks for: one rankable firm, several, only firms that can't be ranked, none (with how many names hold the words), or an empty name."""
+    return lookup(spark, universe(spark, sf), _NAMES)
+
+
+def universe(spark: SparkSession, sf: str) -> DataFrame:
+    """firm, name, rankable: suppliers can be ranked, customers can't."""
     s, c = read(spark, sf, "supplier"), read(spark, sf, "customer")
-    u = s.select(F.col("s_suppkey").alias("firm"), F.col("s_name").alias("name"), F.lit(True).alias("rankable")).unionByName(c.select(F.col("c_custkey").alias("firm"), F.col("c_name").alias("name"), F.lit(False).alias("rankable")))
-    return lookup(spark, u, _NAMES)
+    return s.select(F.col("s_suppkey").alias("firm"), F.col("s_name").alias("name"), F.lit(True).alias("rankable")).unionByName(c.select(F.col("c_custkey").alias("firm"), F.col("c_name").alias("name"), F.lit(False).alias("rankable")))
 
 
 def lookup(spark: SparkSession, universe: DataFrame, names: list[str]) -> DataFrame:
@@ -67,15 +71,6 @@ def report_examples(spark: SparkSession, sf: str) -> DataFrame:
     return g.select(F.explode(each).alias("e")).where("e.x is not null").select("e.kind", "e.x.as_of", "e.x.firm")
 
 
-def reports(spark: SparkSession, sf: str, targets: DataFrame) -> DataFrame:
-    """One nested row for each target (as_of, firm): its description, peers in order, ratios beside them, flags. For write_report_json()."""
-    want = lambda df: df.join(targets, ["as_of", "firm"], "left_semi")
-    p = want(final_peers(spark, sf)).groupBy("as_of", "firm").agg(F.sort_array(F.collect_list(F.struct("rank", "peer", "sim"))).alias("peers"))
-    b = want(ratio_block(spark, sf)).groupBy("as_of", "firm").agg(F.sort_array(F.collect_list(F.struct("ratio", "actual", "peer_median", "deviation", "direction", "needs_check", "confidence", "note"))).alias("ratios"))
-    m = want(target_meta(spark, sf))
-    return m.join(p, ["as_of", "firm"], "left").join(b, ["as_of", "firm"], "left").join(want(flag_list(spark, sf)), ["as_of", "firm"], "left")
-
-
 @query(f"{FINAL} SELECT as_of, firm, rank, peer, round(sim, 6) AS sim, max(rank) OVER () AS k, max(rank) OVER () = {DEFAULT.k_final} AS k_agrees FROM peers")
 def selection_export(spark: SparkSession, sf: str) -> DataFrame:
     """The selection with similarities, and whether its label k is the largest rank."""
@@ -188,12 +183,27 @@ def change_manifest(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {PANEL_SQL} SELECT 'universe' AS phase, count(*) AS n FROM filings WHERE year IN {DEFAULT.snapshot_years} UNION ALL SELECT 'scale', count(*) FROM acc UNION ALL SELECT 'industry', count(*) FROM firms UNION ALL SELECT 'segment', count(*) FROM seg UNION ALL SELECT 'features', count(*) FROM panel")
 def snapshot_phases(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows of each table that a snapshot is built from; sources.snapshots.build_snapshot() writes such phases one by one and goes on where a run stopped."""
-    from .panel import filings, segments
-
-    parts = {"universe": filings(spark, sf).where(F.col("year").isin(*DEFAULT.snapshot_years)), "scale": accounts(spark, sf), "industry": firms(spark, sf), "segment": segments(spark, sf), "features": panel(spark, sf)}
+    """Builds a version of the snapshots in five phases, each written before the next begins, publishes it, and counts the rows of its tables as readers see them."""
+    store = snapshots.Versions(spark, snapshots.shared_folder(spark))
+    phases = snapshot_builder(spark, sf)
+    store.build("first", phases)
+    store.publish("first", list(phases))
     out = None
-    for name, p in parts.items():
-        p = p.agg(F.count("*").alias("n")).select(F.lit(name).alias("phase"), "n")
+    for name in phases:
+        p = store.read(name).agg(F.count("*").alias("n")).select(F.lit(name).alias("phase"), "n")
         out = p if out is None else out.unionByName(p)
     return out
+
+
+def snapshot_builder(spark: SparkSession, sf: str, years: tuple[int, ...] = DEFAULT.snapshot_years) -> dict[str, snapshots.Phase]:
+    """The phases of the snapshots of some years: who filed, accounts, codes and market values, segments, and the features, which are made from the four tables before."""
+
+    def features(t: dict[str, DataFrame]) -> DataFrame:
+        a = t["scale"].withColumn("year", F.col("fy") + 1)
+        g, s = (d.withColumn("year", F.col("fy") + 1).drop("fy") for d in (growth(t["scale"]), t["segment"]))
+        j = t["universe"].join(a.drop("fy"), ["firm", "year"]).join(g, ["firm", "year"], "left").join(s, ["firm", "year"], "left").join(t["industry"], "firm", "left")
+        return j.withColumnRenamed("year", "as_of")
+
+    return {
+        "universe": lambda t: filings(spark, sf).where(F.col("year").isin(*years)), "scale": lambda t: accounts(spark, sf), "industry": lambda t: firms(spark, sf), "segment": lambda t: segments(spark, sf), "features": features,
+    }

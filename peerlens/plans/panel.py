@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from peerlens.config import DEFAULT
+from peerlens.sources.contexts import Contexts
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,8 +25,13 @@ def firms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(n, s.s_nationkey == n.n_nationkey).select(F.col("s_suppkey").alias("firm"), F.col("s_name").alias("name"), code.alias("code"), F.col("s_acctbal").alias("mktcap"))
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "lineitem").select(
+def lines(spark: SparkSession, sf_dir: str, years: tuple[int, int] | None = None) -> DataFrame:
+    """The lines of all years, or from the first to the last of two, which the scan of the files already leaves out."""
+    d = read(spark, sf_dir, "lineitem")
+    if years is not None:
+        day = lambda y: F.lit(f"{y}-01-01 00:00:00").cast(d.schema["l_shipdate"].dataType)
+        d = d.where((F.col("l_shipdate") >= day(years[0])) & (F.col("l_shipdate") < day(years[1] + 1)))
+    return d.select(
         F.col("l_suppkey").alias("firm"), F.col("l_partkey").alias("part"), F.to_date("l_shipdate").alias("day"), F.year("l_shipdate").alias("fy"),
         F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("disc"), F.col("l_tax").alias("tax"),
         F.col("l_linestatus").alias("status"), F.col("l_returnflag").alias("flag"))
@@ -63,12 +69,12 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return share.groupBy("firm", "fy").agg(F.count("*").alias("seg_n"), F.round(F.max("share"), 9).alias("seg_top"), F.round(F.sum(F.col("share") * F.col("share")), 6).alias("seg_hhi"))
 
 
-def rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rollup(spark: SparkSession, sf_dir: str, years: tuple[int, int] | None = None) -> DataFrame:
     """firm, fy, rcept_dt (first filing between January 1 and the snapshot day), has (whether there are accounts), accounts, segment profile: one scan of the lines, first by segment, then by year."""
     p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.col("p_retailprice").alias("retail"), F.col("p_type").alias("segment"), F.lit(True).alias("known"))
     net, ok = F.col("price") * (1 - F.col("disc")), F.col("known")
     of = lambda c, name: F.sum(F.when(ok, c)).alias(name)
-    by = lines(spark, sf_dir).join(p, "part", "left").groupBy("firm", "fy", "segment").agg(
+    by = lines(spark, sf_dir, years).join(p, "part", "left").groupBy("firm", "fy", "segment").agg(
         F.min(F.when(F.date_format("day", "MMdd") <= "0515", F.col("day"))).alias("rcept_dt"), F.count("known").alias("known"), of(net, "revenue"), of(F.col("price") * (1 + F.col("tax")), "assets"), of(F.col("qty") * F.col("retail"), "cost"),
         of(F.col("price") * F.col("tax"), "taxes"), of(F.when(F.col("status") == "O", net).otherwise(0.0), "inventory"), of(F.when(F.col("flag") == "N", net).otherwise(0.0), "receivables"))
     total = lambda c: F.round(F.sum(c), 4).alias(c)
@@ -91,10 +97,10 @@ SEGMENT = ("seg_n", "seg_top", "seg_hhi")
 def build_panel(spark: SparkSession, sf_dir: str, years: tuple[int, ...] = DEFAULT.snapshot_years) -> DataFrame:
     """as_of (year of the snapshot), firm, code, rcept_dt, accounts, mktcap, growth, segment profile; only firms that filed by the snapshot day.
 
-    The accounts are those of the year before, by a step back that counts only if it is one year; growth takes one more such step.
+    The accounts are those of the year before, by a step back that counts only if it is one year; growth takes one more such step. Lines of other years aren't read.
     """
     w = Window.partitionBy("firm").orderBy("fy")
-    y = rollup(spark, sf_dir)
+    y = rollup(spark, sf_dir, (min(years) - 2, max(years)))
     y = y.select("firm", "fy", "rcept_dt", F.lag(F.struct("fy", "has", *ACCOUNTS, *SEGMENT), 1).over(w).alias("x"), F.lag(F.struct("fy", "revenue"), 2).over(w).alias("z"))
     y = y.where(F.col("fy").isin(*years) & F.col("rcept_dt").isNotNull() & (F.col("x.fy") == F.col("fy") - 1) & F.col("x.has"))
     growth = F.when((F.col("z.fy") == F.col("fy") - 2) & (F.col("z.revenue") > 0), F.col("x.revenue") / F.col("z.revenue") - 1)
@@ -102,22 +108,24 @@ def build_panel(spark: SparkSession, sf_dir: str, years: tuple[int, ...] = DEFAU
     return y.join(firms(spark, sf_dir), "firm", "left")
 
 
-_CONTEXT: dict[tuple[str, str], DataFrame] = {}
+#: Panels and single snapshots that Spark keeps.
+KEPT = Contexts(4)
+_SOURCES = ("lineitem", "part", "supplier", "nation")
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The panel of all snapshots, kept by Spark after its first use (a row for each firm and snapshot; what a lost executor held is made again). See forget_context()."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _CONTEXT:
-        _CONTEXT[key] = build_panel(spark, sf_dir).persist()
-    return _CONTEXT[key]
+    """The panel of all snapshots, kept by Spark after its first use (a row for each firm and snapshot; what a lost executor held is made again). See KEPT."""
+    return KEPT.get(spark, ("panel", sf_dir), [f"{sf_dir}/{t}.parquet" for t in _SOURCES], lambda: build_panel(spark, sf_dir))
+
+
+def snapshot(spark: SparkSession, sf_dir: str, year: int) -> DataFrame:
+    """The panel of one snapshot, made from the lines of its three years and kept like panel()."""
+    return KEPT.get(spark, ("snapshot", sf_dir, year), [f"{sf_dir}/{t}.parquet" for t in _SOURCES], lambda: build_panel(spark, sf_dir, (year,)))
 
 
 def forget_context() -> None:
-    """Drops what panel() keeps, for tables that have changed."""
-    for df in _CONTEXT.values():
-        df.unpersist()
-    _CONTEXT.clear()
+    """Drops all that panel() and snapshot() keep."""
+    KEPT.clear()
 
 
 #: The same as common table expressions for DuckDB: firms, acc, filings, growth, seg, panel.

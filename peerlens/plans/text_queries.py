@@ -14,11 +14,12 @@ from pyspark.sql.window import Window
 from peerlens.config import DEFAULT
 from peerlens.operators import axes as A
 from peerlens.operators import blocks as B
-from peerlens.operators import govern as G
 from peerlens.operators import relational as R
 from peerlens.operators import score as S
 from peerlens.operators import statements as T
 from peerlens.operators import text as X
+from peerlens.sources.sealed import read_sealed, write_sealed
+from peerlens.sources.snapshots import shared_folder
 
 from .panel import firms, read
 from .peer_queries import FINAL, FOUR, PEERS, TEXT_SQL, WITH, K, W, cases, features, final_peers, peers, ratios, vectors
@@ -197,31 +198,43 @@ def weight_search_final(spark: SparkSession, sf: str) -> DataFrame:
     return tuned(spark, sf).select("g", F.get(names, F.col("g")).alias("weights"), F.round("ape", 6).alias("ape"))
 
 
-def frozen_parameters(spark: SparkSession, sf: str) -> tuple[str, str]:
-    """Best weights of the dev search (the first in order among equals), k, penalty and thresholds of ill-conditioned ratios, as sealed text and digest. Reads dev snapshots only."""
+def frozen_parameters(spark: SparkSession, sf: str) -> dict:
+    """Best weights of the dev search (the first in order among equals), k, penalty and thresholds of ill-conditioned ratios. Reads dev snapshots only."""
     best = tuned(spark, sf).agg(F.min(F.struct(F.round("ape", 9).alias("ape"), "g")).alias("m")).first().m  # one row
     r = ratios(spark, sf).where(F.col("as_of").isin(*DEFAULT.dev_years))
     tau = {x.ratio: x.tau for x in S.ill_thresholds(r).collect()}  # one row for each ratio
-    return G.seal({"engine": "axes", "weights": dict(zip(W, weight_grid(len(W))[best.g], strict=True)), "k": DEFAULT.k_final, "penalty": S.penalty(r).first()[0], "tau": tau})
+    return {"engine": "axes", "weights": dict(zip(W, weight_grid(len(W))[best.g], strict=True)), "k": DEFAULT.k_final, "penalty": S.penalty(r).first()[0], "tau": tau}
 
 
-def frozen_cases(spark: SparkSession, sf: str, text: str, digest: str, years: list[int]) -> DataFrame:
-    """as_of, firm, ratio, ape, fail, ill of the years' cases by sealed parameters, whose seal is checked before and after they are used; an engine without weights is the baseline."""
-    spec = G.unseal(text, digest)
+#: What ranks peers, by the name in the parameters: weights of the axes, or none for the baseline.
+ENGINES = {"axes": lambda spec: spec["weights"], "baseline": lambda spec: None}
+
+
+def frozen_cases(spark: SparkSession, sf: str, sealed: str, years: list[int], out: str) -> tuple[DataFrame, str]:
+    """as_of, firm, ratio, ape, fail, ill of the years' cases, as a table under `out`, and the digest of the parameters that were applied.
+
+    The parameters are read from the sealed file, and its seal is checked again once the table is written: if the file isn't the same any more, the table is no result.
+    """
+    spec, digest = read_sealed(spark, sealed)
+    if spec["engine"] not in ENGINES:
+        raise ValueError(f"{spec['engine']} is no engine")
+    weights = ENGINES[spec["engine"]](spec)
     f, r = features(spark, sf).where(F.col("as_of").isin(*years)), ratios(spark, sf).where(F.col("as_of").isin(*years))
-    p = B.engines(f, {"": (spec["weights"] if spec["engine"] == "axes" else None, spec["k"])}, vectors(spark, sf))
+    p = B.engines(f, {"": (weights, spec["k"])}, vectors(spark, sf) if weights else None)
     c = S.peer_cases(r, p, spark.createDataFrame([(spec["penalty"],)], "penalty double"))
     tau = spark.createDataFrame(sorted(spec["tau"].items()), "ratio string, tau double")
-    out = c.join(S.flags(r, tau), ["as_of", "firm", "ratio"])
-    G.unseal(text, digest)
-    return out
+    c.join(S.flags(r, tau), ["as_of", "firm", "ratio"]).write.parquet(out)
+    if read_sealed(spark, sealed)[1] != digest:
+        raise ValueError("the parameters were sealed anew while they were applied")
+    return spark.read.parquet(out), digest
 
 
 @query()
 def holdout_frozen(spark: SparkSession, sf: str) -> DataFrame:
-    """The holdout's errors by parameters that the dev snapshots alone decided: found, sealed, and applied unchanged. No SQL, as for the search."""
-    text, digest = frozen_parameters(spark, sf)
-    c = frozen_cases(spark, sf, text, digest, [y for y in DEFAULT.snapshot_years if y not in DEFAULT.dev_years])
+    """The holdout's errors by parameters that the dev snapshots alone decided: found, sealed in a file, read from it and applied unchanged. No SQL, as for the search."""
+    at = shared_folder(spark)
+    write_sealed(spark, f"{at}/parameters.json", frozen_parameters(spark, sf))
+    c, digest = frozen_cases(spark, sf, f"{at}/parameters.json", [y for y in DEFAULT.snapshot_years if y not in DEFAULT.dev_years], f"{at}/cases")
     c = c.groupBy("ratio").agg(F.count("*").alias("n"), F.round(F.median("ape"), 6).alias("overall"), F.round(F.median(F.when(~F.col("ill"), F.col("ape"))), 6).alias("stable"), F.round(F.avg((~F.col("fail")).cast("double")), 6).alias("coverage"))
     return c.withColumn("digest", F.lit(digest))
 

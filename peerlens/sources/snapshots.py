@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
+import json
+import shutil
+import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
@@ -24,6 +28,19 @@ def _path(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in the shared one that the cluster names in spark.checkpoint.dir; only a local session without that setting (tests) gets a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        own = tempfile.mkdtemp(prefix="peerlens-")
+        atexit.register(shutil.rmtree, own, True)
+        spark.sparkContext.setCheckpointDir(f"file://{own}")
+        root = f"file://{own}"
+    return f"{root.rstrip('/')}/peerlens-{uuid.uuid4().hex}"
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, p = _path(spark, path)
     return fs.exists(p)
@@ -122,35 +139,65 @@ def build_snapshot(spark: SparkSession, at: str, phases: dict[str, Phase]) -> di
     return done
 
 
-def swap(spark: SparkSession, live: str, staged: str, backup: str) -> int:
-    """Puts a staged table in the place of the live one, which becomes the backup. Only tables with the same number of rows may change places; returns that number."""
-    rows = [spark.read.parquet(p).count() for p in (live, staged)]
-    if rows[0] != rows[1]:
-        raise ValueError(f"{live} has {rows[0]} rows, {staged} has {rows[1]}")
-    if exists(spark, backup):
-        raise FileExistsError(backup)
-    _rename(spark, live, backup)
-    try:
-        _rename(spark, staged, live)
-    except OSError:
-        _rename(spark, backup, live)
-        raise
-    return rows[0]
-
-
-def restore(spark: SparkSession, live: str, backup: str) -> None:
-    """Undoes swap(); what was live goes."""
-    gone = f"{live.rstrip('/')}-{uuid.uuid4().hex}"
-    _rename(spark, live, gone)
-    _rename(spark, backup, live)
-    fs, p = _path(spark, gone)
-    fs.delete(p, True)
-
-
-def _rename(spark: SparkSession, old: str, new: str) -> None:
-    (fs, a), (_, b) = _path(spark, old), _path(spark, new)
-    if not fs.rename(a, b):
-        raise OSError(f"{old} couldn't be renamed to {new}")
+#: The small file that names the version of a store that is live, and those before it.
+LIVE = "LIVE.json"
+
+
+class Versions:
+    """Versions of a set of tables under one root. A version is a folder that is never written again once it is complete; LIVE names the one that is read.
+
+    Publishing replaces that one small file, so readers see the old version or the new one, whole, whatever becomes of the program that publishes.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def manifest(self) -> dict:
+        """live, history (names, oldest first), and rows of each table by version."""
+        from .sealed import get_text
+
+        path = f"{self.root}/{LIVE}"
+        return json.loads(get_text(self.spark, path)) if exists(self.spark, path) else {"live": None, "history": [], "rows": {}}
+
+    def build(self, name: str, phases: dict[str, Phase]) -> dict[str, tuple[DataFrame, bool]]:
+        """Runs a version's phases, going on where a run of the same name stopped (see build_snapshot); nothing is read from it by others before publish()."""
+        if name in self.manifest()["history"]:
+            raise FileExistsError(f"{name} is published and isn't written again")
+        return build_snapshot(self.spark, f"{self.root}/{name}", phases)
+
+    def publish(self, name: str, tables: list[str], same_rows_as: str | None = None) -> dict:
+        """Makes a complete version the live one; with same_rows_as only if each table has as many rows as that version's. Returns the manifest."""
+        from .sealed import put_text
+
+        missing = [t for t in tables if not finished(self.spark, f"{self.root}/{name}/{t}")]
+        if missing:
+            raise ValueError(f"{name} isn't complete: {missing}")
+        m = self.manifest()
+        rows = {t: self.spark.read.parquet(f"{self.root}/{name}/{t}").count() for t in tables}
+        before = m["rows"].get(same_rows_as, rows) if same_rows_as else rows
+        if before != rows:
+            raise ValueError(f"{same_rows_as} has {before} rows, {name} has {rows}")
+        m = {"live": name, "history": [*[h for h in m["history"] if h != name], name], "rows": {**m["rows"], name: rows}}
+        put_text(self.spark, f"{self.root}/{LIVE}", json.dumps(m, sort_keys=True))
+        return m
+
+    def back(self) -> dict:
+        """Makes the version before the live one live again; the newer one stays where it is."""
+        from .sealed import put_text
+
+        m = self.manifest()
+        at = m["history"].index(m["live"])
+        if not at:
+            raise ValueError("there is no version before this one")
+        m["live"] = m["history"][at - 1]
+        put_text(self.spark, f"{self.root}/{LIVE}", json.dumps(m, sort_keys=True))
+        return m
+
+    def read(self, table: str) -> DataFrame:
+        live = self.manifest()["live"]
+        if live is None:
+            raise FileNotFoundError(f"{self.root} has no live version")
+        return self.spark.read.parquet(f"{self.root}/{live}/{table}")
 
 
 def allowed(df: DataFrame, key: list[str], accounts: list[str], hidden: list[str]) -> DataFrame:

@@ -52,17 +52,37 @@ def test_phases_go_on_where_they_stopped(spark, tmp_path):
     assert {k: (t.count(), found) for k, (t, found) in again.items()} == {"one": (4, True), "two": (2, False)}
 
 
-def test_swap_and_restore(spark, tmp_path):
-    live, staged, backup = (str(tmp_path / x) for x in ("live", "staged", "backup"))
-    spark.range(3).write.parquet(live)
-    spark.range(2).write.parquet(staged)
+def test_versions_are_live_whole_or_not_at_all(spark, tmp_path):
+    v, names = N.Versions(spark, str(tmp_path)), ["universe", "features"]
+    with pytest.raises(FileNotFoundError):
+        v.read("features")
+    phases = {"universe": lambda t: spark.range(4), "features": lambda t: t["universe"].where("id > 0")}
+
+    def stop(t):
+        raise RuntimeError("the run ends here")
+
+    with pytest.raises(RuntimeError):
+        v.build("a", {**phases, "features": stop})
+    with pytest.raises(ValueError):
+        v.publish("a", names)
+    (tmp_path / "a" / "features").mkdir()
+    (tmp_path / "a" / "features" / "part-0.parquet").write_bytes(b"half")  # what a killed run leaves
+    with pytest.raises(ValueError):
+        v.publish("a", names)
+    assert [found for _, found in v.build("a", phases).values()] == [True, False]
+    assert v.publish("a", names)["live"] == "a" and v.read("features").count() == 3
+    with pytest.raises(FileExistsError):
+        v.build("a", phases)
+    v.build("b", {**phases, "universe": lambda t: spark.range(10, 14)})
+    assert v.read("universe").agg(F.min("id")).first()[0] == 0  # not before it is published
+    with pytest.raises(ValueError):
+        v.publish("b", names, same_rows_as="a")  # 4 rows of features, not 3
+    v.build("c", {**phases, "universe": lambda t: spark.range(4).select((-F.col("id")).alias("id")), "features": lambda t: t["universe"].where("id < 0")})
+    assert v.publish("c", names, same_rows_as="a")["history"] == ["a", "c"] and v.read("universe").agg(F.min("id")).first()[0] == -3
+    assert v.back()["live"] == "a" and v.read("universe").agg(F.min("id")).first()[0] == 0
     with pytest.raises(ValueError):
-        N.swap(spark, live, staged, backup)
-    spark.range(10, 13).write.mode("overwrite").parquet(staged)
-    assert N.swap(spark, live, staged, backup) == 3
-    assert spark.read.parquet(live).agg(F.min("id")).first()[0] == 10
-    N.restore(spark, live, backup)
-    assert spark.read.parquet(live).agg(F.min("id")).first()[0] == 0
+        v.back()
+    assert v.publish("c", names)["history"] == ["a", "c"]
 
 
 def test_zipped_documents(spark, tmp_path):
