@@ -88,11 +88,42 @@ def top_k(s: DataFrame, k: int, order: tuple[Column, ...] = ()) -> DataFrame:
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def numbered(f: DataFrame) -> DataFrame:
+    """as_of, firm, pos, n: the firms of each snapshot numbered from 0 on, by the first byte of an MD5 and then by firm, and how many there are. A task numbers one such byte's firms; a small table of counts says where each byte's numbers begin."""
+    d = f.select("as_of", "firm").withColumn("part", F.left(F.md5(F.col("firm").cast("string").cast("binary")), F.lit(2)))
+    sizes = d.groupBy("as_of", "part").agg(F.count("*").alias("size"))  # at most 256 rows a snapshot
+    w = Window.partitionBy("as_of")
+    begins = sizes.select("as_of", "part", (F.sum("size").over(w.orderBy("part")) - F.col("size")).alias("begin"), F.sum("size").over(w).alias("n"))
+    own = d.withColumn("own", F.row_number().over(Window.partitionBy("as_of", "part").orderBy("firm")) - 1)
+    return own.join(begins, ["as_of", "part"]).select("as_of", "firm", (F.col("begin") + F.col("own")).alias("pos"), "n")
+
+
 def random_peers(f: DataFrame, k: int, seed: int) -> DataFrame:
-    """k peers of each target without replacement, by a hash of seed, snapshot, target and peer."""
-    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("as_of").cast("string"), F.col("firm").cast("string"), F.col("peer").cast("string")).cast("binary"))
-    s = pairs(f.select("as_of", "firm")).select("as_of", "firm", "peer", draw.alias("draw"))
-    return top_k(s, k, (F.asc("draw"), F.asc("peer"))).select("as_of", "firm", "rank", "peer")
+    """as_of, firm, rank, peer: k peers of each target without replacement, the first places of a shuffle of the snapshot's firms that is keyed by seed, snapshot and target.
+
+    Only the places drawn are ever made: the j-th is drawn among the numbers that are left, the target's own and those drawn before being skipped. N x k rows, no pairs.
+    """
+    d = numbered(f).withColumn("taken", F.array("pos"))
+    for j in range(k):
+        key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("as_of").cast("string"), F.col("firm").cast("string"), F.lit(str(j))).cast("binary"))
+        left = F.col("n") - 1 - j
+        first = F.when(left > 0, F.conv(F.left(key, F.lit(13)), 16, 10).cast("bigint") % left)
+        place = F.aggregate(F.sort_array("taken"), first, lambda x, t: x + F.when(x >= t, 1).otherwise(0).cast("bigint"))
+        d = d.withColumn("place", F.when(left > 0, place)).withColumn("taken", F.when(left > 0, F.array_append("taken", F.col("place"))).otherwise(F.col("taken")))
+    each = d.select("as_of", "firm", F.posexplode(F.slice("taken", F.lit(2), F.size("taken"))).alias("i", "pos"))
+    return each.join(numbered(f).select("as_of", "pos", F.col("firm").alias("peer")), ["as_of", "pos"]).select("as_of", "firm", (F.col("i") + 1).alias("rank"), "peer")
+
+
+def random_sql(k: int, seed: int, name: str, source: str = "panel") -> str:
+    """The same for DuckDB: name AS (as_of, firm, rank, peer)."""
+    steps = f"""{name}_n AS (SELECT as_of, firm, row_number() OVER (PARTITION BY as_of ORDER BY left(md5(firm::VARCHAR), 2), firm) - 1 AS pos, count(*) OVER (PARTITION BY as_of) AS n FROM {source}),
+{name}_0 AS (SELECT as_of, firm, n, [pos] AS taken FROM {name}_n)"""
+    for j in range(k):
+        draw = f"('0x' || left(md5(concat_ws('|', '{seed}', as_of::VARCHAR, firm::VARCHAR, '{j}')), 13))::BIGINT % (n - 1 - {j})"
+        place = f"list_reduce(list_concat([{draw}], list_sort(taken)), lambda x, t: x + (x >= t)::BIGINT)"
+        steps += f", {name}_{j + 1} AS (SELECT as_of, firm, n, CASE WHEN n - 1 - {j} > 0 THEN list_append(taken, {place}) ELSE taken END AS taken FROM {name}_{j})"
+    return f"""{steps}, {name}_e AS (SELECT as_of, firm, unnest(taken[2:]) AS pos, generate_subscripts(taken[2:], 1) AS rank FROM {name}_{k}),
+{name} AS (SELECT e.as_of, e.firm, e.rank, x.firm AS peer FROM {name}_e e JOIN {name}_n x ON x.as_of = e.as_of AND x.pos = e.pos)"""
 
 
 _SQ = lambda n: f"(a.{n} - b.{n}) * (a.{n} - b.{n})"

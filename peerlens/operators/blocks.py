@@ -197,65 +197,147 @@ def axis_profile(f: DataFrame, name: str, vectors: DataFrame | None = None, size
     return parts.groupBy("as_of", "firm").agg(F.max("best").alias("best"), (F.sum("total") / F.sum("n")).alias("mean"))
 
 
-def _first(sim: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k largest numbers (9 decimals, not below 0) of each row, ties by place; whole rows aren't sorted."""
-    n = sim.shape[1]
-    bits = n.bit_length()  # number and place in one integer
-    if sim.size and sim.max() * 1e9 >= 1 << (62 - bits):
-        raise ValueError("similarities are too large")
-    key = (np.rint(sim * 1e9).astype(np.int64) << bits) + np.arange(n, 0, -1)
-    if k < n:
-        key = np.partition(key, n - k, axis=1)[:, n - k :]
-    return n - (np.sort(key, axis=1)[:, ::-1] & ((1 << bits) - 1))
-
-
-def grid_errors(f: DataFrame, values: DataFrame, penalty: DataFrame, names: tuple[str, ...], grid: np.ndarray, k: int, vectors: DataFrame | None = None, targets: DataFrame | None = None, min_peers: int = DEFAULT.min_peers, together: int = 16) -> DataFrame:
+class Heap:
+    """The k best peers of some targets under many weightings, with what has to be known of them; tiles of peers are taken in one by one, and two heaps merge.
+
+    Per target and weighting: similarity (in units of 1e-9, -1 where there is no peer), peer, and the peer's ratios. Ties go to the smaller peer.
+    """
+
+    def __init__(self, sim: np.ndarray, peer: np.ndarray, ratio: np.ndarray):
+        self.sim, self.peer, self.ratio = sim, peer, ratio  # (targets, weightings, k), the same, (targets, weightings, k, ratios)
+
+    @staticmethod
+    def empty(targets: int, weightings: int, ratios: int) -> Heap:
+        return Heap(np.zeros((targets, weightings, 0), np.int64), np.zeros((targets, weightings, 0), np.int64), np.zeros((targets, weightings, 0, ratios)))
+
+    def merged(self, other: Heap, k: int) -> Heap:
+        sim, peer = np.concatenate([self.sim, other.sim], axis=2), np.concatenate([self.peer, other.peer], axis=2)
+        first = np.lexsort((peer, -sim), axis=2)[:, :, :k]
+        take = lambda x: np.take_along_axis(x, first, 2)
+        ratio = np.concatenate([self.ratio, other.ratio], axis=2)
+        return Heap(take(sim), take(peer), np.take_along_axis(ratio, first[..., None], 2))
+
+    def take(self, sim: np.ndarray, peer: np.ndarray, ratio: np.ndarray, k: int) -> Heap:
+        """With a tile: similarities (targets, weightings, peers; -1 for the target itself), peers ascending, and their ratios (ratios, peers)."""
+        n = len(peer)
+        bits = max(1, n.bit_length())  # number and place in one integer, so that whole rows needn't be sorted
+        if sim.size and int(sim.max()) >= 1 << (62 - bits):
+            raise ValueError("similarities are too large")
+        key = (sim << bits) + np.arange(n, 0, -1)
+        if k < n:
+            key = np.partition(key, n - k, axis=2)[:, :, n - k :]
+        at = n - (key & ((1 << bits) - 1))
+        return self.merged(Heap(np.take_along_axis(sim, at, 2), peer[at], np.moveaxis(ratio[:, at], 0, -1)), k)
+
+    def errors(self, actual: np.ndarray, penalty: float, min_peers: int) -> np.ndarray:
+        """Errors of the peers' medians (targets, weightings, ratios); NaN where there is no case. actual: (targets, ratios)."""
+        found = np.where((self.sim >= 0)[..., None], self.ratio, np.nan)
+        n = (~np.isnan(found)).sum(axis=2)
+        found = np.sort(found, axis=2)  # NaN last
+        middle = lambda i: np.take_along_axis(found, np.clip(i, 0, max(found.shape[2] - 1, 0))[:, :, None, :], 2)[:, :, 0, :] if found.shape[2] else np.full(n.shape, np.nan)
+        median, a = (middle((n - 1) // 2) + middle(n // 2)) / 2, actual[:, None, :]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ape = np.abs(median - a) / np.abs(a)
+        return np.where(np.isnan(a) | (a == 0), np.nan, np.where(n >= min_peers, ape, penalty))
+
+
+#: Targets that a task of the weight search takes, peers of one tile, and tiles that it takes in before it hands its heaps on.
+TARGETS, TILE, TILES = 64, 256, 16
+#: Similarities that are held at a time.
+HELD = 1 << 18
+
+
+def grid_errors(f: DataFrame, values: DataFrame, penalty: DataFrame, names: tuple[str, ...], grid: np.ndarray, k: int, vectors: DataFrame | None = None, targets: DataFrame | None = None, min_peers: int = DEFAULT.min_peers, together: int = TARGETS, tile: int = TILE, tiles: int = TILES) -> DataFrame:
     """g (row of the grid), as_of, firm, ratio, ape of every case for every weighting of the axes `names`.
 
-    values: as_of, firm, ratio, value; targets: as_of, firm (all without it). Axis values of a target are made once; a weighting adds them up again. A task holds the features,
-    ratios and vectors of one snapshot's firms and some of its targets.
+    values: as_of, firm, ratio, value; targets: as_of, firm (all without it). Some targets of a snapshot meet a bounded number of its firms in a task, tile by tile, and a
+    heap keeps the k best for each weighting; heaps of one target merge after a shuffle, if there was more than one such group of tiles. What a task holds doesn't grow
+    with the number of firms.
     """
-    kinds, texts = sorted(r[0] for r in values.select("ratio").distinct().collect()), vectors is not None  # the ratios' names
+    kinds, texts, few_rows = sorted(r[0] for r in values.select("ratio").distinct().collect()), vectors is not None, penalty.first()  # the ratios' names; one row
+    pen = float("nan") if few_rows is None or few_rows[0] is None else float(few_rows[0])
     v = values.groupBy("as_of", "firm").agg(F.map_from_entries(F.collect_list(F.struct("ratio", "value"))).alias("v"))
     rows = f.join(v, ["as_of", "firm"], "left").select("as_of", "firm", "code", *FEATURES, *[F.col("v")[x].alias(f"v{i}") for i, x in enumerate(kinds)])
     if vectors is not None:
         d = vectors.groupBy(F.col("doc").alias("firm")).agg(F.collect_list(F.xxhash64("gram")).alias("grams"), F.collect_list("weight").alias("weights"))
         rows = rows.join(d, "firm", "left")
-    rows = rows.crossJoin(F.broadcast(penalty))  # one row
-    rows = rows.join(targets.select("as_of", "firm", F.lit(True).alias("target")), ["as_of", "firm"], "left") if targets is not None else rows.withColumn("target", F.lit(True))
-    parts = max(1, -(-f.groupBy("as_of").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0] // together))
-    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("target", F.coalesce("target", F.lit(False)) & (F.pmod(F.xxhash64("firm"), F.lit(parts)) == F.col("part")))
-
-    def run(key: tuple, t: pa.Table) -> pa.Table:
-        y, firm = key[0].as_py(), t.column("firm").to_numpy()
-        side = Side(firm, [c or "" for c in t.column("code").to_pylist()], {c: t.column(c).to_numpy(zero_copy_only=False).astype(float) for c in FEATURES})
-        pen, ratio = t.column("penalty")[0].as_py(), np.stack([t.column(f"v{i}").to_numpy(zero_copy_only=False).astype(float) for i in range(len(kinds))])
-        m = None
-        if texts:
-            grams, weights = (t.column(c).combine_chunks() for c in ("grams", "weights"))
-            length = np.nan_to_num(pc.list_value_length(grams).to_numpy(zero_copy_only=False)).astype(np.int64)
-            words, place = np.unique(grams.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
-            m = np.zeros((len(firm), len(words)))
-            m[np.repeat(np.arange(len(firm)), length), place] = weights.flatten().to_numpy(zero_copy_only=False)
-        order, out = np.argsort(firm), []  # ties go to the smaller firm
-        for i in np.flatnonzero(t.column("target").to_numpy(zero_copy_only=False)).tolist():
-            one = Side(firm[i : i + 1], side.code[i : i + 1].tolist(), {c: x[i : i + 1] for c, x in side.values.items()})
-            text = None if m is None else half_up(m[i : i + 1] @ m.T)
-            others = order[firm[order] != firm[i]]
-            stack = np.stack([axis(n, one, side, text)[0] for n in names])[:, others]
-            sim = half_up(sum(grid[:, a : a + 1] * stack[a] for a in range(len(names))))
-            best = others[_first(sim, k)]
-            for r, name in enumerate(kinds):
-                actual = ratio[r, i]
-                if np.isnan(actual) or actual == 0:
-                    continue
-                found = ratio[r][best]
-                n = (~np.isnan(found)).sum(axis=1)
-                enough = n >= min_peers
-                ape = np.full(len(grid), pen)
-                if enough.any():
-                    ape[enough] = np.abs(np.nanmedian(found[enough], axis=1) - actual) / abs(actual)
-                out.append(pa.table({"g": pa.array(np.arange(len(grid), dtype=np.int32)), "as_of": pa.array(np.full(len(grid), y, np.int32)), "firm": pa.array(np.full(len(grid), firm[i]), pa.int64()), "ratio": pa.array([name] * len(grid)), "ape": pa.array(ape)}))
-        return pa.concat_tables(out) if out else pa.table({"g": pa.array([], pa.int32()), "as_of": pa.array([], pa.int32()), "firm": pa.array([], pa.int64()), "ratio": pa.array([], pa.string()), "ape": pa.array([], pa.float64())})
-
-    return rows.groupBy("as_of", "part").applyInArrow(run, "g int, as_of int, firm bigint, ratio string, ape double")
+    asked = (targets if targets is not None else f).select("as_of", "firm")
+    most = lambda d: d.groupBy("as_of").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    groups, chunks = max(1, -(-most(f) // (tile * tiles))), max(1, -(-most(asked) // together))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda n, salt: F.pmod(F.xxhash64("firm", F.lit(salt)), F.lit(n)).cast("int")
+    peers = rows.withColumn("chunk", every(chunks)).withColumn("group", dealt(groups, 1)).withColumn("target", F.lit(False))
+    mine = rows.join(asked, ["as_of", "firm"], "left_semi").withColumn("chunk", dealt(chunks, 2)).withColumn("group", every(groups)).withColumn("target", F.lit(True))
+    kinds_of = {"as_of": pa.int32(), "firm": pa.int64(), "actual": pa.binary(), "sim": pa.binary(), "peer": pa.binary(), "ratio": pa.binary()}
+
+    def side(t: pa.Table) -> tuple[Side, np.ndarray, pa.Table]:
+        firm = t.column("firm").to_numpy()
+        ratio = np.stack([t.column(f"v{i}").to_numpy(zero_copy_only=False).astype(float) for i in range(len(kinds))]) if kinds else np.zeros((0, len(firm)))
+        return Side(firm, [c or "" for c in t.column("code").to_pylist()], {c: t.column(c).to_numpy(zero_copy_only=False).astype(float) for c in FEATURES}), ratio, t
+
+    def cosines(a: pa.Table, b: pa.Table) -> np.ndarray:
+        both = pa.concat_tables([a.select(["grams", "weights"]), b.select(["grams", "weights"])]).combine_chunks()
+        grams, weights = (both.column(c).combine_chunks() for c in ("grams", "weights"))
+        length = np.nan_to_num(pc.list_value_length(grams).to_numpy(zero_copy_only=False)).astype(np.int64)
+        words, place = np.unique(grams.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+        m = np.zeros((len(both), len(words)))
+        m[np.repeat(np.arange(len(both)), length), place] = weights.flatten().to_numpy(zero_copy_only=False)
+        return half_up(m[: len(a)] @ m[len(a) :].T)
+
+    def heaps(t: pa.Table) -> tuple[np.ndarray, np.ndarray, Heap]:
+        """Targets, their own ratios and their heaps over one group's peers."""
+        t = t.sort_by("firm")  # ties go to the smaller firm
+        is_target = t.column("target").to_numpy(zero_copy_only=False)
+        (a, own, at), others = side(t.filter(pa.array(is_target))), t.filter(pa.array(~is_target))
+        out = Heap.empty(len(a.firm), len(grid), len(kinds))
+        for j in range(0, len(others), tile):
+            b, ratio, bt = side(others.slice(j, tile))
+            text = cosines(at, bt) if texts else None
+            stack = np.stack([axis(n, a, b, text) for n in names])
+            same = a.firm[:, None] == b.firm[None, :]
+            step, parts = max(1, HELD // max(1, len(grid) * len(b.firm))), []
+            for i in range(0, len(a.firm), step):
+                # (targets, weightings, peers), axes added up one after the other as everywhere else
+                sim = sum(grid[None, :, x, None] * stack[x, i : i + step, None, :] for x in range(len(names)))
+                sim = np.floor(sim * 1e9 + 0.5).astype(np.int64)  # 9 decimals; no similarity is negative
+                sim[np.broadcast_to(same[i : i + step, None, :], sim.shape)] = -1
+                part = Heap(out.sim[i : i + step], out.peer[i : i + step], out.ratio[i : i + step])
+                parts.append(part.take(sim, b.firm, ratio, k))
+            if parts:
+                out = Heap(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("sim", "peer", "ratio")))
+        return a.firm, own.T, out
+
+    def cases(y: int, firm: np.ndarray, actual: np.ndarray, h: Heap) -> Iterator[pa.Table]:
+        for i in range(len(firm)):
+            one = Heap(h.sim[i : i + 1], h.peer[i : i + 1], h.ratio[i : i + 1])
+            ape = one.errors(actual[i : i + 1], pen, min_peers)[0]
+            for r in np.flatnonzero(~np.isnan(actual[i]) & (actual[i] != 0)):
+                yield pa.table({"g": pa.array(np.arange(len(grid), dtype=np.int32)), "as_of": pa.array(np.full(len(grid), y, np.int32)), "firm": pa.array(np.full(len(grid), firm[i]), pa.int64()), "ratio": pa.array([kinds[r]] * len(grid)), "ape": pa.array(ape[:, r])})
+
+    nothing = pa.table({"g": pa.array([], pa.int32()), "as_of": pa.array([], pa.int32()), "firm": pa.array([], pa.int64()), "ratio": pa.array([], pa.string()), "ape": pa.array([], pa.float64())})
+    result = "g int, as_of int, firm bigint, ratio string, ape double"
+    both = peers.unionByName(mine).groupBy("as_of", "chunk", "group")
+
+    if groups == 1:  # no heap has to wait for another
+
+        def whole(key: tuple, t: pa.Table) -> pa.Table:
+            firm, actual, h = heaps(t)
+            return pa.concat_tables([nothing, *cases(key[0].as_py(), firm, actual, h)])
+
+        return both.applyInArrow(whole, result)
+
+    def partial(key: tuple, t: pa.Table) -> pa.Table:
+        firm, actual, h = heaps(t)
+        columns = {"as_of": [key[0].as_py()] * len(firm), "firm": firm, "actual": [x.tobytes() for x in np.ascontiguousarray(actual)], **{c: [np.ascontiguousarray(x).tobytes() for x in getattr(h, c)] for c in ("sim", "peer", "ratio")}}
+        return pa.table({c: pa.array(x, kinds_of[c]) for c, x in columns.items()})
+
+    def finish(key: tuple, t: pa.Table) -> pa.Table:
+        h = Heap.empty(1, len(grid), len(kinds))
+        for sim, peer, ratio in zip(*[t.column(c).to_pylist() for c in ("sim", "peer", "ratio")], strict=True):
+            s = np.frombuffer(sim, np.int64).reshape(1, len(grid), -1)
+            h = h.merged(Heap(s, np.frombuffer(peer, np.int64).reshape(s.shape), np.frombuffer(ratio).reshape(*s.shape, len(kinds))), k)
+        actual = np.frombuffer(t.column("actual")[0].as_py())[None, :]
+        return pa.concat_tables([nothing, *cases(key[0].as_py(), np.array([key[1].as_py()]), actual, h)])
+
+    parts = both.applyInArrow(partial, "as_of int, firm bigint, actual binary, sim binary, peer binary, ratio binary")
+    return parts.groupBy("as_of", "firm").applyInArrow(finish, result)

@@ -90,8 +90,7 @@ def baseline_peers(spark: SparkSession, sf: str) -> DataFrame:
     return B.baseline(features(spark, sf), K).select("as_of", "firm", "rank", "peer", "tier", F.round("dist", 6).alias("dist"))
 
 
-@query(f"""WITH {PANEL_SQL}, d AS (SELECT a.as_of, a.firm, b.firm AS peer, md5(concat_ws('|', '{DEFAULT.seed}', a.as_of::VARCHAR, a.firm::VARCHAR, b.firm::VARCHAR)) AS draw
-  FROM panel a JOIN panel b ON a.as_of = b.as_of AND a.firm <> b.firm), {A.top_k_sql(K, 'peers', 'd', 'draw, peer')} SELECT as_of, firm, rank, peer FROM peers""")
+@query(f"WITH {PANEL_SQL}, {A.random_sql(K, DEFAULT.seed, 'peers')} SELECT as_of, firm, rank, peer FROM peers")
 def random_peers(spark: SparkSession, sf: str) -> DataFrame:
     return A.random_peers(panel(spark, sf), K, DEFAULT.seed)
 
@@ -357,7 +356,7 @@ def ablation_by_growth(spark: SparkSession, sf: str) -> DataFrame:
     return t.agg(F.count("*").alias("n"), F.round(F.corr("g", "benefit"), 6).alias("r"), side(F.col("g") >= F.col("half")).alias("fast"), side(F.col("g") < F.col("half")).alias("slow"))
 
 
-_RANDOM = f"""rd AS (SELECT a.as_of, a.firm, b.firm AS peer, md5(concat_ws('|', '{DEFAULT.seed}', a.as_of::VARCHAR, a.firm::VARCHAR, b.firm::VARCHAR)) AS draw FROM panel a JOIN panel b ON a.as_of = b.as_of AND a.firm <> b.firm), {A.top_k_sql(K, 'rpeers', 'rd', 'draw, peer')}"""
+_RANDOM = A.random_sql(K, DEFAULT.seed, "rpeers")
 _BASEP = BASE[len(WITH) + 2 :].replace("peers AS", "bpeers AS")
 _FINALP = f"{A.scored_sql(W).replace('scored AS', 'scored_final AS', 1)}, {A.top_k_sql(DEFAULT.k_final, 'fpeers', 'scored_final')}"
 

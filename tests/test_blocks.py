@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import statistics
 
 import numpy as np
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from peerlens.config import DEFAULT
+from peerlens.functions import md5
 from peerlens.operators import axes as A
 from peerlens.operators import blocks as B
 from peerlens.operators import resample
@@ -45,11 +47,13 @@ def test_ranks_are_those_of_all_pairs(spark, firms, vectors, size):
     assert {(r.as_of, r.firm): (r.b, r.m) for r in want} == best
 
 
-def test_grid_against_one_ranking_for_each_weighting(spark, firms, vectors):
+@pytest.mark.parametrize("sizes", [{}, {"together": 5, "tile": 2, "tiles": 1}, {"together": 3, "tile": 2, "tiles": 5}])
+def test_grid_against_one_ranking_for_each_weighting(spark, firms, vectors, sizes):
+    """All peers at once, ten tiles that each hand on heaps, and heaps over five tiles each."""
     rng, names = np.random.default_rng(5), ("industry", "scale", "text")
     values = spark.createDataFrame([(y, i, r, None if rng.random() < 0.2 else float(rng.random())) for y in (1, 2) for i in range(23) for r in ("p", "q")], "as_of int, firm bigint, ratio string, value double")
     pen, grid = spark.createDataFrame([(7.0,)], "penalty double"), np.array([[1.0, 0.0, 0.0], [0.2, 0.5, 0.3], [0.0, 0.0, 1.0], [3.0, 4.0, 2.0]])
-    got = {(r.g, r.as_of, r.firm, r.ratio): r.ape for r in B.grid_errors(firms, values, pen, names, grid, 4, vectors, together=5).collect()}
+    got = {(r.g, r.as_of, r.firm, r.ratio): r.ape for r in B.grid_errors(firms, values, pen, names, grid, 4, vectors, **sizes).collect()}
     inside = values.join(firms.select("as_of", "firm"), ["as_of", "firm"])
     for g, w in enumerate(grid.tolist()):
         p = B.ranked(firms, dict(zip(names, w, strict=True)), 4, vectors)  # normalises weights, which leaves the order
@@ -57,14 +61,55 @@ def test_grid_against_one_ranking_for_each_weighting(spark, firms, vectors):
         assert {k: v for k, v in got.items() if k[0] == g} == pytest.approx(want)
 
 
-def test_replicates_against_drawn_out_samples(spark):
-    rows = [(f"k{i % 7}", float(i * 37 % 11), float(i * 17 % 13)) for i in range(25)]
-    got = {r.b: r.d for r in resample.replicates(spark.createDataFrame(rows, "key string, x double, y double"), 30, 4).collect()}
-    bounds = resample.poisson_bounds()
-    for b in range(30):
-        times = [sum(resample.draw(b, k) >= z for z in bounds) for k, _, _ in rows]
+def hashed(b, key):
+    return int(hashlib.md5(f"{b}|{key}".encode()).hexdigest()[:13], 16)
+
+
+def drawn_out(rows, number):
+    """Medians of the samples themselves, every case as often as it is drawn."""
+    bounds, out = resample.poisson_bounds(), {}
+    for b in range(-1, number):
+        times = [1 if b < 0 else sum(hashed(b, k) >= z for z in bounds) for k, _, _ in rows]
         xs, ys = ([r[c] for r, n in zip(rows, times, strict=True) for _ in range(n)] for c in (1, 2))
-        assert got[b] == pytest.approx(statistics.median(xs) - statistics.median(ys)) if xs else got[b] is None
+        out[b] = pytest.approx(statistics.median(xs) - statistics.median(ys)) if xs else None
+    return out
+
+
+@pytest.mark.parametrize("most", [0, 3, 200_000])
+def test_replicates_against_drawn_out_samples(spark, most):
+    rng = np.random.default_rng(2)
+    for rows in (
+        [(f"k{i % 7}", float(i * 37 % 11), float(i * 17 % 13)) for i in range(25)],
+        [(f"{i}|é{i % 5}", float(rng.standard_normal()), float(rng.integers(0, 2))) for i in range(160)],
+        [("a", 1.0, 5.0)], [(f"k{i}", 2.0, -1.5) for i in range(9)],
+    ):
+        d = spark.createDataFrame(rows, "key string, x double, y double").repartition(3)
+        assert {r.b: r.d for r in resample.replicates(d, 120, most).collect()} == drawn_out(rows, 120)
+    assert {r.d for r in resample.replicates(d.limit(0), 5, most).collect()} == {None}
+
+
+def test_intervals(spark):
+    bounds = resample.poisson_bounds()
     assert len(bounds) > 15 and bounds[0] == round(np.exp(-1) * 2**52) and bounds == sorted(set(bounds))
     one = resample.interval(spark.createDataFrame([("a", 1.0, 5.0), ("b", 2.0, 9.0), ("c", 1.5, 7.0)], "key string, x double, y double"), 200).first()
     assert one.n == 3 and one.difference == -5.5 and one.better and DEFAULT.replicates == 2000
+
+
+@pytest.mark.parametrize("length", [0, 1, 7, 54, 55, 56, 63, 64, 65, 119, 120, 200])
+def test_digests_of_many_messages(length):
+    m = np.random.default_rng(length).integers(0, 256, (40, length), dtype=np.uint8)
+    assert md5.leading_bits(m).tolist() == [int(hashlib.md5(bytes(r)).hexdigest()[:13], 16) for r in m]
+
+
+def test_random_peers_are_a_shuffle_of_the_others(spark):
+    rows = [(1, i) for i in range(9)] + [(2, i * 7) for i in range(3)] + [(3, 5)]
+    f = spark.createDataFrame(rows, "as_of int, firm bigint").repartition(4)
+    assert sorted((r.as_of, r.pos, r.n) for r in A.numbered(f).collect()) == [(1, i, 9) for i in range(9)] + [(2, i, 3) for i in range(3)] + [(3, 0, 1)]
+    got = {}
+    for r in A.random_peers(f, 20, 7).orderBy("rank").collect():
+        got.setdefault((r.as_of, r.firm), []).append(r.peer)
+    assert {k: sorted(v) for k, v in got.items()} == {(y, i): sorted(j for z, j in rows if z == y and j != i) for y, i in rows if y < 3}
+    many = spark.createDataFrame([(1, i) for i in range(60)], "as_of int, firm bigint")
+    n = np.bincount([r.peer for s in range(12) for r in A.random_peers(many, 5, s).collect()], minlength=60)
+    assert n.sum() == 12 * 300 and n.min() > 25 and n.max() < 105  # 60 each on average
+    assert "CartesianProduct" not in (plan := A.random_peers(many, 5, 1)._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
