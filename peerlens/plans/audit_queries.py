@@ -11,7 +11,7 @@ from peerlens.operators import govern as G
 from peerlens.operators import statements as T
 from peerlens.sources import snapshots
 
-from .panel import PANEL_SQL, accounts, filings, firms, growth, panel, read, segments
+from .panel import PANEL_SQL, accounts, filings, firms, growth, lines, panel, read, segments
 from .peer_queries import FINAL, final_peers, ratio_block
 from .registry import ORACLE, query
 
@@ -85,51 +85,6 @@ def peer_sets(spark: SparkSession, sf: str) -> DataFrame:
     return final_peers(spark, sf).groupBy("as_of", "firm").agg(F.array_join(F.sort_array(F.collect_set("peer")), ",").alias("members"))
 
 
-#: Rows of made-up statements: candidates of an account in the order of the statement, the chosen one marked.
-_ROWS = [
-    ("f1", "receivables", "Trade receivables", "dart_ShortTermTradeReceivable", True), ("f1", "receivables", "Trade and other receivables", "ifrs_TradeAndOtherCurrentReceivables", False),
-    ("f2", "receivables", "Trade and other receivables", "ifrs_TradeAndOtherCurrentReceivables", True), ("f2", "receivables", "Trade receivables", "dart_ShortTermTradeReceivable", False),
-    ("f3", "receivables", "Trade and other receivables", "ifrs_TradeAndOtherCurrentReceivables", True), ("f4", "receivables", "Trade receivables", "-", True), ("f5", "receivables", "Other receivables", "x_OtherReceivables", False),
-    ("f1", "cost", "Cost of sales", "ifrs_CostOfSales", True), ("f2", "cost", "Operating expenses", "dart_OperatingExpenses", True), ("f2", "cost", "Cost of sales", "ifrs_CostOfSales", False), ("f3", "cost", "Operating expenses", "-", True),
-    ("f1", "revenue", "Revenue", "ifrs_Revenue", True), ("f2", "revenue", "Sales revenue", "-", True), ("f3", "revenue", "Interest", "x_Interest", True), ("f4", "revenue", "Revenue", "ifrs_Revenue", False),
-]
-_ROWS_SQL = ", ".join(f"('{f}', '{a}', '{n}', '{i}', {c})" for f, a, n, i, c in _ROWS)
-_FIRMS = ["f1", "f2", "f3", "f4", "f5", "f6"]
-
-
-@query(f"""WITH r AS (SELECT *, CASE WHEN id = '-' THEN '' ELSE regexp_replace(lower(id), '[^a-z]', '', 'g') END AS c, replace(name, ' ', '') AS n FROM (VALUES {_ROWS_SQL}) v(firm, account, name, id, chosen)),
-t AS (SELECT *, CASE WHEN c <> '' THEN contains(c, 'tradereceivable') AND NOT contains(c, 'tradeandother') AND NOT contains(c, 'otherreceivable') ELSE n = 'Tradereceivables' END AS trade,
-  contains(c, 'tradeandother') OR contains(n, 'andother') AS summed, contains(c, 'costofsales') OR n = 'Costofsales' AS direct, contains(c, 'revenue') AS standard, contains(n, 'evenue') AND NOT contains(n, 'ther') AS usual FROM r),
-g AS (SELECT firm, account, count(*) AS n, bool_or(chosen) AS chosen, coalesce(bool_or(trade) FILTER (WHERE chosen), false) AS trade, coalesce(bool_or(summed) FILTER (WHERE chosen), false) AS summed, coalesce(bool_or(trade) FILTER (WHERE NOT chosen), false) AS trade2,
-  coalesce(bool_or(direct) FILTER (WHERE chosen), false) AS direct, coalesce(bool_or(direct) FILTER (WHERE NOT chosen), false) AS direct2, coalesce(bool_or(standard) FILTER (WHERE chosen), false) AS standard, coalesce(bool_or(usual) FILTER (WHERE chosen), false) AS usual FROM t GROUP BY ALL),
-a AS (SELECT f.firm, x.account, coalesce(n, 0) AS n, coalesce(chosen, false) AS chosen, trade, summed, trade2, direct, direct2, standard, usual FROM (SELECT unnest({_FIRMS}) AS firm) f CROSS JOIN (SELECT unnest(['receivables', 'cost', 'revenue']) AS account) x LEFT JOIN g ON g.firm = f.firm AND g.account = x.account)
-SELECT firm, account, CASE WHEN NOT chosen THEN CASE WHEN n > 0 THEN 'NO_PICK' ELSE 'NA' END
-  WHEN account = 'receivables' THEN CASE WHEN trade THEN 'OK' WHEN summed THEN CASE WHEN trade2 THEN 'APPROX' ELSE 'DISCLOSURE' END ELSE 'OK' END
-  WHEN account = 'cost' THEN CASE WHEN direct THEN 'OK' WHEN direct2 THEN 'MISMAP' ELSE 'DEFINITIONAL' END
-  ELSE CASE WHEN standard OR usual THEN 'OK' ELSE 'MISMAP' END END AS verdict FROM a""")
-def mapping_classes(spark: SparkSession, sf: str) -> DataFrame:
-    """Verdicts on the rows chosen for three accounts of made-up firms, from concept ids and names."""
-    r = spark.createDataFrame(_ROWS, "firm string, account string, name string, id string, chosen boolean").withColumn("c", C.concept_id(F.col("id")))
-    name = F.col("name")
-    r = r.withColumns({
-        "trade": T.is_trade_only(F.col("c"), name, ["Tradereceivables"]), "summed": T.is_summed(F.col("c"), name, ["andother"]), "direct": F.contains("c", F.lit("costofsales")) | (F.regexp_replace(name, " ", "") == "Costofsales"),
-        "standard": F.contains("c", F.lit("revenue")), "usual": T.names_one_of(name, ["evenue"], ["ther"])})
-    on = lambda c, w: F.coalesce(F.bool_or(F.when(F.col("chosen") == w, F.col(c))), F.lit(False))
-    g = r.groupBy("firm", "account").agg(
-        F.count("*").alias("n"), F.bool_or("chosen").alias("chosen"), *[on(c, True).alias(c) for c in ("trade", "summed", "direct", "standard", "usual")], on("trade", False).alias("trade2"), on("direct", False).alias("direct2"))
-    every = spark.createDataFrame([(f, a) for f in _FIRMS for a in ("receivables", "cost", "revenue")], "firm string, account string").join(g, ["firm", "account"], "left")
-    n, chosen = F.coalesce("n", F.lit(0)), F.coalesce("chosen", F.lit(False))
-    verdict = F.when(F.col("account") == "receivables", T.receivable_choice(n, chosen, F.col("trade"), F.col("summed"), F.col("trade2"))).when(F.col("account") == "cost", T.cost_choice(n, chosen, F.col("direct"), F.col("direct2")))
-    return every.select("firm", "account", verdict.otherwise(T.plain_choice(n, chosen, F.col("standard"), F.col("usual"))).alias("verdict"))
-
-
-@query("""SELECT p_partkey, CASE WHEN contains(replace(p_name, ' ', ''), 'green') THEN 'wording' WHEN NOT contains(replace(p_name, ' ', ''), 'e') THEN 'absent' WHEN p_size % 10 = 0 OR length(p_name) * 100 < 2000 THEN 'layout' ELSE 'outside_tables' END AS reason FROM part""")
-def not_found_reasons(spark: SparkSession, sf: str) -> DataFrame:
-    """Why an account isn't found, over the part table: other words, no mention, no table rows or hardly any text, or a mention outside of tables."""
-    name = F.col("p_name")
-    return read(spark, sf, "part").select("p_partkey", T.why_not_found(T.names_one_of(name, ["green"], []), T.names_one_of(name, ["e"], []), F.col("p_size") % 10, F.length(name) * 100).alias("reason"))
-
-
 @query("SELECT c_custkey, CASE WHEN left(c_mktsegment, 1) = 'M' THEN 'small_market' WHEN c_nationkey % 13 > 0 AND c_nationkey % 13 <> 12 THEN 'other_year_end' ELSE 'other' END AS reason FROM customer")
 def no_report_reasons(spark: SparkSession, sf: str) -> DataFrame:
     c = read(spark, sf, "customer")
@@ -145,19 +100,20 @@ def first_reports(spark: SparkSession, sf: str) -> DataFrame:
     return T.first_report(o, "U", "O").select("corp", F.col("rcept_dt").cast("string").alias("rcept_dt"), "report")
 
 
-_CACHE = """WITH w AS (SELECT c_custkey AS corp, y AS year FROM customer CROSS JOIN (SELECT unnest([1996, 1997, 1998]) AS y)), o AS (SELECT o_custkey AS corp, year(o_orderdate)::INT AS year, count(*) AS size FROM orders GROUP BY ALL),
-k AS (SELECT corp, year, size FROM o WHERE year = 1996 AND corp % 2 = 0), f AS (SELECT w.corp, w.year, CASE WHEN w.corp % 10 = 3 THEN '020' WHEN w.corp % 10 = 7 THEN 'ERR' WHEN size IS NULL THEN '013' ELSE '000' END AS status, size FROM w LEFT JOIN o USING (corp, year))
+_CACHE = """WITH w AS (SELECT c_custkey AS corp, y AS year FROM customer CROSS JOIN (SELECT unnest([1996, 1997, 1998]) AS y)),
+o AS (SELECT o_custkey AS corp, year(o_orderdate)::INT AS year, count(*) AS size, bool_or(o_orderstatus = 'P') AS pending, bool_and(o_orderstatus = 'F') AS final FROM orders GROUP BY ALL),
+k AS (SELECT corp, year, size FROM o WHERE final AND year < 1998), f AS (SELECT w.corp, w.year, CASE WHEN size IS NULL THEN '013' WHEN pending THEN '020' ELSE '000' END AS status, size FROM w LEFT JOIN o USING (corp, year))
 """
 
 
 @query(f"{_CACHE} SELECT w.corp, w.year, CASE WHEN k.size IS NOT NULL THEN 'hit' ELSE CASE status WHEN '000' THEN 'miss_fetched' WHEN '013' THEN 'empty_cached' WHEN '020' THEN 'limit' ELSE 'error' END END AS outcome, CASE WHEN k.size IS NOT NULL THEN k.size WHEN status = '000' THEN f.size WHEN status = '013' THEN 0 END AS size FROM w LEFT JOIN k USING (corp, year) LEFT JOIN f USING (corp, year)")
 def cache_outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    """What comes of wanted statements, given a cache and the answers of a source: orders of a customer in a year stand for a statement."""
-    o = read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("corp"), F.year("o_orderdate").alias("year")).agg(F.count("*").alias("size"))
+    """What comes of wanted statements: orders of a customer in a year are the statement, kept if all of them are final, out of reach while one is pending, and known not to exist where there are none."""
+    o = read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("corp"), F.year("o_orderdate").alias("year")).agg(F.count("*").alias("size"), F.bool_or(F.col("o_orderstatus") == "P").alias("pending"), F.bool_and(F.col("o_orderstatus") == "F").alias("final"))
     w = read(spark, sf, "customer").select(F.col("c_custkey").alias("corp"), F.explode(F.array(*map(F.lit, (1996, 1997, 1998)))).alias("year"))
-    status = F.when(F.col("corp") % 10 == 3, snapshots.LIMIT).when(F.col("corp") % 10 == 7, "ERR").when(F.col("size").isNull(), snapshots.NOTHING).otherwise(snapshots.ROWS)
+    status = F.when(F.col("size").isNull(), snapshots.NOTHING).when(F.col("pending"), snapshots.LIMIT).otherwise(snapshots.ROWS)
     f = w.join(o, ["corp", "year"], "left").withColumn("status", status)
-    return snapshots.outcomes(w, o.where("year = 1996 and corp % 2 = 0"), f, ["corp", "year"])
+    return snapshots.outcomes(w, o.where("final and year < 1998"), f, ["corp", "year"])
 
 
 _SPACE = f"e AS (SELECT vec_id, CASE WHEN label < 2 THEN ({DEFAULT.snapshot_years[0]} + label)::INT END AS space FROM embeddings), y AS (SELECT unnest({list(DEFAULT.snapshot_years)})::INT AS year)"
@@ -171,14 +127,20 @@ def vector_spaces(spark: SparkSession, sf: str) -> DataFrame:
     return v.groupBy("year").agg(F.count("*").alias("n"), F.min("vec_id").alias("first"), F.max("space").isNotNull().alias("own"))
 
 
-@query(f"""WITH {PANEL_SQL}, n AS (SELECT firm, fy, revenue, CASE WHEN firm % 3 = 0 THEN cost + 1 WHEN firm % 5 = 0 THEN NULL ELSE cost END AS cost FROM acc),
-j AS (SELECT a.fy, a.revenue IS DISTINCT FROM n.revenue AS r, a.cost IS DISTINCT FROM n.cost AS c FROM acc a JOIN n USING (firm, fy)),
+@query(f"""WITH {PANEL_SQL}, n AS (SELECT firm, fy, round(sum(price * (1 - disc)), 4) AS revenue, round(sum(qty * p_retailprice), 4) AS cost FROM li JOIN part ON part = p_partkey WHERE flag <> 'R' GROUP BY firm, fy),
+j AS (SELECT fy, a.revenue IS DISTINCT FROM n.revenue AS r, a.cost IS DISTINCT FROM n.cost AS c FROM acc a FULL JOIN n USING (firm, fy)),
 l AS (SELECT fy, 'revenue' AS account, r AS d FROM j UNION ALL SELECT fy, 'cost', c FROM j) SELECT fy, account, count(*) FILTER (WHERE d) AS changed, count(*) FILTER (WHERE d) = 0 AS same FROM l GROUP BY ALL""")
 def change_manifest(spark: SparkSession, sf: str) -> DataFrame:
-    """How many values of each account a correction changed, by year, and whether the digests of both versions agree."""
+    """How many values of each account a restatement without returned goods changes, by year, and whether the digests of both versions agree."""
     a = accounts(spark, sf).select("firm", "fy", "revenue", "cost")
-    n = a.withColumn("cost", F.when(F.col("firm") % 3 == 0, F.col("cost") + 1).when(F.col("firm") % 5 != 0, F.col("cost")))
-    return G.manifest(a, n, ["firm", "fy"], ["revenue", "cost"], "fy").select("fy", "account", "changed", "same")
+    return G.manifest(a, restated(spark, sf), ["firm", "fy"], ["revenue", "cost"], "fy").select("fy", "account", "changed", "same")
+
+
+def restated(spark: SparkSession, sf: str) -> DataFrame:
+    """firm, fy, revenue, cost without the lines that were returned."""
+    p = read(spark, sf, "part").select(F.col("p_partkey").alias("part"), F.col("p_retailprice").alias("retail"))
+    kept = lines(spark, sf).where("flag <> 'R'").join(p, "part")
+    return kept.groupBy("firm", "fy").agg(F.round(F.sum(F.col("price") * (1 - F.col("disc"))), 4).alias("revenue"), F.round(F.sum(F.col("qty") * F.col("retail")), 4).alias("cost"))
 
 
 @query(f"WITH {PANEL_SQL} SELECT 'universe' AS phase, count(*) AS n FROM filings WHERE year IN {DEFAULT.snapshot_years} UNION ALL SELECT 'scale', count(*) FROM acc UNION ALL SELECT 'industry', count(*) FROM firms UNION ALL SELECT 'segment', count(*) FROM seg UNION ALL SELECT 'features', count(*) FROM panel")

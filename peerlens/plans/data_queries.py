@@ -56,13 +56,13 @@ def pit_violations(spark: SparkSession, sf: str) -> DataFrame:
     return R.violations(lines(spark, sf), day_of("fy"), "day").groupBy(F.col("fy").alias("year"), "firm").agg(F.count("*").alias("n"))
 
 
-_LAYERS = "SELECT DISTINCT fy + 1 AS y, 'scale' AS layer FROM acc UNION SELECT DISTINCT year, 'universe' FROM filings UNION SELECT DISTINCT fy + 1, 'growth' FROM growth WHERE growth IS NOT NULL UNION SELECT DISTINCT fy + 1, 'segment' FROM seg UNION SELECT DISTINCT f.year, 'mktcap' FROM filings f JOIN firms USING (firm) WHERE mktcap IS NOT NULL UNION SELECT DISTINCT fy + 1, 'ratios' FROM acc WHERE revenue > 0"
+_LAYERS = "SELECT DISTINCT fy + 1 AS y, 'scale' AS layer FROM acc UNION SELECT DISTINCT year, 'universe' FROM filings UNION SELECT DISTINCT fy + 1, 'growth' FROM growth WHERE growth IS NOT NULL UNION SELECT DISTINCT f.year, 'industry' FROM filings f JOIN firms USING (firm) WHERE code IS NOT NULL UNION SELECT DISTINCT f.year, 'mktcap' FROM filings f JOIN firms USING (firm) WHERE mktcap IS NOT NULL UNION SELECT DISTINCT fy + 1, 'ratios' FROM acc WHERE revenue > 0"
 
 
 def _layers(spark: SparkSession, sf: str) -> DataFrame:
     a = accounts(spark, sf)
     parts = {
-        "scale": a.select((F.col("fy") + 1).alias("y")), "universe": filings(spark, sf).select(F.col("year").alias("y")), "growth": growth(a).where("growth is not null").select((F.col("fy") + 1).alias("y")), "segment": segments(spark, sf).select((F.col("fy") + 1).alias("y")),
+        "scale": a.select((F.col("fy") + 1).alias("y")), "universe": filings(spark, sf).select(F.col("year").alias("y")), "growth": growth(a).where("growth is not null").select((F.col("fy") + 1).alias("y")), "industry": filings(spark, sf).join(firms(spark, sf).where("code is not null").select("firm"), "firm", "left_semi").select(F.col("year").alias("y")),
         "mktcap": filings(spark, sf).join(firms(spark, sf).where("mktcap is not null").select("firm"), "firm", "left_semi").select(F.col("year").alias("y")), "ratios": a.where("revenue > 0").select((F.col("fy") + 1).alias("y"))}
     out = None
     for name, p in parts.items():
@@ -307,17 +307,6 @@ def latest_value(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("corp")).agg(F.max_by("o_orderpriority", F.struct("o_orderdate", "o_orderkey")).alias("label"))
 
 
-_AUD = "a AS (SELECT firm, fy, revenue, CASE WHEN firm % 7 = 0 THEN NULL WHEN firm % 5 = 0 THEN revenue + 1 ELSE revenue END AS again FROM acc)"
-
-
-@query(f"{_P}, {_AUD} SELECT fy, count(*) AS n, count(*) FILTER (WHERE revenue IS NOT DISTINCT FROM again) AS matched, round(avg((revenue IS DISTINCT FROM again)::INT) * 100, 6) AS mismatch_pct FROM a GROUP BY fy")
-def value_audit(spark: SparkSession, sf: str) -> DataFrame:
-    """Stored values against values extracted again, null-safe."""
-    again = F.when(F.col("firm") % 7 != 0, F.when(F.col("firm") % 5 == 0, F.col("revenue") + 1).otherwise(F.col("revenue")))
-    same = F.col("revenue").eqNullSafe(again)
-    return accounts(spark, sf).groupBy("fy").agg(F.count("*").alias("n"), F.count_if(same).alias("matched"), F.round(F.avg((~same).cast("int")) * 100, 6).alias("mismatch_pct"))
-
-
 @query(f"""{_P}, o AS (SELECT a.firm, a.fy, f.rcept_dt, a.revenue, a.cost FROM acc a JOIN filings f ON f.firm = a.firm AND f.year = a.fy),
 n AS (SELECT firm, fy, CASE WHEN firm % 3 = 0 THEN rcept_dt + 1 ELSE rcept_dt END AS d, revenue + (firm % 2) AS revenue, CASE WHEN firm % 4 = 0 THEN NULL ELSE cost END AS cost FROM o),
 j AS (SELECT o.*, n.revenue AS r2, n.cost AS c2, coalesce(n.d = o.rcept_dt AND n.d <= make_date(o.fy, 5, 15), false) AS ok FROM o LEFT JOIN n ON n.firm = o.firm AND n.fy = o.fy)
@@ -411,15 +400,6 @@ def text_head(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "documents").select("doc_id", F.md5(F.left("text", F.lit(4000)).cast("binary")).alias("head"))
 
 
-@query("SELECT p_brand AS account, count(*) FILTER (WHERE p_size < 10) AS ok, count(*) FILTER (WHERE p_size BETWEEN 10 AND 30) AS approx, count(*) FILTER (WHERE p_size > 30) AS mismap, round(100.0 * count(*) FILTER (WHERE p_size > 30) / nullif(count(*) FILTER (WHERE p_size >= 10), 0), 6) AS rate FROM part GROUP BY p_brand")
-def mapping_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    """Account by verdict, counted in one pivot, with the share of wrong ones among those that count."""
-    v = F.when(F.col("p_size") < 10, "ok").when(F.col("p_size") <= 30, "approx").otherwise("mismap")
-    g = read(spark, sf, "part").select(F.col("p_brand").alias("account"), v.alias("v")).groupBy("account").pivot("v", ["ok", "approx", "mismap"]).count()
-    g = g.na.fill(0)
-    return g.withColumn("rate", F.round(100.0 * F.col("mismap") / F.nullif(F.col("approx") + F.col("mismap"), F.lit(0)), 6))
-
-
 @query("SELECT year(o_orderdate)::INT AS year, o_orderstatus AS kind, count(*) AS n, bool_or(o_orderpriority = '1-URGENT') AS any_urgent FROM orders GROUP BY ALL")
 def availability(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "orders").groupBy(F.year("o_orderdate").alias("year"), F.col("o_orderstatus").alias("kind")).agg(F.count("*").alias("n"), F.bool_or(F.col("o_orderpriority") == "1-URGENT").alias("any_urgent"))

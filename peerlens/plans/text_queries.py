@@ -16,7 +16,6 @@ from peerlens.operators import axes as A
 from peerlens.operators import blocks as B
 from peerlens.operators import relational as R
 from peerlens.operators import score as S
-from peerlens.operators import statements as T
 from peerlens.operators import text as X
 from peerlens.sources.sealed import read_sealed, write_sealed
 from peerlens.sources.snapshots import shared_folder
@@ -277,14 +276,3 @@ def worst_causes(spark: SparkSession, sf: str) -> DataFrame:
     scattered = (F.coalesce("same", F.lit(0)) < SAME_CODE) & (F.round(F.coalesce("cos", F.lit(0.0)), 9) < COHERENT)
     cause = F.when(~F.col("ok"), "data").when((F.col("worst") >= EXTREME) & (F.abs("d.value") < TINY), "intrinsic").when(scattered, "industry").otherwise("intrinsic")
     return w.join(h, ["as_of", "firm"], "left").join(ok, "firm").groupBy(cause.alias("cause"), F.col("d.ratio").alias("driver")).agg(F.count("*").alias("n"))
-
-
-_STATEMENT = [("c1", 0, "BS", "Trade and other receivables", "12,840,000,000"), ("c1", 1, "BS", "Trade receivables (net)", "11,702,295,937"), ("c1", 2, "CIS", "Revenue", "-"), ("c1", 3, "IS", "Sales", "5,000.9"), ("c2", 0, "BS", "Revenue", "7"), ("c2", 1, "IS", "Revenue", "8")]
-_ALIASES = [("receivables", "Tradereceivables", 0, ["BS"]), ("receivables", "Tradeandotherreceivables", 1, ["BS"]), ("revenue", "Revenue", 0, ["IS", "CIS"]), ("revenue", "Sales", 1, ["IS", "CIS"])]
-
-
-@query("SELECT * FROM (VALUES ('c1', 'receivables', 11702295937), ('c1', 'revenue', 5000), ('c2', 'revenue', 8)) AS t(corp, account, amount)")
-def alias_resolution(spark: SparkSession, sf: str) -> DataFrame:
-    """Statement rows of two made-up firms: aliases by priority, statement by account, unreadable amounts passed over."""
-    rows = spark.createDataFrame(_STATEMENT, "corp string, pos int, sj_div string, name string, amount string")
-    return T.resolve_accounts(rows, spark.createDataFrame(_ALIASES, "account string, alias string, priority int, divs array<string>"))
