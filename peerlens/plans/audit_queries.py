@@ -9,6 +9,7 @@ from peerlens.config import DEFAULT
 from peerlens.functions import scalar as C
 from peerlens.operators import govern as G
 from peerlens.operators import statements as T
+from peerlens.operators.qgrams import either_way, holding
 from peerlens.sources import snapshots
 
 from .panel import PANEL_SQL, accounts, filings, firms, growth, lines, panel, read, segments
@@ -37,16 +38,29 @@ def universe(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lookup(spark: SparkSession, universe: DataFrame, names: list[str]) -> DataFrame:
-    """asked, status, firm, n_similar; universe: firm, name, rankable. The names asked for are the small side of both joins."""
+    """asked, status, firm, n_similar (names that hold the one asked for, but aren't it); universe: firm, name, rankable. Both joins are equalities, the second on q-grams."""
     u = universe.withColumn("k", C.name_key(F.col("name")))
-    q = F.broadcast(spark.createDataFrame([(n,) for n in names], "asked string").withColumn("k", C.ascii_name_key(F.col("asked"))))
+    q = spark.createDataFrame([(n,) for n in dict.fromkeys(names)], "asked string").withColumn("k", C.name_key(F.col("asked")))
     e = u.join(q, "k").groupBy("asked").agg(F.count("*").alias("exact"), F.count_if("rankable").alias("usable"), F.min(F.when(F.col("rankable"), F.col("firm"))).alias("firm"))
-    n = u.join(q.withColumnRenamed("k", "part"), (F.col("part") != "") & (F.col("part") != F.col("k")) & F.contains("k", "part")).groupBy("asked").agg(F.count("*").alias("n_similar"))
-    j = q.join(e, "asked", "left").join(n, "asked", "left")
+    held = holding(u.select(F.col("k").alias("s")), q.select(F.col("k").alias("s"))).where("long <> short")
+    n = held.join(u.groupBy(F.col("k").alias("long")).agg(F.count("*").alias("n")), "long").groupBy(F.col("short").alias("k")).agg(F.sum("n").alias("n_similar"))
+    j = q.join(e, "asked", "left").join(n, "k", "left")
     status = F.when(F.col("k") == "", "empty").when(F.col("usable") == 1, "ok").when(F.col("usable") > 1, "ambiguous").when(F.col("exact") > 0, "not_rankable").otherwise("not_found")
     return j.select("asked", status.alias("status"), F.when(F.col("usable") == 1, F.col("firm")).alias("firm"), F.coalesce("n_similar", F.lit(0)).alias("n_similar"))
 
 
+_WORDS = "w AS (SELECT DISTINCT lower(trim(replace(x, ' ', ''))) AS s FROM (SELECT p_name AS x FROM part UNION ALL SELECT unnest(string_split(p_name, ' ')) FROM part UNION ALL SELECT p_type || p_name FROM part UNION ALL SELECT left(p_type, 2) FROM part))"
+
+
+@query(f"WITH {_WORDS} SELECT n.s AS name, q.s AS asked FROM w n JOIN w q ON n.s <> '' AND q.s <> '' AND (contains(n.s, q.s) OR contains(q.s, n.s))")
+def names_either_way(spark: SparkSession, sf: str) -> DataFrame:
+    """Which names of parts (whole, by word, with their type, and types by two letters) hold which, both ways, by an index of q-grams."""
+    p = read(spark, sf, "part")
+    each = F.concat(F.array("p_name"), F.split("p_name", " "), F.array(F.concat("p_type", "p_name"), F.left("p_type", F.lit(2))))
+    w = p.select(F.explode(each).alias("x")).distinct().select(C.name_key(F.col("x")).alias("s"))
+    return either_way(w, w)
+
+
 MARKETS = {"00": "Africa", "01": "America", "02": "Asia", "03": "Europe", "04": "Middle East"}
 
 
@@ -74,7 +88,7 @@ def report_examples(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"{FINAL} SELECT as_of, firm, rank, peer, round(sim, 6) AS sim, max(rank) OVER () AS k, max(rank) OVER () = {DEFAULT.k_final} AS k_agrees FROM peers")
 def selection_export(spark: SparkSession, sf: str) -> DataFrame:
     """The selection with similarities, and whether its label k is the largest rank."""
-    p = final_peers(spark, sf).persist()  # k rows for each firm and snapshot
+    p = snapshots.stored(final_peers(spark, sf))  # used twice
     k = F.broadcast(p.agg(F.max("rank").alias("k")))  # one row
     return p.crossJoin(k).select("as_of", "firm", "rank", "peer", F.round("sim", 6).alias("sim"), "k", (F.col("k") == DEFAULT.k_final).alias("k_agrees"))
 
@@ -85,11 +99,13 @@ def peer_sets(spark: SparkSession, sf: str) -> DataFrame:
     return final_peers(spark, sf).groupBy("as_of", "firm").agg(F.array_join(F.sort_array(F.collect_set("peer")), ",").alias("members"))
 
 
-@query("SELECT c_custkey, CASE WHEN left(c_mktsegment, 1) = 'M' THEN 'small_market' WHEN c_nationkey % 13 > 0 AND c_nationkey % 13 <> 12 THEN 'other_year_end' ELSE 'other' END AS reason FROM customer")
+@query("""WITH e AS (SELECT o_custkey, month(max(o_orderdate)) AS m FROM orders GROUP BY 1)
+SELECT c_custkey, CASE WHEN left(c_mktsegment, 1) = 'M' THEN 'small_market' WHEN m <> 12 THEN 'other_year_end' ELSE 'other' END AS reason FROM customer LEFT JOIN e ON o_custkey = c_custkey""")
 def no_report_reasons(spark: SparkSession, sf: str) -> DataFrame:
-    c = read(spark, sf, "customer")
-    month = F.col("c_nationkey") % 13
-    return c.select("c_custkey", T.why_no_report(F.left("c_mktsegment", F.lit(1)), F.when(month > 0, month.cast("string")).otherwise(""), "M").alias("reason"))
+    """Why a customer has no report: its market, or a year that ends in the month of its last order, which isn't December."""
+    e = read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.month(F.max("o_orderdate")).cast("string").alias("m"))
+    c = read(spark, sf, "customer").join(e, "c_custkey", "left")
+    return c.select("c_custkey", T.why_no_report(F.left("c_mktsegment", F.lit(1)), F.coalesce("m", F.lit("")), "M").alias("reason"))
 
 
 @query("""SELECT corp, rcept_dt::VARCHAR AS rcept_dt, report FROM (SELECT o_custkey AS corp, o_orderdate::DATE AS rcept_dt, o_orderpriority || ' ' || o_orderstatus AS report,

@@ -12,7 +12,7 @@ from peerlens.operators import relational as R
 from peerlens.operators import score as S
 
 from .panel import PANEL_SQL, accounts, filings, firms, growth, lines, panel, read, segments
-from .registry import query
+from .registry import ORACLE, query
 
 DAYS = [f"{y}-05-15" for y in DEFAULT.snapshot_years]
 _DAYS = "(VALUES " + ", ".join(f"(DATE '{d}')" for d in DAYS) + ") AS s(snap)"
@@ -172,6 +172,13 @@ def missing_survivor(spark: SparkSession, sf: str) -> DataFrame:
     return R.missing_survivors(customer_years(spark, sf), "corp", "year")
 
 
+@query(f"SELECT count(*) AS years, round(avg(pct), 5) AS mean_pct, max(pct) AS worst_pct FROM ({ORACLE['missing_survivor']})")
+def missing_survivor_mean(spark: SparkSession, sf: str) -> DataFrame:
+    """The share of missing survivors, averaged over the years."""
+    m = missing_survivor(spark, sf)
+    return m.agg(F.count("*").alias("years"), F.round(F.avg("pct"), 5).alias("mean_pct"), F.max("pct").alias("worst_pct"))
+
+
 @query(f"""WITH {_CY}, m AS (SELECT max(year) AS top FROM cy), f AS (SELECT corp, bool_or(year = top) AS last1, bool_or(year = top - 1) AS last2 FROM cy CROSS JOIN m GROUP BY corp)
 SELECT corp, CASE WHEN last1 THEN 'survived' WHEN last2 THEN 'recent_gap' ELSE 'departed' END AS class FROM f""")
 def departed_class(spark: SparkSession, sf: str) -> DataFrame:
@@ -226,11 +233,16 @@ def set_difference(spark: SparkSession, sf: str) -> DataFrame:
     return c.where("year = 1996").select("corp").exceptAll(c.where("year = 1998").select("corp"))
 
 
-@query(f"SELECT (SELECT count(*) FROM (SELECT unnest({list(DEFAULT.dev_years)}) INTERSECT SELECT unnest({[y for y in DEFAULT.snapshot_years if y not in DEFAULT.dev_years]}))) AS shared")
+@query(f"""{_P}, y AS (SELECT as_of, as_of IN {DEFAULT.dev_years} AS dev, count(*) AS n FROM panel GROUP BY as_of)
+SELECT count(*) FILTER (WHERE dev) AS dev_snapshots, count(*) FILTER (WHERE NOT dev) AS holdout_snapshots, sum(n) FILTER (WHERE dev)::BIGINT AS dev_rows, sum(n) FILTER (WHERE NOT dev)::BIGINT AS holdout_rows,
+  (SELECT count(*) FROM (SELECT as_of FROM y WHERE dev INTERSECT SELECT as_of FROM y WHERE NOT dev)) AS shared FROM y""")
 def split_disjoint(spark: SparkSession, sf: str) -> DataFrame:
-    """Dev and holdout have no snapshot in common."""
-    dev, hold = (spark.createDataFrame([(y,) for y in ys], "y int") for ys in (DEFAULT.dev_years, [y for y in DEFAULT.snapshot_years if y not in DEFAULT.dev_years]))
-    return dev.intersect(hold).agg(F.count("*").alias("shared"))
+    """The panel's snapshots and rows on either side of the split, and how many snapshots are on both."""
+    y = panel(spark, sf).groupBy("as_of", F.col("as_of").isin(*DEFAULT.dev_years).alias("dev")).agg(F.count("*").alias("n"))
+    both = y.where("dev").select("as_of").intersect(y.where("not dev").select("as_of")).agg(F.count("*").alias("shared"))
+    on = lambda c, f: f(F.when(c, F.col("n")))
+    d = F.col("dev")
+    return y.agg(on(d, F.count).alias("dev_snapshots"), on(~d, F.count).alias("holdout_snapshots"), on(d, F.sum).alias("dev_rows"), on(~d, F.sum).alias("holdout_rows")).crossJoin(both)  # one row each
 
 
 @query(f"{_P} SELECT count(*) AS outside FROM panel p WHERE NOT EXISTS (SELECT 1 FROM filings f WHERE f.firm = p.firm AND f.year = p.as_of)")
@@ -263,7 +275,7 @@ SELECT name, code, k <> '{_Q}' AS inexact, rankable FROM m WHERE contains(k, '{_
 def name_suggest(spark: SparkSession, sf: str) -> DataFrame:
     """Names that hold the query or are held by it: exact ones first, then rankable, then short ones; one entry for a name."""
     c = read(spark, sf, "customer").groupBy(F.col("c_name").alias("name")).agg(F.min("c_custkey").alias("code"), F.bool_or(F.col("c_acctbal") > 0).alias("rankable"))
-    m = c.withColumn("k", C.ascii_name_key(F.col("name"))).where(F.col("k").contains(_Q) | F.lit(_Q).contains(F.col("k"))).withColumn("inexact", F.col("k") != _Q)
+    m = c.withColumn("k", C.name_key(F.col("name"))).where(F.col("k").contains(_Q) | F.lit(_Q).contains(F.col("k"))).withColumn("inexact", F.col("k") != _Q)
     return m.orderBy("inexact", ~F.col("rankable"), F.length("name"), "name").limit(8).select("name", "code", "inexact", "rankable")
 
 
@@ -337,13 +349,17 @@ def any_account(spark: SparkSession, sf: str) -> DataFrame:
 _NEED = sorted({a for r in RATIOS for a in (r.numerator, r.denominator)})
 
 
-@query("SELECT unnest([" + ", ".join(f"'{a}'" for a in _NEED) + "]) AS account UNION ALL SELECT unnest([" + ", ".join(f"'feature:{a}'" for a in SCALE_ACCOUNTS if a not in _NEED) + "])")
+_ALL_NEEDED = [*_NEED, *[a for a in SCALE_ACCOUNTS if a not in _NEED]]
+
+
+@query(f"""{_P}, l AS (UNPIVOT (SELECT firm, fy, {', '.join(_ALL_NEEDED)} FROM acc) ON {', '.join(_ALL_NEEDED)} INTO NAME account VALUE v)
+SELECT account, account NOT IN ({', '.join(f"'{a}'" for a in _NEED)}) AS feature_only, count(*) AS n, count(*) FILTER (WHERE v <> 0) AS n_nonzero FROM l GROUP BY account""")
 def required_accounts(spark: SparkSession, sf: str) -> DataFrame:
-    """Accounts that the ratios need, and those that only features need."""
-    r = spark.createDataFrame([(x.name, x.numerator, x.denominator) for x in RATIOS], "ratio string, num string, den string")
-    need = r.select(F.explode(F.array("num", "den")).alias("account")).distinct()
-    only = spark.createDataFrame([(a,) for a in SCALE_ACCOUNTS], "account string").exceptAll(need)
-    return need.unionByName(only.select(F.concat(F.lit("feature:"), "account").alias("account")))
+    """Accounts that the ratios need, and those that only features need, with how many values the filings have of each."""
+    need = {a for r in RATIOS for a in (r.numerator, r.denominator)}
+    every = sorted(need | set(SCALE_ACCOUNTS))
+    long = accounts(spark, sf).unpivot(["firm", "fy"], every, "account", "v").where("v is not null")
+    return long.groupBy("account").agg((~F.col("account").isin(sorted(need))).alias("feature_only"), F.count("*").alias("n"), F.count_if(F.col("v") != 0).alias("n_nonzero"))
 
 
 @query(f"{_P}, d AS (SELECT firm, fy, list_filter([{', '.join(f"CASE WHEN {r.numerator} IS NOT NULL AND {r.denominator} > 0 THEN '{r.name}' END" for r in RATIOS)}], lambda x: x IS NOT NULL) AS d FROM acc) SELECT firm, fy, len(d) AS n, array_to_string(d, ',') AS defined FROM d")
@@ -365,14 +381,6 @@ def report_period(spark: SparkSession, sf: str) -> DataFrame:
     return o.select("o_orderkey", C.report_year(F.col("name")).alias("year"), C.iso_date(F.col("d")).alias("iso"))
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 1234 WHEN 2 THEN -56789 ELSE 12 END::BIGINT::VARCHAR AS amount FROM orders")
-def parse_amount(spark: SparkSession, sf: str) -> DataFrame:
-    """Amount strings of the four kinds that filings hold: missing, with commas, negative, with fractions."""
-    k = F.col("o_orderkey") % 4
-    s = F.when(k == 0, "-").when(k == 1, " 1,234 ").when(k == 2, "-56,789").otherwise("12.7")
-    return read(spark, sf, "orders").select("o_orderkey", C.parse_amount(s).cast("string").alias("amount"))
-
-
 @query("SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&cr;|&nbsp;', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS text, length(regexp_replace(regexp_replace(html, '<[^>]*>', '', 'g'), '[ \\t\\n\\x0B\\f\\r]+', '', 'g')) AS flat_chars FROM pages")
 def html_clean(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "pages").select("page_id", C.clean_html(F.col("html")).alias("text"), F.length(C.flat_text(F.col("html"))).alias("flat_chars"))

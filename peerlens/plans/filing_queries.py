@@ -171,3 +171,9 @@ def value_audit(spark: SparkSession, sf: str) -> DataFrame:
     same = F.col("value").cast("double").eqNullSafe(F.col("again"))
     j = stored.join(again, ["corp", "name"], "left")
     return j.groupBy("account", "name").agg(F.count("*").alias("n"), F.count_if(same).alias("matched"), F.round(F.avg((~same).cast("int")) * 100, 6).alias("mismatch_pct"))
+
+
+@query(f"WITH {_ROWS} SELECT corp, pos, CASE WHEN value > 0 THEN value END AS amount FROM rws")
+def parse_amount(spark: SparkSession, sf: str) -> DataFrame:
+    """Amounts as filings write them, as numbers: with commas, in parentheses (no number here), or missing."""
+    return statement_rows(spark, sf).select("corp", "pos", C.parse_amount(F.col("amount")).alias("amount"))

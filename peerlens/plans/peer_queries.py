@@ -12,6 +12,7 @@ from peerlens.operators import blocks as B
 from peerlens.operators import resample
 from peerlens.operators import score as S
 from peerlens.operators import text as X
+from peerlens.sources.snapshots import stored
 
 from .panel import PANEL_SQL, panel, read
 from .registry import query
@@ -291,7 +292,7 @@ SELECT as_of, firm, ratio, round(actual, 6) AS actual, n, round(peer_median, 6)
 FROM dev CROSS JOIN dth JOIN coh USING (as_of, firm) CROSS JOIN th JOIN flags USING (as_of, firm, ratio)""")
 def ratio_block(spark: SparkSession, sf: str) -> DataFrame:
     """Each case beside its peers: direction and check only where enough peers are comparable; an ill-conditioned ratio has low confidence whatever the group's grade."""
-    r, p = ratios(spark, sf), peers(spark, sf).persist()  # a few rows for each firm and snapshot, used three times
+    r, p = ratios(spark, sf), stored(peers(spark, sf))  # used three times
     b, c = S.ratio_block(r, p), S.cohesion(p)
     bound = b.where(F.col("as_of").isin(*DEFAULT.dev_years)).agg(F.percentile("deviation", F.lit(0.9)).alias("bound"))
     j = b.crossJoin(F.broadcast(bound)).join(c.crossJoin(F.broadcast(cohesion_bounds(c))), ["as_of", "firm"]).join(S.flags(r, S.ill_thresholds(r)), ["as_of", "firm", "ratio"])  # one row each
@@ -333,7 +334,7 @@ def axis_ablation(spark: SparkSession, sf: str) -> DataFrame:
     """Each axis taken out in turn, the other weights normalised again, peers ranked and scored anew; errors compared case by case. All engines are ranked in one pass over the blocks."""
     r = ratios(spark, sf)
     specs = {"": (FOUR, K), **{k: (w, K) for k, w in _OFF.items()}}
-    c = S.peer_cases(r, B.engines(features(spark, sf), specs), S.penalty(r), by=("engine",)).persist()  # a row for each engine and case, used twice
+    c = stored(S.peer_cases(r, B.engines(features(spark, sf), specs), S.penalty(r), by=("engine",)))  # used twice
     off = c.where("engine <> ''").select(F.col("engine").alias("axis"), "as_of", "firm", "ratio", F.col("ape").alias("off"))
     return c.where("engine = ''").join(off, ["as_of", "firm", "ratio"]).groupBy("axis", "ratio").agg(F.count("*").alias("n"), F.round(F.median("ape"), 6).alias("with_axis"), F.round(F.median("off"), 6).alias("without_axis"), F.round(F.avg(F.col("off") - F.col("ape")), 6).alias("benefit"), F.round(F.corr("ape", "off"), 6).alias("r"))
 

@@ -41,6 +41,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/peerlens-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, for plans that use it several times; nothing has to be dropped from memory afterwards."""
+    path = f"{shared_folder(df.sparkSession)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, p = _path(spark, path)
     return fs.exists(p)
