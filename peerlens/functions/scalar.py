@@ -101,11 +101,6 @@ def compare(op: str, x: Column, y: Column) -> Column:
     return F.coalesce(table[op], F.lit(False))
 
 
-def table_digest(key: Column, values: Column) -> Column:
-    """Aggregate: SHA-256 of the sorted lines "key:values". For tables of a size that one digest makes sense for; larger ones take order_free_digest()."""
-    return F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list(F.concat_ws(":", key, values)))), 256)
-
-
 def order_free_digest(*columns: Column) -> Column:
     """Aggregate that doesn't depend on row order and needs no sort: count and sum of 64-bit hashes."""
     return F.concat_ws("-", F.count("*").cast("string"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).cast("string"))

@@ -1,7 +1,7 @@
 """Pairs of firms as blocks of matrices: what is needed of all pairs of a snapshot is taken inside a task, so that no row is made for each pair.
 
-Firms are dealt into blocks by a hash; every two blocks meet in one task as features and, for the text axis, as vectors. A task hands on k peers of each target, so
-what is shuffled grows with firms x blocks, not with pairs.
+Firms are dealt into blocks by a hash; every two blocks meet in one task as features and, for the text axis, as vectors. Each firm is sent to every block, so firms x firms / 1024
+rows are shuffled, and k peers of each target come back from each of its tasks; no row is made for a pair.
 """
 
 from __future__ import annotations
@@ -18,8 +18,13 @@ from pyspark.sql.window import Window
 from peerlens.config import DEFAULT
 
 FEATURES = ("ln_rev", "ln_ast", "ln_cap", "g", "s_n", "s_top", "s_hhi")
-#: Firms of a block; a task holds a few matrices of that size squared.
-SIZE = 256
+#: Firms of a block; a task holds a few matrices of that size squared. Fewer firms than make work for all cores with it are dealt into smaller blocks.
+SIZE, LEAST = 1024, 64
+
+
+def block_size(firms: int, cores: int) -> int:
+    """Blocks of 1024 firms, or smaller ones, so that every core gets a pair of blocks."""
+    return min(SIZE, max(LEAST, -(-firms // max(1, round((2 * cores) ** 0.5)))))
 
 
 def half_up(x: np.ndarray, digits: int = 9) -> np.ndarray:
@@ -59,12 +64,13 @@ def axis(name: str, a: Side, b: Side, text: np.ndarray | None, prefixes: tuple[i
 Take = Callable[[int, Side, Side, "np.ndarray | None"], Iterator[pa.Table]]
 
 
-def meet(f: DataFrame, take: Take, schema: str, vectors: DataFrame | None = None, size: int = SIZE) -> DataFrame:
+def meet(f: DataFrame, take: Take, schema: str, vectors: DataFrame | None = None, size: int | None = None) -> DataFrame:
     """Rows that `take` makes of every snapshot's targets and peers, block by block; f: as_of, firm, code, features; vectors: doc, gram, weight.
 
     `take` gets the snapshot, targets, peers and their cosines (9 decimals; None without vectors).
     """
-    blocks, texts = max(1, -(-f.select("firm").distinct().count() // size)), vectors is not None
+    firms, texts = f.select("firm").distinct().count(), vectors is not None
+    blocks = max(1, -(-firms // (size or block_size(firms, f.sparkSession.sparkContext.defaultParallelism))))
     rows = f.groupBy("firm").agg(F.collect_list(F.struct("as_of", "code", *FEATURES)).alias("panel"))  # one entry for each snapshot
     if vectors is not None:
         v = vectors.groupBy(F.col("doc").alias("firm")).agg(F.collect_list(F.xxhash64("gram")).alias("grams"), F.collect_list("weight").alias("weights"))
@@ -128,7 +134,7 @@ def normal(weights: dict[str, float]) -> dict[str, float]:
     return {a: x / total if total > 0 else x for a, x in weights.items()}
 
 
-def ranked(f: DataFrame, weights: dict[str, float], k: int, vectors: DataFrame | None = None, size: int = SIZE) -> DataFrame:
+def ranked(f: DataFrame, weights: dict[str, float], k: int, vectors: DataFrame | None = None, size: int | None = None) -> DataFrame:
     """as_of, firm, rank, peer, one column for each axis with a weight, sim (weighted sum, weights normalised, 9 decimals) of the k most similar peers of each firm."""
     w = normal(weights)
 
@@ -141,7 +147,7 @@ def ranked(f: DataFrame, weights: dict[str, float], k: int, vectors: DataFrame |
     return _merged(meet(f, take, schema, vectors if "text" in w else None, size), k, F.desc("sim"))
 
 
-def engines(f: DataFrame, specs: dict[str, tuple[dict[str, float] | None, int]], vectors: DataFrame | None = None, prefixes: tuple[int, ...] = DEFAULT.prefixes, size: int = SIZE) -> DataFrame:
+def engines(f: DataFrame, specs: dict[str, tuple[dict[str, float] | None, int]], vectors: DataFrame | None = None, prefixes: tuple[int, ...] = DEFAULT.prefixes, size: int | None = None) -> DataFrame:
     """engine, as_of, firm, rank, peer, sim for several engines at once: each has weights and k; without weights it is the baseline (sim 0). Axis values are made once for all."""
     names = sorted({n for w, _ in specs.values() if w for n in w})
 
@@ -171,7 +177,7 @@ def _tiers(a: Side, b: Side, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.
     return tier, np.nan_to_num(half_up(a.distance(b, "ln_rev", "ln_ast")), nan=np.inf)
 
 
-def baseline(f: DataFrame, k: int, prefixes: tuple[int, ...] = DEFAULT.prefixes, size: int = SIZE) -> DataFrame:
+def baseline(f: DataFrame, k: int, prefixes: tuple[int, ...] = DEFAULT.prefixes, size: int | None = None) -> DataFrame:
     """as_of, firm, rank, peer, tier, dist: peers by industry tier, then distance of log sizes."""
 
     def take(y: int, a: Side, b: Side, text: np.ndarray | None) -> Iterator[pa.Table]:
@@ -182,7 +188,7 @@ def baseline(f: DataFrame, k: int, prefixes: tuple[int, ...] = DEFAULT.prefixes,
     return _merged(found, k, F.asc("tier"), F.asc("dist")).withColumn("tier", F.col("tier").cast("int"))
 
 
-def axis_profile(f: DataFrame, name: str, vectors: DataFrame | None = None, size: int = SIZE) -> DataFrame:
+def axis_profile(f: DataFrame, name: str, vectors: DataFrame | None = None, size: int | None = None) -> DataFrame:
     """as_of, firm, best, mean of one axis over all peers, each value with 6 decimals; sums are handed on, not pairs."""
 
     def take(y: int, a: Side, b: Side, text: np.ndarray | None) -> Iterator[pa.Table]:

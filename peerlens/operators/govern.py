@@ -138,6 +138,25 @@ def shared_sides(spark: SparkSession, ratios: list[tuple[str, str, str]], visibl
     return sides.select("ratio").distinct().join(hidden, "ratio", "left_anti")
 
 
+def scanned(df: DataFrame) -> list[tuple[str, list[str]]]:
+    """What a plan reads once the optimizer has cut it: for each scan its description and the columns it hands on. Columns that only a table kept in memory was made from aren't among them."""
+    leaves, out = df._jdf.queryExecution().sparkPlan().collectLeaves(), []
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        columns = leaf.output()
+        out.append((leaf.simpleString(200), [columns.apply(j).name() for j in range(columns.size())]))
+    return out
+
+
+def blind(df: DataFrame, hidden: list[str], paths: tuple[str, ...] = ()) -> DataFrame:
+    """df, if none of its scans hands on a hidden column or reads a hidden path; ValueError otherwise: what is to be predicted must not enter what predicts it."""
+    for scan, columns in scanned(df):
+        seen = sorted(set(columns) & set(hidden))
+        if seen or any(p in scan for p in paths):
+            raise ValueError(f"the plan reads {seen or 'a hidden table'}: {scan}")
+    return df
+
+
 def seal(parameters: Mapping[str, object]) -> tuple[str, str]:
     """Parameters as text and its SHA-256."""
     text = _text(parameters)

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from peerlens.config import DEFAULT
 from peerlens.functions import scalar as C
 from peerlens.operators import govern as G
+from peerlens.operators import hashtree as H
 from peerlens.operators import statements as T
 from peerlens.operators.qgrams import either_way, holding
 from peerlens.sources import snapshots
 
+from .data_queries import _WHOLE_SQL, whole_values
 from .panel import PANEL_SQL, accounts, filings, firms, growth, lines, panel, read, segments
 from .peer_queries import FINAL, final_peers, ratio_block
 from .registry import ORACLE, query
@@ -152,6 +154,19 @@ def change_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return G.manifest(a, restated(spark, sf), ["firm", "fy"], ["revenue", "cost"], "fy").select("fy", "account", "changed", "same")
 
 
+_NEW = "n AS (SELECT firm, fy, round(sum(price * (1 - disc)), 4) AS revenue, round(sum(qty * p_retailprice), 4) AS cost FROM li JOIN part ON part = p_partkey WHERE flag <> 'R' GROUP BY firm, fy)"
+_LINE = "firm::VARCHAR || '|' || fy::VARCHAR"
+
+
+@query(f"""WITH {PANEL_SQL}, {_NEW}, {H.tree_sql('o', 'acc', _LINE, _WHOLE_SQL, 2)}, {H.tree_sql('w', 'n', _LINE, _WHOLE_SQL, 2)}
+SELECT level, node, coalesce(o.n, 0) AS old_n, coalesce(w.n, 0) AS new_n FROM o FULL JOIN w USING (level, node) WHERE o.digest IS DISTINCT FROM w.digest""")
+def changed_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """The ranges of keys in which a restatement differs from the accounts before, from the root down to the leaves."""
+    key = F.concat_ws("|", F.col("firm").cast("string"), F.col("fy").cast("string"))
+    trees = [H.tree(d, key, whole_values(), 2) for d in (accounts(spark, sf), restated(spark, sf))]
+    return H.differing(*trees)
+
+
 def restated(spark: SparkSession, sf: str) -> DataFrame:
     """firm, fy, revenue, cost without the lines that were returned."""
     p = read(spark, sf, "part").select(F.col("p_partkey").alias("part"), F.col("p_retailprice").alias("retail"))

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from peerlens.config import DEFAULT, RATIOS, SCALE_ACCOUNTS, SCORED_ACCOUNTS
 from peerlens.functions import scalar as C
+from peerlens.operators import hashtree as H
 from peerlens.operators import relational as R
 from peerlens.operators import score as S
 
@@ -330,10 +331,19 @@ def keep_old_merge(spark: SparkSession, sf: str) -> DataFrame:
     return R.keep_old(o, n, ["firm", "fy"], ["revenue", "cost"], "rcept_dt", day_of("fy")).drop("rcept_dt")
 
 
-@query(f"""{_P} SELECT fy, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM (SELECT fy, firm::VARCHAR || ':' || (revenue * 10000)::DECIMAL(38, 0)::VARCHAR || '|' || (cost * 10000)::DECIMAL(38, 0)::VARCHAR AS line FROM acc) GROUP BY fy""")
-def content_digest(spark: SparkSession, sf: str) -> DataFrame:
+_WHOLE_SQL = "(revenue * 10000)::DECIMAL(38, 0)::VARCHAR || '|' || (cost * 10000)::DECIMAL(38, 0)::VARCHAR"
+
+
+def whole_values() -> Column:
+    """Revenue and cost as text, in ten-thousandths."""
     whole = lambda c: F.round(F.col(c) * 10000, 0).cast("decimal(38,0)").cast("string")
-    return accounts(spark, sf).groupBy("fy").agg(C.table_digest(F.col("firm").cast("string"), F.concat_ws("|", whole("revenue"), whole("cost"))).alias("digest"))
+    return F.concat_ws("|", whole("revenue"), whole("cost"))
+
+
+@query(f"{_P}, {H.tree_sql('t', 'acc', 'firm::VARCHAR', _WHOLE_SQL, 2, 'fy')} SELECT fy, digest FROM t WHERE level = 0")
+def content_digest(spark: SparkSession, sf: str) -> DataFrame:
+    """A digest of each year's accounts: the root of a tree over ranges of firms."""
+    return H.root(accounts(spark, sf), F.col("firm").cast("string"), whole_values(), 2, ["fy"])
 
 
 @query(f"{_P} SELECT firm, fy, account, round(v, 4) AS v FROM (UNPIVOT (SELECT firm, fy, revenue, cost, gross, op_income, inventory, receivables FROM acc) ON revenue, cost, gross, op_income, inventory, receivables INTO NAME account VALUE v)")

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from peerlens.config import DEFAULT
+from peerlens.config import DEFAULT, SCALE_ACCOUNTS, SCORED_ACCOUNTS
 from peerlens.operators import axes as A
 from peerlens.operators import blocks as B
+from peerlens.operators import govern as G
 from peerlens.operators import resample
 from peerlens.operators import score as S
 from peerlens.operators import text as X
@@ -18,6 +19,8 @@ from .panel import PANEL_SQL, panel, read
 from .registry import query
 
 K, W = DEFAULT.k, DEFAULT.weights
+#: Accounts that are predicted and that no ranking may read.
+HIDDEN = [a for a in SCORED_ACCOUNTS if a not in SCALE_ACCOUNTS]
 FOUR = {k: W[k] for k in ("industry", "scale", "mktcap", "growth")}
 TEXT_SQL = X.text_sql("SELECT doc_id AS doc, text FROM documents JOIN supplier ON doc_id = s_suppkey", DEFAULT.gram, DEFAULT.vocabulary)
 WITH = f"WITH {PANEL_SQL}, {A.FEATURES_SQL}"
@@ -42,7 +45,7 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 def peers(spark: SparkSession, sf: str, k: int = K, weights: dict[str, float] | None = None) -> DataFrame:
     w = weights or FOUR
-    return B.ranked(features(spark, sf), w, k, vectors(spark, sf) if "text" in w else None)
+    return B.ranked(G.blind(features(spark, sf), HIDDEN), w, k, vectors(spark, sf) if "text" in w else None)
 
 
 def final_peers(spark: SparkSession, sf: str) -> DataFrame:
