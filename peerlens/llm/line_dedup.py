@@ -90,7 +90,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_chars: int = 10, keys_
     Returns doc_id, n_lines, n_dropped, text (lines left, joined by newline) and the columns `extra`.
     A null or empty text is one empty line, and gives an empty text. Rows with the same doc_id count as one document: a line that
     only they hold stays in all of them. Rows without a doc_id count as one document that comes last. A document
-    of which nothing is left keeps its row with an empty text. Empty tables are allowed; further columns are ignored.
+    of which nothing is left keeps its row with an empty text. Empty tables are allowed; further columns are ignored. Texts are split whole, however long; a worker
+    takes a few MB of lines at once. doc_ids are numbers (or text of digits, which is cast): first documents are compared by number.
     """
     docs = pick(docs, doc_id="bigint", text="string", **dict.fromkeys(extra, ""))
     at = workspace(spark)

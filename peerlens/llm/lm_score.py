@@ -452,7 +452,8 @@ def score_documents(spark: SparkSession, docs: DataFrame, held_out: Column, orde
 
     Returns doc_id, held_out, n_tokens (words and one end), n_known (tokens that occur in training), train_tokens, base_score, score (log10 of the
     text's probability), perplexity (of its tokens). A null text is an empty one: just the end. A null in held_out means training. Repeated rows
-    count and are scored each. Without any training text every token has probability 1. Further columns are ignored.
+    count and are scored each. Without any training text every token has probability 1. Texts are scored whole, about 3 MB at a time; a longer one is a
+    batch of its own. Further columns are ignored.
     """
     d = pick(docs, doc_id="", text="string")
     d = d.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text").cast("binary").alias("text"))

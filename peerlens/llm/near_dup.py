@@ -275,7 +275,8 @@ def text_classes(spark: SparkSession, docs: DataFrame, width: int = 5, threshold
 
     Words are lower-cased (A-Z) runs of letters, digits and characters past ASCII; a text with fewer than `width` words is one shingle. Texts without words,
     null among them, are in one class only with equal texts (null equals empty). Texts are what is linked: rows that share a doc_id, or have none, are in one
-    class only if their texts are similar. The first text of a class has its smallest doc_id (none comes last) and of that the smallest hash. Empty tables are allowed.
+    class only if their texts are similar. The first text of a class has its smallest doc_id (none comes last) and of that the smallest hash. Empty tables are allowed;
+    further columns are ignored. Texts are compared whole, however long; batches go by tokens, and a long text is one by itself. doc_ids are numbers (or text of digits, which is cast).
     """
     docs = pick(docs, doc_id="bigint", text="string")
     at = workspace(spark)

@@ -157,7 +157,8 @@ def with_ledger(df: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
 def ledger(docs: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
     """doc_id, measurements and failure bits of every row of docs.
 
-    A null text has no words; empty texts fail few_words alone. Rows are judged one by one: ties and repeated rows stay. Further columns are ignored.
+    A null text has no words; empty texts fail few_words alone. Rows are judged one by one: ties and repeated rows stay. A text is measured
+    whole, in one task, however long. Further columns are ignored.
     """
     return with_ledger(pick(docs, doc_id="", text="string"), lexicon).drop("text")
 

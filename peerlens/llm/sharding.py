@@ -51,7 +51,8 @@ def shard_documents(docs: DataFrame, shards: int = 8, rows_a_bucket: int = 100_0
     Slots ascend by hash bucket, then doc_id, size and checksum. Buckets keep each sort small; their offsets
     come from a table of counts. Equal rows are summed before the shuffle and expanded afterwards, so many copies
     of a row don't meet in one task. Null doc_id is a key like any other; equal rows each get a slot;
-    an empty table gives an empty result; further columns are ignored.
+    an empty table gives an empty result; further columns are ignored. Of a text only its length and checksum are kept, however long it is. doc_ids are numbers (or
+    text of digits, which is cast), as the jump hash takes a number.
     """
     d = pick(docs, doc_id="bigint", text="string")
     text = F.coalesce("text", F.lit(""))

@@ -152,7 +152,8 @@ def encoder(path: str) -> Encoder:
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int, partitions: int | None = None, row_group: int = 16 << 20) -> None:
     """Writes the ids of all texts, each with end_id after it, in ascending doc_id order (nulls first; equal ids by a hash of the text).
 
-    The texts are range-partitioned once; each task then writes one file of the order. A null text is an empty one. Repeated rows stay.
+    The texts are range-partitioned once; each task then writes one file of the order. A null text is an empty one. Repeated rows stay. Texts are
+    encoded whole, a few MB at a time; a longer one is a batch of its own. doc_ids are numbers (or text of digits, which is cast), as the order is that of numbers.
     """
     d = pick(docs, doc_id="bigint", text="string").withColumn("text", F.coalesce("text", F.lit("")))
     keys = ["doc_id", F.xxhash64("text")]

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections import Counter
@@ -77,20 +78,44 @@ def test_groups_of_texts_are_split_and_chunked(spark):
     assert sorted(map(tuple, near_dup.near_duplicates(spark, d).collect())) == brute(rows)
 
 
+def probability_jaccard(a, b):
+    """Sum over shared elements i of 1 / sum over all j of max(a_j / a_i, b_j / b_i); by plain counts, without the operator's code."""
+    both = a.keys() | b.keys()
+    by = sorted((a.get(x, 0) / b[x] if x in b else math.inf, a.get(x, 0), b.get(x, 0)) for x in both)
+    more, less, total, k = sum(w for _, w, _ in by), 0, 0.0, 0
+    while k < len(by):  # elements of one ratio share a denominator, up to their own weight
+        j = k
+        while j < len(by) and by[j][0] == by[k][0]:
+            j += 1
+        if 0 < by[k][0] < math.inf:
+            total += sum(1 / (more / x + less / y) for _, x, y in by[k:j])
+        more, less, k = more - sum(x for _, x, _ in by[k:j]), less + sum(y for _, _, y in by[k:j]), j
+    return total
+
+
 def links_of(rows):
-    """All pairs that share a shingle and are similar enough, by the probability Jaccard similarity of whole texts."""
+    """All pairs that share a shingle and have a probability Jaccard similarity of 0.8 or more, of whole texts; nothing is left out beforehand."""
     grams, holders = {}, {}
     for i, t in rows:
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
         if w:
-            c = Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
-            e = np.array([hash(x) & 0xFFFFFFFFFFFFFFF for x in c], np.uint64)
-            order = np.argsort(e)
-            grams[i] = e[order], np.array(list(c.values()), float)[order]
-            for x in e.tolist():
+            grams[i] = Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
+            for x in grams[i]:
                 holders.setdefault(x, []).append(i)
-    met = Counter((a, b) for h in holders.values() for k, b in enumerate(h) for a in h[:k])
-    return [(a, b) for (a, b), n in met.items() if n >= 0.6 * min(len(grams[a][0]), len(grams[b][0])) and near_dup.similarity(grams[a], grams[b]) >= 0.8]
+    met = {(a, b) for h in holders.values() for k, b in enumerate(h) for a in h[:k]}
+    return [(a, b) for a, b in met if probability_jaccard(grams[a], grams[b]) >= 0.8]
+
+
+def test_similarity_is_that_of_plain_counts():
+    assert probability_jaccard({"a": 1}, {"a": 5}) == pytest.approx(1) and probability_jaccard({"a": 1}, {"b": 1}) == 0
+    one = {"x": 1000.0, **{f"y{i}": 1.0 for i in range(100)}}
+    assert probability_jaccard(one, {"x": 1000.0, **{f"z{i}": 1.0 for i in range(100)}}) == pytest.approx(1000 / 1200)  # 1 shared of 201 distinct
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        a, b = ({int(k): float(rng.integers(1, 5)) for k in rng.choice(30, 20, replace=False)} for _ in range(2))
+        plain = sum(1 / sum(max(a.get(j, 0) / a[i], b.get(j, 0) / b[i]) for j in a.keys() | b.keys()) for i in a.keys() & b.keys())
+        arrays = [(np.array(sorted(x), np.uint64), np.array([x[k] for k in sorted(x)])) for x in (a, b)]
+        assert probability_jaccard(a, b) == pytest.approx(plain) == near_dup.similarity(*arrays)
 
 
 def test_recall_on_documents(spark):
