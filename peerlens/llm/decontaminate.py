@@ -2,8 +2,8 @@
 
 Each item is cut into windows of consecutive words, and a document is contaminated where a whole window occurs. Seen as a set join, the elements are
 shingles (runs of up to three words), the records are windows, and the wanted containment is 1. Then the necessary prefix of a
-window, with its shingles ordered by rarity in the corpus, is one shingle: its rarest. Only documents that hold this shingle can hold the window.
-Length and position bounds discard places where the window would not fit; the words of each place left are compared one by one.
+window, with its shingles ordered by rarity in the corpus, is one shingle: its rarest. Shingles are only counted at first; then places of the rarest ones alone are
+looked up, since only documents that hold a window's rarest shingle can hold the window. Length and position bounds discard places where the window would not fit; the words of each place left are compared one by one.
 """
 
 from __future__ import annotations
@@ -43,29 +43,43 @@ def window_shingles(windows: DataFrame) -> DataFrame:
     return w.withColumn("h", h)
 
 
+def keyed(docs: DataFrame, size: int, *carried: str) -> DataFrame:
+    """A row for each word of docs (one for a text without any): tkey, n, pos and key, the hash of the shingle that begins there, null past the last one."""
+    d = docs.select("doc_id", F.xxhash64("text").alias("tkey"), words_of(F.col("text")).alias("words")).withColumn("n", F.size("words"))
+    e = d.select("doc_id", "tkey", "n", "words", F.posexplode_outer("words").alias("pos", "word"))
+    return e.select("doc_id", "tkey", "n", "pos", F.when(F.col("pos") <= F.col("n") - size, shingle_hash(F.col("words"), F.col("pos"), size)).alias("key"), *carried)
+
+
+def frequencies(docs: DataFrame, vocabulary: DataFrame, sizes: list[int], small: bool) -> DataFrame:
+    """h, freq: how often the shingles of the vocabulary occur in the corpus; those that never do are missing. Counted before anything is shuffled."""
+    parts = []
+    for size in sizes:
+        e = keyed(docs, size).where("key is not null").select("key")
+        j = e.join(F.broadcast(vocabulary), F.col("key") == F.col("h")) if small else e.groupBy("key").agg(F.count("*").alias("c")).join(vocabulary, F.col("key") == F.col("h"))
+        parts.append(j.groupBy("h").agg((F.count("*") if small else F.sum("c")).alias("freq")))
+    return reduce(DataFrame.unionByName, parts).groupBy("h").agg(F.sum("freq").alias("freq"))
+
+
 def occurrences(docs: DataFrame, vocabulary: DataFrame, sizes: list[int], width: int, small: bool) -> DataFrame:
     """Places of shingles of the vocabulary, with the words around them; and one row without h for each row of docs.
 
     Columns: doc_id, tkey, n, pos, h, from, around. With a small vocabulary all happens in one stage without a shuffle. With a large one, only
     hashes are shuffled, and the words around come from the documents that have a hit.
     """
-    d = docs.select("doc_id", F.xxhash64("text").alias("tkey"), words_of(F.col("text")).alias("words"))
-    d = d.withColumn("n", F.size("words"))
     first = F.greatest(F.col("pos") - (width - 1), F.lit(0))
     around = F.slice("words", first + 1, F.lit(2 * width - 1))
     parts = []
     for k, size in enumerate(sizes):
-        e = d.select("doc_id", "tkey", "n", "words", F.posexplode_outer("words").alias("pos", "word"))
-        e = e.withColumn("key", F.when(F.col("pos") <= F.col("n") - size, shingle_hash(F.col("words"), F.col("pos"), size)))
         row = F.coalesce("pos", F.lit(0)) == 0 if k == 0 else F.lit(False)
-        keep = ["doc_id", "tkey", "n", "pos", row.alias("row"), "key"] + (["words"] if small else [])
+        e = keyed(docs, size, *(["words"] if small else [])).withColumn("row", row)
         v = F.broadcast(vocabulary) if small else vocabulary
-        j = e.select(*keep).join(v, F.col("key") == F.col("h"), "left").where(F.col("row") | F.col("h").isNotNull())
+        j = e.join(v, F.col("key") == F.col("h"), "left").where(F.col("row") | F.col("h").isNotNull())
         parts.append(j.select("doc_id", "tkey", "n", "pos", "row", "h", *([first.alias("from"), F.when(F.col("h").isNotNull(), around).alias("around")] if small else [])))
     found = reduce(DataFrame.unionByName, parts)
     if small:
         return found
     hit = found.where("h is not null").groupBy("doc_id", "tkey", "n").agg(F.collect_set(F.struct("pos", "h")).alias("at"))
+    d = docs.select("doc_id", F.xxhash64("text").alias("tkey"), words_of(F.col("text")).alias("words"))
     texts = d.dropDuplicates(["doc_id", "tkey"]).select(F.col("doc_id").alias("d"), F.col("tkey").alias("t"), "words")
     wide = hit.join(texts, hit.doc_id.eqNullSafe(F.col("d")) & hit.tkey.eqNullSafe(F.col("t"))).select("doc_id", "tkey", "n", "words", F.explode("at").alias("at"))
     wide = wide.select("doc_id", "tkey", "n", F.col("at.pos").alias("pos"), F.lit(False).alias("row"), F.col("at.h").alias("h"), "words").withColumn("from", first).withColumn("around", around).drop("words")
@@ -79,6 +93,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, width:
     Returns doc_id, n_words, n_hit (words inside any occurrence), item_ids (array, sorted as strings), spans (array of (start, end) word positions), contaminated.
     A null or empty text has no words and isn't contaminated; null or empty items have no window. Items without an id
     mark words but aren't named. Repeated rows give repeated rows; rows that share a doc_id are judged each by its text. Empty tables are allowed; further columns are ignored.
+    Texts are searched whole: a long one is so many rows of words, of which the places that match alone go on.
     """
     docs = pick(docs, doc_id="", text="string")
     at = workspace(spark)
@@ -86,13 +101,15 @@ def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, width:
     sizes = sorted(r[0] for r in windows.select("size").distinct().collect()) or [SHINGLE]  # SHINGLE values at most
     vocabulary = windows.select("h").distinct()
     small = few(vocabulary, most_broadcast)
-    places = written(spark, occurrences(docs, vocabulary, sizes, width, small), f"{at}/places")
 
-    # Rarity over the whole corpus; a window whose rarest shingle occurs nowhere is dropped by the inner join.
-    rarity = places.where("h is not null").groupBy("h").agg(F.count("*").alias("freq"))
+    # Rarity over the whole corpus; a window whose rarest shingle occurs nowhere is dropped.
+    rarity = written(spark, frequencies(docs, vocabulary, sizes, small), f"{at}/rarity")
     ranked = windows.join(F.broadcast(rarity) if small else rarity, "h", "left").withColumn("freq", F.coalesce("freq", F.lit(0)))
     prefix = ranked.groupBy("win", "len").agg(F.min(F.struct("freq", "h", "off")).alias("p"), F.first("item_ids").alias("item_ids"))
-    prefix = prefix.where("p.freq > 0").select(F.col("p.h").alias("h"), F.col("p.off").alias("off"), "win", "len", "item_ids")
+    prefix = written(spark, prefix.where("p.freq > 0").select(F.col("p.h").alias("h"), F.col("p.off").alias("off"), "win", "len", "item_ids"), f"{at}/prefix")
+    rarest = prefix.select("h").distinct()
+    small = few(rarest, most_broadcast) and few(prefix, most_broadcast)
+    places = written(spark, occurrences(docs, rarest, sizes, width, small), f"{at}/places")
     c = places.where("h is not null").join(F.broadcast(prefix) if small else prefix, "h")
     c = c.withColumn("start", F.col("pos") - F.col("off")).where((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n")))
     c = c.where(F.slice("around", F.col("start") - F.col("from") + 1, F.col("len")) == F.col("win"))
