@@ -342,6 +342,23 @@ def axis_ablation(spark: SparkSession, sf: str) -> DataFrame:
     return c.where("engine = ''").join(off, ["as_of", "firm", "ratio"]).groupBy("axis", "ratio").agg(F.count("*").alias("n"), F.round(F.median("ape"), 6).alias("with_axis"), F.round(F.median("off"), 6).alias("without_axis"), F.round(F.avg(F.col("off") - F.col("ape")), 6).alias("benefit"), F.round(F.corr("ape", "off"), 6).alias("r"))
 
 
+_OFF_W = {k: {a: v for a, v in W.items() if a != k} for k in W}
+_OFF_W_SQL = ", ".join(f"{A.scored_sql(w).replace('scored AS', f'scored_{k} AS', 1)}, {A.top_k_sql(DEFAULT.k_final, f'peers_{k}', f'scored_{k}')}" for k, w in _OFF_W.items())
+_EACH_OFF_W = " UNION ALL ".join(f"SELECT '{k}' AS axis, * FROM cases_{k}" for k in _OFF_W)
+
+
+@query(f"""{FINAL}, {_OFF_W_SQL}, {S.RATIOS_SQL}, {S.PEER_VALUES_SQL}, {S.CASES_SQL}, {", ".join(_cases_of(k, f"peers_{k}") for k in _OFF_W)}, off AS ({_EACH_OFF_W})
+SELECT axis, count(*) AS n, round(median(a.ape), 6) AS with_axis, round(median(b.ape), 6) AS without_axis, round(avg(b.ape - a.ape), 6) AS benefit FROM cases a JOIN off b USING (as_of, firm, ratio) GROUP BY axis""")
+def axis_ablation_final(spark: SparkSession, sf: str) -> DataFrame:
+    """The final engine with each of its five axes taken out in turn, text among them; one pass over the blocks for all six engines."""
+    r = ratios(spark, sf)
+    specs = {"": (W, DEFAULT.k_final), **{k: (w, DEFAULT.k_final) for k, w in _OFF_W.items()}}
+    c = stored(S.peer_cases(r, B.engines(G.blind(features(spark, sf), HIDDEN), specs, vectors(spark, sf)), S.penalty(r), by=("engine",)))  # used twice
+    off = c.where("engine <> ''").select(F.col("engine").alias("axis"), "as_of", "firm", "ratio", F.col("ape").alias("off"))
+    j = c.where("engine = ''").join(off, ["as_of", "firm", "ratio"])
+    return j.groupBy("axis").agg(F.count("*").alias("n"), F.round(F.median("ape"), 6).alias("with_axis"), F.round(F.median("off"), 6).alias("without_axis"), F.round(F.avg(F.col("off") - F.col("ape")), 6).alias("benefit"))
+
+
 _ON = ", ".join(_cases_of(k, f"peers_{k}") for k in ("growth",))
 
 

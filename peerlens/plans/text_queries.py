@@ -245,6 +245,23 @@ def label_floor(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("as_of", "firm", "rank", "peer", ((F.col("text") > 0) & (F.col("text") >= F.col("floor"))).alias("text_label"))
 
 
+_SHOWN = f"sh AS (SELECT as_of, firm, peer, text > 0 AS before, text > 0 AND text >= floor AS after FROM peers CROSS JOIN fl)"
+
+
+@query(f"""{FINAL}, {_PAIRS}, {_FLOOR}, {_SHOWN}, nl AS (SELECT as_of, quantile_cont(sim, 0.99) AS p99 FROM p WHERE NOT same GROUP BY as_of)
+SELECT as_of, count(*) AS n, count(*) FILTER (WHERE before) AS before, count(*) FILTER (WHERE after) AS after, count(*) FILTER (WHERE before AND NOT after) AS dropped, round(any_value(p99), 6) AS p99, abs(any_value(p99) - any_value(floor)) < 0.03 AS valid
+FROM sh JOIN nl USING (as_of) CROSS JOIN fl GROUP BY as_of""")
+def join_verification(spark: SparkSession, sf: str) -> DataFrame:
+    """What joining a snapshot to the served ones does to its text labels: how many are there before the floor and after it, how many go, and whether its own null distribution stays within 0.03 of the floor."""
+    counts = stored(text_pairs(spark, sf))  # a row for each cosine of four decimals, used twice
+    floor = F.broadcast(text_floor(counts))  # one row
+    null = counts.where(~F.col("same")).groupBy("as_of").agg(F.percentile("sim", F.lit(0.99), F.col("n")).alias("p99"))
+    p = final_peers(spark, sf).crossJoin(floor)
+    before, after = F.col("text") > 0, (F.col("text") > 0) & (F.col("text") >= F.col("floor"))
+    g = p.groupBy("as_of", "floor").agg(F.count("*").alias("n"), F.count_if(before).alias("before"), F.count_if(after).alias("after"), F.count_if(before & ~after).alias("dropped"))
+    return g.join(null, "as_of").select("as_of", "n", "before", "after", "dropped", F.round("p99", 6).alias("p99"), (F.abs(F.col("p99") - F.col("floor")) < 0.03).alias("valid"))
+
+
 _BLOCKED = f"{PEERS}, p2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY as_of, firm ORDER BY sim DESC, peer) AS rank FROM scored) WHERE rank <= {K})"
 
 
