@@ -206,9 +206,12 @@ def axis_profile(f: DataFrame, name: str, vectors: DataFrame | None = None, size
 class Heap:
     """The k best peers of some targets under many weightings, with what has to be known of them; tiles of peers are taken in one by one, and two heaps merge.
 
-    Per target and weighting: similarity (in units of 1e-9, -1 where there is no peer), peer, and the peer's ratios. Ties go to the smaller peer.
+    Per target and weighting: similarity (in units of 1e-9, ABSENT where there is no peer), peer, and the peer's ratios. Ties go to the smaller peer.
     """
 
+    #: Below any similarity.
+    ABSENT = -(1 << 40)
+
     def __init__(self, sim: np.ndarray, peer: np.ndarray, ratio: np.ndarray):
         self.sim, self.peer, self.ratio = sim, peer, ratio  # (targets, weightings, k), the same, (targets, weightings, k, ratios)
 
@@ -224,10 +227,10 @@ class Heap:
         return Heap(take(sim), take(peer), np.take_along_axis(ratio, first[..., None], 2))
 
     def take(self, sim: np.ndarray, peer: np.ndarray, ratio: np.ndarray, k: int) -> Heap:
-        """With a tile: similarities (targets, weightings, peers; -1 for the target itself), peers ascending, and their ratios (ratios, peers)."""
+        """With a tile: similarities (targets, weightings, peers; ABSENT for the target itself), peers ascending, and their ratios (ratios, peers)."""
         n = len(peer)
         bits = max(1, n.bit_length())  # number and place in one integer, so that whole rows needn't be sorted
-        if sim.size and int(sim.max()) >= 1 << (62 - bits):
+        if sim.size and max(int(sim.max()), -int(sim.min())) >= 1 << (62 - bits):
             raise ValueError("similarities are too large")
         key = (sim << bits) + np.arange(n, 0, -1)
         if k < n:
@@ -237,7 +240,7 @@ class Heap:
 
     def errors(self, actual: np.ndarray, penalty: float, min_peers: int) -> np.ndarray:
         """Errors of the peers' medians (targets, weightings, ratios); NaN where there is no case. actual: (targets, ratios)."""
-        found = np.where((self.sim >= 0)[..., None], self.ratio, np.nan)
+        found = np.where((self.sim > self.ABSENT)[..., None], self.ratio, np.nan)
         n = (~np.isnan(found)).sum(axis=2)
         found = np.sort(found, axis=2)  # NaN last
         middle = lambda i: np.take_along_axis(found, np.clip(i, 0, max(found.shape[2] - 1, 0))[:, :, None, :], 2)[:, :, 0, :] if found.shape[2] else np.full(n.shape, np.nan)
@@ -305,8 +308,8 @@ def grid_errors(f: DataFrame, values: DataFrame, penalty: DataFrame, names: tupl
             for i in range(0, len(a.firm), step):
                 # (targets, weightings, peers), axes added up one after the other as everywhere else
                 sim = sum(grid[None, :, x, None] * stack[x, i : i + step, None, :] for x in range(len(names)))
-                sim = np.floor(sim * 1e9 + 0.5).astype(np.int64)  # 9 decimals; no similarity is negative
-                sim[np.broadcast_to(same[i : i + step, None, :], sim.shape)] = -1
+                sim = np.floor(sim * 1e9 + 0.5).astype(np.int64)  # 9 decimals
+                sim[np.broadcast_to(same[i : i + step, None, :], sim.shape)] = Heap.ABSENT
                 part = Heap(out.sim[i : i + step], out.peer[i : i + step], out.ratio[i : i + step])
                 parts.append(part.take(sim, b.firm, ratio, k))
             if parts:

@@ -181,6 +181,46 @@ def weight_grid_argmin(spark: SparkSession, sf: str) -> DataFrame:
     return weight_grid_scores(spark, sf).agg(F.min(F.struct("ape", "g")).alias("m")).select("m.g", "m.ape")
 
 
+#: Axes of the comparison of vector spaces.
+THREE = ("industry", "scale", "text")
+_GRID3 = weight_grid(len(THREE))
+_DENSE_SQL = """e AS (SELECT vec_id AS id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IN (SELECT s_suppkey FROM supplier))),
+textsim AS (SELECT a.id AS firm, b.id AS peer, round(list_inner_product(a.v, b.v), 9) AS sim_text FROM e a JOIN e b ON a.id <> b.id)"""
+
+
+def dense(spark: SparkSession, sf: str) -> DataFrame:
+    """doc, gram (the dimension), weight: embeddings of the firms, of unit length, in the form of text vectors."""
+    e = read(spark, sf, "embeddings").join(read(spark, sf, "supplier").select(F.col("s_suppkey").alias("vec_id")), "vec_id", "left_semi")
+    e = e.select(F.col("vec_id").alias("doc"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    return e.select("doc", norm.alias("norm"), F.posexplode("v").alias("i", "x")).where("norm > 0").select("doc", F.col("i").cast("string").alias("gram"), (F.col("x") / F.col("norm")).alias("weight"))
+
+
+def _space_sql(space: str, text_sql: str) -> str:
+    rows = "(VALUES " + ", ".join(f"({i}, {', '.join(f'{x!r}::DOUBLE' for x in w)})" for i, w in enumerate(_GRID3)) + ") AS w(g, w0, w1, w2)"
+    sim = " + ".join(f"w{i} * {k}" for i, k in enumerate(THREE))
+    return f"""SELECT '{space}' AS space, g, ape FROM ({WITH}, {text_sql}, {A.scored_sql(dict.fromkeys(THREE, 1.0))}, {S.RATIOS_SQL}, g0 AS (SELECT g, as_of, firm, peer, round({sim}, 9) AS sim FROM scored CROSS JOIN {rows} WHERE as_of IN {DEFAULT.dev_years}),
+g1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g, as_of, firm ORDER BY sim DESC, peer) AS rank FROM g0) WHERE rank <= {K}),
+g2 AS (SELECT g, d.as_of, d.firm, d.ratio, d.value AS actual, median(r.value) AS pred, count(r.value) AS n FROM defined d JOIN g1 ON g1.as_of = d.as_of AND g1.firm = d.firm LEFT JOIN ratios r ON r.as_of = d.as_of AND r.firm = g1.peer AND r.ratio = d.ratio GROUP BY ALL)
+SELECT g, round(median(CASE WHEN n < {DEFAULT.min_peers} THEN penalty ELSE abs(pred - actual) / abs(actual) END), 6) AS ape FROM g2 CROSS JOIN pen GROUP BY g)"""
+
+
+@query(f"""WITH a AS ({_space_sql('grams', TEXT_SQL)} UNION ALL {_space_sql('embeddings', _DENSE_SQL)}), b AS (SELECT space, arg_min(g, (ape, g)) AS g, min(ape) AS ape, median(ape) AS middle FROM a GROUP BY space)
+SELECT space, g, ape, round(middle, 6) AS middle, CASE WHEN ape < min(ape) OVER () + 1e-9 THEN CASE WHEN count(*) OVER (PARTITION BY ape) = 1 THEN 'better' ELSE 'as good' END ELSE 'worse' END AS verdict FROM b""")
+def vector_spaces_verdict(spark: SparkSession, sf: str) -> DataFrame:
+    """Which vectors serve the text axis better on the dev snapshots: the same search over weightings of three axes, with vectors of grams and with dense ones, best weighting against best."""
+    r, f = ratios(spark, sf), features(spark, sf).where(F.col("as_of").isin(*DEFAULT.dev_years))
+    out = None
+    for space, v in (("grams", vectors(spark, sf)), ("embeddings", dense(spark, sf))):
+        e = B.grid_errors(f, r, S.penalty(r), THREE, np.array(_GRID3), K, v).groupBy("g").agg(F.round(F.median("ape"), 6).alias("ape"))
+        e = e.agg(F.min(F.struct("ape", "g")).alias("m"), F.round(F.median("ape"), 6).alias("middle")).select(F.lit(space).alias("space"), "m.g", "m.ape", "middle")
+        out = e if out is None else out.unionByName(e)
+    out = stored(out)
+    best = out.agg(F.min("ape").alias("best"), F.count_distinct("ape").alias("kinds"))  # one row
+    verdict = F.when(F.col("ape") > F.col("best"), "worse").when(F.col("kinds") > 1, "better").otherwise("as good")
+    return out.crossJoin(F.broadcast(best)).select("space", "g", "ape", "middle", verdict.alias("verdict"))
+
+
 def tuned(spark: SparkSession, sf: str) -> DataFrame:
     """g, ape of every weighting of the final engine's axes (2851 for five) with its k, on a sample of the dev targets; the sample is the operator's."""
     r, f = ratios(spark, sf), features(spark, sf).where(F.col("as_of").isin(*DEFAULT.dev_years))

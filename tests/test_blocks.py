@@ -47,6 +47,18 @@ def test_ranks_are_those_of_all_pairs(spark, firms, vectors, size):
     assert {(r.as_of, r.firm): (r.b, r.m) for r in want} == best
 
 
+def test_heap_with_negative_similarities_and_no_peer():
+    sim = np.array([[[5, -7, -7, B.Heap.ABSENT], [0, 0, 0, B.Heap.ABSENT]]])
+    ratio = np.array([[1.0, 2.0, np.nan, 9.0]])
+    h = B.Heap.empty(1, 2, 1)
+    for j in (0, 2):
+        h = h.take(sim[:, :, j : j + 2], np.array([10, 20, 30, 40])[j : j + 2], ratio[:, j : j + 2], 3)
+    assert h.peer.tolist() == [[[10, 20, 30], [10, 20, 30]]] and h.sim.tolist() == [[[5, -7, -7], [0, 0, 0]]]
+    assert h.errors(np.array([[3.0]]), 9.0, 2).tolist() == [[[0.5], [0.5]]] and h.errors(np.array([[0.0]]), 9.0, 2).tolist() != [[[0.5], [0.5]]]
+    alone = B.Heap.empty(1, 1, 1).take(np.array([[[B.Heap.ABSENT]]]), np.array([7]), np.array([[1.0]]), 2)
+    assert alone.errors(np.array([[3.0]]), 9.0, 1).tolist() == [[[9.0]]]
+
+
 @pytest.mark.parametrize("sizes", [{}, {"together": 5, "tile": 2, "tiles": 1}, {"together": 3, "tile": 2, "tiles": 5}])
 def test_grid_against_one_ranking_for_each_weighting(spark, firms, vectors, sizes):
     """All peers at once, ten tiles that each hand on heaps, and heaps over five tiles each."""
