@@ -360,23 +360,25 @@ class Coder:
 
 
 @lru_cache(maxsize=4)
-def coder(path: str) -> Coder:
-    return Coder(path)
+def coder(path: str, remembered: int = 80_000) -> Coder:
+    return Coder(path, remembered)
 
 
-def encode_documents(docs: DataFrame, model: str, outputs: tuple[str, ...] = ("ids", "ends", "decoded"), keep: tuple[str, ...] = ()) -> DataFrame:
+def encode_documents(docs: DataFrame, model: str, outputs: tuple[str, ...] = ("ids", "ends", "decoded"), keep: tuple[str, ...] = (), remembered: int = 80_000) -> DataFrame:
     """Encodes every row's whole text with begin and end ids, and decodes it again.
 
     Returns doc_id, n_tokens (all ids) and those asked for of: ids (array<int>), ends (array<int>: source byte where each piece ends, begin and
     end ids without), decoded, ids_sha256 (ids as little-endian unsigned 32-bit integers), decoded_sha256 (UTF-8), ends_crc32 (as unsigned 64-bit integers);
-    then the columns `keep`. A null text is an empty one and gets the begin and end ids only. Repeated rows stay; further columns are ignored.
+    then the columns `keep`. A null text is an empty one and gets the begin and end ids only. Repeated rows stay; further columns are ignored. Texts
+    are encoded whole, about 4 MB at a time; a longer one is a batch of its own. A worker remembers so many chunks at least, and up
+    to twice as many: some 300 bytes each.
     """
     kinds = {"ids": "array<int>", "ends": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string", "ends_crc32": "bigint"}
 
     types = {"array<int>": pa.list_(pa.int32()), "string": pa.string(), "bigint": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(model)
+        c = coder(model, remembered)
         head, tail = np.array([c.begin], "<u4").tobytes(), np.array([c.end], "<u4").tobytes()
         for batch in slices(batches, "text"):
             out = {"n_tokens": [], **{k: [] for k in outputs}}

@@ -59,7 +59,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode_documents(_read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), ("ids_sha256", "decoded_sha256", "ends_crc32"))
+    return pieces.encode_documents(_read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), ("ids_sha256", "decoded_sha256", "ends_crc32"), remembered=400_000)
 
 
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
