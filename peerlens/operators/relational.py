@@ -92,7 +92,7 @@ def auc(counts: DataFrame, positive: str, score: str, n: str) -> DataFrame:
     c = counts.groupBy(score).agg(F.sum(F.when(F.col(positive), F.col(n)).otherwise(0)).alias("p"), F.sum(F.when(F.col(positive), 0).otherwise(F.col(n))).alias("q"))
     w = Window.partitionBy(F.lit(1)).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
     u = c.withColumn("below", F.coalesce(F.sum("q").over(w), F.lit(0)))
-    return u.agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), (F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)) / (F.sum("p") * F.sum("q"))).alias("auc"))
+    return u.agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), (F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)) / (F.sum("p").cast("double") * F.sum("q").cast("double"))).alias("auc"))
 
 
 def bucket_of(n: Column) -> Column:
