@@ -125,3 +125,25 @@ def test_random_peers_are_a_shuffle_of_the_others(spark):
     n = np.bincount([r.peer for s in range(12) for r in A.random_peers(many, 5, s).collect()], minlength=60)
     assert n.sum() == 12 * 300 and n.min() > 25 and n.max() < 105  # 60 each on average
     assert "CartesianProduct" not in (plan := A.random_peers(many, 5, 1)._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
+
+
+def test_blocks_are_written_once_and_nothing_is_shuffled_by_pairs(spark, firms, vectors):
+    """Ranks come back from the task that has read all blocks: no window over what blocks found, and ties in the last place go to the smaller peer."""
+    d = B.ranked(firms, {"industry": 0.5, "text": 0.5}, 4, vectors, 3)
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    same = spark.createDataFrame([(1, i, "0101", 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0) for i in range(40)], SCHEMA)
+    for w in ({"scale": 1.0}, None):
+        got = {r.firm: [] for r in same.collect()}
+        for r in B.engines(same, {"": (w, 3)}, size=7).orderBy("rank").collect():
+            got[r.firm].append(r.peer)
+        assert got == {i: [j for j in range(4) if j != i][:3] for i in range(40)}
+
+
+def test_large_features_and_missing_ones_rank_as_pairs_do(spark):
+    rng = np.random.default_rng(8)
+    some = lambda s: None if rng.random() < 0.2 else float(rng.normal() * s)
+    f = spark.createDataFrame([(1, i, ["0101", "0102", "0201", ""][int(rng.integers(4))], some(1), some(1), some(2), some(10.0 ** int(rng.integers(0, 7))), some(1), some(1), some(1)) for i in range(90)], SCHEMA)
+    w = {"industry": 0.2, "scale": 0.2, "growth": 0.6}
+    rows = lambda d: sorted((r.as_of, r.firm, r["rank"], r.peer, round(r.sim, 8)) for r in d.collect())
+    assert rows(B.ranked(f, w, 4, None, 16)) == rows(A.top_k(A.scored(f, w), 4))
