@@ -147,3 +147,9 @@ def test_large_features_and_missing_ones_rank_as_pairs_do(spark):
     w = {"industry": 0.2, "scale": 0.2, "growth": 0.6}
     rows = lambda d: sorted((r.as_of, r.firm, r["rank"], r.peer, round(r.sim, 8)) for r in d.collect())
     assert rows(B.ranked(f, w, 4, None, 16)) == rows(A.top_k(A.scored(f, w), 4))
+
+
+def test_cosines_are_told_where_they_weigh_nothing(spark, firms, vectors):
+    w = {"scale": 1.0, "text": 0.0}
+    rows = lambda d: sorted((r.as_of, r.firm, r["rank"], r.peer, round(r.text, 8)) for r in d.collect())
+    assert rows(B.ranked(firms, w, 4, vectors, 9)) == rows(A.top_k(A.scored(firms, w, X.cosines(vectors)), 4))
