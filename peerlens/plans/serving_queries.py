@@ -10,6 +10,7 @@ from peerlens.operators import axes as A
 from peerlens.operators import score as S
 from peerlens.operators import single
 from peerlens.sources.contexts import stamp
+from peerlens.sources.snapshots import stored
 
 from .audit_queries import MARKETS, lookup, universe
 from .panel import read, snapshot
@@ -26,10 +27,11 @@ def serving_spec(spark: SparkSession, sf: str) -> dict:
     key = (spark.sparkContext.applicationId, sf, stamp(spark, [f"{sf}/{t}.parquet" for t in _TABLES]))
     if key not in _SPECS:
         _SPECS.clear()
-        r, p = ratios(spark, sf), final_peers(spark, sf).where(F.col("as_of").isin(*DEFAULT.dev_years))
-        c, d = cohesion_bounds(S.cohesion(p)).first(), S.ratio_block(r, p).agg(F.percentile("deviation", F.lit(0.9))).first()
+        dev = lambda d: d.where(F.col("as_of").isin(*DEFAULT.dev_years))
+        r, p = ratios(spark, sf), stored(final_peers(spark, sf, DEFAULT.dev_years).drop(*W))  # used twice
+        c, d = cohesion_bounds(S.cohesion(p)).first(), S.ratio_block(dev(r), p).agg(F.percentile("deviation", F.lit(0.9))).first()
         tau = {x.ratio: x.tau for x in S.ill_thresholds(r).collect()}  # one row for each ratio
-        _SPECS[key] = {"weights": dict(W), "k": DEFAULT.k_final, "q33": c.q33, "q67": c.q67, "bound": d[0], "tau": tau, "floor": text_floor(text_pairs(spark, sf)).first()[0]}
+        _SPECS[key] = {"weights": dict(W), "k": DEFAULT.k_final, "q33": c.q33, "q67": c.q67, "bound": d[0], "tau": tau, "floor": text_floor(text_pairs(spark, sf, DEFAULT.dev_years)).first()[0]}
     return _SPECS[key]
 
 
