@@ -67,3 +67,12 @@ def test_gathered_peers_give_the_medians_of_rows(spark):
     want = S.peer_values(r, p, ("engine",)).groupBy("engine", "as_of", "firm", "ratio", "actual").agg(F.median("v").alias("m"), F.count("v").alias("n"))
     got = S.peer_lists(r, p, ("engine",)).select("engine", "as_of", "firm", "ratio", "actual", S.middle().alias("m"), F.size("v").cast("bigint").alias("n"))
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_weight_search_shuffles_no_pairs(spark):
+    """Peers aren't copied for each group of targets, and of many peers only those are weighed that can reach a heap."""
+    rng = np.random.default_rng(2)
+    f = spark.createDataFrame([(1, i, "0001", *[float(x) for x in rng.normal(size=7)]) for i in range(300)], f"as_of int, firm bigint, code string, {', '.join(f'{c} double' for c in B.FEATURES)}")
+    values = f.select("as_of", "firm", F.lit("p").alias("ratio"), F.col("g").alias("value"))
+    d = B.grid_errors(f, values, spark.createDataFrame([(7.0,)], "penalty double"), ("scale", "growth"), np.array([[0.5, 0.5]]), 3, together=64, tile=64, tiles=2)
+    assert "Exchange" not in d._jdf.queryExecution().executedPlan().toString() and d.count() == 300
