@@ -8,11 +8,12 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from peerlens.config import DEFAULT
 from peerlens.functions import md5
 from peerlens.operators import blocks as B
 from peerlens.operators import resample
 from peerlens.operators import score as S
-from peerlens.plans import QUERIES
+from peerlens.plans import QUERIES, serving_queries
 
 
 def rankings(monkeypatch) -> list:
@@ -46,6 +47,14 @@ def test_a_ranking_runs_once(spark, monkeypatch):
         assert len(made) == 1 and c.value == sum(r["count"] * engines * min(5, r["count"] - 1) for r in firms), name
 
 
+def test_bounds_of_reports_rank_dev_snapshots_once(spark, monkeypatch):
+    sf, made = "/root/testdata/sf0.001", rankings(monkeypatch)
+    serving_queries._SPECS.clear()
+    serving_queries.serving_spec(spark, sf)
+    (years, c), firms = made[0], QUERIES["feature_panel"](spark, sf).groupBy("as_of").count().collect()
+    assert len(made) == 1 and years == list(DEFAULT.dev_years) and c.value == sum(min(10, r["count"] - 1) * r["count"] for r in firms if r.as_of in DEFAULT.dev_years)
+
+
 def test_a_key_is_drawn_once(spark):
     """Cases with one key that lie apart come together before their weights are drawn."""
     d = spark.range(0, 600, 1, 6).select((F.col("id") % 10).cast("string").alias("key"))
