@@ -5,6 +5,7 @@ Files follow the order of the documents, so a range of documents is a range of r
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import re
@@ -35,6 +36,14 @@ SCHEMA = "doc_id bigint, part int, nth bigint, part_start bigint, n_tokens bigin
 GAP = b"\xff" * 4
 #: Normalisers that treat what stands between spaces apart from the rest.
 APART = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase"}
+#: Latin letters, digits and marks: all up to here but white space. Nothing among them joins what stands before it.
+LATIN = "".join(c for c in map(chr, range(0x250)) if c not in "\t\n\v\f\r \x85\xa0")
+#: A pattern that takes letters that stand together as one word: a run of letters, after nothing but what begins with an apostrophe.
+RUNS = re.compile(r"(?:'[a-z]+\|)*(?:\[\\p\{L\}\]|\\p\{L\})\+(?:\|.*)?", re.DOTALL)
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_HIDDEN = [b for b in range(256) if b not in _SHOWN]
+#: The character that stands for each byte in a model of bytes, but for the space, which stays one.
+BYTES = "".join(" " if b == 32 else chr(b if b in _SHOWN else 256 + _HIDDEN.index(b)) for b in range(256))
 
 
 def cuts_at_spaces(tokenizer: Any) -> bool:
@@ -54,72 +63,64 @@ def cuts_at_spaces(tokenizer: Any) -> bool:
 class Encoder:
     """Ids of texts, equal to those of the library; as bytes they are little-endian unsigned 32-bit integers.
 
-    If the tokenizer takes what stands between spaces apart from the rest, texts are cut there. Chunks that aren't remembered go through the library's normaliser and
-    are cut into words by the tokenizer's own pattern; words that aren't remembered go to the library, many in one string, where each word's ids end with one that
-    ends a word. Chunks with special tokens or characters past Latin letters, about which two regular expression engines may differ, go to the library as they
+    If the tokenizer takes what stands between spaces apart from the rest, texts are cut there. Chunks that aren't remembered are normalised and cut into words by the
+    tokenizer's own pattern; words that aren't remembered go to the library's model, one by one. Latin chunks are lower-cased here if the library's normaliser does no
+    more to them than that, and chunks of letters are words if the pattern takes runs of letters. Chunks with special tokens, white space other than spaces and line
+    feeds, or characters past Latin letters, about which two regular expression engines may differ, go to the library as they
     are. With any other tokenizer whole texts do.
     """
 
     def __init__(self, path: str, remembered: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known, self.words, self.cuts = Recent(remembered), Recent(remembered // 2), cuts_at_spaces(self.tokenizer)
-        # The same model for words that are normalised and cut already.
-        self.of_words = Tokenizer.from_file(path)
-        self.of_words.normalizer = normalizers.Sequence([])
-        self.of_words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), *[pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)] * self.bytewise])
+        self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
         d = json.loads(self.tokenizer.to_str())
-        pre = (d["pre_tokenizer"] or {}).get("pretokenizers", [d["pre_tokenizer"]])[0]
+        pres = (d["pre_tokenizer"] or {}).get("pretokenizers", [d["pre_tokenizer"]])
+        pre, self.bytewise = pres[0], any(x and x["type"] == "ByteLevel" for x in pres)
         # Words and the spaces between chunks, in one search through many chunks.
         self.word = regex.compile(f"(?:{pre['pattern'].get('Regex') or regex.escape(pre['pattern']['String'])})| ") if self.cuts else None
-        self.foreign = re.compile("|".join(["[^\x00-\u024f]", *[re.escape(a["content"]) for a in d["added_tokens"]]]))
-        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.ends_word[i] = bool(suffix := d["model"].get("end_of_word_suffix")) and token.endswith(suffix)
+        self.lowers = bool(self.normalizer) and self.normalizer.normalize_str(LATIN) == LATIN.lower()
+        self.runs = self.cuts and bool(RUNS.fullmatch(pre["pattern"].get("Regex", "")))
+        self.foreign = re.compile("|".join(["[^\x00-\u024f]", r"[^\S ]", *[re.escape(a["content"]) for a in d["added_tokens"]]]))
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    @property
-    def bytewise(self) -> bool:
-        pre = json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {}
-        return any(x["type"] == "ByteLevel" for x in pre.get("pretokenizers", []))
-
-    def learn_words(self, words: set[str], together: int = 2000) -> dict[str, bytes]:
+    def learn_words(self, words: set[str]) -> dict[str, bytes]:
         new = self.words.missing(words)
         known = self.words.young
-        for low in range(0, len(new), together):
-            part = new[low : low + together]
-            ids = np.array(self.of_words.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = (np.flatnonzero(self.ends_word[ids]) + 1) * 4
-            if len(ends) == len(part):
-                raw, at = ids.tobytes(), ends.tolist()
-                known |= zip(part, [raw[a:b] for a, b in zip([0, *at[:-1]], at, strict=True)], strict=True)
-            else:
-                known |= zip(part, self.whole(part), strict=True)
+        spelt = codecs.charmap_decode(" ".join(new).encode(), "strict", BYTES)[0].split(" ") if self.bytewise and new else new
+        tokens = self.model.tokenize
+        known |= zip(new, [array("I", [t.id for t in tokens(w)]).tobytes() for w in spelt], strict=True)
         return known
 
+    def normal(self, chunks: list[str]) -> list[str]:
+        """Latin chunks as the tokenizer normalises them; spaces that this makes are line feeds."""
+        if self.lowers:
+            return " ".join(chunks).lower().split(" ")
+        return [self.normalizer.normalize_str(c).replace(" ", "\n") for c in chunks] if self.normalizer else chunks
+
     def learn(self, chunks: list[str]) -> None:
         odd = [c for c in chunks if self.foreign.search(c)] if self.foreign.search(" ".join(chunks)) else []
         known = self.known.young
         known |= zip(odd, self.whole(odd), strict=True)
         plain = [c for c in chunks if c not in known] if odd else chunks
-        normal = self.tokenizer.normalizer.normalize_str(" ".join(plain)) if self.tokenizer.normalizer else " ".join(plain)
-        if normal.count(" ") + 1 != len(plain):  # a chunk holds white space of another kind
-            odd = [self.tokenizer.normalizer.normalize_str(c).replace(" ", "\n") for c in plain]
-            normal = " ".join(odd)
-        found = self.word.findall(normal)
-        words = self.learn_words(set(found).difference((" ",)))
+        normal = self.normal(plain) if plain else []
+        marked = [c for c in normal if not (self.runs and c.isalpha())]
+        found = self.word.findall(" ".join(marked))
+        words = self.learn_words(set(normal).difference(marked).union(found).difference((" ",)))
         words[" "] = GAP
         ids = b"".join(map(words.__getitem__, found))
         # The gaps tell the chunks apart; no id is that large.
         flat = np.frombuffer(ids, "<u4")
         gaps = np.flatnonzero(flat == 0xFFFFFFFF)
         begin, end = (np.r_[0, gaps + 1] * 4).tolist(), (np.r_[gaps, len(flat)] * 4).tolist()
-        known |= zip(plain, [ids[a:b] for a, b in zip(begin, end, strict=True)], strict=True)
+        cut = dict(zip(marked, [ids[a:b] for a, b in zip(begin, end, strict=True)], strict=True)) if marked else {}
+        known |= zip(plain, [cut[c] if c in cut else words[c] for c in normal], strict=True)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and how many each text has."""
