@@ -64,7 +64,7 @@ def _merge(blocks: list[list[np.ndarray]]) -> list[np.ndarray]:
     if not blocks:
         return []
     keys, *counts = (np.concatenate(x) for x in zip(*blocks, strict=True))
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
     return [keys[first], *[np.add.reduceat(c[order], first) if len(first) else c for c in counts]]
@@ -75,8 +75,13 @@ def _range_of(h: np.ndarray, shards: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
+def _by_shard(shard: np.ndarray) -> np.ndarray:
+    """Order by shard that keeps the order within each; small numbers are sorted digit by digit."""
+    return np.argsort(shard.astype(np.uint16) if len(shard) and shard.max() < 1 << 16 else shard, kind="stable")
+
+
 def _send(keys: np.ndarray, shard: np.ndarray, *counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    order = np.argsort(shard, kind="stable")
+    order = _by_shard(shard)
     s = shard[order]
     edges = np.flatnonzero(np.r_[True, s[1:] != s[:-1], True]) if len(s) else []
     for i, j in zip(edges[:-1], edges[1:], strict=True):
@@ -141,9 +146,24 @@ def _unpacked(packed: list[np.ndarray], bits: int, k: int) -> list[np.ndarray]:
     return out
 
 
+def _ascending(packed: list[np.ndarray]) -> np.ndarray:
+    """Order of rows by their columns; equal rows in any order. Each further column is sorted together with the place of what stands before it among the distinct."""
+    order = np.argsort(packed[0])
+    before = packed[0][order]
+    for c in packed[1:]:
+        place = np.cumsum(np.r_[False, before[1:] != before[:-1]]).astype(np.uint64) if len(before) else before
+        bits = int(c.max()).bit_length() if len(c) else 0
+        if len(place) and int(place[-1]).bit_length() + bits > 64:
+            return np.lexsort(packed[::-1])
+        before = (place << np.uint64(bits)) | c[order]
+        by = np.argsort(before)
+        order, before = order[by], before[by]
+    return order
+
+
 def _distinct(packed: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct rows in ascending order, with the sums of their counts."""
-    order = np.lexsort(packed[::-1]) if len(packed) > 1 else np.argsort(packed[0], kind="stable")
+    order = _ascending(packed)
     packed = [c[order] for c in packed]
     new = np.zeros(len(order), bool)
     new[:1] = True
@@ -171,18 +191,22 @@ def _keys(name: str, hashes: np.ndarray, shards: int) -> dict[str, np.ndarray]:
     return {f"{name}_low": hashes.astype(np.uint32), f"{name}_high": (hashes >> _32).astype(np.uint8), f"{name}_at": begin.astype(np.min_scalar_type(len(hashes)))}
 
 
-def _find(a: dict[str, np.ndarray], name: str, hashes: np.ndarray, shards: int) -> np.ndarray:
-    """Places of hashes among the keys of a shard, -1 for those that aren't there."""
-    bucket = _place(hashes, shards, len(a[f"{name}_at"]) - 1)
-    at, end = a[f"{name}_at"][bucket].astype(np.int64), a[f"{name}_at"][bucket + 1].astype(np.int64)
-    low, high = hashes.astype(np.uint32), (hashes >> _32).astype(np.uint8)
-    out, live = np.full(len(hashes), -1, np.int64), np.arange(len(hashes))
-    while len(live := live[at[live] < end[live]]):
-        hit = a[f"{name}_low"][at[live]] == low[live]
-        hit[hit] = a[f"{name}_high"][at[live[hit]]] == high[live[hit]]
-        out[live[hit]] = at[live[hit]]
-        live = live[~hit]
-        at[live] += 1
+def _find(a: dict[str, np.ndarray], name: str, hashes: np.ndarray, shards: int, together: int = 1 << 16) -> np.ndarray:
+    """Places of hashes among the keys of a shard, -1 for those that aren't there; the buckets of so many hashes are read at a time."""
+    out = np.full(len(hashes), -1, np.int64)
+    for i in range(0, len(hashes), together):
+        h = hashes[i : i + together]
+        bucket = _place(h, shards, len(a[f"{name}_at"]) - 1)
+        at = a[f"{name}_at"][bucket].astype(np.int64)
+        sizes = a[f"{name}_at"][bucket + 1].astype(np.int64) - at
+        upto = np.cumsum(sizes)
+        # The buckets' places one after the other, compared by their low bits first.
+        places = np.repeat(at - upto + sizes, sizes)
+        places += np.arange(len(places))
+        same = np.flatnonzero(a[f"{name}_low"][places] == np.repeat(h.astype(np.uint32), sizes))
+        places, own = places[same], np.searchsorted(upto, same, side="right")
+        high = a[f"{name}_high"][places] == (h[own] >> _32).astype(np.uint8)
+        out[i + own[high][::-1]] = places[high][::-1]  # the first one counts
     return out
 
 
@@ -299,9 +323,7 @@ class Model:
         order = np.argsort(key)
         order = order[(total[order] > 0) & (seq[ends[order]] >= 0)]
         where = shard[of[order]]
-        if self.shards <= 1 << 16:
-            where = where.astype(np.uint16)  # sorted digit by digit
-        by = np.argsort(where, kind="stable")
+        by = _by_shard(where)
         order = order[by]
         for s, i, j in self._ranges(where[by]):
             a, own = mapped.load(f"{self.path}/runs{k}/{s}"), order[i:j]
